@@ -32,7 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     hashed = d.withColumn("_h", hash_with(F.col("_text")))
     seen = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    repeated = stored(bitmap(seen, F.xxhash64("_h"), bits), "dedup-bits")
+    repeated = bitmap(seen, F.xxhash64("_h"), bits)
     candidates = maybe_in(hashed, F.xxhash64("_h"), repeated, bits, "_maybe").where("_maybe")
     classes = candidates.groupBy("_h", "_text").agg(pick("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     by_hash = stored(classes.groupBy("_h").agg(F.count(F.lit(1)).alias("_texts"), F.max("_keep").alias("_keep"), F.max("_size").alias("_size")), "dedup-groups")

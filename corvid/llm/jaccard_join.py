@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
     """The pairs (a, b) of set names that link. Only texts of sets that occur in pairs leave their partition."""
     names = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     wanted = stored(classes.join(names, "set_id", "left_semi").select("set_id", "rep"), "jaccard-wanted")
-    seen = stored(bitmap(wanted, F.xxhash64("rep"), bits), "jaccard-bits")
+    seen = bitmap(wanted, F.xxhash64("rep"), bits)
     texts = maybe_in(docs, F.xxhash64("_id"), seen, bits, "_maybe").where("_maybe").select("_id", "_text")
     texts = stored(texts.join(wanted, texts["_id"] == wanted["rep"]).select("set_id", F.col("_text").alias("text")), "jaccard-texts")
     with_b = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")

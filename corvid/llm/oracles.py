@@ -41,5 +41,20 @@ FROM r
 """
 
 
+OP9 = r"""
+WITH l AS (
+  SELECT doc_id, p, x, lower_ascii AS k FROM (
+    SELECT doc_id, p, x, translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+    FROM (SELECT doc_id, generate_subscripts(ls, 1) AS p, unnest(ls) AS x
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))),
+h AS (SELECT k, max(doc_id) AS keep_doc FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT doc_id, p, x, keep_doc IS NOT NULL AND keep_doc <> doc_id AS gone FROM l LEFT JOIN h ON l.k = h.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op8_quality_rules": OP8}
+    return {"op1_exact_dedup": OP1, "op8_quality_rules": OP8, "op9_line_dedup": OP9}

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
+from .line_dedup import line_dedup, line_digests, with_bitmaps
+from .mixing import mix_sources
 from .quality_rules import quality_rules
 
 
@@ -18,10 +21,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="max")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_read(spark, sf_dir, "documents"))["components"]
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_bits"]
     return quality_rules(_read(spark, sf_dir, "documents")).select(*cols)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_bitmaps(docs, line_dedup(docs)).mapInArrow(line_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_mix_sources, op8_quality_rules, op9_line_dedup)}
