@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .language_id import fit_languages, held_out, identify_languages
 from .line_dedup import line_dedup, line_digests, with_bitmaps
 from .mixing import mix_sources
+from .packing import pack
 from .quality_rules import quality_rules
+from .tokens import token_counts
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +35,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_bits"]
     return quality_rules(_read(spark, sf_dir, "documents")).select(*cols)
@@ -39,5 +53,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_bitmaps(docs, line_dedup(docs)).mapInArrow(line_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    filters = fit_languages(docs.where(~F.coalesce(held_out(), F.lit(False))), "text", "lang", "doc_id")
+    rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    return identify_languages(rows, filters, extra=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_mix_sources, op8_quality_rules, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_mix_sources, op6_pack, op7_token_counts, op8_quality_rules, op9_line_dedup, op10_language_id)}
