@@ -28,6 +28,8 @@ from .components import connected_components
 from .shingles import intersection, mix, shingle_set
 
 _U = np.uint64
+#: Classes of a crowded set's profile, for shingles in few and in many of the sets.
+PROFILE = 64
 
 
 def band_edges(limit: int = 1 << 40) -> list[int]:
@@ -105,11 +107,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def members_of(k: int, num: int, den: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("slack_below", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("slack_below", pa.int32()), ("copy", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], batch.column(2)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingle_set(text, k)
                 row = [doc, None, len(h), None, None]
@@ -117,7 +119,7 @@ def members_of(k: int, num: int, den: int):
                     row[1] = set_id(h)
                     for j, band in enumerate(bands_of(len(h), num, den)):
                         row[3 + j] = slack_of(h, band, j == 0, num, den)
-                for col, x in zip(out, row, strict=True):
+                for col, x in zip(out, row, strict=False):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
@@ -177,19 +179,45 @@ def _verifier(k: int, num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
-    """The pairs (a, b) of set names that link. Only texts of sets that occur in pairs leave their partition."""
-    names = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = stored(classes.join(names, "set_id", "left_semi").select("set_id", "rep"), "jaccard-wanted")
+def _shingles_of(k: int):
+    schema = pa.schema([("set_id", pa.int64()), ("h", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingle_set(text.as_py(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), name, dtype=np.int64)), pa.array(h.view(np.int64))], schema=schema)
+
+    return run
+
+
+def _texts(names: DataFrame, docs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
+    """(set_id, text) for the named sets. Only these texts leave their partition, with few others that the bitmap lets pass."""
+    wanted = stored(classes.join(names, "set_id", "left_semi").select("set_id", "rep", "copy"), "jaccard-wanted")
     seen = bitmap(wanted, F.xxhash64("rep"), bits)
-    texts = maybe_in(docs, F.xxhash64("_id"), seen, bits, "_maybe").where("_maybe").select("_id", "_text")
-    texts = stored(texts.join(wanted, texts["_id"] == wanted["rep"]).select("set_id", F.col("_text").alias("text")), "jaccard-texts")
+    texts = maybe_in(docs, F.xxhash64("_id"), seen, bits, "_maybe").where("_maybe").select("_id", "_text", F.xxhash64("_text").alias("_copy"))
+    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_copy") == F.col("copy"))).select("set_id", F.col("_text").alias("text"))
+    return stored(found.dropDuplicates(["set_id"]), "jaccard-texts")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
+    """The pairs (a, b) of set names that link, by their whole sets."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), docs, classes, bits)
     with_b = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return with_both.mapInArrow(_verifier(k, num, den), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23) -> dict[str, DataFrame]:
+def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pairs of members that share more signatures than either's slack: at most H segments of linked sets differ."""
+    one = listed.select(F.col("member").alias("ma"), F.col("sigs").alias("sigs_a"), F.col("slack").alias("slack_a"))
+    two = listed.select(F.col("member").alias("mb"), F.col("sigs").alias("sigs_b"), F.col("slack").alias("slack_b"))
+    both = pairs.join(one, "ma").join(two, "mb").where("size(array_intersect(sigs_a, sigs_b)) > greatest(slack_a, slack_b)")
+    x, y = F.expr("ma & -2L"), F.expr("mb & -2L")
+    return both.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23, crowded: int = 32) -> dict[str, DataFrame]:
     """Link texts whose sets of k-word shingles have a Jaccard similarity of num / den or more.
 
     Words are runs of bytes other than white space, A-Z in lower case. Returns three tables:
@@ -204,9 +232,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and lie in different components are verified. Nothing is capped.
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    members = stored(d.mapInArrow(members_of(k, num, den), "doc_id long, set_id long, n long, slack int, slack_below int"), "jaccard-members")
+    members = d.select("_id", "_text", F.xxhash64("_text").alias("copy")).mapInArrow(members_of(k, num, den), "doc_id long, set_id long, n long, slack int, slack_below int, copy long")
+    members = stored(members, "jaccard-members")
     named = members.where("set_id is not null")
-    classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("slack").alias("slack"), F.max("slack_below").alias("slack_below")), "jaccard-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy"))
+    classes = stored(named.groupBy("set_id").agg(first.alias("first"), F.max("n").alias("n"), F.max("slack").alias("slack"), F.max("slack_below").alias("slack_below")).select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "n", "slack", "slack_below"), "jaccard-classes")
 
     sigs = d.select("_text").mapInArrow(signatures_of(k, num, den), "sig long, member long")
     by_sig = Window.partitionBy("sig")
@@ -219,24 +249,45 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once = shared.repartition("member").groupBy("member", "sig").agg(F.max("c").alias("c"))
     dearest = Window.partitionBy("member").orderBy(F.desc("c"), "sig")
     probes = once.join(info, "member").withColumn("rank", F.row_number().over(dearest))
-    entries = stored(probes.select("sig", F.expr("member & -2L").alias("set_id"), "n", (F.col("rank") > F.col("slack")).alias("probe")), "jaccard-entries")
+    entries = probes.select("sig", "member", F.expr("member & -2L").alias("set_id"), "n", "slack", (F.col("rank") > F.col("slack")).alias("probe"))
+    entries = stored(entries, "jaccard-entries")
+    listed = stored(entries.groupBy("member").agg(F.collect_list("sig").alias("sigs"), F.max("slack").alias("slack")), "jaccard-lists")
 
-    alive = entries.groupBy("sig").agg(F.min("set_id").alias("pivot"), F.min_by("n", "set_id").alias("pivot_n"), F.max("probe").alias("p"))
+    # Stars: the sets of a signature that anyone probes, each with the smallest one.
+    pivots = entries.groupBy("sig").agg(F.min("member").alias("pivot"), F.min_by("n", "member").alias("pivot_n"), F.max("probe").alias("p")).where("p")
     fits = f"{num} * greatest(n, pivot_n) <= {den} * least(n, pivot_n)"
-    star = entries.join(alive.where("p"), "sig").where("set_id <> pivot").where(fits).select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-    star = stored(star, "jaccard-star")
-    links = stored(_verified(star, d, classes, k, num, den, bits), "jaccard-links")
+    star = entries.join(pivots, "sig").where("member <> pivot and (member & pivot & 1L) = 0").where(fits).select(F.col("pivot").alias("ma"), F.col("member").alias("mb")).distinct()
+    tried = stored(_plausible(star, listed), "jaccard-star")
+    links = stored(_verified(tried, d, classes, k, num, den, bits), "jaccard-links")
     parts = stored(connected_components(links), "jaccard-parts")
 
     # What is left: pairs in different components that share a signature which one of them probes.
     placed = entries.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     placed = stored(placed, "jaccard-placed")
-    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("p")).where("p and lo <> hi").select("sig")
-    open_rows = placed.join(split, "sig", "left_semi")
-    left, right = open_rows.where("probe"), open_rows.select("sig", F.col("set_id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-    rest = left.join(right, "sig").where("component <> other_component").where(f"{num} * greatest(n, other_n) <= {den} * least(n, other_n)")
-    rest = rest.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = stored(rest, "jaccard-rest")
+    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("p"), F.count(F.lit(1)).alias("size")).where("p and lo <> hi").select("sig", "size")
+    opened = stored(placed.join(split, "sig"), "jaccard-open")
+    # In crowded signatures a profile bounds the differences of two sets before a pair is made: shingles that no
+    # other set there has all differ, and so do at least the differences of the counts in any class of the others.
+    crowd = opened.where(F.col("size") >= crowded).select("set_id").distinct()
+    own = stored(_texts(crowd, d, classes, bits).mapInArrow(_shingles_of(k), "set_id long, h long"), "jaccard-crowd")
+    held = own.join(own.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
+    kind = F.when(F.col("c") == 1, -1).otherwise(F.pmod(F.xxhash64("h"), F.lit(PROFILE)) + F.when(F.col("c") >= crowded, PROFILE).otherwise(0)).cast("int")
+    per_class = held.groupBy("set_id", kind.alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("c")).groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "c"))).alias("m"))
+    profiles = per_class.select("set_id", F.expr("coalesce(try_element_at(m, -1), 0)").alias("alone"), F.expr(f"transform(sequence(0, {2 * PROFILE - 1}), i -> coalesce(try_element_at(m, i), 0))").alias("profile"))
+    profiles = stored(profiles, "jaccard-profiles")
+    opened = opened.join(profiles, "set_id", "left").select("sig", "member", "n", "probe", "component", "alone", "profile")
+    right = opened.select("sig", F.col("member").alias("m2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("alone").alias("alone2"), F.col("profile").alias("profile2"), F.col("probe").alias("probe2"))
+    most = f"floor((n + n2) * {den - num} / {den + num})"
+    near = f"coalesce(alone + alone2 + abs((n - alone) - (n2 - alone2)), 0) <= {most}"
+    apart = f"{near} and coalesce(alone + alone2 + aggregate(zip_with(profile, profile2, (x, y) -> abs(x - y)), 0, (x, y) -> x + y), 0) <= {most}"
+    rest = (
+        opened.where("probe")
+        .join(right, "sig")
+        .where(f"component <> component2 and (member & m2 & 1L) = 0 and (member < m2 or not probe2) and {num} * greatest(n, n2) <= {den} * least(n, n2) and {apart}")
+        .select(F.least("member", "m2").alias("ma"), F.greatest("member", "m2").alias("mb"))
+        .distinct()
+    )
+    rest = stored(_plausible(rest, listed).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         more = stored(_verified(rest, d, classes, k, num, den, bits), "jaccard-more")
         if not more.isEmpty():
@@ -247,4 +298,4 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = merged.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = merged.join(least, "component").select("set_id", "component_id")
     out = members.join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return {"members": members.select("doc_id", F.col("n").alias("n_shingles"), "set_id"), "links": links, "components": out, "star": star, "rest": rest}
+    return {"members": members.select("doc_id", F.col("n").alias("n_shingles"), "set_id"), "links": links, "components": out, "tried": tried, "rest": rest}
