@@ -37,14 +37,21 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def library_encoder(name: str) -> tuple[Callable[[str], list[int]], bool]:
-    """The ids that the library gives for a text, and whether its words can be compiled one by one."""
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def library_encoder(name: str) -> tuple[Callable[[str], list[int]], Callable[[str], list[int]] | None]:
+    """The ids that the library gives for a text; and for a lower-case run of letters or of marks alone, if words can be compiled one by one."""
     path = tokenizer_path(name)
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: model.encode(text, num_threads=1) if text else [], False
+        return lambda text: model.encode(text, num_threads=1) if text else [], None
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import json
 
@@ -57,22 +64,24 @@ def library_encoder(name: str) -> tuple[Callable[[str], list[int]], bool]:
     tokenizer.no_padding()
     split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
     by_word = split.get("behavior") == "Removed" and bool(split.get("invert")) and r"[^\s" in (split.get("pattern") or {}).get("Regex", "")
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, by_word
+    model, letters = tokenizer.model, _byte_letters()
+    run_ids = lambda run: [t.id for t in model.tokenize(run.encode().decode("latin-1").translate(letters))]
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, run_ids if by_word else None
 
 
 class Transitions(dict):
     """Words to what they emit; missing ones are compiled. Emptied when full, so its size is bounded."""
 
-    def __init__(self, encode: Callable[[str], list[int]], emit: Callable[[list[int]], object], join: Callable):
+    def __init__(self, encode: Callable[[str], list[int]], run_ids: Callable[[str], list[int]] | None, emit: Callable[[list[int]], object], join: Callable):
         super().__init__()
-        self.encode, self.emit, self.join, self.parts = encode, emit, join, {}
+        self.encode, self.run_ids, self.emit, self.join, self.parts = encode, run_ids, emit, join, {}
 
     def _part(self, text: str):
         x = self.parts.get(text)
         if x is None:
             if len(self.parts) >= TABLE:
                 self.parts.clear()
-            x = self.parts[text] = self.emit(self.encode(text))
+            x = self.parts[text] = self.emit(self.run_ids(text))
         return x
 
     def __missing__(self, word: bytes):
@@ -103,8 +112,9 @@ class StateMap(NamedTuple):
 
 class CountTransducer:
     def __init__(self, name: str):
-        self.encode, self.by_word = library_encoder(name)
-        self.table = Transitions(self.encode, len, int.__add__)
+        self.encode, run_ids = library_encoder(name)
+        self.by_word = run_ids is not None
+        self.table = Transitions(self.encode, run_ids, len, int.__add__)
 
     def state_map(self, chunk: bytes) -> StateMap:
         words = chunk.split()
@@ -173,8 +183,9 @@ class IdTransducer:
     """The same transducer emitting the ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, name: str):
-        self.encode, self.by_word = library_encoder(name)
-        self.table = Transitions(self.encode, lambda ids: np.asarray(ids, dtype="<u4").tobytes(), bytes.__add__)
+        self.encode, run_ids = library_encoder(name)
+        self.by_word = run_ids is not None
+        self.table = Transitions(self.encode, run_ids, lambda ids: np.asarray(ids, dtype="<u4").tobytes(), bytes.__add__)
 
     def ids(self, text: str) -> bytes:
         if not self.by_word:
