@@ -14,7 +14,6 @@ the band below if that holds sizes from num / den of its own.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,8 +27,8 @@ from .components import connected_components
 from .shingles import intersection, mix, shingle_set
 
 _U = np.uint64
-#: Classes of a crowded set's profile, for shingles in few and in many of the sets.
-PROFILE = 64
+#: 64-bit words of the parities of a set's classes of shingles.
+PARITY = 16
 
 
 def band_edges(limit: int = 1 << 40) -> list[int]:
@@ -99,19 +98,18 @@ def set_id(h: np.ndarray) -> int:
     return int((x & ~_U(1)).astype(np.int64))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        cols = [batch.column(i) for i in range(batch.num_columns)]
-        for i in range(batch.num_rows):
-            yield tuple(c[i].as_py() for c in cols)
+def parities(h: np.ndarray) -> np.ndarray:
+    """PARITY words with a bit for each class of elements: 1 for an odd number of them."""
+    odd = np.bincount((mix(h ^ _U(0x9FB21C651E98DF25)) >> _U(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
 def members_of(k: int, num: int, den: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("slack_below", pa.int32()), ("copy", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("slack_below", pa.int32()), ("copy", pa.int64()), ("parity", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], [], batch.column(2)]
+            out = [[], [], [], [], [], batch.column(2), []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingle_set(text, k)
                 row = [doc, None, len(h), None, None]
@@ -121,6 +119,7 @@ def members_of(k: int, num: int, den: int):
                         row[3 + j] = slack_of(h, band, j == 0, num, den)
                 for col, x in zip(out, row, strict=False):
                     col.append(x)
+                out[6].append(parities(h))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
@@ -179,18 +178,6 @@ def _verifier(k: int, num: int, den: int):
     return run
 
 
-def _shingles_of(k: int):
-    schema = pa.schema([("set_id", pa.int64()), ("h", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = shingle_set(text.as_py(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), name, dtype=np.int64)), pa.array(h.view(np.int64))], schema=schema)
-
-    return run
-
-
 def _texts(names: DataFrame, docs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
     """(set_id, text) for the named sets. Only these texts leave their partition, with few others that the bitmap lets pass."""
     wanted = stored(classes.join(names, "set_id", "left_semi").select("set_id", "rep", "copy"), "jaccard-wanted")
@@ -217,7 +204,7 @@ def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     return both.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23, crowded: int = 32) -> dict[str, DataFrame]:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23) -> dict[str, DataFrame]:
     """Link texts whose sets of k-word shingles have a Jaccard similarity of num / den or more.
 
     Words are runs of bytes other than white space, A-Z in lower case. Returns three tables:
@@ -232,11 +219,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and lie in different components are verified. Nothing is capped.
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    members = d.select("_id", "_text", F.xxhash64("_text").alias("copy")).mapInArrow(members_of(k, num, den), "doc_id long, set_id long, n long, slack int, slack_below int, copy long")
+    members = d.select("_id", "_text", F.xxhash64("_text").alias("copy")).mapInArrow(members_of(k, num, den), "doc_id long, set_id long, n long, slack int, slack_below int, copy long, parity array<long>")
     members = stored(members, "jaccard-members")
     named = members.where("set_id is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy"))
-    classes = stored(named.groupBy("set_id").agg(first.alias("first"), F.max("n").alias("n"), F.max("slack").alias("slack"), F.max("slack_below").alias("slack_below")).select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "n", "slack", "slack_below"), "jaccard-classes")
+    classes = stored(named.groupBy("set_id").agg(first.alias("first"), F.first("parity").alias("parity"), F.max("n").alias("n"), F.max("slack").alias("slack"), F.max("slack_below").alias("slack_below")).select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "n", "slack", "slack_below", "parity"), "jaccard-classes")
 
     sigs = d.select("_text").mapInArrow(signatures_of(k, num, den), "sig long, member long")
     by_sig = Window.partitionBy("sig")
@@ -264,22 +251,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # What is left: pairs in different components that share a signature which one of them probes.
     placed = entries.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     placed = stored(placed, "jaccard-placed")
-    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("p"), F.count(F.lit(1)).alias("size")).where("p and lo <> hi").select("sig", "size")
-    opened = stored(placed.join(split, "sig"), "jaccard-open")
-    # In crowded signatures a profile bounds the differences of two sets before a pair is made: shingles that no
-    # other set there has all differ, and so do at least the differences of the counts in any class of the others.
-    crowd = opened.where(F.col("size") >= crowded).select("set_id").distinct()
-    own = stored(_texts(crowd, d, classes, bits).mapInArrow(_shingles_of(k), "set_id long, h long"), "jaccard-crowd")
-    held = own.join(own.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
-    kind = F.when(F.col("c") == 1, -1).otherwise(F.pmod(F.xxhash64("h"), F.lit(PROFILE)) + F.when(F.col("c") >= crowded, PROFILE).otherwise(0)).cast("int")
-    per_class = held.groupBy("set_id", kind.alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("c")).groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "c"))).alias("m"))
-    profiles = per_class.select("set_id", F.expr("coalesce(try_element_at(m, -1), 0)").alias("alone"), F.expr(f"transform(sequence(0, {2 * PROFILE - 1}), i -> coalesce(try_element_at(m, i), 0))").alias("profile"))
-    profiles = stored(profiles, "jaccard-profiles")
-    opened = opened.join(profiles, "set_id", "left").select("sig", "member", "n", "probe", "component", "alone", "profile")
-    right = opened.select("sig", F.col("member").alias("m2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("alone").alias("alone2"), F.col("profile").alias("profile2"), F.col("probe").alias("probe2"))
-    most = f"floor((n + n2) * {den - num} / {den + num})"
-    near = f"coalesce(alone + alone2 + abs((n - alone) - (n2 - alone2)), 0) <= {most}"
-    apart = f"{near} and coalesce(alone + alone2 + aggregate(zip_with(profile, profile2, (x, y) -> abs(x - y)), 0, (x, y) -> x + y), 0) <= {most}"
+    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("p")).where("p and lo <> hi").select("sig")
+    opened = placed.join(split, "sig")
+    # A class of shingles of which two sets hold an odd and an even number has a difference: parities bound the
+    # differences of two sets before a pair is made.
+    opened = opened.join(classes.select("set_id", "parity"), "set_id").select("sig", "member", "n", "probe", "component", "parity")
+    right = opened.select("sig", F.col("member").alias("m2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("parity").alias("parity2"), F.col("probe").alias("probe2"))
+    apart = " + ".join(f"bit_count(get(parity, {i}) ^ get(parity2, {i}))" for i in range(PARITY)) + f" <= floor((n + n2) * {den - num} / {den + num})"
     rest = (
         opened.where("probe")
         .join(right, "sig")
@@ -298,4 +276,4 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = merged.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = merged.join(least, "component").select("set_id", "component_id")
     out = members.join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return {"members": members.select("doc_id", F.col("n").alias("n_shingles"), "set_id"), "links": links, "components": out, "tried": tried, "rest": rest}
+    return {"members": members.select("doc_id", F.col("n").alias("n_shingles"), "set_id"), "links": links, "components": out, "tried": tried, "rest": rest, "entries": entries}
