@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import scratch_root
 from .exact_dedup import exact_dedup
+from .html_text import extract_pages
 from .jaccard_join import jaccard_join
 from .language_id import fit_languages, held_out, identify_languages
 from .line_dedup import line_dedup, line_digests, with_bitmaps
 from .mixing import mix_sources
 from .packing import pack
 from .quality_rules import quality_rules
+from .sharding import ShardStore
 from .tokens import token_counts
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +39,24 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as small shards, are compacted, and are read back from the newest manifest."""
+    store = ShardStore(spark, f"{scratch_root(spark)}/corvid/shards-{uuid.uuid4().hex}", target=128 << 20)
+    store.append(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    version = store.compact(final=True)
+    store.vacuum()
+    shards = store.shards()
+    if not shards:
+        return _read(spark, sf_dir, "documents").selectExpr("doc_id", "0L as n_bytes", "0 as shard_id", "0L as shard_rows", "0L as shard_bytes", "0 as version").limit(0)
+    table = spark.createDataFrame([(s.path, i, s.rows, s.size, version) for i, s in enumerate(shards)], "shard string, shard_id int, shard_rows long, shard_bytes long, version int")
+    rows = store.read().select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "shard")
+    return rows.join(table, "shard").select("doc_id", "n_bytes", "shard_id", "shard_rows", "shard_bytes", "version")
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -61,4 +83,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_mix_sources, op6_pack, op7_token_counts, op8_quality_rules, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_mix_sources, op4_main_text, op5_shard_compaction, op6_pack, op7_token_counts, op8_quality_rules, op9_line_dedup, op10_language_id)}
