@@ -16,6 +16,8 @@ from .common import salted_rank, stored
 
 #: Terms are summed as integers in units of 2**-SCALE tokens, so that sums don't depend on the order of rows.
 SCALE = 20
+#: A multiplier at which every document with a word is at its cap; also the bracket before a bound is known.
+FULL = 1e12
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -47,7 +49,8 @@ def _rate(x: Column, lam: Column, cap: int) -> Column:
 
 def solve_rates(hist: DataFrame, targets: DataFrame, cap: int, steps: int = 60, tolerance: float = 1e-7) -> DataFrame:
     """targets with lambda: Newton steps on the dual, each inside a bracket that shrinks, until every source is within tolerance."""
-    state = targets.withColumns({"lam": F.lit(0.0), "lo": F.lit(-64.0), "hi": F.lit(64.0), "gap": F.lit(1.0)})
+    full = F.col("target") >= F.col("source_size") * F.lit(cap * (1 - 1e-9))
+    state = targets.withColumns({"lam": F.when(full, FULL).otherwise(0.0), "lo": F.lit(-FULL), "hi": F.lit(FULL), "gap": F.lit(1.0)})
     state = state.withColumn("mean", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)))
     state = stored(state, "mix-state")
     unit = float(1 << SCALE)
@@ -63,9 +66,9 @@ def solve_rates(hist: DataFrame, targets: DataFrame, cap: int, steps: int = 60,
         s = s.withColumns({"lo": F.when(F.col("f") < F.col("target"), F.greatest("lo", "lam")).otherwise(F.col("lo")), "hi": F.when(F.col("f") >= F.col("target"), F.least("hi", "lam")).otherwise(F.col("hi")), "gap": F.when(F.col("target") > 0, F.abs(F.col("f") - F.col("target")) / F.col("target")).otherwise(F.lit(0.0))})
         newton = F.col("lam") + (F.col("target") - F.col("f")) / F.col("df")
         inside = (F.col("df") > 0) & (newton > F.col("lo")) & (newton < F.col("hi"))
-        s = s.withColumn("lam", F.when(F.col("gap") <= tolerance, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2))
+        s = s.withColumn("lam", F.when(F.col("gap") <= tolerance, F.col("lam")).when(inside, newton).when(F.col("hi") == FULL, F.col("lo") * 2 + 1).when(F.col("lo") == -FULL, F.col("hi") * 2 - 1).otherwise((F.col("lo") + F.col("hi")) / 2))
         state = stored(s.drop("f", "df"), "mix-state")
-        if state.where(F.col("gap") > tolerance).where("hi - lo > 1e-12").isEmpty():
+        if state.where(F.col("gap") > tolerance).where("hi - lo > 1e-12 * greatest(1, abs(lo), abs(hi))").isEmpty():
             break
     return state.select("source", "source_size", "target", "mean", "lam")
 
