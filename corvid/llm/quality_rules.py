@@ -66,7 +66,9 @@ def quality_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     m = _measured(docs, id_col, text_col)
     bits = " | ".join(f"(cast({cond} as int) << {bit})" for bit, _, cond in RULES)
-    return m.withColumn("rule_bits", F.expr(bits))
+    # A filter on the ledger would otherwise be pushed below it with all its expressions in place of their columns,
+    # and they would run once for each use. Nothing moves through a generator's own columns.
+    return m.select(F.inline(F.array(F.struct(*m.columns, F.expr(bits).alias("rule_bits")))))
 
 
 def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
