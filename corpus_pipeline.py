@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.common import stored
+from corvid.llm.common import arrow_map, stored
 from corvid.llm.jaccard_join import jaccard_join
 from corvid.llm.line_dedup import kept_texts, line_dedup, with_bitmaps
 from corvid.llm.mixing import mix_sources
@@ -36,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them; n_chars follows the text."""
     marked = with_bitmaps(docs.select(*COLUMNS), line_dedup(docs)).select("doc_id", "text", "keep_bitmap", "lang", "source", "n_chars")
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", "text", "lang", "source", "n_chars"])
-    kept = marked.mapInArrow(kept_texts, fields)
+    kept = arrow_map(marked, kept_texts, fields)
     length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", length).select(*COLUMNS)
 

@@ -31,6 +31,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of whole texts that go to a Python worker at once, where the session has Spark's default of 10000.
+BATCH_ROWS = 1000
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in batches that stay small with whole texts in them; a setting of the session's own is kept."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     """A bitmap of pmod(key, bits) as rows (_bucket, _bits) of 4096 bytes each: bits / 8 bytes at most, whatever the input."""
     x = F.pmod(key, F.lit(bits)) + 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap, maybe_in, stored
+from .common import arrow_map, bitmap, maybe_in, stored
 from .components import connected_components
 from .shingles import intersection, mix, shingle_set
 
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), docs, classes, bits)
     with_b = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return with_both.mapInArrow(_verifier(k, num, den), "a long, b long, linked boolean").where("linked").select("a", "b")
+    return arrow_map(with_both, _verifier(k, num, den), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
@@ -219,13 +219,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and lie in different components are verified. Nothing is capped.
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    members = d.select("_id", "_text", F.xxhash64("_text").alias("copy")).mapInArrow(members_of(k, num, den), "doc_id long, set_id long, n long, slack int, slack_below int, copy long, parity array<long>")
+    members = arrow_map(d.select("_id", "_text", F.xxhash64("_text").alias("copy")), members_of(k, num, den), "doc_id long, set_id long, n long, slack int, slack_below int, copy long, parity array<long>")
     members = stored(members, "jaccard-members")
     named = members.where("set_id is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy"))
     classes = stored(named.groupBy("set_id").agg(first.alias("first"), F.first("parity").alias("parity"), F.max("n").alias("n"), F.max("slack").alias("slack"), F.max("slack_below").alias("slack_below")).select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "n", "slack", "slack_below", "parity"), "jaccard-classes")
 
-    sigs = d.select("_text").mapInArrow(signatures_of(k, num, den), "sig long, member long")
+    sigs = arrow_map(d.select("_text"), signatures_of(k, num, den), "sig long, member long")
     by_sig = Window.partitionBy("sig")
     shared = (
         sigs.withColumns({"lo": F.min(F.expr("member & -2L")).over(by_sig), "hi": F.max(F.expr("member & -2L")).over(by_sig), "c": F.count(F.lit(1)).over(by_sig)})

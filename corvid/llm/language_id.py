@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import arrow_map
+
 _U = np.uint64
 SIZES = (3, 4, 5)
 MAX_LANGUAGES = 64
@@ -153,7 +155,7 @@ def fit_languages(labelled: DataFrame, text_col: str, lang_col: str, key_col: st
         if totals:
             yield flush()
 
-    sums = picked.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = arrow_map(picked, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     texts = sums.where("code = 0").select("lang", F.col("n").alias("texts"))
     common = sums.where("code <> 0").join(F.broadcast(texts), "lang").where(F.col("n") >= F.greatest(F.lit(1.0), F.col("texts") * share))
     top = common.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= profile)
@@ -181,4 +183,4 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, id_col: str =
 
     d = docs.select(F.col(id_col), F.col(text_col), *extra)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != text_col)
-    return d.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return arrow_map(d, run, f"{fields}, lang_pred string, score double")

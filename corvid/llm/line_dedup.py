@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, maybe_in, stored
+from .common import arrow_map, bitmap, maybe_in, stored
 
 _STRIP = " \t\n\x0b\x0c\r"
 _ROW = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("pos", pa.int32())])
@@ -139,7 +139,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select("doc_id", F.xxhash64("_text").alias("fp"), "_text")
     order = [F.col("key"), F.col("doc_id").desc_nulls_last(), F.col("pos")]
-    rows = d.mapInArrow(_lines_of(min_chars), _ROW_SQL)
+    rows = arrow_map(d, _lines_of(min_chars), _ROW_SQL)
     seen = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), f"{_ROW_SQL}, kind byte"), "lines")
     stats = seen.where(f"kind = {STAT}").select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
     opened = seen.where(f"kind = {OPEN}").join(stats, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))

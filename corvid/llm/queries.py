@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_root
+from .common import arrow_map, scratch_root
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
 from .jaccard_join import jaccard_join
@@ -72,7 +72,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_bitmaps(docs, line_dedup(docs)).mapInArrow(line_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return arrow_map(with_bitmaps(docs, line_dedup(docs)), line_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Compiled transitions that a worker keeps.
-TABLE = 500_000
+TABLE = 200_000
 _WORD_CHARS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _SHAPE = re.compile(f"([{_WORD_CHARS}]+)([.,;:!?)]*)")
 
@@ -176,7 +178,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], schema=schema)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return d.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return arrow_map(d, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 class IdTransducer:
