@@ -13,19 +13,32 @@ from pyspark.sql.window import Window
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+_marked: set[str] = set()
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """This application's folder in the one that all executors share: spark.checkpoint.dir, or a local one where that is unset.
+
+    The file system deletes it when the driver's JVM ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='corvid-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    own = f"{root.rstrip('/')}/corvid/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(own)
+    return own
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corvid/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -45,7 +45,7 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive as small shards, are compacted, and are read back from the newest manifest."""
-    store = ShardStore(spark, f"{scratch_root(spark)}/corvid/shards-{uuid.uuid4().hex}", target=128 << 20)
+    store = ShardStore(spark, f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}", target=128 << 20)
     store.append(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     version = store.compact(final=True)
     store.vacuum()
