@@ -130,7 +130,7 @@ def test_filters_return_all_languages_with_an_ngram():
     codes = {"a": grams("the quick brown fox"), "b": grams("der schnelle braune fuchs"), "c": grams("the brown")}
     f = LanguageFilters.build(codes, slots=1 << 16)
     hits, n = f.hits("the brown")
-    assert hits[0] >= n * 0.8 and hits[2] == n and hits[1] < n
+    assert n > hits[0] >= n / 2 and hits[2] == n and hits[1] < n / 2
     assert f.predict("der fuchs")[0] == "b"
     assert f.predict(None) == f.predict("12 34 !") == ("und", 0.0)
     many = LanguageFilters.build({f"l{i}": grams(f"language number {chr(97 + i)}{chr(98 + i)}{chr(99 + i)} words") for i in range(20)}, slots=1 << 16)
