@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Codec of shard files: arrivals stay beside the merged shards until a vacuum.
+CODEC = "zstd"
 #: Runs that one job merges; further runs follow in the next round.
 ROUND = 2048
 
@@ -95,7 +97,7 @@ class ShardStore:
         """Write arrivals as new shards, a file for each partition, and commit them. No rows move."""
         parent = self._version()
         folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        arrivals.write.parquet(folder)
+        arrivals.write.option("compression", CODEC).parquet(folder)
         return self.commit(self.shards() + self._measure(folder), parent)
 
     def tier(self, size: int) -> int:
@@ -142,7 +144,7 @@ class ShardStore:
             # A row for each shard of this round: ROUND * target bytes at most, in shards of a size.
             names = self.spark.createDataFrame([(n, i) for n, i in number.items()], "_name string, _run int")
             placed = rows.withColumn("_name", F.col("_metadata.file_name")).join(F.broadcast(names), "_name").drop("_name")
-            self._by_run(placed, len(runs)).drop("_run").write.parquet(folder)
+            self._by_run(placed, len(runs)).drop("_run").write.option("compression", CODEC).parquet(folder)
             self.commit([s for s in self.shards() if s.path not in gone] + self._measure(folder), parent)
         return self._version()
 
