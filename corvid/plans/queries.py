@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions import vocabulary as V
+from ..functions.geometry import features_of
+from ..functions.parsers import corrections_of, directions_of, muscle_mentions
+from ..functions.spans import Vocabulary, spans_of
 from ..operators import conversations, index, metrics, nearest, ranking, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,6 +442,64 @@ def q_correction_sets(spark, d):
     return j.groupBy("vec_id").agg(F.count_if(F.col("t") - F.col("x") >= 0.2).alias("n_increase"), F.count_if(F.col("x") - F.col("t") >= 0.2).alias("n_decrease"))
 
 
+@query()
+def q_span_tags(spark, d):
+    """Words and numbers of documents tagged with a vocabulary of this corpus; offsets are code points."""
+    vocabulary = Vocabulary(muscles=["of the", "tion of"], movements=["the", "that"], regions=["and", "er"], roles=[("the", "after_the")], whole_movements=True, whole_regions=True)
+    tags = table(spark, d, "documents").select("doc_id", F.explode(spans_of(F.col("text"), vocabulary)).alias("s"))
+    return tags.select("doc_id", "s.*")
+
+
+@query()
+def q_rewritten_span_tags(spark, d):
+    """Template sentences rendered from lines, tagged again with the vocabulary for rewritten texts."""
+    c = F.col
+    text = T.render("{m} contracts: front dx {x}mm, dz {z}mm; the front region advance, vol_ratio={v}", {"m": F.element_at(F.array(*[F.lit(n) for n in V.FULL_NAMES["en"].values()]), (c("l_linenumber") % 11).cast("int") + 1), "x": T.fixed(c("l_discount") * 10, 2), "z": T.fixed(c("l_tax") * -10, 2), "v": T.fixed(c("l_quantity") / 50, 3)})
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"))
+    tags = lines.select("l_orderkey", "l_linenumber", "text", F.explode(spans_of(c("text"), Vocabulary.rewritten("en"))).alias("s"))
+    return tags.select("l_orderkey", "l_linenumber", "text", "s.*")
+
+
+_ANSWERS = [
+    "tip: advance, raise; body=retract; dorsum = stay",
+    "front region dx 0.8mm, dz -0.9mm and back (lower)",
+    "contract GGP and STY; relax VERT, hyoglossus",
+    "GGP↑, TRANS↓, and ↑ MH IL",
+    "이설근 후부, STY 더 수축하고, 수직근 이완",
+]
+
+
+@query()
+def q_answer_parsers(spark, d):
+    """Directions, corrections and muscles of answers in the forms that the parsers know, one for each order."""
+    answers = F.array(*map(F.lit, _ANSWERS))
+    rows = table(spark, d, "orders").select("o_orderkey", F.element_at(answers, (F.col("o_orderkey") % len(_ANSWERS)).cast("int") + 1).alias("text"))
+    return rows.select("o_orderkey", F.to_json(directions_of(F.col("text"))).alias("directions"), F.to_json(corrections_of(F.col("text"))).alias("corrections"), F.concat_ws(",", muscle_mentions(F.col("text"))).alias("muscles"))
+
+
+@query()
+def q_greedy_tolerance(spark, d):
+    """Numbers of an order's lines against those of its predecessor, matched within the tolerance."""
+    own = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("gold"))
+    other = own.select((F.col("l_orderkey") + 1).alias("l_orderkey"), F.col("gold").alias("pred"))
+    return metrics.greedy_tolerance(own.join(other, "l_orderkey", "left"), "l_orderkey", "gold", "pred")
+
+
+@query()
+def q_bootstrap_ci(spark, d):
+    return metrics.paired_bootstrap(*_sides(spark, d))
+
+
+@query()
+def q_contour_features(spark, d):
+    """Shape features of 10-point contours from the first 20 dimensions of the vectors, under a fixed arch."""
+    points = F.expr("transform(sequence(0, 9), i -> array(cast(i as double) / 9 + 0.01D * get(embedding, 2 * i), cast(get(embedding, 2 * i + 1) as double)))")
+    t = np.linspace(0, 1, 40)
+    arch = np.stack([t, 0.6 + 0.4 * np.sin(np.pi * t)], axis=1)
+    e = table(spark, d, "embeddings").select("vec_id", features_of(points, arch).alias("f"))
+    return e.select("vec_id", "f.*")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
