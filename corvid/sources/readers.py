@@ -37,9 +37,9 @@ def read_sim_meta(spark: SparkSession, path: str) -> DataFrame:
 def read_pool_text(spark: SparkSession, path: str, names: Sequence[str] = MUSCLES) -> DataFrame:
     """index and activations of a pool text: blank lines and # comments are skipped, a comment that names
     keyframes or sequences ends the table, and a first line that is not numeric gives the columns' names."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     cut = F.split(F.col("value"), r"(?im)^#[^\n]*(?:keyframe|sequences)")[0]
-    lines = F.filter(F.transform(F.split(cut, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(cut, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     fields = F.transform(lines, lambda x: F.split(x, r"[,\s]+"))
     d = raw.select(fields.alias("rows"))
     header = F.get(F.get("rows", 0), 0).try_cast("double").isNull()
@@ -74,7 +74,7 @@ def shard_rows(spark: SparkSession, path: str, vertices: int) -> DataFrame:
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) of an OBJ file, numbered from 0; polygons become fans, and only the first index of a/b/c counts."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lines = raw.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     kind = lambda k: lines.where(F.col("line").rlike(rf"^{k}\s")).select("pos", F.split(F.trim("line"), r"\s+").alias("f"))
     from pyspark.sql.window import Window
