@@ -31,7 +31,7 @@ m AS (
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
 r AS (
   SELECT *, n_words < 50 AS r0, 100 * n_repeat_words > 50 * n_words AS r1, 10 * n_symbols > n_words AS r2,
-         n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines AS r3,
+         n_lines >= 4 AND 2 * n_dup_lines > n_lines AS r3,
          n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS r4
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed,

@@ -12,7 +12,7 @@ RULES = (
     (0, "few_words", "n_words < 50"),
     (1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     (2, "symbols", "10 * n_symbols > n_words"),
-    (3, "duplicate_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    (3, "duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     (4, "word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"),
 )
 BASE_MASK = 0b00011
