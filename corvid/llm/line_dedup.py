@@ -142,7 +142,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = arrow_map(d, _lines_of(min_chars), _ROW_SQL)
     seen = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), f"{_ROW_SQL}, kind byte"), "lines")
     stats = seen.where(f"kind = {STAT}").select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
-    opened = seen.where(f"kind = {OPEN}").join(stats, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    # Only the first and last key of each range partition have such rows: two keys a partition bound the broadcast.
+    opened = seen.where(f"kind = {OPEN}").join(F.broadcast(stats), "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     drops = seen.where(f"kind = {DROP}").select("doc_id", "fp", "pos").unionByName(opened.select("doc_id", "fp", "pos"))
     by_doc = drops.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     return by_doc.mapInArrow(_bitmaps, "doc_id long, fp long, keep_bitmap binary")
