@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranking import dense_number
 
 
 def edges(faces: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def neighbours(faces: DataFrame) -> DataFrame:
 def compact_ids(faces: DataFrame) -> DataFrame:
     """old and new number of each vertex that a face uses, in order, from 0."""
     used = faces.select(F.explode(F.array("i", "j", "k")).alias("old")).distinct()
-    return used.withColumn("new", F.row_number().over(Window.orderBy("old")) - 1)
+    return dense_number(used, "old", "new")
 
 
 def sparse_apply(coo: DataFrame, x: DataFrame, row: str = "row", col: str = "col", val: str = "val", value: str = "x") -> DataFrame:

@@ -89,3 +89,15 @@ def rotate(df: DataFrame, group: str, key: str, out: str = "effective") -> DataF
     nxt = alone.select(F.col(key).alias("_k")).join(df.select(F.col(key).alias("_o")), F.col("_o") > F.col("_k")).groupBy("_k").agg(F.min("_o").alias("_next"))
     out_df = d.join(nxt, F.col(key) == F.col("_k"), "left").crossJoin(first)
     return out_df.withColumn(out, F.when(F.col("_n") > 1, F.col("_near")).otherwise(F.coalesce("_next", "_first"))).drop("_near", "_n", "_k", "_next", "_first")
+
+
+def dense_number(df: DataFrame, key: str, out: str, width: int = 1_000_000) -> DataFrame:
+    """Numbers from 0 in the order of a distinct long key.
+
+    Rows are ranked within runs of `width` keys; only the runs' sizes are summed up in one task.
+    """
+    d = df.withColumn("_run", F.expr(f"`{key}` div {width}"))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = d.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_run").orderBy(key))
+    return d.join(offsets, "_run").withColumn(out, F.col("_before") + own - 1).drop("_run", "_before")

@@ -7,14 +7,15 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..functions.geometry import features_of
 from ..functions.parsers import corrections_of, directions_of, muscle_mentions
 from ..functions.spans import Vocabulary, spans_of
-from ..operators import conversations, index, metrics, nearest, ranking, statistics
+from ..operators import conversations, index, mesh, metrics, nearest, probe, ranking, statistics
+from ..streaming.resume import first_settled, windowed_counts
+from . import evaluation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -442,6 +443,133 @@ def q_correction_sets(spark, d):
     return j.groupBy("vec_id").agg(F.count_if(F.col("t") - F.col("x") >= 0.2).alias("n_increase"), F.count_if(F.col("x") - F.col("t") >= 0.2).alias("n_decrease"))
 
 
+_FACES = "SELECT l_partkey % 40 AS i, l_suppkey % 40 AS j, l_orderkey % 40 AS k FROM lineitem"
+
+
+def _faces(spark, d):
+    return table(spark, d, "lineitem").select((F.col("l_partkey") % 40).alias("i"), (F.col("l_suppkey") % 40).alias("j"), (F.col("l_orderkey") % 40).alias("k"))
+
+
+@query(f"""WITH f AS ({_FACES}), e AS (SELECT i AS a, j AS b FROM f UNION ALL SELECT j, k FROM f UNION ALL SELECT k, i FROM f)
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e""")
+def q_mesh_edges(spark, d):
+    return mesh.edges(_faces(spark, d))
+
+
+@query(f"""WITH f AS ({_FACES}), u AS (SELECT i AS old FROM f UNION SELECT j FROM f UNION SELECT k FROM f)
+SELECT old, row_number() OVER (ORDER BY old) - 1 AS new FROM u""")
+def q_compact_ids(spark, d):
+    return mesh.compact_ids(_faces(spark, d))
+
+
+@query("""WITH q AS (SELECT quantile_cont(value, 0.2) AS a, quantile_cont(value, 0.8) AS b, quantile_cont(user_id::DOUBLE, 0.7) AS c FROM events),
+m AS (SELECT event_id AS vertex, value <= a AS tip, value >= b AS root, user_id >= c AS high FROM events, q)
+SELECT vertex, 'tip' AS region FROM m WHERE tip UNION ALL SELECT vertex, 'root' FROM m WHERE root
+UNION ALL SELECT vertex, 'body' FROM m WHERE NOT tip AND NOT root UNION ALL SELECT vertex, 'dorsum' FROM m WHERE NOT tip AND high""")
+def q_region_masks(spark, d):
+    return probe.region_masks(table(spark, d, "events").select(F.col("event_id").alias("vertex"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("z")))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, round(l_discount * 100) - 5 AS f, round(l_tax * 100) - 4 AS u FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN abs(f) < 2 AND abs(u) < 2 THEN 'preserve' ELSE concat_ws('+', CASE WHEN f >= 2 THEN 'advance' WHEN f <= -2 THEN 'retract' END, CASE WHEN u >= 2 THEN 'elevate' WHEN u <= -2 THEN 'descend' END) END AS labels FROM x""")
+def q_direction_labels(spark, d):
+    c = F.col
+    labels = probe.direction_labels(F.round(c("l_discount") * 100) - 5, F.round(c("l_tax") * 100) - 4, 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.array_join(labels, "+").alias("labels"))
+
+
+@query("SELECT o_orderkey, o_totalprice, round(10 * pow(t, 3) - 15 * pow(t, 4) + 6 * pow(t, 5), 6) AS ramp FROM (SELECT *, (o_orderkey % 101) / 100 AS t FROM orders)")
+def q_min_jerk(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.round(mesh.min_jerk((F.col("o_orderkey") % 101) / F.lit(100.0)), 6).alias("ramp"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_retailprice / 100 AS x, rtrim(rtrim(printf('%.3f', p_retailprice / 100), '0'), '.') AS small FROM part)
+SELECT p_partkey, CASE WHEN abs(x) >= 10 THEN printf('%.1f', x) ELSE small END AS value FROM t""")
+def q_value_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.value_text(F.col("p_retailprice") / 100).alias("value"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity) AS v FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, array_to_string(list_transform(list_concat(v, list_transform(range(0, greatest(0, 8 - len(v))), lambda i: 0.0::DOUBLE)), lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS padded, CAST(len(v) AS BIGINT) AS n_valid FROM a""")
+def q_pad_mask(spark, d):
+    a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("v"))
+    padded, mask = mesh.padded(F.col("v"), 8)
+    return a.select("l_orderkey", F.array_join(F.transform(padded, lambda x: x.cast("long").cast("string")), ",").alias("padded"), F.size(F.filter(mask, lambda m: m)).cast("long").alias("n_valid"))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM e GROUP BY dim)
+SELECT vec_id, round(max(abs((x - m) / greatest(sd, 1e-6))), 5) AS largest FROM e JOIN s ON e.dim = s.dim GROUP BY vec_id""")
+def q_zscore(spark, d):
+    e = table(spark, d, "embeddings")
+    x = e.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    z = x.join(F.broadcast(statistics.element_stats(e, "embedding")), "dim")
+    return z.groupBy("vec_id").agg(F.round(F.max(F.abs(statistics.zscore(F.col("x"), F.col("mean"), F.col("std")))), 5).alias("largest"))
+
+
+@query("""WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents),
+m AS (SELECT doc_id AS old, row_number() OVER (ORDER BY doc_id) - 1 AS new FROM k WHERE doc_id = first)
+SELECT d.doc_id, coalesce(m.new, -1) AS base FROM documents d LEFT JOIN m ON d.doc_id + 1 = m.old""")
+def q_remap_lost(spark, d):
+    """Each document's successor, renumbered after copies were dropped; -1 where the successor is gone."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    kept = index.keep_first(docs, ["text"], ["doc_id"]).select(F.col("doc_id").alias("old"))
+    mapping = ranking.dense_number(kept, "old", "new")
+    return index.remap(docs.select("doc_id", (F.col("doc_id") + 1).alias("base")), "base", mapping, "old", "new").select("doc_id", "base")
+
+
+_LONG = "SELECT l_returnflag AS row_id, l_orderkey AS index, l_linenumber AS muscle, l_discount AS pred, CASE WHEN l_tax > 0.04 THEN l_tax ELSE 0 END AS gold FROM lineitem"
+
+
+def _long(spark, d):
+    c = F.col
+    return table(spark, d, "lineitem").select(c("l_returnflag").alias("row_id"), c("l_orderkey").alias("index"), c("l_linenumber").alias("muscle"), c("l_discount").alias("pred"), F.when(c("l_tax") > 0.04, c("l_tax")).otherwise(0.0).alias("gold"))
+
+
+@query(f"""WITH x AS ({_LONG}), g AS (SELECT unnest([0.015, 0.035, 0.055, 0.075, 0.2])::DOUBLE AS threshold),
+m AS (SELECT row_id, index, threshold, bool_and((pred > threshold) = (gold > 1e-4)) AS ok FROM x, g GROUP BY ALL),
+s AS (SELECT row_id, threshold, count(*) AS n, count_if(ok) AS n_exact FROM m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY n_exact / n DESC, threshold) AS r FROM s)
+SELECT row_id, threshold, n, CAST(n_exact AS BIGINT) AS n_exact, round(n_exact / n, 6) AS em FROM r WHERE r = 1""")
+def q_best_threshold(spark, d):
+    best = evaluation.best_threshold(_long(spark, d), [0.015, 0.035, 0.055, 0.075, 0.2])
+    return best.select("row_id", "threshold", "n", "n_exact", F.round("em", 6).alias("em"))
+
+
+@query(f"""WITH x AS ({_LONG}), dead AS (SELECT row_id, muscle FROM x GROUP BY row_id, muscle HAVING max(pred) <= 0.099),
+b AS (SELECT x.row_id, x.index, bool_or(dead.muscle IS NOT NULL AND gold > 1e-4) AS blocked, bool_and((pred > 0.099) = (gold > 1e-4)) AS exact FROM x LEFT JOIN dead ON x.row_id = dead.row_id AND x.muscle = dead.muscle GROUP BY x.row_id, x.index)
+SELECT row_id, CAST(count_if(blocked) AS BIGINT) AS n_blocked, round(avg((NOT blocked)::INT), 6) AS em_ceiling, round(coalesce(avg(exact::INT) FILTER (WHERE NOT blocked), 0), 6) AS em_reachable FROM b GROUP BY row_id""")
+def q_dead_heads(spark, d):
+    r = evaluation.dead_muscles(_long(spark, d), 0.099)
+    return r.select("row_id", "n_blocked", F.round("em_ceiling", 6).alias("em_ceiling"), F.round("em_reachable", 6).alias("em_reachable"))
+
+
+@query(f"""WITH x AS ({_LONG}), g AS (SELECT index, muscle, gold FROM x WHERE row_id = 'A'), m AS (SELECT muscle, avg(gold) AS p FROM x WHERE row_id = 'R' GROUP BY muscle)
+SELECT 'zeros' AS row_id, count(*) AS n, round(avg(abs(gold)), 6) AS mae FROM g UNION ALL SELECT 'train_mean', count(*), round(avg(abs(p - gold)), 6) FROM g JOIN m ON g.muscle = m.muscle""")
+def q_constant_baselines(spark, d):
+    x = _long(spark, d)
+    base = evaluation.constant_baselines(x.where("row_id = 'A'").select("index", "muscle", "gold"), x.where("row_id = 'R'").select("muscle", "gold"))
+    return base.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("gold"))), 6).alias("mae"))
+
+
+@query("""SELECT l_returnflag, round(sum(l_quantity * round(l_discount * 100)) / greatest(sum(l_quantity), 1), 6) AS mean FROM lineitem GROUP BY l_returnflag""")
+def q_weighted_mean(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.round(F.col("l_discount") * 100).alias("ce"), F.col("l_quantity").alias("w"))
+    return metrics.weighted_mean(rows, "ce", "w", ["l_returnflag"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT user_id, min(event_id) FILTER (WHERE event_id >= 100 AND value < 20) AS settle_t FROM events GROUP BY user_id")
+def q_first_settled(spark, d):
+    return first_settled(table(spark, d, "events"), "user_id", "event_id", "value", 100, 20.0)
+
+
+@query("""SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY ALL""")
+def q_windowed_counts(spark, d):
+    """An extension: tumbling windows, as the same function runs them over streams."""
+    w = windowed_counts(table(spark, d, "events"), "ts", "event_type", "user_id", "6 hours")
+    return w.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query()
 def q_span_tags(spark, d):
     """Words and numbers of documents tagged with a vocabulary of this corpus; offsets are code points."""
