@@ -27,6 +27,8 @@ RAW = frozenset("script style noscript template textarea title xmp iframe noembe
 #: Elements that hold no article text wherever they are.
 FURNITURE = frozenset("nav footer aside form button dialog menu object audio video canvas head label fieldset".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption br".split())
+#: Elements that can be the chosen subtree.
+CONTAINERS = frozenset("body div section article main td center".split())
 #: An open p ends where one of these begins.
 _ENDS_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -216,7 +218,8 @@ def main_text(page: str | None) -> str:
     if not kept:
         return ""
     body = next((n for n in nodes if n.tag == "body"), root)
-    best = max(kept, key=lambda n: n.total)
+    # Paragraphs, headings and inline elements belong to the container that holds them.
+    best = max([n for n in kept if n.tag in CONTAINERS] or [root], key=lambda n: n.total)
     threshold = min((n.density for n in _path(best) if n.density > 0 and (n is body or body in _path(n))), default=0.0)
     # Climb while the parent's other children are as dense as the path: the article may be split in sections.
     top = best
