@@ -76,7 +76,19 @@ def random_sections(spark: SparkSession, centers: DataFrame, total: int, seed: i
     return anchor.unionByName(neighbor).unionByName(effort).unionByName(fill)
 
 
-def build_pool(spark: SparkSession, centers: DataFrame, total: int, seed: int = 0) -> DataFrame:
+def triples(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """build, section, detail, base, act: n rows with three different muscles at random levels."""
+    i = F.col("id")
+    order = F.array_sort(_each(lambda k: F.struct(uniform(seed, i, k + 300).alias("u"), k.alias("k"))))
+    three = F.array_sort(F.transform(F.slice(order, 1, 3), lambda x: x["k"]))
+    names = F.array(*map(F.lit, MUSCLES))
+    d = spark.range(n).withColumn("three", three)
+    level = lambda k: F.bround(0.15 + uniform(seed, i, k + 400) * 0.75, 4)
+    act = clip_budget(_each(lambda k: F.when(F.array_contains("three", k), level(k)).otherwise(0.0)), BUDGET, LARGEST)
+    return d.select(i.alias("build"), F.lit("triple").alias("section"), F.array_join(F.transform("three", lambda k: F.get(names, k)), "+").alias("detail"), F.lit(-1).cast("long").alias("base"), act.alias("act"))
+
+
+def build_pool(spark: SparkSession, centers: DataFrame, total: int, seed: int = 0, n_triples: int = 3000) -> DataFrame:
     """index, section, detail, base_index, n_active and activations: rest first, then all other rows in hash order.
 
     Rows with equal activations at 4 decimals keep the first one built; a base that went is -1.
@@ -86,9 +98,11 @@ def build_pool(spark: SparkSession, centers: DataFrame, total: int, seed: int =
     fixed_part = parts.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "section"))).alias("rows")).select(F.posexplode("rows").alias("build", "r"))
     fixed_part = fixed_part.select(F.col("build").cast("long").alias("build"), "r.section", F.col("r.o.detail").alias("detail"), F.lit(-1).cast("long").alias("base"), F.col("r.o.act").alias("act"))
     n_fixed = 1 + 6 * N + 9 * N * (N - 1) // 2
-    random = random_sections(spark, centers, max(0, total - n_fixed), seed)
-    random = random.withColumns({"build": F.col("build") + n_fixed, "base": F.when(F.col("base") >= 0, F.col("base") + n_fixed).otherwise(-1)})
-    rows = fixed_part.unionByName(random).withColumn("key", F.transform("act", lambda x: F.round(x * 10_000).cast("long")))
+    combos = triples(spark, n_triples, seed).withColumn("build", F.col("build") + n_fixed)
+    before = n_fixed + n_triples
+    random = random_sections(spark, centers, max(0, total - before), seed)
+    random = random.withColumns({"build": F.col("build") + before, "base": F.when(F.col("base") >= 0, F.col("base") + before).otherwise(-1)})
+    rows = fixed_part.unionByName(combos).unionByName(random).withColumn("key", F.transform("act", lambda x: F.round(x * 10_000).cast("long")))
     kept = keep_first(rows, ["key"], ["build"])
     place = F.when(F.col("section") == "rest", F.lit(-(1 << 62))).otherwise(F.expr(f"shiftright(xxhash64({seed}, build), 2)"))
     numbered = dense_number(kept.withColumn("_place", place), "_place", "index", 1 << 54)

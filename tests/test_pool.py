@@ -10,7 +10,7 @@ from corvid.plans import pool
 def rows(spark):
     centers = [("i", [0.4] + [0.0] * 10, 0.05), ("a", [0.0, 0.0, 0.3, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0, 0.0], 0.1)]
     c = spark.createDataFrame(centers, "phoneme string, act array<double>, sigma double")
-    return pool.build_pool(spark, c, 1500, seed=3).collect(), pool.build_pool(spark, c.repartition(3), 1500, seed=3).collect()
+    return pool.build_pool(spark, c, 1700, seed=3, n_triples=200).collect(), pool.build_pool(spark, c.repartition(3), 1700, seed=3, n_triples=200).collect()
 
 
 def test_pool_is_numbered_distinct_and_repeatable(rows):
@@ -21,7 +21,7 @@ def test_pool_is_numbered_distinct_and_repeatable(rows):
     by = {r["index"]: r for r in a}
     assert by[0].section == "rest" and by[0].n_active == 0
     n = Counter(r.section for r in a)
-    assert n["single"] == 66 and n["pair"] == 495 and n["anchor"] > 250 and n["spacefill"] > 150
+    assert n["single"] == 66 and 190 < n["triple"] <= 200 and n["pair"] == 495 and n["anchor"] > 250 and n["spacefill"] > 150
 
 
 def test_pool_limits_and_bases(rows):
