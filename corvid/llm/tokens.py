@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 #: Compiled transitions that a worker keeps.
-TABLE = 200_000
+TABLE = 400_000
 _WORD_CHARS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _SHAPE = re.compile(f"([{_WORD_CHARS}]+)([.,;:!?)]*)")
 
