@@ -88,7 +88,7 @@ def _copies(cells: DataFrame, cap: int) -> DataFrame:
     return per_source.select("source", F.explode(F.expr(step)).alias("c")).select("source", "c.size", "c.n", "c.copies")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, salts: int = 64) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, salts: int = 256) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row.
 
     Size is the number of words (runs of other characters than \\x20 and \\x09-\\x0D); a null text has none. A
