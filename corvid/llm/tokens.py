@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-#: Compiled transitions that a worker keeps.
-TABLE = 400_000
+#: Compiled transitions in a generation of a worker's table.
+TABLE = 180_000
 _WORD_CHARS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _SHAPE = re.compile(f"([{_WORD_CHARS}]+)([.,;:!?)]*)")
 
@@ -71,37 +71,53 @@ def library_encoder(name: str) -> tuple[Callable[[str], list[int]], Callable[[st
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, run_ids if by_word else None
 
 
-class Transitions(dict):
-    """Words to what they emit; missing ones are compiled. Emptied when full, so its size is bounded."""
+class Generations(dict):
+    """A table of at most 2 * TABLE entries: what was used since the last turn outlives the next one."""
 
-    def __init__(self, encode: Callable[[str], list[int]], run_ids: Callable[[str], list[int]] | None, emit: Callable[[list[int]], object], join: Callable):
+    def __init__(self):
         super().__init__()
-        self.encode, self.run_ids, self.emit, self.join, self.parts = encode, run_ids, emit, join, {}
-
-    def _part(self, text: str):
-        x = self.parts.get(text)
-        if x is None:
-            if len(self.parts) >= TABLE:
-                self.parts.clear()
-            x = self.parts[text] = self.emit(self.run_ids(text))
+        self.old: dict = {}
+
+    def recall(self, key):
+        """An entry of either generation, or None."""
+        x = self.get(key)
+        if x is None and (x := self.old.get(key)) is not None:
+            self.put(key, x)
+        return x
+
+    def put(self, key, x):
+        if len(self) >= TABLE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = x
         return x
 
+
+class Transitions(Generations):
+    """Words to what they emit; missing ones are compiled. A word gets an entry when its letters are met again."""
+
+    def __init__(self, encode: Callable[[str], list[int]], run_ids: Callable[[str], list[int]] | None, emit: Callable[[list[int]], object], join: Callable):
+        super().__init__()
+        self.encode, self.run_ids, self.emit, self.join, self.runs = encode, run_ids, emit, join, Generations()
+
+    def _run(self, text: str) -> tuple[object, bool]:
+        x = self.runs.recall(text)
+        if x is not None:
+            return x, True
+        return self.runs.put(text, self.emit(self.run_ids(text))), False
+
     def __missing__(self, word: bytes):
+        if (x := self.old.get(word)) is not None:
+            return self.put(word, x)
         text = word.decode("utf-8", "surrogatepass")
         m = _SHAPE.fullmatch(text)
         if m is None:
-            x = self.emit(self.encode(text))
-        elif m[2]:
-            x = self.join(self._part(m[1].lower()), self._part(m[2]))
+            x, again = self.emit(self.encode(text)), True
         else:
-            x = self._part(text.lower())
-        return self._keep(word, x) if len(word) <= 64 else x
-
-    def _keep(self, word: bytes, x):
-        if len(self) >= TABLE:
-            self.clear()
-        self[word] = x
-        return x
+            x, again = self._run(m[1].lower())
+            if m[2]:
+                x = self.join(x, self._run(m[2])[0])
+        return self.put(word, x) if again and len(word) <= 64 else x
 
 
 class StateMap(NamedTuple):
