@@ -146,10 +146,16 @@ def corrections(text: str | None) -> dict[str, str]:
     return {m: next(iter(best[m])) for m in V.MUSCLES if len(best.get(m, ())) == 1}
 
 
+def _each_once(texts: pd.Series, parse) -> pd.Series:
+    """Parsed texts of a batch; equal texts are parsed once."""
+    known = {t: parse(t) for t in texts.unique()}
+    return texts.map(lambda t: known[t])
+
+
 def directions_of(text: Column) -> Column:
     @F.pandas_udf("map<string, array<string>>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(directions)
+        return _each_once(texts, directions)
 
     return run(text)
 
@@ -157,7 +163,7 @@ def directions_of(text: Column) -> Column:
 def corrections_of(text: Column) -> Column:
     @F.pandas_udf("map<string, string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(corrections)
+        return _each_once(texts, corrections)
 
     return run(text)
 
