@@ -55,7 +55,8 @@ def _plan(h: np.ndarray, band: int, own: bool, num: int, den: int) -> tuple[np.n
     seg = ((h >> _U(32)) * _U(m)) >> _U(32)
     starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
     s = len(h)
-    partner = min(top, s * den // num) if own else min(top, s)
+    # The own band also meets larger partners from the band above, so theirs are not bounded by its top.
+    partner = s * den // num if own else min(top, s)
     need = (s + partner) * (den - num) // (den + num) + 1
     depth = 0
     if len(starts) < need:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from corvid.llm.components import connected_components
-from corvid.llm.jaccard_join import bands_of, jaccard_join, parities, set_id, signatures, slack_of
+from corvid.llm.jaccard_join import band_edges, bands_of, jaccard_join, parities, set_id, signatures, slack_of
 from corvid.llm.shingles import intersection, shingle_set, word_hashes
 
 from .data import documents, empty, frame
@@ -103,6 +103,31 @@ def test_linked_sets_always_share_enough_signatures():
             assert sum(int(u).bit_count() for u in (parities(a) ^ parities(b)).view(np.uint64)) <= differ
 
 
+def test_pairs_across_band_edges_share_enough_signatures():
+    """The same with hashes of all 64 bits, for pairs at the threshold whose larger set comes from the band above."""
+    rng = np.random.default_rng(6)
+    for top in [e - 1 for e in band_edges(3000)[1:]]:
+        for n in {top, top - 1, -(-9 * top // 10), 4 * top // 5 + 1}:
+            for larger in {top + 1, n * 5 // 4}:
+                if n < 1 or larger <= top or 5 * n < 4 * larger:
+                    continue
+                for _ in range(12):
+                    b = rng.integers(0, 2**64, larger, dtype=np.uint64)
+                    a, b = np.sort(b[:n]), np.sort(b)
+                    band = bands_of(n, 4, 5)[0]
+                    assert bands_of(larger, 4, 5)[1:] == [band]
+                    x, y = signatures(a, band, True, 4, 5), signatures(b, band, False, 4, 5)
+                    assert len(np.intersect1d(x, y)) > max(slack_of(a, band, True, 4, 5), slack_of(b, band, False, 4, 5))
+
+
+def test_texts_with_words_appended_across_a_band_edge(spark):
+    rows = []
+    for i in range(60):
+        w = [f"p{i}x{j}" for j in range(14)]
+        rows += [(2 * i, " ".join(w[:12]), "en", "s", 1, "", "", ""), (2 * i + 1, " ".join(w), "en", "s", 1, "", "", "")]
+    assert got(jaccard_join(frame(spark, rows))["components"]) == expected(rows)
+
+
 def test_set_names():
     a = np.array([1, 2, 3], dtype=np.uint64)
     assert set_id(a) == set_id(a.copy()) != set_id(a[:2]) and set_id(a) % 2 == 0
