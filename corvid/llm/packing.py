@@ -39,13 +39,23 @@ class Complements:
             return gap - low, low
         return None
 
+    @staticmethod
+    def pair_sums(gap: int, left: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """For each sum below gap whether two lengths make it: the lengths' convolution, without a length taken twice that is left once."""
+        wave = np.fft.rfft(there[:gap].astype(float), 2 * gap)
+        ways = np.rint(np.fft.irfft(wave * wave, 2 * gap)[:gap]).astype(np.int64)
+        ways[::2] -= left[: (gap + 1) // 2] == 1
+        return ways > 0
+
     def exact(self, gap: int, left: np.ndarray) -> tuple[int, ...] | None:
         if left[gap] > 0:
             return (gap,)
         there = left > 0
         if two := self.pair(gap, left, there):
             return two
-        for a in np.flatnonzero(there[: gap - 1])[::-1][:64].tolist():
+        # A first member leaves a sum of two; only if it is one of these two itself, there may be none of it left.
+        leaves = there[1:gap] & self.pair_sums(gap, left, there)[:0:-1]
+        for a in (np.flatnonzero(leaves) + 1)[::-1].tolist():
             left[a] -= 1
             there[a] = left[a] > 0
             two = self.pair(gap - a, left, there)

@@ -7,7 +7,7 @@ import pytest
 
 from corvid.llm.html_text import extract_pages, main_text
 from corvid.llm.language_id import LanguageFilters, fit_languages, grams, held_out, identify_languages
-from corvid.llm.packing import pack, plan, slots
+from corvid.llm.packing import Complements, pack, plan, slots
 from corvid.llm.tokens import CountTransducer, IdTransducer, token_counts, tokenizer_path
 
 from .data import documents, empty, frame
@@ -107,6 +107,26 @@ def test_plan_uses_all_counts_and_fills_exactly():
     assert plan({}, 64) == [] and plan({64: 3, 1: 1}, 64) == [((64,), 3), ((1,), 1)]
 
 
+def test_triples_below_many_larger_lengths():
+    """Every exact triple is found, by brute force over all available lengths."""
+    have = Complements({n: 1 for n in [*range(901, 1000), 400, 350, 250]}, 4096)
+    assert have.exact(1000, have.n) == (400, 350, 250)
+    rng = random.Random(8)
+    for _ in range(400):
+        gap = rng.randint(1, 60)
+        left = np.array([0] + [rng.choice([0, 0, 0, 0, 1, 1, 2, 3]) for _ in range(60)])
+        single = left[gap] > 0
+        pairs = [(gap - b, b) for b in range(1, gap // 2 + 1) if left[b] and left[gap - b] > (gap == 2 * b)]
+        triples = [(a, b, c) for a in range(1, gap) for b in range(1, gap - a) if b >= (c := gap - a - b) and all(left[x] >= k for x, k in Counter((a, b, c)).items())]
+        found, kept = have.exact(gap, left), left.copy()
+        assert (found is None) == (not single and not pairs and not triples)
+        assert found is None or (sum(found) == gap and all(left[x] >= k for x, k in Counter(found).items()))
+        assert (left == kept).all()
+        if not single and not pairs and triples:
+            assert found[0] == max(t[0] for t in triples)
+
+
+
 def test_main_text_of_awkward_pages():
     body = " ".join(["Some words of an article, long enough to weigh more than the rest of the page."] * 6)
     page = f"""<!doctype html><html><head><title>T</title><style>p{{x:1}}</style><script>var a="<p>no</p>";</script></head><body>
