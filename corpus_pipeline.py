@@ -20,10 +20,9 @@ TOKENIZER = "word_bpe_49k.json"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null too) is in ids."""
-    wanted = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The columns of docs and _row, a stored number that no two rows share, whatever their doc_id."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), name)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +41,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    labels = jaccard_join(docs)["components"]
-    return _rows_of(docs, labels.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of linked documents the one with the smallest doc_id stays, null last; of rows that repeat it, one."""
+    keyed = _keyed(docs, "pipeline-linked")
+    labels = jaccard_join(keyed, id_col="_row")["components"].select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = keyed.select("doc_id", "_row").join(labels, "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
+    return keyed.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    copies = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    taken = docs.select(*COLUMNS).join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    keyed = _keyed(docs, "pipeline-mixed")
+    taken = keyed.join(mix_sources(keyed, extra=("_row",)).where("copies > 0").select("_row", "copies"), "_row")
     return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

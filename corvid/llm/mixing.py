@@ -88,8 +88,8 @@ def _copies(cells: DataFrame, cap: int) -> DataFrame:
     return per_source.select("source", F.explode(F.expr(step)).alias("c")).select("source", "c.size", "c.n", "c.copies")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, salts: int = 256) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, salts: int = 256, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (and extra columns) for every row.
 
     Size is the number of words (runs of other characters than \\x20 and \\x09-\\x0D); a null text has none. A
     null source is a source of its own, after all others. Rows without words are taken 0 times. Copies are
@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, may hold any share of the rows.
     """
     size = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *extra), "mix-sizes")
     hist = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = stored(source_targets(hist, weights, cap), "mix-targets")
     solved = stored(solve_rates(hist.where("size > 0"), targets.where("source_size > 0"), cap), "mix-rates")
@@ -121,9 +121,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = parts.select("source", "size", "_salt", F.expr("copies div n").alias("base"), (F.expr("((copies % n) * upto) div n") - F.expr("((copies % n) * (upto - m)) div n")).alias("more"))
     parts = stored(parts, "mix-parts").select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_salt").alias("_t"), "base", "more")
     dealt = salted.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_salt") == F.col("_t")), "left").drop("_s", "_z", "_t")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    taken = dealt.withColumn("copies", F.coalesce(F.col("base"), F.lit(0)) + F.when(rank <= F.col("more"), 1).otherwise(0)).select("doc_id", "source", "size", "copies")
-    every = taken.unionByName(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies")))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "_salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", *extra))
+    taken = dealt.withColumn("copies", F.coalesce(F.col("base"), F.lit(0)) + F.when(rank <= F.col("more"), 1).otherwise(0)).select("doc_id", "source", "size", "copies", *extra)
+    every = taken.unionByName(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies"), *extra))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
     out = every.join(t, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), *extra)

@@ -39,6 +39,22 @@ def test_pipeline_of_nothing_and_nulls(spark):
     assert corpus_pipeline.run(spark, f"{folder}-odd").count() > 0
 
 
+def test_stages_on_repeated_and_null_ids(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = {g: " ".join(f"{g}{i}" for i in range(20 + n)) for n, g in enumerate("abcde")}
+    groups = [(None, "a"), (None, "a"), (7, "b"), (7, "b"), (3, "b"), (None, "c"), (None, "c"), (5, "c"), (7, "d"), (3, "e"), (3, "e"), (None, "e")]
+    near = [text[g] + (" more" if n % 2 else "") for n, (_, g) in enumerate(groups)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for (i, _), t in zip(groups, near, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = stored(docs.select(*[docs[f.name].cast(f.dataType) for f in schema]).repartition(3), "repeated")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["jaccard_join"](spark, docs, SF).collect()
+    smallest = {g: min((i for i, x in groups if x == g and i is not None), default=None) for g in text}
+    assert sorted(((r.text[0], r.doc_id) for r in kept), key=str) == sorted(smallest.items(), key=str)
+    mixed = stages["mix_sources"](spark, docs, SF).collect()
+    words = sum(len(t.split()) for t in near)
+    assert abs(sum(len(r.text.split()) for r in mixed) - words) <= 25
+
+
 def test_every_operator_has_one_query():
     names = [int(n[2:].split("_")[0]) for n in queries()]
     assert sorted(names) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
