@@ -93,20 +93,43 @@ class LanguageFilters:
             return np.array([by_mask[_HAS[b]].sum() for b in range(len(self.languages))]), len(codes)
         return np.array([np.count_nonzero(found & _U(1 << b)) for b in range(len(self.languages))]), len(codes)
 
+    def corrected(self, text: str) -> tuple[np.ndarray, int]:
+        """Each language's hits without the expected false positives, and all n-grams."""
+        hits, n = self.hits(text)
+        if not hasattr(self, "_fp"):
+            self._fp = self.false_positives()
+        return np.clip((hits - n * self._fp) / (1 - self._fp), 0, None), n
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language with most corrected hits (the first by name among equals), and their share of the n-grams."""
         if text is None or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
-        hits, n = self.hits(text)
+        corrected, n = self.corrected(text)
         if not n:
             return self.languages[0], 0.0
-        if not hasattr(self, "_fp"):
-            self._fp = self.false_positives()
-        corrected = np.clip((hits - n * self._fp) / (1 - self._fp), 0, None)
         best = int(np.argmax(corrected))
         return self.languages[best], float(min(1.0, corrected[best] / n))
 
 
+class LanguagePlanes(LanguageFilters):
+    """Any number of languages: a plane of filters for each MAX_LANGUAGES of them, by name."""
+
+    def __init__(self, planes: list[LanguageFilters]):
+        self.planes = planes
+        self.languages = [x for p in planes for x in p.languages]
+
+    @classmethod
+    def build(cls, profiles: dict[str, np.ndarray], **sizes: int) -> LanguageFilters:
+        """One plane is plain filters."""
+        names = sorted(profiles)
+        planes = [LanguageFilters.build({x: profiles[x] for x in names[i : i + MAX_LANGUAGES]}, **sizes) for i in range(0, len(names), MAX_LANGUAGES)]
+        return planes[0] if len(planes) == 1 else cls(planes)
+
+    def corrected(self, text: str) -> tuple[np.ndarray, int]:
+        found = [p.corrected(text) for p in self.planes]
+        return np.concatenate([x for x, _ in found]), found[0][1]
+
+
 _HAS = [np.flatnonzero((np.arange(256) >> b) & 1) for b in range(8)]
 
 
@@ -119,14 +142,13 @@ def fit_languages(labelled: DataFrame, text_col: str, lang_col: str, key_col: st
 
     sample: the expected number of rows per language (all, where there are fewer), picked by a hash of key_col;
     their whole texts are read. profile: n-grams kept for a language, those in most of its sampled texts and in
-    at least `share` of them. What reaches the driver is bounded by MAX_LANGUAGES * profile n-grams.
+    at least `share` of them. Any number of labels may occur; what reaches the driver is bounded by labels * profile n-grams,
+    and the filters take 8 MB for each MAX_LANGUAGES of them.
     """
     rows = labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.pmod(F.xxhash64(F.col(key_col), F.lit("lang")), F.lit(1 << 30)).alias("_key")).where("_text is not null and _lang is not null")
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return LanguageFilters([], np.zeros(1 << 10, dtype=np.uint8), 1)
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     most = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample / n) * (1 << 30))))])
     picked = rows.where(F.col("_key") < F.try_element_at(most, F.col("_lang"))).select("_text", "_lang")
 
@@ -162,7 +184,7 @@ def fit_languages(labelled: DataFrame, text_col: str, lang_col: str, key_col: st
     codes: dict[str, list[int]] = {lang: [] for lang in sizes}
     for r in top.select("lang", "code").collect():
         codes[r["lang"]].append(r["code"])
-    return LanguageFilters.build({lang: np.array(c, dtype=np.int64) for lang, c in codes.items()})
+    return LanguagePlanes.build({lang: np.array(c, dtype=np.int64) for lang, c in codes.items()})
 
 
 def identify_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:

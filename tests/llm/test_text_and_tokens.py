@@ -126,7 +126,6 @@ def test_triples_below_many_larger_lengths():
             assert found[0] == max(t[0] for t in triples)
 
 
-
 def test_main_text_of_awkward_pages():
     body = " ".join(["Some words of an article, long enough to weigh more than the rest of the page."] * 6)
     page = f"""<!doctype html><html><head><title>T</title><style>p{{x:1}}</style><script>var a="<p>no</p>";</script></head><body>
@@ -159,6 +158,14 @@ def test_filters_return_all_languages_with_an_ngram():
         LanguageFilters.build({str(i): grams("x y z") for i in range(65)})
 
 
+def test_more_labels_than_a_mask_has_bits(spark):
+    word = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}" * 3
+    rows = [(i, f"{word(i)} {word(i)}", f"l{i:03}", "s", 1, "", "", "") for i in range(130)]
+    docs = frame(spark, rows)
+    got = identify_languages(docs.select("doc_id", "text"), fit_languages(docs, "text", "lang", "doc_id")).collect()
+    assert len(got) == 130 and all(r.lang_pred == f"l{r.doc_id:03}" for r in got)
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     filters = fit_languages(docs.where(~held_out()), "text", "lang", "doc_id", sample=400)
