@@ -21,6 +21,8 @@ from .sharding import ShardStore
 from .tokens import token_counts
 
 TOKENIZER = "word_bpe_49k.json"
+#: Parts in which the documents of op5 arrive.
+ARRIVALS = 4
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,9 +46,13 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive as small shards, are compacted, and are read back from the newest manifest."""
+    """Documents arrive in ARRIVALS parts as small shards, tiers are compacted after each, the rest at the end; the newest manifest is read back."""
     store = ShardStore(spark, f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}", target=128 << 20)
-    store.append(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _read(spark, sf_dir, "documents")
+    for i in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == i))
+        store.compact()
+        store.vacuum()
     version = store.compact(final=True)
     store.vacuum()
     shards = store.shards()

@@ -96,3 +96,16 @@ def test_merge_runs_are_similar_and_bounded():
     runs = store.merges(shards)
     assert all(len({store.tier(s.size) for s in r}) == 1 for r in runs) and {s.path for r in runs for s in r}.isdisjoint({"big", "half"})
     assert all(sum(s.size for s in r) < 1000 + max(s.size for s in r) for r in store.merges(shards, True))
+
+
+def test_query_compacts_tiers_between_arrivals(spark, monkeypatch):
+    from corvid.llm import queries
+
+    calls = []
+    append, compact = ShardStore.append, ShardStore.compact
+    monkeypatch.setattr(ShardStore, "append", lambda self, rows: calls.append(rows.columns) or append(self, rows))
+    monkeypatch.setattr(ShardStore, "compact", lambda self, final=False: calls.append(final) or compact(self, final))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = queries.op5_shard_compaction(spark, "/root/testdata/sf0.001").select("doc_id").collect()
+    assert calls == [docs.columns, False] * queries.ARRIVALS + [True]
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
