@@ -1,10 +1,13 @@
-"""Shared pieces of the training-data operators: scratch tables, bitmap prefilters, salted ranks."""
+"""Shared pieces of the training-data operators: scratch tables, batches of whole texts, bitmap prefilters, salted ranks."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,19 +15,23 @@ from pyspark.sql.window import Window
 #: The words of a text are maximal runs of other bytes than these.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-
 _marked: set[str] = set()
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder in the one that all executors share: spark.checkpoint.dir, or a local one where that is unset.
+    """This application's folder below one that all executors share; the file system deletes it when the driver ends.
 
-    The file system deletes it when the driver's JVM ends.
+    The shared folder is spark.checkpoint.dir, else the context's checkpoint folder, else the warehouse.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='corvid-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"{root.rstrip('/')}/corvid/{spark.sparkContext.applicationId}"
     if own not in _marked:
         path = spark._jvm.org.apache.hadoop.fs.Path(own)
@@ -35,25 +42,79 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Inside a scratch_scope the table goes with the scope, unless it outlives it.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    if not outlives and (paths := _scope.get()) is not None:
+        paths.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that stored() wrote; nothing may be read from it any more."""
+    if df is not None and (path := getattr(df, "_stored_at", None)):
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables stored inside are deleted at its end, when the result has been written with outlives."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+#: Rows and bytes of whole texts that a Python worker takes up at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 24
 
 
-#: Rows of whole texts that go to a Python worker at once, where the session has Spark's default of 10000.
-BATCH_ROWS = 1000
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of BATCH_ROWS rows and, but for single larger rows, BATCH_BYTES bytes."""
+    for batch in batches:
+        rows = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow in batches that stay small with whole texts in them; a setting of the session's own is kept."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    """mapInArrow in slices that stay small with whole texts in them; the session's settings are not touched."""
+    return df.mapInArrow(lambda batches: run(_small(batches)), schema)
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[list, list[bytes]]]:
+    """(column 0, a binary column) of batches in slices whose bytes stay near size, but for single larger rows."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(column).to_pylist()
+        begin, held = 0, 0
+        for i, text in enumerate(texts):
+            if held and held + len(text) > size:
+                yield ids[begin:i], texts[begin:i]
+                begin, held = i, 0
+            held += len(text) + 1
+        if texts:
+            yield ids[begin:], texts[begin:]
+
+
+#: Bits of a bitmap for a key, and the most bits of one: the broadcast is 128 MB at most, whatever the input.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 30
+
+
+def bitmap_bits(keys: int, least: int = 1 << 16) -> int:
+    """Bits of a bitmap for so many keys: a power of two, bounded by MOST_BITS."""
+    return min(MOST_BITS, max(least, 1 << (keys * BITS_PER_KEY).bit_length()))
 
 
 def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
@@ -62,14 +123,24 @@ def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     return keys.select(F.bitmap_bucket_number(x).alias("_bucket"), F.bitmap_bit_position(x).alias("_pos")).groupBy("_bucket").agg(F.bitmap_construct_agg("_pos").alias("_bits"))
 
 
+def _fresh(taken: list[str], *names: str) -> list[str]:
+    """Names like the given ones that are not taken, whatever their case."""
+    low = {t.lower() for t in taken}
+    return [next(n for k in range(len(low) + 1) if (n := f"{name}{k or ''}").lower() not in low) for name in names]
+
+
 def maybe_in(df: DataFrame, key: Column, bits_df: DataFrame, bits: int, flag: str) -> DataFrame:
-    """Add a boolean: false means that the key is surely in none of the bitmap's keys. The broadcast is bits / 8 bytes at most."""
+    """Add a boolean: false means that the key is surely in none of the bitmap's keys. The broadcast is bits / 8 bytes at most.
+
+    Helper columns take names that df does not have; a column of df named as the flag is replaced.
+    """
+    bucket, pos, own, words = _fresh([*df.columns, "_bucket", "_bits"], "_b", "_p", "_k", "_w")
     x = F.pmod(key, F.lit(bits)) + 1
-    at = F.bitmap_bit_position(x)
-    out = df.withColumn("_bucket", F.bitmap_bucket_number(x)).withColumn("_pos", at).join(F.broadcast(bits_df), "_bucket", "left")
-    byte = F.conv(F.hex(F.substring("_bits", (F.col("_pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = byte.bitwiseAND(F.expr("shiftleft(1, int(_pos % 8))")) != 0
-    return out.withColumn(flag, F.coalesce(bit, F.lit(False))).drop("_bucket", "_pos", "_bits")
+    marks = bits_df.select(F.col("_bucket").alias(own), F.col("_bits").alias(words))
+    out = df.withColumns({bucket: F.bitmap_bucket_number(x), pos: F.bitmap_bit_position(x)}).join(F.broadcast(marks), F.col(bucket) == F.col(own), "left")
+    byte = F.conv(F.hex(F.substring(words, (F.col(pos) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.expr(f"shiftleft(1, int({pos} % 8))")) != 0
+    return out.withColumn(flag, F.coalesce(bit, F.lit(False))).drop(bucket, pos, own, words)
 
 
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salts: int, salt: Column, out: str = "_rank") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -8,7 +9,8 @@ import pytest
 from corvid.llm.html_text import extract_pages, main_text
 from corvid.llm.language_id import LanguageFilters, fit_languages, grams, held_out, identify_languages
 from corvid.llm.packing import Complements, pack, plan, slots
-from corvid.llm.tokens import CountTransducer, IdTransducer, token_counts, tokenizer_path
+from corvid.llm import tokens
+from corvid.llm.tokens import Counter as TokenCounter, token_counts, tokenizer_path
 
 from .data import documents, empty, frame
 
@@ -24,21 +26,64 @@ def library():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-def test_transducers_equal_the_library(library):
-    counter, ids = CountTransducer(TOKENIZER), IdTransducer(TOKENIZER)
-    assert counter.by_word
-    rng = random.Random(1)
+def noise(n, seed=1):
+    rng = random.Random(seed)
     chars = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA0, 0x180), 0x301, 0x3A3, 0x4E00, 0x200B, 9, 10, 11, 12, 13, 0x1F600]]
-    noise = ["".join(rng.choice(chars) for _ in range(200)) for _ in range(60)]
-    for text in [*ODD, *noise, *(t or "" for _, t, *_ in documents())]:
-        want = library(text)
-        assert counter.count(text) == len(want)
-        assert counter.count(text, chunk=7) == len(want)
-        assert ids.ids(text) == np.asarray(want, dtype="<u4").tobytes()
+    return ["".join(rng.choice(chars) for _ in range(200)) for _ in range(n)]
 
 
-def test_state_maps_compose_associatively():
-    c = CountTransducer(TOKENIZER)
+def equal_library(counter, encode, texts):
+    want = [encode(t) for t in texts]
+    data = [t.encode() for t in texts]
+    for _ in range(3):  # words that are met again enter the table
+        assert counter.counts(data) == list(map(len, want))
+        ids, ends = counter.ids(data, 1)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*w, 1] for w in want]
+        ids, ends = counter.ids(data)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
+def test_transducer_equals_the_library(library):
+    counter = TokenCounter(TOKENIZER)
+    assert counter.transducer is not None
+    syllables = random.Random(2)
+    invented = [" ".join("".join(syllables.choices("the an ion ing ünd er ché que aaa bbb é ss zz Th ÀÉ".split(), k=syllables.randint(1, 9))) + syllables.choice(["", ".", ",", "!!!", "#$", "12"]) for _ in range(60)) for _ in range(200)]
+    equal_library(counter, library, [*ODD, *noise(60), *(t or "" for _, t, *_ in documents()), *invented])
+
+
+def test_a_full_table_still_equals_the_library(library, monkeypatch):
+    monkeypatch.setattr(tokens, "STATES", 300)
+    monkeypatch.setattr(tokens, "TABLE", 20)
+    counter = TokenCounter(TOKENIZER)
+    texts = [t or "" for _, t, *_ in documents()]
+    for part in (texts, noise(20, 4), ["antidisestablishmentarianism " * 3 + "floccinaucinihilipilification internationalization"] * 2, texts):
+        equal_library(counter, library, part)
+
+
+@pytest.mark.parametrize("change", ["case", "nfc", "none", "splitter", "added"])
+def test_other_files_of_the_kind(tmp_path, change):
+    """Without lower-casing, 'The Quick' is other tokens; what the compilation does not cover goes to the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(tokenizer_path(TOKENIZER), encoding="utf-8"))
+    if change == "splitter":
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[^\\s]+"}
+    elif change == "added":
+        spec["added_tokens"].append({"id": 49408, "content": "[SEP] x", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    else:
+        spec["normalizer"] = {"case": {"type": "Sequence", "normalizers": spec["normalizer"]["normalizers"][:2]}, "nfc": {"type": "NFC"}, "none": None}[change]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    t = Tokenizer.from_file(str(path))
+    counter = TokenCounter(str(path))
+    assert (counter.transducer is None) == (change in ("splitter", "added"))
+    equal_library(counter, lambda x: t.encode(x, add_special_tokens=False).ids, ["The Quick brown FOXES, Jumped. [SEP] x", "a\tb\nc", *ODD, *noise(20)])
+
+
+def test_state_maps_compose_associatively(library):
+    c = TokenCounter(TOKENIZER)
     chunks = [c.state_map(x) for x in (b"ab", b"c de", b" ", b"", b"fgh", b" x y")]
     left = chunks[0]
     for m in chunks[1:]:
@@ -47,6 +92,17 @@ def test_state_maps_compose_associatively():
     for m in reversed(chunks[:-1]):
         right = c.compose(m, right)
     assert left == right
+    for text in [*ODD, *noise(10, 3)]:
+        for size in (1, 3, 50):
+            data = text.encode()
+            parts = [data[i : i + size] for i in range(0, len(data), size)] or [b""]
+            if len(parts) < 500:
+                assert c.total([c.state_map(x) for x in parts]) == len(library(text))
+
+
+def test_chunks_of_long_texts_are_dealt_and_composed(spark, library):
+    got = token_counts(frame(spark), TOKENIZER, section=64).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((d, len(library(t or ""))) for d, t, *_ in documents())
 
 
 @pytest.mark.parametrize("name", [TOKENIZER, "byte_bpe_50k.json", "piece_bpe_32k.model"])
@@ -107,23 +163,40 @@ def test_plan_uses_all_counts_and_fills_exactly():
     assert plan({}, 64) == [] and plan({64: 3, 1: 1}, 64) == [((64,), 3), ((1,), 1)]
 
 
-def test_triples_below_many_larger_lengths():
-    """Every exact triple is found, by brute force over all available lengths."""
+def test_sums_are_indexed_under_availability():
+    """The index of single, pair and triple sums equals brute force while lengths come and go."""
     have = Complements({n: 1 for n in [*range(901, 1000), 400, 350, 250]}, 4096)
-    assert have.exact(1000, have.n) == (400, 350, 250)
+    assert have.exact(1000) == (400, 350, 250)
     rng = random.Random(8)
-    for _ in range(400):
-        gap = rng.randint(1, 60)
-        left = np.array([0] + [rng.choice([0, 0, 0, 0, 1, 1, 2, 3]) for _ in range(60)])
-        single = left[gap] > 0
-        pairs = [(gap - b, b) for b in range(1, gap // 2 + 1) if left[b] and left[gap - b] > (gap == 2 * b)]
-        triples = [(a, b, c) for a in range(1, gap) for b in range(1, gap - a) if b >= (c := gap - a - b) and all(left[x] >= k for x, k in Counter((a, b, c)).items())]
-        found, kept = have.exact(gap, left), left.copy()
-        assert (found is None) == (not single and not pairs and not triples)
-        assert found is None or (sum(found) == gap and all(left[x] >= k for x, k in Counter(found).items()))
-        assert (left == kept).all()
-        if not single and not pairs and triples:
-            assert found[0] == max(t[0] for t in triples)
+    for _ in range(60):
+        left = {x: rng.randint(1, 4) for x in rng.sample(range(1, 41), rng.randint(1, 12))}
+        have = Complements(left, 40)
+        for _ in range(6):
+            x = rng.choice(list(left))
+            left[x] = rng.randint(0, 4)
+            have.put(x, left[x])
+        for size, index in ((1, have.one), (2, have.two), (3, have.three)):
+            want = Counter(sum(c) for c in combinations_with_replacement([x for x in left if left[x]], size) if all(left[x] >= k for x, k in Counter(c).items()))
+            assert [want[i] for i in range(41)] == index.tolist()
+        for gap in range(1, 41):
+            found = have.exact(gap)
+            assert (found is None) == (not have.one[gap] and not have.two[gap] and not have.three[gap])
+            assert found is None or (sum(found) == gap and all(left[x] >= k for x, k in Counter(found).items()))
+
+
+def test_packing_cuts_very_long_texts_in_sections(spark, library, monkeypatch):
+    from corvid.llm import packing
+
+    text = " ".join(random.Random(3).choices(["alpha", "beta.", "gamma!", "don't", "x" * 90, "délta"], k=3000))
+    own = tokens.counter(TOKENIZER)
+    whole, _ = own.ids([text.encode()], 1)
+    monkeypatch.setattr(packing, "SECTION", 500)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([text.encode(), b""])], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(packing.pieces_of(TOKENIZER, 256, 1)([batch])).to_pylist()
+    want = [(7, i // 256, i, len(p := whole[i : i + 256]), zlib.crc32(p.astype("<u4").tobytes())) for i in range(0, len(whole), 256)]
+    assert [tuple(r.values()) for r in rows] == [*want, (8, 0, 0, 1, zlib.crc32(np.array([1], "<u4").tobytes()))]
 
 
 def test_main_text_of_awkward_pages():
