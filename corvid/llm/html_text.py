@@ -1,9 +1,10 @@
 """Main text of web pages by composite text density.
 
-Every DOM node has a density: characters per tag, adjusted by the share of its characters and tags that links
-hold. A node's density sum is that of its children. The subtree of the largest sum is the centre of the article;
-the least density on the path from body to that node is the threshold of content. Parts that are furniture by
-their element or by their class, id or role (navigation, footers, adverts, comments, forms) carry no text.
+Every DOM node has a density: characters per tag, times the logarithm of (characters per link character times
+tags per link) to a base that grows with the links of the node and of the body. A node's density sum is that of
+its children. The container of the largest sum is the centre of the article; the least density on the path from
+body to it is the threshold that its surroundings must reach to belong to it. Parts that are furniture by their
+element, role, class or id (navigation, footers, adverts, comments, forms) carry no text.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +23,10 @@ from .common import arrow_map
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math select".split())
 #: Elements that hold no article text wherever they are.
-FURNITURE = frozenset("nav footer aside form button dialog menu object audio video canvas head label fieldset".split())
+FURNITURE = frozenset("nav footer aside button dialog menu object audio video canvas head label fieldset".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption br".split())
 #: Elements that can be the chosen subtree.
 CONTAINERS = frozenset("body div section article main td center".split())
@@ -34,20 +35,36 @@ _ENDS_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tf
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form alert toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|replies|reply|reviews?|related|recommend(?:ed|ations)?|"
-    r"share|sharing|social|login|search|pagination|pager|skip|copyright|legal|tags|trending|popular|alert|paywall|toc)(?:$|[\s_-])|(?:^|[\s_-])(?:comment|sidebar|cookie|advert|navbar|footer|related|social|share|promo|newsletter|breadcrumb)s?[a-z0-9]*(?:$|[\s_-])",
-    re.I,
+#: Words of class and id names that mark furniture.
+_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion promoted
+    cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall
+    nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs sidebar sidebars side aside widget widgets footer foot header masthead topbar toolbar
+    comment comments commentlist discussion disqus respond replies reply reviews related recommended recommendations teaser teasers
+    share sharing social login search searchbox pagination pager skip copyright disclaimer tags trending popular alert toc""".split()
 )
-_KEPT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body)(?:$|[\s_-])", re.I)
+#: Those that mark single paragraphs, headings and other text elements too.
+_STRONG = frozenset("ad ads advert advertisement advertising sponsored promo cookie cookies newsletter subscribe share sharing social breadcrumb breadcrumbs copyright comment comments navigation menu".split())
+_TALK = frozenset("comment comments commentlist discussion disqus respond replies reply reviews".split())
+#: A name with one of these says how a page is laid out, not what the element is.
+_LAYOUT = frozenset("has no with without open closed enabled disabled hide toggle layout".split())
+#: Ends of names written in one word.
+_ENDINGS = re.compile(r"(?:navbar|nav|menu|footer|sidebar|comments|commentlist|banner|breadcrumbs?|advert)$")
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption span a b i em strong u s q cite code small sub sup mark time td th tr tbody".split())
+_ARTICLE_NAME = re.compile(r"(?:user-?|reader-?)?(?:comment|reply|response|review|teaser|related|promo|ad|advert|sponsored)(?:[-_]?(?:body|item|content|text|entry|card|post|inner|\d+))*")
+_TALK_HEADING = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|responses?|replies|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?", re.I)
+_CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+KEEP, SOFT, TALK, HARD = 0, 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "parent", "own", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, own: int = KEEP):
+        #: own: why the element itself is furniture; dropped: whether it or what is around it is.
+        self.tag, self.parent, self.own, self.dropped = tag, parent, own, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -57,74 +74,94 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(raw)}
 
 
-def _is_furniture(tag: str, raw: str, inside_article: bool) -> bool:
+def _named(names: str, words: frozenset[str]) -> int:
+    """SOFT or TALK if a class or id name holds one of the words."""
+    found = KEEP
+    for name in names.split():
+        parts = {w.lower() for w in _CAMEL.findall(name)} | set(re.split(r"[-_\d]+", name.lower()))
+        if parts & _LAYOUT:
+            continue
+        hits = parts & words
+        if words is _WORDS and not hits and (m := _ENDINGS.search(name.lower())):
+            hits = {m[0]}
+        found = max(found, TALK if hits & _TALK else SOFT if hits else KEEP)
+    return found
+
+
+def _furniture(tag: str, raw: str, inside: bool) -> int:
+    """Why an element is furniture; inside: an article or main is open around it."""
     if tag in FURNITURE or tag in RAW:
-        return True
-    if tag == "header" and not inside_article:
-        return True
-    if tag in ("html", "body", "article", "main") or not raw or raw == "/":
-        return False
+        return HARD
+    soft = SOFT if tag == "form" or tag == "header" and not inside else KEEP
+    if tag in ("html", "body") or not raw or raw == "/":
+        return soft
     a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    if a.get("role", "").lower() in _ROLES:
-        return True
+    if "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
+        return HARD
+    if a.get("role", "").lower() in _ROLES and tag not in ("main", "article"):
+        return max(soft, SOFT)
     names = f"{a.get('class', '')} {a.get('id', '')}".strip()
-    return bool(names) and bool(_NAMES.search(names)) and not (_KEPT_NAMES.search(names) and not re.search(r"comment|sidebar|cookie|advert|footer|related", names, re.I))
+    if not names or tag == "main" or tag == "header" and inside:
+        return soft
+    if tag == "article":
+        return max(soft, TALK if any(_ARTICLE_NAME.fullmatch(n.lower()) for n in names.split()) else KEEP)
+    return max(soft, _named(names, _STRONG if tag in _TEXT_TAGS else _WORDS))
 
 
 def parse(page: str) -> Node:
     """The element tree; missing end tags of p, li, dt, dd, tr, td and th are implied, other strays are ignored."""
-    root = Node("#root", None, False)
-    at, pos, articles = root, 0, 0
+    root = Node("#root", None)
+    at, pos, is_open = root, 0, Counter()
 
-    def text(raw: str) -> None:
-        if raw:
-            at.children.append(raw)
+    def close_to(node: Node) -> Node:
+        up = at
+        while up is not node:
+            is_open[up.tag] -= 1
+            up = up.parent
+        return up
 
     size = len(page)
     while pos < size:
         m = _TOKEN.search(page, pos)
         if m is None:
-            text(page[pos:])
+            at.children.append(_html.unescape(page[pos:]))
             break
-        text(page[pos : m.start()])
+        if m.start() > pos:
+            at.children.append(_html.unescape(page[pos : m.start()]))
         pos = m.end()
         if m[1]:
             tag = m[1].lower()
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                while at is not up:
-                    articles -= at.tag == "article"
-                    at = at.parent
-                articles -= at.tag == "article"
-                at = at.parent
+            if is_open[tag] > 0:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = close_to(up.parent)
             continue
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                text(_html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+                at.children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag, raw = m[2].lower(), (m[3] or "").strip()
-        if tag in ("html", "body") and any(n.tag == tag for n in _path(at)):
+        if tag in ("html", "body") and is_open[tag]:
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and is_open["p"]:
             up = at
             while up is not root and up.tag not in ("p", "td", "th", "li", "div", "article", "section", "body", "blockquote", "table"):
                 up = up.parent
             if up.tag == "p":
-                at = up.parent
+                at = close_to(up.parent)
         elif tag == "body":
-            while at.tag not in ("html", "#root"):
-                at = at.parent
-        if tag in _SIBLINGS:
+            up = at
+            while up.tag not in ("html", "#root"):
+                up = up.parent
+            at = close_to(up)
+        if tag in _SIBLINGS and any(is_open[t] for t in _SIBLINGS[tag]):
             up = at
             while up is not root and up.tag not in _SCOPE[tag] and up.tag not in _SIBLINGS[tag]:
                 up = up.parent
             while up.tag in _SIBLINGS[tag]:
-                at = up = up.parent
-        node = Node(tag, at, at.dropped or _is_furniture(tag, raw, articles > 0))
+                up = at = close_to(up.parent)
+        node = Node(tag, at, _furniture(tag, raw, is_open["article"] + is_open["main"] > 0))
         at.children.append(node)
         if tag in VOID or raw.endswith("/") and tag in ("svg", "path", "math"):
             continue
@@ -133,7 +170,7 @@ def parse(page: str) -> Node:
             pos = end.end() if end else size
             continue
         at = node
-        articles += tag == "article"
+        is_open[tag] += 1
     return root
 
 
@@ -143,23 +180,70 @@ def _path(node: Node) -> Iterator[Node]:
         node = node.parent
 
 
-def _order(root: Node) -> list[Node]:
-    """All nodes that may hold text, parents before children, without recursion."""
+def _order(root: Node, every: bool = False) -> list[Node]:
+    """All nodes (that may hold text, unless every is set), parents before children, without recursion."""
     out, stack = [], [root]
     while stack:
         n = stack.pop()
         out.append(n)
-        stack += [c for c in n.children if isinstance(c, Node) and not c.dropped]
+        stack += [c for c in n.children if isinstance(c, Node) and (every or not c.dropped)]
     return out
 
 
+def _ink(text: str) -> int:
+    """Characters of a text that are not white space."""
+    return sum(map(len, text.split()))
+
+
+def settle(root: Node) -> None:
+    """Decide what is dropped.
+
+    An element that is furniture by its name alone, or a form, stays if it holds the page's article: an article
+    or main element, or, on a page without one, paragraphs and more than half of the text. Discussions never stay,
+    and a container that begins with a heading like "Comments" is one.
+    """
+    nodes = _order(root, True)
+    ink: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    paragraphs: dict[int, bool] = {}
+    for n in nodes:
+        if n.tag in ("section", "div", "ol", "ul") and n.own == KEEP:
+            first = next((c for c in n.children if isinstance(c, Node) or c.strip()), None)
+            if isinstance(first, Node) and first.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and _TALK_HEADING.fullmatch(" ".join(_blocks(first, True))):
+                n.own = TALK
+    for n in reversed(nodes):
+        real = n.own in (KEEP, SOFT)
+        ink[id(n)] = sum(_ink(c) if isinstance(c, str) else ink[id(c)] for c in n.children) if real else 0
+        paragraphs[id(n)] = real and (n.tag == "p" and ink[id(n)] > 0 or any(paragraphs[id(c)] for c in n.children if isinstance(c, Node)))
+        holds[id(n)] = real and (n.tag in ("article", "main") and n.own == KEEP and ink[id(n)] > 0 or any(holds[id(c)] for c in n.children if isinstance(c, Node)))
+    any_article, half = holds[id(root)], ink[id(root)] / 2
+    for n in nodes:
+        stays = n.own == KEEP or n.own == SOFT and (holds[id(n)] or not any_article and paragraphs[id(n)] and ink[id(n)] > half)
+        n.dropped = not stays or n.parent is not None and n.parent.dropped
+
+
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
+    """chars / tags * log_b(chars / link_chars * tags / link_tags), b = ln(chars / other_chars * link_chars + body_share * chars + e).
+
+    body_share: the share of the body's characters that links hold. Counts of 0 in a denominator or of link characters are taken as 1.
+    """
+    if not chars:
+        return 0.0
+    tags, link_tags, links, others = max(tags, 1), max(link_tags, 1), max(link_chars, 1), max(chars - link_chars, 1)
+    base = math.log(chars / others * links + body_share * chars + math.e)
+    return chars / tags * max(math.log(chars / links * tags / link_tags) / math.log(base), 0.0)
+
+
 def densities(root: Node) -> list[Node]:
-    """Fill in counts, composite densities and density sums; returns the nodes, parents first."""
+    """Fill in counts, composite densities and density sums; returns the nodes, parents first.
+
+    Text that stands directly in a node counts to its sum as a child without tags and links would: by its characters.
+    """
     nodes = _order(root)
     for n in reversed(nodes):
         for c in n.children:
             if isinstance(c, str):
-                n.chars += len(c) - c.count(" ")
+                n.chars += _ink(c)
             elif not c.dropped:
                 n.chars += c.chars
                 n.tags += 1 + c.tags
@@ -170,77 +254,93 @@ def densities(root: Node) -> list[Node]:
     body = next((n for n in nodes if n.tag == "body"), root)
     share = body.link_chars / body.chars if body.chars else 0.0
     for n in nodes:
-        if not n.chars:
-            continue
-        tags, links = max(n.tags, 1), max(n.link_tags, 1)
-        plain = max(n.chars - n.link_chars, 1)
-        base = math.log(n.chars / plain * max(n.link_chars, 0) + share * n.chars + math.e)
-        ratio = n.chars / max(n.link_chars, 1) * tags / links
-        n.density = n.chars / tags * max(math.log(max(ratio, 1.0)) / base, 0.0)
+        n.density = composite_density(n.chars, n.tags, n.link_chars, n.link_tags, share)
     for n in nodes:
-        n.total = sum(c.density for c in n.children if isinstance(c, Node) and not c.dropped) + (len("".join(c for c in n.children if isinstance(c, str)).strip()) if n.tag != "a" else 0)
+        n.total = sum(c.density for c in n.children if isinstance(c, Node) and not c.dropped)
+        if n.tag != "a":
+            n.total += sum(_ink(c) for c in n.children if isinstance(c, str))
     return nodes
 
 
-def _blocks(node: Node) -> list[str]:
-    """Texts of the blocks below a node in page order."""
+def _blocks(node: Node, every: bool = False, only: set[int] | None = None) -> list[str]:
+    """Texts of the blocks below a node in page order; only: of the node's children at any level, those to go into."""
     out, part = [], []
 
     def close():
-        joined = " ".join(_html.unescape("".join(part)).split())
+        joined = " ".join("".join(part).split())
         part.clear()
         if joined:
             out.append(joined)
 
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    stack: list[tuple[Node | str, int]] = [(node, 0)]
     while stack:
         x, done = stack.pop()
         if isinstance(x, str):
             part.append(x)
         elif done:
             close()
-        elif not x.dropped:
+        elif every or not x.dropped:
             if x.tag in BLOCK:
                 close()
-                stack.append((x, True))
-            stack += [(c, False) for c in reversed(x.children)]
+                stack.append((x, 1))
+            stack += [(c, 0) for c in reversed(x.children) if only is None or id(x) not in only or isinstance(c, str) or id(c) in only or -id(c) in only]
     close()
     return out
 
 
+def _belongs(node: Node, threshold: float) -> bool:
+    """Whether a node beside the article's centre is part of it: a heading, or text blocks as dense as the path; not mostly links."""
+    if node.dropped or not node.chars or 2 * node.link_chars >= node.chars:
+        return False
+    if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return True
+    if node.density < threshold:
+        return False
+    flow = ("p", "ul", "ol", "dl", "pre", "blockquote", "figure", "table")
+    return node.tag in flow or any(n.tag == "p" and n.chars for n in _order(node))
+
+
 def main_text(page: str | None) -> str:
     """The article's text: white space inside a block is one space, blocks are joined by one space."""
     if not page:
         return ""
     root = parse(page)
-    nodes = densities(root)
-    kept = [n for n in nodes if n.chars]
+    settle(root)
+    kept = [n for n in densities(root) if n.chars]
     if not kept:
         return ""
-    body = next((n for n in nodes if n.tag == "body"), root)
+    body = next((n for n in kept if n.tag == "body"), root)
     # Paragraphs, headings and inline elements belong to the container that holds them.
     best = max([n for n in kept if n.tag in CONTAINERS] or [root], key=lambda n: n.total)
-    threshold = min((n.density for n in _path(best) if n.density > 0 and (n is body or body in _path(n))), default=0.0)
-    # Climb while the parent's other children are as dense as the path: the article may be split in sections.
-    top = best
-    while top.parent is not None and top is not body and _dense_siblings(top, threshold):
+    # The innermost article around the centre is the article, with its headings and short paragraphs.
+    article = next((n for n in _path(best) if n.tag == "article"), None)
+    if article is not None:
+        return " ".join(_blocks(article))
+    path = list(_path(best))
+    threshold = min((n.density for n in path[: path.index(body) + 1 if body in path else None] if n.density > 0), default=0.0)
+    # Climb to the innermost main, or to the body, as long as each level has dense blocks beside the centre or nothing else.
+    top, whole = best, {id(best)}
+    limit = next((n for n in path if n.tag == "main"), body)
+    through: set[int] = set()
+    while top is not limit and top is not root:
+        beside = [c for c in top.parent.children if isinstance(c, Node) and c is not top and not c.dropped and c.chars]
+        more = [c for c in beside if _belongs(c, threshold)]
+        if beside and not more:
+            break
+        through.add(id(top.parent))
+        whole |= {id(c) for c in more}
         top = top.parent
-    # An article or main element around the chosen subtree is its bound, with headings and short paragraphs.
-    bound = next((n for n in reversed(list(_path(top))) if n.tag in ("article", "main")), top)
-    return " ".join(_blocks(bound))
-
-
-def _dense_siblings(node: Node, threshold: float) -> bool:
-    others = [c for c in node.parent.children if isinstance(c, Node) and c is not node and not c.dropped and c.chars]
-    return bool(others) and sum(c.chars for c in others if c.density >= threshold and c.link_chars * 2 < c.chars) * 2 >= sum(c.chars for c in others) > 0
+    # Nodes climbed through give way to what belongs to the article; everything below that is whole.
+    return " ".join(_blocks(top, only=through | {-x for x in whole})) if through else " ".join(_blocks(best))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every page; nothing is capped.
 
     A null or empty page, or one without article text, has text "" and 0 characters. Character references are
-    decoded. Repeated rows and null ids or urls pass through. Broken markup (tags left open, a page cut short)
-    is read as browsers do in the common cases. Only the three named columns are read. One pass, no shuffle.
+    decoded. Repeated rows and null ids or urls pass through; among equal density sums the first node of the page
+    counts. Broken markup (tags left open, a page cut short) is read as browsers do in the common cases. Only the
+    three named columns are read. An empty table gives an empty result. One pass, no shuffle.
     """
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 

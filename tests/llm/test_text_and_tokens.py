@@ -6,7 +6,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pytest
 
-from corvid.llm.html_text import extract_pages, main_text
+from corvid.llm.html_text import Node, densities, extract_pages, main_text, parse, settle
 from corvid.llm.language_id import LanguageFilters, fit_languages, grams, held_out, identify_languages
 from corvid.llm.packing import Complements, pack, plan, slots
 from corvid.llm import tokens
@@ -212,6 +212,94 @@ def test_main_text_of_awkward_pages():
     assert main_text("<div>" * 4000 + "deep &lt;b&gt;" + "</div>" * 4000) == "deep <b>"
 
 
+BODY = " ".join(["Some words of an article, long enough to weigh more than the rest of the page."] * 4)
+SHORT = "A short line of other text on the page."
+
+
+@pytest.mark.parametrize("name", ["main-menu", "content-ad", "post-navigation", "entry-share", "siteFooter", "sidebar", "cookie-notice", "page-comments", "relatedPosts"])
+def test_furniture_by_name_beats_words_for_content(name):
+    for wrap in ("<article>{}</article>", "<main>{}</main>", "<div>{}</div>"):
+        page = "<body>" + wrap.format(f"<h1>Title</h1><div class='{name}'>{SHORT}</div><p>{BODY}</p><p>End.</p><ul id={name}><li>{SHORT}</ul>") + "</body>"
+        assert main_text(page) == f"Title {BODY} End."
+
+
+def test_reader_comments_in_articles_of_their_own_go():
+    comment = f"<article class='comment-body'><p>{BODY} {BODY}</p></article>"
+    page = f"<main><article class='post comments-open has-sidebar'><h1>T</h1><p>{BODY}</p><section><h2>3 Comments</h2>{comment}{comment}</section></article></main>"
+    assert main_text(page) == f"T {BODY}"
+    assert main_text(page.replace("<h2>3 Comments</h2>", "")) == f"T {BODY}"
+    assert main_text(f"<div><p>{BODY}</p></div><ol><h3>Kommentare (2)</h3><li><p>{BODY} {BODY}</p></ol>") == BODY
+
+
+def test_paragraphs_with_such_names_stay_and_articles_by_themselves():
+    for name in ("review", "legal", "side-note-text", "tags"):
+        assert main_text(f"<article><p>One.</p><p class='{name}'>{BODY}</p></article>") == f"One. {BODY}"
+    teasers = "".join(f"<div class=x><p>{SHORT} <a href=/{i}>Read on here, please</a></p></div>" for i in range(6))
+    assert main_text(f"<main><article><h1>T</h1><p>{BODY}</p></article>{teasers}</main>") == f"T {BODY}"
+    links = "".join(f"<li><a href=/{i}>{SHORT}</a></li>" for i in range(9))
+    assert main_text(f"<body><div id=a><ul>{links}</ul></div><main><h1>T</h1><div><p>{BODY}</p><p>{BODY}</p></div><ul>{links}</ul></main></body>") == f"T {BODY} {BODY}"
+
+
+def test_pages_without_article_or_main():
+    sections = "".join(f"<section><h2>Part {i}</h2><p>{BODY}</p><p>{BODY}</p></section>" for i in range(3))
+    want = " ".join(f"Part {i} {BODY} {BODY}" for i in range(3))
+    assert main_text(f"<body><div class=x1><a href=/>Home</a> <a href=/b>Other</a></div><div id=z>{sections}</div><div>&copy; 2020</div></body>") == want
+    assert main_text(f"<body><form id=aspnet><div class=header>{SHORT}</div><div>{sections}</div></form></body>") == want
+    assert main_text(f"<body class='has-sidebar'><div class='content-sidebar-wrap'><p>{BODY}</p><div class=sidebar>{SHORT}</div></div></body>") == BODY
+    assert main_text(f"<body><div class=ad>{BODY}</div><p>Short.</p></body>") == "Short."
+    assert main_text("<p>a&<b>amp;</b>&nbsp;&lt;x&gt;</p>") == "a&amp; <x>"
+
+
+def test_densities_equal_a_direct_count():
+    """Every count of the tree and the composite formula, by walking each node's whole subtree anew."""
+    import math
+
+    rng = random.Random(6)
+
+    def page(depth):
+        tag = rng.choice(["div", "p", "a", "span", "section", "ul"])
+        inner = "".join(page(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ""
+        return f"<{tag}>{rng.choice(['', 'some words here', 'x ' * rng.randint(0, 30)])}{inner}</{tag}>"
+
+    def below(n):
+        return [x for c in n.children if isinstance(c, Node) for x in (c, *below(c))]
+
+    def text(n):
+        return "".join(c if isinstance(c, str) else text(c) for c in n.children)
+
+    def ink(x):
+        return len("".join(x.split()))
+
+    def linked(n):
+        return ink(text(n)) if n.tag == "a" else sum(linked(c) for c in n.children if isinstance(c, Node))
+
+    for _ in range(40):
+        root = parse("<body>" + "".join(page(4) for _ in range(3)) + "</body>")
+        settle(root)
+        nodes = densities(root)
+        body = nodes[1]
+        share = linked(body) / ink(text(body)) if ink(text(body)) else 0
+        for n in nodes:
+            c, t, lc, lt = ink(text(n)), len(below(n)), linked(n), sum(x.tag == "a" for x in below(n)) + (n.tag == "a")
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == (c, t, lc, lt)
+            if c:
+                base = math.log(c / max(c - lc, 1) * max(lc, 1) + share * c + math.e)
+                want = c / max(t, 1) * max(math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1), base), 0)
+                assert n.density == pytest.approx(want)
+        for n in nodes:
+            own = 0 if n.tag == "a" else sum(ink(c) for c in n.children if isinstance(c, str))
+            assert n.total == pytest.approx(own + sum(c.density for c in n.children if isinstance(c, Node)))
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert main_text("<div>" * 20_000 + "x y" + "</b></i>" * 20_000) == "x y"
+    assert main_text("<p>a" + "<span>" * 3_000 + "x" + "</span>" * 3_000) == "ax"
+    assert time.perf_counter() - began < 10
+
+
 def test_extract_pages_rows(spark):
     rows = [(1, "u", "<p>a  b</p>", "x"), (1, "u", "<p>a  b</p>", "x"), (None, None, None, "x"), (2, "v", "", "x")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
