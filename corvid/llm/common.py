@@ -123,7 +123,7 @@ def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     return keys.select(F.bitmap_bucket_number(x).alias("_bucket"), F.bitmap_bit_position(x).alias("_pos")).groupBy("_bucket").agg(F.bitmap_construct_agg("_pos").alias("_bits"))
 
 
-def _fresh(taken: list[str], *names: str) -> list[str]:
+def fresh_names(taken: list[str], *names: str) -> list[str]:
     """Names like the given ones that are not taken, whatever their case."""
     low = {t.lower() for t in taken}
     return [next(n for k in range(len(low) + 1) if (n := f"{name}{k or ''}").lower() not in low) for name in names]
@@ -134,7 +134,7 @@ def maybe_in(df: DataFrame, key: Column, bits_df: DataFrame, bits: int, flag: st
 
     Helper columns take names that df does not have; a column of df named as the flag is replaced.
     """
-    bucket, pos, own, words = _fresh([*df.columns, "_bucket", "_bits"], "_b", "_p", "_k", "_w")
+    bucket, pos, own, words = fresh_names([*df.columns, "_bucket", "_bits"], "_b", "_p", "_k", "_w")
     x = F.pmod(key, F.lit(bits)) + 1
     marks = bits_df.select(F.col("_bucket").alias(own), F.col("_bits").alias(words))
     out = df.withColumns({bucket: F.bitmap_bucket_number(x), pos: F.bitmap_bit_position(x)}).join(F.broadcast(marks), F.col(bucket) == F.col(own), "left")
@@ -143,6 +143,25 @@ def maybe_in(df: DataFrame, key: Column, bits_df: DataFrame, bits: int, flag: st
     return out.withColumn(flag, F.coalesce(bit, F.lit(False))).drop(bucket, pos, own, words)
 
 
+#: A key with more than this share of a table's rows, and at least HOT_ROWS of them, is joined by broadcast.
+HOT_PART, HOT_ROWS = 1 / 1000, 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts on key, without a task that reads all rows of a frequent key.
+
+    facts is a stored table with a row a key and the number _n of the key's rows; fewer than 1 / HOT_PART keys
+    can have more than their share, so what is broadcast is bounded whatever the input.
+    """
+    total, most = facts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    line = max(HOT_ROWS, int(total * HOT_PART))
+    if most <= line:
+        return rows.join(facts, key)
+    hot, cold = facts.where(F.col("_n") > line), facts.where(F.col("_n") <= line)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(cold, key))
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salts: int, salt: Column, out: str = "_rank") -> DataFrame:
     """A number from 0 for each row within its keys, dealt over `salts` tasks for each key.
 

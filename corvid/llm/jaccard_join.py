@@ -22,13 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, bitmap, maybe_in, stored
+from .common import arrow_map, bitmap, bitmap_bits, discard, join_hot, maybe_in, stored
 from .components import connected_components
 from .shingles import intersection, mix, shingle_set
 
 _U = np.uint64
 #: 64-bit words of the parities of a set's classes of shingles.
 PARITY = 16
+#: Tasks over which a signature is dealt that holds more than a HOT_SHARE-th of all rows, and rows of one in a task of the last round.
+SALTS, HOT_SHARE, BLOCK = 256, 10_000, 2_000
+#: One set in so many is looked at to find such signatures; a signature that is missed is only not dealt.
+LOOK, LOOK_LEAST = 32, 100
 
 
 def band_edges(limit: int = 1 << 40) -> list[int]:
@@ -92,11 +96,13 @@ def signatures(h: np.ndarray, band: int, own: bool, num: int, den: int) -> np.nd
     return np.unique(np.concatenate(out))
 
 
-def set_id(h: np.ndarray) -> int:
-    """63 bits that name a set; equal sets have equal names. The lowest bit is free."""
+def set_name(h: np.ndarray, bits: int = 61) -> tuple[int, int]:
+    """A name of so many bits, whose lowest bit is free, and a second hash of 64 bits that tells sets of one name apart."""
     with np.errstate(over="ignore"):
-        x = mix(mix(h ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64) + _U(len(h)))
-    return int((x & ~_U(1)).astype(np.int64))
+        n = _U(len(h))
+        name = mix(mix(h ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64) + n) >> _U(64 - bits)
+        check = mix(mix(h + _U(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64) ^ (n << _U(32)))
+    return int(name) << 1, int(check.astype(np.int64))
 
 
 def parities(h: np.ndarray) -> np.ndarray:
@@ -105,59 +111,65 @@ def parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
-def members_of(k: int, num: int, den: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("slack_below", pa.int32()), ("copy", pa.int64()), ("parity", pa.list_(pa.int64()))])
+_MEMBER = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("slack_below", pa.int32()), ("copy", pa.int64()), ("parity", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64())), ("sigs_below", pa.list_(pa.int64()))])
+_MEMBER_SQL = "doc_id long, set_id long, check long, n long, slack int, slack_below int, copy long, parity array<long>, sigs array<long>, sigs_below array<long>"
+
+
+def members_of(k: int, num: int, den: int, renamed: dict[tuple[int, int], int], bits: int):
+    """A row for each (doc_id, text, copy). Signatures of a set stand only at its first row in an input partition.
+
+    sigs_below: of the bands below its own in which a set takes part.
+    """
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            out = [[], [], [], [], [], batch.column(2), []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingle_set(text, k)
-                row = [doc, None, len(h), None, None]
+            out = [[] for _ in _MEMBER]
+            for doc, text, copy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                h = shingle_set(text.as_py(), k)
+                row = [doc, None, None, len(h), None, None, copy, parities(h), None, None]
                 if len(h):
-                    row[1] = set_id(h)
-                    for j, band in enumerate(bands_of(len(h), num, den)):
-                        row[3 + j] = slack_of(h, band, j == 0, num, den)
-                for col, x in zip(out, row, strict=False):
+                    row[1:3] = set_name(h, bits)
+                    row[1] = renamed.get((row[1], row[2]), row[1])
+                    own, *below = bands_of(len(h), num, den)
+                    row[4] = slack_of(h, own, True, num, den)
+                    if below:
+                        row[5] = min(slack_of(h, band, False, num, den) for band in below)
+                    if row[1] not in seen:
+                        seen.add(row[1])
+                        row[8] = signatures(h, own, True, num, den).view(np.int64)
+                        if below:
+                            row[9] = np.concatenate([signatures(h, band, False, num, den) for band in below]).view(np.int64)
+                for col, x in zip(out, row, strict=True):
                     col.append(x)
-                out[6].append(parities(h))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _MEMBER, strict=True)], schema=_MEMBER)
 
     return run
 
 
-def signatures_of(k: int, num: int, den: int, most: int = 1 << 18):
-    """(sig, member): member is the set's name with the lowest bit set where it takes part in a lower band.
+def _members(d: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
+    """Stored members whose names tell all their different sets apart.
 
-    Copies within an input partition give their rows once; the names seen are as many as its rows.
+    Two sets share a name with a chance of 2**-bits. Names that carry two second hashes are found and given up for
+    new ones; at 1e10 different sets some five of them are expected, so their table is bounded by chance, not by rows.
     """
-    schema = pa.schema([("sig", pa.int64()), ("member", pa.int64())])
-
-    def batch_of(sigs, names):
-        sig = np.concatenate(sigs)
-        member = np.repeat(np.array(names, dtype=np.int64), [len(x) for x in sigs])
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(member)], schema=schema)
-
-    def run(batches):
-        seen, sigs, names, held = set(), [], [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = shingle_set(text, k)
-                if not len(h) or (name := set_id(h)) in seen:
-                    continue
-                seen.add(name)
-                for j, band in enumerate(bands_of(len(h), num, den)):
-                    x = signatures(h, band, j == 0, num, den)
-                    sigs.append(x)
-                    names.append(name | (j > 0))
-                    held += len(x)
-                if held >= most:
-                    yield batch_of(sigs, names)
-                    sigs, names, held = [], [], 0
-        if sigs:
-            yield batch_of(sigs, names)
-
-    return run
+    renamed: dict[tuple[int, int], int] = {}
+    while True:
+        members = stored(arrow_map(d.select("_id", "_text", F.xxhash64("_text").alias("copy")), members_of(k, num, den, dict(renamed), bits), _MEMBER_SQL), "jaccard-members")
+        names = members.where("set_id is not null").select("set_id", "check")
+        clashing = names.groupBy("set_id").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("set_id")
+        found = names.join(F.broadcast(clashing), "set_id", "left_semi").distinct().collect()
+        if not found:
+            return members
+        first = {r["set_id"]: r["check"] for r in sorted(found, reverse=True)}
+        before = {new: old for old, new in renamed.items()}
+        for r in found:
+            if r["check"] != first[r["set_id"]]:
+                key = before.get(r["set_id"], (r["set_id"], r["check"]))
+                key = (key[0], r["check"])
+                # A different part of the second hash at each turn; the top bit is one that no first name has.
+                renamed[key] = (1 << 62) | ((int(mix(np.array([(r["check"] + len(renamed)) & (2**64 - 1)], dtype=np.uint64))[0]) >> 3) << 1)
+        discard(members)
 
 
 def _verifier(k: int, num: int, den: int):
@@ -179,18 +191,19 @@ def _verifier(k: int, num: int, den: int):
     return run
 
 
-def _texts(names: DataFrame, docs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
+def _texts(names: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_id, text) for the named sets. Only these texts leave their partition, with few others that the bitmap lets pass."""
     wanted = stored(classes.join(names, "set_id", "left_semi").select("set_id", "rep", "copy"), "jaccard-wanted")
+    bits = bitmap_bits(wanted.count())
     seen = bitmap(wanted, F.xxhash64("rep"), bits)
     texts = maybe_in(docs, F.xxhash64("_id"), seen, bits, "_maybe").where("_maybe").select("_id", "_text", F.xxhash64("_text").alias("_copy"))
     found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_copy") == F.col("copy"))).select("set_id", F.col("_text").alias("text"))
     return stored(found.dropDuplicates(["set_id"]), "jaccard-texts")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of set names that link, by their whole sets."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), docs, classes, bits)
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), docs, classes)
     with_b = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return arrow_map(with_both, _verifier(k, num, den), "a long, b long, linked boolean").where("linked").select("a", "b")
@@ -205,7 +218,26 @@ def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     return both.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23) -> dict[str, DataFrame]:
+def _shared(members: DataFrame) -> DataFrame:
+    """(sig, member, c): signatures that two or more sets have, and about how many. member is the set's name, odd below its own band.
+
+    A signature of very many sets is dealt over SALTS tasks. Such ones are found among every LOOK-th set; there
+    are fewer than HOT_SHARE of them, and one that is missed is counted in one task with the same result.
+    """
+    own = members.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("set_id").alias("member"))
+    below = members.where("sigs_below is not null").select(F.explode("sigs_below").alias("sig"), F.expr("set_id | 1L").alias("member"))
+    sigs = own.unionByName(below)
+    look = sigs.where(F.pmod(F.xxhash64(F.expr("member & -2L")), F.lit(LOOK)) == 0).distinct()
+    hot = look.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    line = max(LOOK_LEAST, look.count() // HOT_SHARE)
+    hot = stored(hot.where(F.col("n") > line).select("sig", F.lit(True).alias("hot")), "jaccard-hot")
+    dealt = sigs.join(F.broadcast(hot), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("member"), F.lit(SALTS))).otherwise(0).cast("int"))
+    group = Window.partitionBy("sig", "salt")
+    marked = dealt.withColumns({"lo": F.min(F.expr("member & -2L")).over(group), "hi": F.max(F.expr("member & -2L")).over(group), "c": F.count(F.lit(1)).over(group)})
+    return marked.where("lo <> hi or hot").select("sig", "member", F.expr(f"if(hot, c * {SALTS}, c)").alias("c"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, name_bits: int = 61) -> dict[str, DataFrame]:
     """Link texts whose sets of k-word shingles have a Jaccard similarity of num / den or more.
 
     Words are runs of bytes other than white space, A-Z in lower case. Returns three tables:
@@ -213,28 +245,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no words), which links with nothing. links (a, b): verified links between different sets, enough of them
     to connect everything that links connect. components (doc_id, n_shingles, component_id): the smallest
     doc_id that a row reaches. Rows that repeat an id are members each; null ids are never the smallest unless
-    no other id is in the component. Other columns are not read. Sets are compared by 64-bit hashes.
+    no other id is in the component. Other columns are not read, and an empty table gives empty ones. Shingles are
+    compared by 64-bit hashes; sets are told apart by their name and a second hash of 64 bits.
 
     Rounds: equal sets collapse first. Then each signature links its sets to its smallest set (a star, never
     all pairs), verified links merge into components, and at the end only pairs that share a probed signature
     and lie in different components are verified. Nothing is capped.
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    members = arrow_map(d.select("_id", "_text", F.xxhash64("_text").alias("copy")), members_of(k, num, den), "doc_id long, set_id long, n long, slack int, slack_below int, copy long, parity array<long>")
-    members = stored(members, "jaccard-members")
+    members = _members(d, k, num, den, name_bits)
     named = members.where("set_id is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy"))
     classes = stored(named.groupBy("set_id").agg(first.alias("first"), F.first("parity").alias("parity"), F.max("n").alias("n"), F.max("slack").alias("slack"), F.max("slack_below").alias("slack_below")).select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "n", "slack", "slack_below", "parity"), "jaccard-classes")
 
-    sigs = arrow_map(d.select("_text"), signatures_of(k, num, den), "sig long, member long")
-    by_sig = Window.partitionBy("sig")
-    shared = (
-        sigs.withColumns({"lo": F.min(F.expr("member & -2L")).over(by_sig), "hi": F.max(F.expr("member & -2L")).over(by_sig), "c": F.count(F.lit(1)).over(by_sig)})
-        .where("lo <> hi")
-        .select("sig", "member", "c")
-    )
     info = classes.select(F.explode(F.array(F.struct(F.col("set_id").alias("member"), "n", "slack"), F.struct(F.expr("set_id | 1L").alias("member"), "n", F.col("slack_below").alias("slack")))).alias("x")).select("x.*").where("slack is not null")
-    once = shared.repartition("member").groupBy("member", "sig").agg(F.max("c").alias("c"))
+    once = _shared(members).repartition("member").groupBy("member", "sig").agg(F.max("c").alias("c"))
     dearest = Window.partitionBy("member").orderBy(F.desc("c"), "sig")
     probes = once.join(info, "member").withColumn("rank", F.row_number().over(dearest))
     entries = probes.select("sig", "member", F.expr("member & -2L").alias("set_id"), "n", "slack", (F.col("rank") > F.col("slack")).alias("probe"))
@@ -242,33 +267,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     listed = stored(entries.groupBy("member").agg(F.collect_list("sig").alias("sigs"), F.max("slack").alias("slack")), "jaccard-lists")
 
     # Stars: the sets of a signature that anyone probes, each with the smallest one.
-    pivots = entries.groupBy("sig").agg(F.min("member").alias("pivot"), F.min_by("n", "member").alias("pivot_n"), F.max("probe").alias("p")).where("p")
+    pivots = entries.groupBy("sig").agg(F.min("member").alias("pivot"), F.min_by("n", "member").alias("pivot_n"), F.max("probe").alias("p"), F.count(F.lit(1)).alias("_n")).where("p")
+    pivots = stored(pivots, "jaccard-pivots")
     fits = f"{num} * greatest(n, pivot_n) <= {den} * least(n, pivot_n)"
-    star = entries.join(pivots, "sig").where("member <> pivot and (member & pivot & 1L) = 0").where(fits).select(F.col("pivot").alias("ma"), F.col("member").alias("mb")).distinct()
+    star = join_hot(entries, pivots, "sig").where("member <> pivot and (member & pivot & 1L) = 0").where(fits).select(F.col("pivot").alias("ma"), F.col("member").alias("mb")).distinct()
     tried = stored(_plausible(star, listed), "jaccard-star")
-    links = stored(_verified(tried, d, classes, k, num, den, bits), "jaccard-links")
+    links = stored(_verified(tried, d, classes, k, num, den), "jaccard-links")
     parts = stored(connected_components(links), "jaccard-parts")
 
     # What is left: pairs in different components that share a signature which one of them probes.
     placed = entries.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     placed = stored(placed, "jaccard-placed")
-    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("p")).where("p and lo <> hi").select("sig")
-    opened = placed.join(split, "sig")
+    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("p"), F.count(F.lit(1)).alias("_n")).where("p and lo <> hi")
+    split = stored(split.select("sig", F.expr(f"int(_n div {BLOCK})").alias("last_salt"), "_n"), "jaccard-split")
+    opened = join_hot(placed, split, "sig")
     # A class of shingles of which two sets hold an odd and an even number has a difference: parities bound the
-    # differences of two sets before a pair is made.
-    opened = opened.join(classes.select("set_id", "parity"), "set_id").select("sig", "member", "n", "probe", "component", "parity")
-    right = opened.select("sig", F.col("member").alias("m2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("parity").alias("parity2"), F.col("probe").alias("probe2"))
+    # differences of two sets before a pair is made. A crowded signature is dealt in blocks: each probing member
+    # goes to one of them, the others to all.
+    opened = opened.join(classes.select("set_id", "parity"), "set_id").select("sig", "last_salt", "member", "n", "probe", "component", "parity")
+    left = opened.where("probe").withColumn("salt", F.expr("pmod(xxhash64(member), last_salt + 1)"))
+    right = opened.select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_salt").cast("long"))).alias("salt"), F.col("member").alias("m2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("parity").alias("parity2"), F.col("probe").alias("probe2"))
     apart = " + ".join(f"bit_count(get(parity, {i}) ^ get(parity2, {i}))" for i in range(PARITY)) + f" <= floor((n + n2) * {den - num} / {den + num})"
     rest = (
-        opened.where("probe")
-        .join(right, "sig")
+        left.join(right, ["sig", "salt"])
         .where(f"component <> component2 and (member & m2 & 1L) = 0 and (member < m2 or not probe2) and {num} * greatest(n, n2) <= {den} * least(n, n2) and {apart}")
         .select(F.least("member", "m2").alias("ma"), F.greatest("member", "m2").alias("mb"))
         .distinct()
     )
     rest = stored(_plausible(rest, listed).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = stored(_verified(rest, d, classes, k, num, den, bits), "jaccard-more")
+        more = stored(_verified(rest, d, classes, k, num, den), "jaccard-more")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = stored(connected_components(links), "jaccard-parts")

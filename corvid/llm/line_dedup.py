@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bitmap, maybe_in, stored
+from .common import arrow_map, bitmap, bitmap_bits, discard, fresh_names, maybe_in, stored
 
 _STRIP = " \t\n\x0b\x0c\r"
 _ROW = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("pos", pa.int32())])
@@ -134,13 +134,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one document; a null doc_id is one document below all others. fp is xxhash64 of the text: it tells rows
     apart that repeat a doc_id with another text. Other columns are not read.
 
-    Range partitions are cut by (key, doc_id, pos), so a key that very many documents share is dealt over
-    several tasks. Only what concerns each partition's two outer keys is put together afterwards.
+    An empty table gives an empty result. Lines are split once: their keys are stored before range partitions are cut
+    from a sample of them, by (key, doc_id, pos), so a key that very many documents share is dealt over several tasks.
+    Only what concerns each partition's two outer keys is put together afterwards.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select("doc_id", F.xxhash64("_text").alias("fp"), "_text")
     order = [F.col("key"), F.col("doc_id").desc_nulls_last(), F.col("pos")]
-    rows = arrow_map(d, _lines_of(min_chars), _ROW_SQL)
+    rows = stored(arrow_map(d, _lines_of(min_chars), _ROW_SQL), "line-keys")
     seen = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), f"{_ROW_SQL}, kind byte"), "lines")
+    discard(rows)
     stats = seen.where(f"kind = {STAT}").select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
     # Only the first and last key of each range partition have such rows: two keys a partition bound the broadcast.
     opened = seen.where(f"kind = {OPEN}").join(F.broadcast(stats), "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
@@ -149,16 +151,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return by_doc.mapInArrow(_bitmaps, "doc_id long, fp long, keep_bitmap binary")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 23) -> DataFrame:
-    """docs with a column keep_bitmap, null where all lines stay. Only rows that may lose lines are shuffled."""
-    bitmaps = stored(bitmaps.select(F.col("doc_id").alias("_doc"), F.col("fp").alias("_fp"), "keep_bitmap"), "line-bitmaps")
-    key = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    marks = bitmap(bitmaps, F.xxhash64("_doc", "_fp"), bits)
-    marked = maybe_in(docs, key, marks, bits, "_maybe")
-    untouched = marked.where("not _maybe").drop("_maybe").withColumn("keep_bitmap", F.lit(None).cast("binary"))
-    maybe = marked.where("_maybe").drop("_maybe").withColumn("_own_fp", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = maybe.join(bitmaps, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_own_fp") == F.col("_fp")), "left").drop("_doc", "_fp", "_own_fp")
-    return untouched.unionByName(joined)
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a column keep_bitmap, null where all lines stay (so for null and empty texts). Only rows that may lose lines are shuffled.
+
+    All columns of docs stay, whatever their names, but for one named keep_bitmap, which is replaced. Rows that
+    repeat an id and text get the same bitmap; an empty table gives an empty result.
+    """
+    docs = docs.drop("keep_bitmap")
+    flag, doc, fp, own, gone = fresh_names([*docs.columns, "keep_bitmap"], "_maybe", "_doc", "_fp", "_own", "_gone")
+    bitmaps = stored(bitmaps.select(F.col("doc_id").alias(doc), F.col("fp").alias(fp), F.col("keep_bitmap").alias(gone)), "line-bitmaps")
+    bits = bitmap_bits(bitmaps.count())
+    print_of = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = maybe_in(docs, F.xxhash64(F.col(id_col).cast("long"), print_of), bitmap(bitmaps, F.xxhash64(doc, fp), bits), bits, flag)
+    untouched = marked.where(~F.col(flag)).drop(flag).withColumn("keep_bitmap", F.lit(None).cast("binary"))
+    maybe = marked.where(F.col(flag)).drop(flag).withColumn(own, print_of)
+    joined = maybe.join(bitmaps, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(fp)), "left").withColumn("keep_bitmap", F.col(gone))
+    return untouched.unionByName(joined.drop(doc, fp, own, gone))
 
 
 def line_digests(batches):

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import salted_rank, stored
+from .common import discard, stored
 
 #: Terms are summed as integers in units of 2**-SCALE tokens, so that sums don't depend on the order of rows.
 SCALE = 20
+#: Cells that may correct a source's total, for each doubling of sizes.
+CORRECTED = 4
 #: A multiplier at which every document with a word is at its cap; also the bracket before a bound is known.
 FULL = 1e12
 
@@ -47,8 +49,12 @@ def _rate(x: Column, lam: Column, cap: int) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(lam * x, F.lit(50.0))))
 
 
-def solve_rates(hist: DataFrame, targets: DataFrame, cap: int, steps: int = 60, tolerance: float = 1e-7) -> DataFrame:
-    """targets with lambda: Newton steps on the dual, each inside a bracket that shrinks, until every source is within tolerance."""
+def solve_rates(hist: DataFrame, targets: DataFrame, cap: int, steps: int = 60, tolerance: float = 1e-7, accepted: float = 1e-3) -> DataFrame:
+    """targets with lambda: Newton steps on the dual, each inside a bracket that shrinks, until every source is within tolerance.
+
+    Raises if after these steps, or with brackets as narrow as numbers allow, a source misses its target by more than
+    the accepted share of it.
+    """
     full = F.col("target") >= F.col("source_size") * F.lit(cap * (1 - 1e-9))
     state = targets.withColumns({"lam": F.when(full, FULL).otherwise(0.0), "lo": F.lit(-FULL), "hi": F.lit(FULL), "gap": F.lit(1.0)})
     state = state.withColumn("mean", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)))
@@ -67,25 +73,53 @@ def solve_rates(hist: DataFrame, targets: DataFrame, cap: int, steps: int = 60,
         newton = F.col("lam") + (F.col("target") - F.col("f")) / F.col("df")
         inside = (F.col("df") > 0) & (newton > F.col("lo")) & (newton < F.col("hi"))
         s = s.withColumn("lam", F.when(F.col("gap") <= tolerance, F.col("lam")).when(inside, newton).when(F.col("hi") == FULL, F.col("lo") * 2 + 1).when(F.col("lo") == -FULL, F.col("hi") * 2 - 1).otherwise((F.col("lo") + F.col("hi")) / 2))
-        state = stored(s.drop("f", "df"), "mix-state")
+        before, state = state, stored(s.drop("f", "df"), "mix-state")
+        discard(before)
         if state.where(F.col("gap") > tolerance).where("hi - lo > 1e-12 * greatest(1, abs(lo), abs(hi))").isEmpty():
             break
+    missed = state.where(F.col("gap") > accepted).select("source", "gap").head(3)
+    if missed:
+        raise RuntimeError(f"no rates found for sources and gaps {[tuple(r) for r in missed]}")
     return state.select("source", "source_size", "target", "mean", "lam")
 
 
+def _bucket(size: Column) -> Column:
+    """Sizes within a sixteenth of a factor of two share a bucket: at most 16 for each doubling of the longest text."""
+    return F.floor(F.log2(size) * 16).cast("int")
+
+
 def _copies(cells: DataFrame, cap: int) -> DataFrame:
-    """Copies of each (source, size), largest size first; what a cell's rounding leaves is made up by the next ones.
+    """Copies of each (source, size): rounded prefix sums of the expected copies, largest size first, then a correction.
 
-    The array of a source has an element for each distinct size, which the longest text bounds.
+    Rounded prefix sums never stray more than half a copy, so what they miss of a target is less than the longest
+    text. The correction changes the copies of some cells, at most CORRECTED for each doubling of sizes, from the
+    largest on, until less than the smallest of them is missing. Prefix sums run inside buckets of sizes; the sums
+    of the buckets before, a bounded number a source, are added to them.
     """
-    per_source = cells.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells"))
+    unit = 1 << SCALE
+    c = cells.withColumns({"due": F.round(F.col("n") * F.col("rate") * unit).cast("long"), "bucket": _bucket(F.col("size"))})
+    sums = c.groupBy("source", "bucket").agg(F.sum("due").alias("all_due"))
+    before = Window.partitionBy("source").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("all_due").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("source", "bucket").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).drop("_s", "_b")
+    c = c.withColumn("upto", F.col("ahead") + F.sum("due").over(inside))
+    c = c.withColumn("copies", F.expr(f"(upto + {unit // 2}) div {unit} - (upto - due + {unit // 2}) div {unit}"))
+    c = stored(c.select("source", "size", "n", "rate", "copies"), "mix-copies")
+
+    missing = c.groupBy("source").agg(F.sum(F.round((F.col("n") * F.col("rate") - F.col("copies")) * F.col("size") * unit).cast("decimal(38,0)")).alias("missing"))
+    chosen = c.groupBy("source", F.floor(F.log2("size")).alias("doubling"), F.pmod(F.xxhash64("size"), F.lit(CORRECTED)).alias("k")).agg(F.min(F.struct("size", "n", "copies")).alias("c"))
+    listed = chosen.groupBy("source").agg(F.sort_array(F.collect_list("c"), asc=False).alias("cells")).select(F.col("source").alias("_s"), "cells")
     step = f"""
-        aggregate(cells, struct(cast(0 as double) as carry, cast(array() as array<struct<size:bigint,n:bigint,copies:bigint>>) as out),
-          (acc, c) -> transform(array(cast(least(greatest(round((acc.carry + c.n * c.rate * c.size) / c.size), 0), {cap} * c.n) as bigint)), k ->
-            struct(acc.carry + c.n * c.rate * c.size - k * c.size as carry, concat(acc.out, array(struct(c.size as size, c.n as n, k as copies))) as out))[0],
+        aggregate(cells, struct(cast(missing as double) / {unit} as left, cast(array() as array<struct<size:bigint,more:bigint>>) as out),
+          (acc, c) -> transform(array(cast(least(greatest(if(abs(acc.left) < c.size, round(acc.left / c.size), floor(abs(acc.left) / c.size) * sign(acc.left)), -c.copies), {cap} * c.n - c.copies) as bigint)), k ->
+            struct(acc.left - k * c.size as left, concat(acc.out, array(struct(c.size as size, k as more))) as out))[0],
           acc -> acc.out)
     """
-    return per_source.select("source", F.explode(F.expr(step)).alias("c")).select("source", "c.size", "c.n", "c.copies")
+    fixed = missing.join(listed, F.col("source").eqNullSafe(F.col("_s"))).select("source", F.explode(F.expr(step)).alias("m"))
+    fixed = fixed.select(F.col("source").alias("_s"), F.col("m.size").alias("_z"), F.col("m.more").alias("more")).where("more <> 0")
+    out = c.join(fixed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left")
+    return out.select("source", "size", "n", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, salts: int = 256, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -46,16 +46,21 @@ m AS (
          CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
+         length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣◦]'))) AS n_bullet_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '([.]{3}|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
 r AS (
   SELECT *, n_words < 50 AS r0, 100 * n_repeat_words > 50 * n_words AS r1, 10 * n_symbols > n_words AS r2,
          n_lines >= 4 AND 2 * n_dup_lines > n_lines AS r3,
-         n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS r4
+         n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS r4,
+         2 * n_digits > word_chars AS r5, n_lines >= 4 AND 10 * n_bullet_lines > 9 * n_lines AS r6,
+         n_lines >= 4 AND 10 * n_ellipsis_lines > 3 * n_lines AS r7
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed,
        NOT (r0 OR r1 OR r2 OR r3 OR r4) AS kept,
-       CAST(r0::INT + 2 * r1::INT + 4 * r2::INT + 8 * r3::INT + 16 * r4::INT AS INT) AS rule_bits
+       CAST(r0::INT + 2 * r1::INT + 4 * r2::INT + 8 * r3::INT + 16 * r4::INT + 32 * r5::INT + 64 * r6::INT + 128 * r7::INT AS INT) AS rule_bits
 FROM r
 """
 

@@ -14,6 +14,9 @@ RULES = (
     (2, "symbols", "10 * n_symbols > n_words"),
     (3, "duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     (4, "word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"),
+    (5, "digits", "2 * n_digits > word_chars"),
+    (6, "bullet_lines", "n_lines >= 4 and 10 * n_bullet_lines > 9 * n_lines"),
+    (7, "ellipsis_lines", "n_lines >= 4 and 10 * n_ellipsis_lines > 3 * n_lines"),
 )
 BASE_MASK = 0b00011
 
@@ -26,7 +29,7 @@ class Policy:
     mask: int
 
 
-POLICIES = {"base": Policy("base", BASE_MASK), "v1": Policy("v1", 0b11111)}
+POLICIES = {"base": Policy("base", BASE_MASK), "v1": Policy("v1", 0b11111), "v2": Policy("v2", 0b11111111)}
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,6 +47,9 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.expr(r"regexp_count(_text, '[#*$%&|<>]')").cast("long").alias("n_symbols"),
         F.expr("size(_lines)").cast("long").alias("n_lines"),
         F.expr("size(_lines) - size(array_distinct(_lines))").cast("long").alias("n_dup_lines"),
+        F.expr(r"regexp_count(_text, '[0-9]')").cast("long").alias("n_digits"),
+        F.expr(r"size(filter(_lines, x -> x rlike '^[\\x20\\x09-\\x0D]*[-*•‣◦]'))").cast("long").alias("n_bullet_lines"),
+        F.expr(r"size(filter(_lines, x -> x rlike '([.]{3}|…)[\\x20\\x09-\\x0D]*$'))").cast("long").alias("n_ellipsis_lines"),
         F.expr("if(size(_words) < 3, cast(array() as array<bigint>), transform(sequence(0, size(_words) - 3), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))))").alias("_windows"),
     )
     # Windows that occur twice are neighbours once sorted; their starts, sorted again, give the words they cover.
@@ -71,6 +77,18 @@ def quality_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return m.select(F.inline(F.array(F.struct(*m.columns, F.expr(bits).alias("rule_bits")))))
 
 
+def stored_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the ledger to path, a folder that all executors share, unless one is there; policies and ablations read it from there.
+
+    Texts are measured once, however many policies follow.
+    """
+    spark = docs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        quality_ledger(docs, id_col, text_col).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
     """base_failed, the verdict kept, and the policy's version, from the stored bits alone."""
     failed = F.col("rule_bits").bitwiseAND(F.lit(policy.mask | BASE_MASK)) != 0

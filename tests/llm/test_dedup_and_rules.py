@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corvid.llm.exact_dedup import exact_dedup
 from corvid.llm.line_dedup import kept_texts, line_dedup, line_digests, with_bitmaps
-from corvid.llm.quality_rules import POLICIES, RULES, ablations, quality_ledger, quality_rules
+from corvid.llm.common import scratch_root
+from corvid.llm.quality_rules import POLICIES, RULES, ablations, apply_policy, quality_ledger, quality_rules, stored_ledger
 
 from .data import documents, empty, frame
 
@@ -64,9 +65,26 @@ def test_quality_bits_policies_and_ablations(spark):
     ledger = quality_ledger(frame(spark))
     rows = quality_rules(frame(spark)).collect()
     assert all(r.kept == (r.rule_bits & POLICIES["v1"].mask == 0) for r in rows)
-    cut = {r.rule: (r.n_failed, r.n_kept_without) for r in ablations(ledger, POLICIES["v1"]).collect()}
-    for bit, name, _ in RULES:
-        assert cut.get(name, (0, 0)) == (sum(r.rule_bits >> bit & 1 for r in rows), sum(r.rule_bits == 1 << bit for r in rows))
+    for policy in POLICIES.values():
+        cut = {r.rule: (r.n_failed, r.n_kept_without) for r in ablations(ledger, policy).collect()}
+        for bit, name, _ in RULES:
+            alone = sum(r.rule_bits & policy.mask == 1 << bit for r in rows)
+            assert cut.get(name, (0, 0)) == (sum(r.rule_bits >> bit & 1 for r in rows), alone)
+
+
+def test_a_stored_ledger_is_measured_once(spark):
+    path = f"{scratch_root(spark)}/ledger"
+    first = stored_ledger(frame(spark), path)
+    assert stored_ledger(empty(spark), path).count() == first.count() == len(documents())
+    for name, policy in POLICIES.items():
+        kept = apply_policy(first, policy).where("kept").count()
+        assert kept == quality_rules(frame(spark), policy).where("kept").count(), name
+
+
+def test_rules_on_digits_bullets_and_ellipses(spark):
+    rows = [(1, "12 345 6a b", *[None] * 6), (2, "- a\n * b\n\t• c\n-d", *[None] * 6), (3, "a...\nb…  \nc\nd", *[None] * 6), (4, "a b c", *[None] * 6)]
+    got = {r.doc_id: (r.n_digits, r.n_bullet_lines, r.n_ellipsis_lines, r.rule_bits >> 5) for r in quality_ledger(frame(spark, rows)).collect()}
+    assert got == {1: (6, 0, 0, 1), 2: (0, 4, 0, 2), 3: (0, 0, 2, 4), 4: (0, 0, 0, 0)}
 
 
 def test_filters_on_the_verdict_stay_cheap(spark):
@@ -122,6 +140,17 @@ def test_line_dedup_across_many_small_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_with_bitmaps_keeps_columns_of_any_name(spark):
+    line = "This very line is found in a great many of the documents"
+    names = "doc_id long, text string, _bucket int, _pos int, _bits string, _maybe int, _doc int, _fp int, _own_fp int, keep_bitmap int"
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}", 1, 2, "3", 4, 5, 6, 7, 8) for i in range(9)] + [(None, None, *[None] * 8)], names)
+    got = with_bitmaps(docs, line_dedup(docs))
+    assert sorted(got.columns) == sorted(docs.columns)
+    rows = got.collect()
+    assert sum(r.keep_bitmap is None for r in rows) == 2
+    assert all((r._bucket, r._pos, r._bits, r._maybe, r._doc, r._fp, r._own_fp) == (1, 2, "3", 4, 5, 6, 7) for r in rows if r.doc_id is not None)
+
+
 def test_line_dedup_keeps_text_and_nulls(spark):
     d = frame(spark).select("doc_id", "text")
     got = with_bitmaps(d, line_dedup(d)).mapInArrow(kept_texts, "doc_id long, text string").collect()

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from corvid.llm.components import connected_components
-from corvid.llm.jaccard_join import band_edges, bands_of, jaccard_join, parities, set_id, signatures, slack_of
+from corvid.llm.jaccard_join import band_edges, bands_of, jaccard_join, parities, set_name, signatures, slack_of
 from corvid.llm.shingles import intersection, shingle_set, word_hashes
 
 from .data import documents, empty, frame
@@ -130,7 +130,39 @@ def test_texts_with_words_appended_across_a_band_edge(spark):
 
 def test_set_names():
     a = np.array([1, 2, 3], dtype=np.uint64)
-    assert set_id(a) == set_id(a.copy()) != set_id(a[:2]) and set_id(a) % 2 == 0
+    assert set_name(a) == set_name(a.copy()) != set_name(a[:2]) and set_name(a)[0] % 2 == 0 <= set_name(a)[0] < 1 << 62
+
+
+def test_sets_that_share_a_name_are_told_apart(spark):
+    """With names of 5 bits nearly every set shares one with others."""
+    rows = documents(seed=5)
+    assert got(jaccard_join(frame(spark, rows), name_bits=5)["components"]) == expected(rows)
+
+
+def test_hot_signatures_are_dealt_with_the_same_result(spark, monkeypatch):
+    from corvid.llm import common, jaccard_join as module
+
+    for name, value in (("LOOK", 1), ("LOOK_LEAST", 3), ("SALTS", 3), ("BLOCK", 4)):
+        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(10)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(500)}"
+        rows.append((i, " ".join(w), "en", "s", 1, "", "", ""))
+    assert got(jaccard_join(frame(spark, rows))["components"]) == expected(rows)
+
+
+def test_crowd_that_shares_much_and_links_with_nobody(spark):
+    """Two thirds of every text are the same, so most signatures are crowded, but no two texts are similar enough."""
+    base = [f"b{i}" for i in range(130)]
+    rows = [(i, " ".join([*base, *(f"own{i}x{j}" for j in range(60))]), "en", "s", 1, "", "", "") for i in range(1500)]
+    out = jaccard_join(frame(spark, rows))
+    assert got(out["components"]) == sorted(((i, 186, i) for i in range(1500)), key=str)
+    assert out["rest"].count() == 0 and out["tried"].count() < 10 * 1500
 
 
 def test_components_of_a_chain_and_a_star(spark):

@@ -1,11 +1,12 @@
 import re
 from collections import Counter, defaultdict
+from dataclasses import asdict
 
 import pytest
 
 from corvid.llm.common import scratch_root
 from corvid.llm.mixing import mix_sources
-from corvid.llm.sharding import Shard, ShardStore
+from corvid.llm.sharding import Conflict, Shard, ShardStore
 
 from .data import documents, empty, frame
 
@@ -56,6 +57,51 @@ def test_mix_with_nulls_hot_copies_and_tiny_sources(spark):
     assert mix_sources(empty(spark)).collect() == []
 
 
+def test_rates_equal_an_independent_solver(spark):
+    """Each source's multiplier by bisection on plain sums, and the copies of a (source, size) by its rate."""
+    import math
+
+    from corvid.llm.mixing import CORRECTED, solve_rates, source_targets
+
+    rows = [(s, z, n) for s, zs in (("a", range(5, 900, 7)), ("b", [3, 4, 9, 21, 44, 100, 300]), ("c", range(1, 60)), (None, [4])) for i, z in enumerate(zs) for n in [1 + (i * 7) % 5]]
+    hist = spark.createDataFrame(rows, "source string, size long, n long")
+    sizes = Counter()
+    for s, z, n in rows:
+        sizes[s] += z * n
+    want = water_filling(sizes)
+    got = {r.source: r for r in solve_rates(hist, source_targets(hist, (5, 2, 1), 3), 3).collect()}
+    for s, target in want.items():
+        own = [(z, n) for x, z, n in rows if x == s]
+        mean = sizes[s] / sum(n for _, n in own)
+        lo, hi = -500.0, 500.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            full = sum(z * n * min(3.0, math.exp(min(mid * z / mean, 50))) for z, n in own)
+            lo, hi = (mid, hi) if full < target else (lo, mid)
+        assert got[s].target == pytest.approx(target)
+        if target < 3 * sizes[s] * (1 - 1e-9):
+            assert got[s].lam == pytest.approx(lo, rel=1e-3, abs=1e-5)
+    docs = [(k, " ".join(["w"] * z), "en", s, 1, "", "", "") for k, (s, z) in enumerate((s, z) for s, z, n in rows for _ in range(n))]
+    taken, off = Counter(), Counter()
+    for r in mix_sources(frame(spark, docs)).collect():
+        taken[r.source, r.size] += r.copies
+    for s, z, n in rows:
+        mean = sizes[s] / sum(k for x, _, k in rows if x == s)
+        off[s] += abs(taken[s, z] - n * min(3.0, math.exp(min(got[s].lam * z / mean, 50)))) > 1.001
+    assert all(v <= CORRECTED * 13 for v in off.values())
+    for s, target in want.items():
+        assert abs(sum(z * taken[s, z] for x, z, _ in rows if x == s) - target) <= 4
+
+
+def test_mix_that_finds_no_rates_raises(spark):
+    from corvid.llm.mixing import solve_rates
+
+    hist = spark.createDataFrame([("a", 5, 10), ("a", 50, 10)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 550, 20, 700.0)], "source string, source_size long, n_docs long, target double")
+    with pytest.raises(RuntimeError):
+        solve_rates(hist, targets, 3, steps=1)
+
+
 def test_shards_are_tiered_versioned_and_whole(spark):
     store = ShardStore(spark, f"{scratch_root(spark)}/store-a", target=60_000, fan_in=3)
     assert store.shards() == [] and store.read() is None and store.compact() == 0
@@ -76,17 +122,64 @@ def test_shards_are_tiered_versioned_and_whole(spark):
     read = lambda v=None: Counter(tuple(r)[:-1] for r in store.read(v).collect())
     assert read() == Counter(rows) == read(4)
     assert sum(s.rows for s in after) == sum(rows.values())
-    assert store.vacuum() > 0 and read() == Counter(rows) and len(store.versions()) == 1
+    assert store.vacuum() == 0 and read(4) == Counter(rows)
+    assert store.vacuum(grace=-5) > 0 and read() == Counter(rows) and len(store.versions()) == 1
+    with pytest.raises(ValueError):
+        store.shards(4)
+    store.append(frame(spark, documents(3, seed=9), 1))
+    assert sum(s.rows for s in store.shards()) == sum(rows.values()) + len(documents(3, seed=9))
+
+
+def test_versions_are_changes_with_whole_lists_between(spark):
+    store = ShardStore(spark, f"{scratch_root(spark)}/store-c", target=1000)
+    for i in range(40):
+        store.commit([Shard(f"shards/x{i:02d}", 1, 10)], {f"shards/x{i - 3:02d}"} if i > 2 else set())
+        assert [s.path[-2:] for s in store.shards()] == [f"{k:02d}" for k in range(max(0, i - 2), i + 1)]
+    assert store._listed("c") == [16, 32] and len(store._load("v00000040")["adds"]) == 1
+    assert [s.path[-2:] for s in store.shards(20)] == ["17", "18", "19"]
+
+
+def test_vacuum_finds_files_of_failed_writes_and_spares_young_ones(spark):
+    import time
+
+    store = ShardStore(spark, f"{scratch_root(spark)}/store-d", target=1000)
+    store.append(frame(spark, documents(5), 2))
+    store._write(frame(spark, documents(5), 3))  # never committed
+    assert store.vacuum() == 0
+    assert store.vacuum(now=lambda: time.time() + 4000) == 3
+    assert store.read().count() == len(documents(5))
+
+
+def test_columns_named_like_the_operators_own(spark):
+    store = ShardStore(spark, f"{scratch_root(spark)}/store-e", target=10**6, fan_in=2)
+    rows = spark.createDataFrame([(1, "a", "b", "c", 5)], "doc_id long, text string, _name string, shard string, _run long")
+    for _ in range(3):
+        store.append(rows)
+    store.compact(final=True)
+    with pytest.raises(ValueError):
+        store.read()
+    assert [tuple(r)[:-1] for r in store.read(shard_col="from").collect()] == [(1, "a", "b", "c", 5)] * 3
 
 
-def test_a_version_is_committed_once(spark):
+def test_lost_races_are_tried_again_or_given_up(spark, monkeypatch):
     store = ShardStore(spark, f"{scratch_root(spark)}/store-b", target=1000)
-    store.commit([Shard("shards/x", 1, 10)], 0)
-    with pytest.raises(RuntimeError):
-        store.commit([], 0)
-    assert store.shards() == [Shard("shards/x", 1, 10)]
+    store.commit([Shard("shards/x", 1, 10)])
+    put, lost = ShardStore._put, []
+
+    def first_loses(self, name, content):
+        if not lost:
+            lost.append(name)
+            put(self, name, {"version": 2, "time": 0.0, "adds": [asdict(Shard("shards/y", 2, 20))], "removes": []})
+        return put(self, name, content)
+
+    monkeypatch.setattr(ShardStore, "_put", first_loses)
+    assert store.commit([Shard("shards/z", 3, 30)]) == 3
+    assert [s.path for s in store.shards()] == ["shards/x", "shards/y", "shards/z"]
+    store.commit([], {"shards/x"})
+    with pytest.raises(Conflict):
+        store.commit([], {"shards/x"})
     store.append(empty(spark))
-    assert store.versions() == [1, 2]
+    assert store.versions() == [1, 2, 3, 4, 5]
 
 
 def test_merge_runs_are_similar_and_bounded():
