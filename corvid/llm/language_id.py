@@ -141,7 +141,8 @@ def fit_languages(labelled: DataFrame, text_col: str, lang_col: str, key_col: st
     """Filters from rows with a label.
 
     sample: the expected number of rows per language (all, where there are fewer), picked by a hash of key_col;
-    their whole texts are read. profile: n-grams kept for a language, those in most of its sampled texts and in
+    their whole texts are read. Null texts and null labels teach nothing, repeated rows count each, and without any
+    row with both nothing is learned (every text is then UNDETERMINED); other columns are not read. profile: n-grams kept for a language, those in most of its sampled texts and in
     at least `share` of them. Any number of labels may occur; what reaches the driver is bounded by labels * profile n-grams,
     and the filters take 8 MB for each MAX_LANGUAGES of them.
     """

@@ -55,6 +55,124 @@ def test_stages_on_repeated_and_null_ids(spark):
     assert abs(sum(len(r.text.split()) for r in mixed) - words) <= 25
 
 
+def test_stages_equal_brute_force_on_repeated_and_null_rows(spark):
+    from collections import Counter
+
+    import numpy as np
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from corvid.llm.tokens import tokenizer_path
+
+    from .data import documents
+    from .test_dedup_and_rules import measure
+    from .test_jaccard_join import expected
+    from .test_mixing_and_shards import water_filling
+
+    shared = "This very line is found in a great many of the documents"
+    rows = [(d, t, la, so, n) for d, t, la, so, n, *_ in documents(90, seed=12)]
+    rows += [(500 + i, f"{shared}\n" + " ".join(f"own{i}x{j}" for j in range(60 + i)), "en", f"s{i % 2}", 7) for i in range(8)]
+    rows += [rows[-1], rows[-1], rows[-2], (None, rows[-3][1], "en", "s0", 1), (None, rows[-3][1], "en", "s0", 1), (None, None, None, None, None)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4), "brute")
+    stages = dict(corpus_pipeline.STAGES)
+    at = lambda df: [tuple(r) for r in df.collect()]
+
+    def passes(text):
+        n, chars, symbols, dup, repeats = measure(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        return not (n < 50 or 100 * repeats > 50 * n or 10 * symbols > n or (lines >= 4 and 2 * dup > lines) or chars < 2 * n or chars > 15 * n)
+
+    good = stored(stages["quality_rules"](spark, docs, SF), "good")
+    assert Counter(at(good)) == Counter(r for r in rows if passes(r[1]))
+
+    lined = stored(stages["line_dedup"](spark, good, SF), "lined")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower()
+    low = lambda d: -1 if d is None else d
+    holders = {}
+    for r in at(good):
+        for x in r[1].split("\n"):
+            if len(key(x).decode()) >= 40:
+                holders.setdefault(key(x), set()).add(low(r[0]))
+    stays = {k: max(v) for k, v in holders.items() if len(v) >= 5}
+    want = Counter()
+    for d, t, la, so, _ in at(good):
+        text = "\n".join(x for x in t.split("\n") if stays.get(key(x), low(d)) == low(d))
+        want[(d, text, la, so, len(text))] += 1
+    assert Counter(at(lined)) == want and stays
+
+    single = stored(stages["jaccard_join"](spark, lined, SF), "single")
+    before = at(lined)
+    groups = {}
+    for i, (_, _, component) in enumerate(sorted(expected([(i, r[1]) for i, r in enumerate(before)]), key=lambda x: x[0])):
+        groups.setdefault(component, []).append(before[i][0])
+    least = Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
+    assert Counter(r[0] for r in at(single)) == least and not Counter(at(single)) - want
+
+    mixed = stored(stages["mix_sources"](spark, single, SF), "mixed")
+    copies, kept = Counter(at(mixed)), Counter(at(single))
+    assert all(copies[r] <= 3 * kept[r] for r in copies)
+    sizes, taken = Counter(), Counter()
+    for r, n in kept.items():
+        sizes[r[3]] += n * len(WORD.findall(r[1]))
+    for r, n in copies.items():
+        taken[r[3]] += n * len(WORD.findall(r[1]))
+    for source, target in water_filling(sizes).items():
+        # No rounding to whole copies comes nearer than half of the longest text may force.
+        assert abs(taken[source] - target) <= 0.02 * target + max(len(WORD.findall(r[1])) for r in kept if r[3] == source) / 2
+
+    library = Tokenizer.from_file(tokenizer_path(corpus_pipeline.TOKENIZER))
+    pieces = Counter()
+    for r in at(mixed):
+        ids = np.asarray([*library.encode(r[1], add_special_tokens=False).ids, 1], dtype="<u4")
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            part = ids[start : start + 4096]
+            pieces[(r[0], piece, start, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in stages["pack"](spark, mixed, SF).collect()) == pieces
+
+
+def test_scratch_tables_of_a_scope_go_and_results_stay(spark):
+    from corvid.llm.common import discard, scratch_scope
+
+    with scratch_scope(spark):
+        own = stored(spark.range(5), "own")
+        result = stored(own, "result", outlives=True)
+    there = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df._stored_at).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(df._stored_at))
+    assert not there(own) and there(result) and result.count() == 5
+    discard(result)
+    assert not there(result)
+
+
+PLAIN = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.warehouse.dir", sys.argv[1]).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+from corvid.llm.queries import queries
+before = dict(spark.sparkContext.getConf().getAll()), spark.conf.getAll if not callable(spark.conf.getAll) else spark.conf.getAll()
+for name, query in queries().items():
+    if name.split("_")[0] in ("op1", "op2", "op3", "op5", "op6", "op7", "op9"):
+        print(name, query(spark, "/root/testdata/sf0.001").count())
+from corvid.llm.common import scratch_root
+assert scratch_root(spark).startswith("file:" + sys.argv[1]) or scratch_root(spark).startswith(sys.argv[1]), scratch_root(spark)
+assert (spark.conf.getAll if not callable(spark.conf.getAll) else spark.conf.getAll()) == before[1]
+"""
+
+
+def test_operators_run_on_a_plain_session(tmp_path):
+    """Without spark.checkpoint.dir tables go to the warehouse, and no setting of the session is changed."""
+    import os
+    import subprocess
+    import sys
+
+    conf = tmp_path / "conf"
+    conf.mkdir()
+    env = os.environ | {"SPARK_CONF_DIR": str(conf), "PYTHONPATH": os.getcwd()}
+    done = subprocess.run([sys.executable, "-c", PLAIN, str(tmp_path / "warehouse")], env=env, capture_output=True, text=True, timeout=400)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(done.stdout.split()) == 14 and all(int(x) >= 200 for x in done.stdout.split()[1::2])
+
+
 def test_every_operator_has_one_query():
     names = [int(n[2:].split("_")[0]) for n in queries()]
     assert sorted(names) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())

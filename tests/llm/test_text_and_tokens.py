@@ -319,6 +319,30 @@ def test_filters_return_all_languages_with_an_ngram():
         LanguageFilters.build({str(i): grams("x y z") for i in range(65)})
 
 
+def test_filters_equal_exact_gram_sets(spark):
+    """Predictions by bit-sliced filters against whole sets of n-grams, learned by counting in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    filters = fit_languages(docs, "text", "lang", "doc_id", sample=10**9, profile=10**9, share=0.0)
+    sets = {}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    for r in rows:
+        if r.lang is not None:
+            sets.setdefault(r.lang, set()).update(grams(r.text).tolist())
+    assert filters.languages == sorted(sets)
+    got = {r.doc_id: r for r in identify_languages(docs.select("doc_id", "text"), filters).collect()}
+    for r in rows:
+        codes = grams(r.text).tolist()
+        exact = {x: sum(c in s for c in codes) for x, s in sets.items()}
+        hits, n = filters.hits(r.text)
+        assert n == len(codes) and all(hits[i] >= exact[x] for i, x in enumerate(filters.languages))
+        corrected, _ = filters.corrected(r.text)
+        assert all(abs(corrected[i] - exact[x]) <= 0.02 * n + 3 for i, x in enumerate(filters.languages))
+        if (g := got[r.doc_id]).lang_pred != "und":
+            ranked = sorted(exact.values())
+            assert exact[g.lang_pred] == ranked[-1] or exact[g.lang_pred] >= ranked[-1] - 0.02 * n - 3
+            assert g.score == pytest.approx(exact[g.lang_pred] / n, abs=0.03 + 3 / n)
+
+
 def test_more_labels_than_a_mask_has_bits(spark):
     word = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}" * 3
     rows = [(i, f"{word(i)} {word(i)}", f"l{i:03}", "s", 1, "", "", "") for i in range(130)]
