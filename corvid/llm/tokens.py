@@ -32,7 +32,7 @@ from .common import arrow_map, byte_slices, stored
 #: States of a worker's table, and words kept beside it in a generation.
 STATES, TABLE = 150_000, 150_000
 #: Bytes of text that go through the table at once; longer texts are cut into chunks of this size.
-SECTION = 1 << 22
+SECTION = 1 << 21
 #: Longer words are given to the library.
 LONGEST = 64
 MISSING, START = 0, 1
