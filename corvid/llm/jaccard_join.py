@@ -231,10 +231,11 @@ def _shared(members: DataFrame) -> DataFrame:
     hot = look.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     line = max(LOOK_LEAST, look.count() // HOT_SHARE)
     hot = stored(hot.where(F.col("n") > line).select("sig", F.lit(True).alias("hot")), "jaccard-hot")
-    dealt = sigs.join(F.broadcast(hot), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("member"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("member"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    dealt = sigs.join(F.broadcast(hot), "sig", "left").select("sig", "member", salt.alias("salt"))
     group = Window.partitionBy("sig", "salt")
     marked = dealt.withColumns({"lo": F.min(F.expr("member & -2L")).over(group), "hi": F.max(F.expr("member & -2L")).over(group), "c": F.count(F.lit(1)).over(group)})
-    return marked.where("lo <> hi or hot").select("sig", "member", F.expr(f"if(hot, c * {SALTS}, c)").alias("c"))
+    return marked.where("lo <> hi or salt > 0").select("sig", "member", F.expr(f"if(salt > 0, c * {SALTS}, c)").alias("c"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, name_bits: int = 61) -> dict[str, DataFrame]:
@@ -264,6 +265,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     probes = once.join(info, "member").withColumn("rank", F.row_number().over(dearest))
     entries = probes.select("sig", "member", F.expr("member & -2L").alias("set_id"), "n", "slack", (F.col("rank") > F.col("slack")).alias("probe"))
     entries = stored(entries, "jaccard-entries")
+    wide, members = members, stored(members.select("doc_id", "set_id", "n"), "jaccard-named")
+    discard(wide)
     listed = stored(entries.groupBy("member").agg(F.collect_list("sig").alias("sigs"), F.max("slack").alias("slack")), "jaccard-lists")
 
     # Stars: the sets of a signature that anyone probes, each with the smallest one.
