@@ -43,6 +43,7 @@ def nearest(queries: DataFrame, data: DataFrame, id_col: str, vector: str, block
                 keep = np.isfinite(best)
                 yield pd.DataFrame({"id": qi[keep], "nn_id": di[at][keep], "d2": best[keep]})
 
-    found = q.crossJoin(d).mapInPandas(compare, "id long, nn_id long, d2 double")
+    # A stated query set against all rows, in blocks: a product of partitions, in which neither side is broadcast.
+    found = q.hint("shuffle_replicate_nl").crossJoin(d).mapInPandas(compare, "id long, nn_id long, d2 double")
     best = found.groupBy("id").agg(F.min(F.struct("d2", "nn_id")).alias("b"))
     return best.select("id", F.col("b.nn_id").alias("nn_id"), F.sqrt("b.d2").alias("distance"))

@@ -14,6 +14,7 @@ from ..functions.parsers import corrections_of, direction_concepts, directions_o
 from ..functions.text import first_number, prf
 from ..functions.vocabulary import MOVE_EPS_MM, MUSCLES, REGIONS
 from .metrics import abstention, set_scores
+from .statistics import exact_quantiles
 
 # Tolerances by unit and quantity, the opposite concepts, the axes and the least motion that is scored.
 TOL_MM, TOL_NORM, TOL_BY_QUANTITY = 2.0, 0.1, {"cd_min": 0.03}
@@ -24,8 +25,8 @@ LEAST_MOTION_MM = 2.0
 
 def region_masks(rest: DataFrame) -> DataFrame:
     """vertex and region of the rest mesh: tip and root by the outer fifths of x, body between, dorsum by the top of z without the tip."""
-    q = rest.agg(F.percentile("x", F.array(F.lit(0.2), F.lit(0.8))).alias("qx"), F.percentile("z", 0.7).alias("qz"))
-    d = rest.crossJoin(F.broadcast(q))
+    qx, qz = exact_quantiles(rest, [], "x", (0.2, 0.8)), exact_quantiles(rest, [], "z", (0.7,))
+    d = rest.crossJoin(F.broadcast(qx.select(F.col("q").alias("qx")))).crossJoin(F.broadcast(qz.select(F.col("q")[0].alias("qz"))))
     tip, root = F.col("x") <= F.col("qx")[0], F.col("x") >= F.col("qx")[1]
     marks = F.array(F.when(tip, F.lit("tip")), F.when(root, F.lit("root")), F.when(~tip & ~root, F.lit("body")), F.when(~tip & (F.col("z") >= F.col("qz")), F.lit("dorsum")))
     return d.select("vertex", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("region"))

@@ -57,10 +57,27 @@ def balanced_sample(df: DataFrame, bin_col: str, wanted: dict[str, int], prefer:
     return ranked.where(F.col("_r") <= F.element_at(most, F.col(bin_col))).drop("_r")
 
 
-def quota_prefix(df: DataFrame, group: str, order: str, weight: str, quota: int) -> DataFrame:
-    """Rows of a group as long as the weights before them stay below the quota; the last one may overshoot."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_before", F.coalesce(F.sum(weight).over(before), F.lit(0))).where(F.col("_before") < quota).drop("_before")
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equality of columns, null with null; true without columns."""
+    out = F.lit(True)
+    for x, y in zip(left, right, strict=True):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
+
+
+def quota_prefix(df: DataFrame, group: str, order: str, weight: str, quota: int, width: int = 100_000) -> DataFrame:
+    """Rows of a group as long as the weights before them stay below the quota; the last one may overshoot.
+
+    order is a whole number. A group is cut into runs of `width` values of it, whose sums are added up first, so
+    a group of any size is dealt over many tasks.
+    """
+    d = df.withColumn("_run", F.expr(f"`{order}` div {width}"))
+    ahead = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(F.col(group).alias("_g"), F.col("_run").alias("_r")).agg(F.sum(weight).alias("_w"))
+    sums = sums.select("_g", "_r", F.coalesce(F.sum("_w").over(ahead), F.lit(0)).alias("_ahead")).where(F.col("_ahead") < quota)
+    own = Window.partitionBy(group, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(sums, _same([group, "_run"], ["_g", "_r"])).withColumn("_before", F.col("_ahead") + F.coalesce(F.sum(weight).over(own), F.lit(0)))
+    return d.where(F.col("_before") < quota).drop("_run", "_g", "_r", "_ahead", "_before")
 
 
 def round_robin(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
@@ -77,18 +94,29 @@ def per_group_cap(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= most).drop("_r")
 
 
+def next_key(df: DataFrame, groups: Sequence[str], key: str, out: str, width: int = 1_000_000) -> DataFrame:
+    """Each row's next larger key within its groups, the smallest one after the largest; _n: rows of the group.
+
+    key is a distinct whole number. Groups are cut into runs of `width` keys; the first keys of the runs are a
+    small table, so no task orders a whole group.
+    """
+    d = df.withColumn("_run", F.expr(f"`{key}` div {width}"))
+    names = [f"_g{i}" for i in range(len(groups))]
+    whole = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    runs = d.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.col("_run").alias("_r")).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_m"))
+    runs = runs.withColumns({"_after": F.coalesce(F.lead("_first").over(whole.orderBy("_r")), F.min("_first").over(whole)), "_n": F.sum("_m").over(whole)}).drop("_first", "_m")
+    own = Window.partitionBy(*groups, "_run").orderBy(key)
+    d = d.join(runs, _same([*groups, "_run"], [*names, "_r"]))
+    return d.withColumn(out, F.coalesce(F.lead(key).over(own), F.col("_after"))).drop("_run", "_r", "_after", *names)
+
+
 def rotate(df: DataFrame, group: str, key: str, out: str = "effective") -> DataFrame:
     """A derangement: each row gets the next key of its group, the last one the first; single rows the next key of all."""
-    own = Window.partitionBy(group).orderBy(key)
-    whole = Window.partitionBy(group)
-    near = F.coalesce(F.lead(key).over(own), F.first(key).over(own))
-    d = df.withColumns({"_near": near, "_n": F.count(F.lit(1)).over(whole)})
-    alone = d.where("_n = 1").select(key)
-    first = df.agg(F.min(key).alias("_first"))
-    # Groups of one row are few: each looks up the next key by a range aggregate.
-    nxt = alone.select(F.col(key).alias("_k")).join(df.select(F.col(key).alias("_o")), F.col("_o") > F.col("_k")).groupBy("_k").agg(F.min("_o").alias("_next"))
-    out_df = d.join(nxt, F.col(key) == F.col("_k"), "left").crossJoin(first)
-    return out_df.withColumn(out, F.when(F.col("_n") > 1, F.col("_near")).otherwise(F.coalesce("_next", "_first"))).drop("_near", "_n", "_k", "_next", "_first")
+    near = next_key(df, [group], key, "_near")
+    alone = near.where("_n = 1").select(F.col(key).alias("_k"))
+    overall = next_key(df.select(key), [], key, "_next").join(alone, F.col(key) == F.col("_k"), "left_semi").select(F.col(key).alias("_k"), "_next")
+    joined = near.join(overall, F.col(key) == F.col("_k"), "left")
+    return joined.withColumn(out, F.when(F.col("_n") > 1, F.col("_near")).otherwise(F.col("_next"))).drop("_near", "_n", "_k", "_next")
 
 
 def dense_number(df: DataFrame, key: str, out: str, width: int = 1_000_000) -> DataFrame:

@@ -52,9 +52,38 @@ def arc_length(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     return df.withColumn("_step", step).withColumn("arc", F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
+def exact_quantiles(df: DataFrame, groups: Sequence[str], x: str, probs: Sequence[float], bins: int = 1024) -> DataFrame:
+    """groups and q (an array with the linear quantile for each probability) of non-null x.
+
+    Equal values combine first. Each group is cut into bins of equal width, whose counts tell which of them hold
+    the wanted ranks; only those bins are ordered, so no task holds all values of a group.
+    """
+    names = list(groups)
+    c = df.where(F.col(x).isNotNull()).groupBy(*names, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_all", F.lit(0))
+    keys = [*names, "_all"]
+    span = c.groupBy(*keys).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.sum("_c").alias("_n"))
+    bin_of = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col("_x") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * bins)).cast("int")
+    binned = c.join(F.broadcast(span) if not names else span, keys).withColumn("_bin", bin_of)
+    sizes = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_m"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumn("_upto", F.sum("_m").over(upto))
+    places = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        places += [F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(at).alias("rank"), (at - F.floor(at)).alias("part")), F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(at).alias("rank"), (at - F.floor(at)).alias("part"))]
+    wanted = sizes.withColumn("_w", F.explode(F.array(*places))).where("_w.rank >= _upto - _m and _w.rank < _upto").select(*keys, "_bin", "_w", (F.col("_upto") - F.col("_m")).alias("_before"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = binned.join(wanted.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi").withColumn("_cum", F.sum("_c").over(inside))
+    hit = ordered.select(*keys, "_bin", "_x", "_c", "_cum").join(wanted, [*keys, "_bin"]).where("_w.rank - _before >= _cum - _c and _w.rank - _before < _cum")
+    sides = hit.groupBy(*keys, F.col("_w.i").alias("_i")).agg(F.max(F.when(F.col("_w.side") == 0, F.col("_x"))).alias("_lo"), F.max(F.when(F.col("_w.side") == 1, F.col("_x"))).alias("_hi"), F.max("_w.part").alias("_part"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
+    listed = sides.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_q"))
+    return listed.select(*names, F.col("_q.v").alias("q"))
+
+
 def region_thirds(df: DataFrame, group: str, x: str) -> DataFrame:
     """front below the first third of x in its group, mid below the second, back above; exact linear quantiles."""
-    q = df.groupBy(group).agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
+    q = exact_quantiles(df, [group], x, (1 / 3, 2 / 3)).withColumnRenamed("q", "_q")
     region = F.when(F.col(x) < F.col("_q")[0], "front").when(F.col(x) < F.col("_q")[1], "mid").otherwise("back")
     return df.join(q, group).withColumn("region", region).drop("_q")
 

@@ -15,7 +15,7 @@ from ..functions.parsers import corrections_of, directions_of, muscle_mentions
 from ..functions.spans import Vocabulary, spans_of
 from ..operators import conversations, index, mesh, metrics, nearest, probe, ranking, statistics
 from ..streaming.resume import first_settled, windowed_counts
-from . import evaluation
+from . import evaluation, probe_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,8 +116,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY CASE WHEN o_orderpr
 SELECT o_orderkey, bin FROM r WHERE r <= CASE bin WHEN '1' THEN 34 ELSE 33 END""")
 def q_balanced_sample(spark, d):
     counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("k"))
-    bins = F.when(F.col("k") <= 1, "1").when(F.col("k") == 2, "2").otherwise("3+")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(counts, "o_orderkey").withColumn("bin", bins)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(counts, "o_orderkey").withColumn("bin", probe_items.n_act_bin(F.col("k")))
     return ranking.balanced_sample(orders, "bin", ranking.quotas(100, ["1", "2", "3+"]), F.col("o_orderpriority") == "1-URGENT", "o_orderkey").select("o_orderkey", "bin")
 
 
@@ -159,9 +158,9 @@ def q_split_policy(spark, d):
 @query("""SELECT l_returnflag, count(*) AS n, round(avg((p_partkey IS NOT NULL)::INT), 6) AS overlap
 FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON l_partkey = p_partkey GROUP BY l_returnflag""")
 def q_train_overlap(spark, d):
-    train = table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"), F.lit(1).alias("hit"))
-    j = table(spark, d, "lineitem").select("l_returnflag", "l_partkey").join(train, "l_partkey", "left")
-    return j.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("overlap"))
+    train = table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("index"))
+    jobs = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("turn_type"), F.array("l_partkey").alias("mesh_indices"))
+    return evaluation.overlap_by_type(jobs, train).select(F.col("turn_type").alias("l_returnflag"), "n", F.round("rate", 6).alias("overlap"))
 
 
 @query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, role FROM conversations)
@@ -395,10 +394,10 @@ SELECT real_hits, control_hits, n, round((real_hits - control_hits) / n, 6) AS d
 def q_delta_control(spark, d):
     rows = _answers(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("answer").alias("kind"), "question", "text")
     control = ranking.rotate(rows.select("id", "kind"), "kind", "id").join(rows.select(F.col("id").alias("effective"), F.col("question").alias("other")), "effective").select("id", "other")
-    j = rows.join(control, "id")
     hits = lambda c: F.sum(F.size(F.array_intersect(T.words(F.col("text")), T.words(F.col(c))))).cast("long")
-    h = j.agg(hits("question").alias("real_hits"), hits("other").alias("control_hits"), F.count(F.lit(1)).alias("n"))
-    return h.withColumn("delta", F.round((F.col("real_hits") - F.col("control_hits")) / F.col("n"), 6))
+    real, shuffled = rows.agg(hits("question").alias("hits")), rows.join(control, "id").agg(hits("other").alias("hits"))
+    both = probe.control_delta(real, shuffled, "hits", ("real_hits", "control_hits")).crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))
+    return both.select("real_hits", "control_hits", "n", F.round(F.col("delta") / F.col("n"), 6).alias("delta"))
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY event_type")
@@ -417,8 +416,7 @@ def q_template_render(spark, d):
 @query("SELECT l_suppkey AS row_id, CAST(sum(CAST(l_quantity AS BIGINT) * p_size) AS BIGINT) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey")
 def q_sparse_pool(spark, d):
     coo = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row_id"), F.col("l_partkey").alias("col"), F.col("l_quantity").cast("long").alias("val"))
-    x = table(spark, d, "part").select(F.col("p_partkey").alias("col"), F.col("p_size").alias("x"))
-    return coo.join(x, "col").groupBy("row_id").agg(F.sum(F.col("val") * F.col("x")).alias("x"))
+    return mesh.sparse_apply(coo, table(spark, d, "part").select(F.col("p_partkey").alias("col"), F.col("p_size").alias("x")), "row_id")
 
 
 @query("""WITH m AS (SELECT o_custkey, o_orderkey, o_totalprice, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
@@ -628,9 +626,16 @@ def q_contour_features(spark, d):
     return e.select("vec_id", "f.*")
 
 
+def _more() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from . import format_queries, score_queries  # noqa: F401
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _more()
     return dict(ORACLES)

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vocabulary import MUSCLES
 
@@ -72,18 +73,20 @@ def shard_rows(spark: SparkSession, path: str, vertices: int) -> DataFrame:
     return files.select(F.regexp_extract("path", r"shard_(\d+)\.bin$", 1).cast("long").alias("shard"), F.expr(f"length div {vertices * 12}").alias("n_rows"))
 
 
-def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of an OBJ file, numbered from 0; polygons become fans, and only the first index of a/b/c counts."""
-    raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    kind = lambda k: lines.where(F.col("line").rlike(rf"^{k}\s")).select("pos", F.split(F.trim("line"), r"\s+").alias("f"))
-    from pyspark.sql.window import Window
+def read_obj(spark: SparkSession, path: str, with_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of OBJ files, numbered from 0 in each file; polygons become fans, and only the first index of a/b/c counts.
 
-    number = lambda d: d.withColumn("id", F.row_number().over(Window.orderBy("pos")) - 1)
-    vertices = number(kind("v")).select("id", *[F.col("f")[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")])
+    with_file adds the file's name, by which meshes of a folder are told apart.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    kind = lambda k: lines.where(F.col("line").rlike(rf"^{k}\s")).select("file", "pos", F.split(F.trim("line"), r"\s+").alias("f"))
+    number = lambda d: d.withColumn("id", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
+    own = [F.regexp_extract("file", r"([^/]+)$", 1).alias("file")] if with_file else []
+    vertices = number(kind("v")).select(*own, "id", *[F.col("f")[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")])
     corners = F.expr("transform(slice(f, 2, size(f)), x -> cast(split(x, '/')[0] as int) - 1)")
-    fans = number(kind("f")).select("id", corners.alias("c")).select("id", F.posexplode(F.expr("transform(sequence(1, size(c) - 2), k -> array(c[0], c[k], c[k + 1]))")).alias("part", "t"))
-    faces = fans.select(F.col("id").alias("polygon"), "part", *[F.col("t")[i].alias(a) for i, a in enumerate("ijk")])
+    fans = number(kind("f")).select("file", "id", corners.alias("c")).select("file", "id", F.posexplode(F.expr("transform(sequence(1, size(c) - 2), k -> array(c[0], c[k], c[k + 1]))")).alias("part", "t"))
+    faces = fans.select(*own, F.col("id").alias("polygon"), "part", *[F.col("t")[i].alias(a) for i, a in enumerate("ijk")])
     return vertices, faces
 
 
