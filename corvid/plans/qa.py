@@ -214,7 +214,8 @@ def enumerated_pool(spark, levels: Sequence[float] = (0.15, 0.30, 0.45, 0.60, 0.
     g = spark.createDataFrame([(float(x),) for x in grid], "level double")
     rest = spark.createDataFrame([("rest", "rest", [0.0] * len(MUSCLES))], "section string, detail string, act array<double>")
     vector = lambda *set_: F.transform(F.sequence(F.lit(0), F.lit(len(MUSCLES) - 1)), lambda k: F.coalesce(*[F.when(k == i, x) for i, x in set_], F.lit(0.0)))
-    single = m.crossJoin(lv).select(F.lit("single").alias("section"), F.concat("muscle", F.lit("@"), fixed(F.col("level"), 2)).alias("detail"), vector((F.col("i"), F.col("level"))).alias("act"))
-    a, b = m.crossJoin(g).toDF("i", "m", "x"), m.crossJoin(g).toDF("j", "n", "y")
-    pair = a.join(b, F.col("i") < F.col("j")).select(F.lit("pair").alias("section"), F.concat("m", F.lit("+"), "n").alias("detail"), vector((F.col("i"), F.col("x")), (F.col("j"), F.col("y"))).alias("act"))
+    single = m.crossJoin(F.broadcast(lv)).select(F.lit("single").alias("section"), F.concat("muscle", F.lit("@"), fixed(F.col("level"), 2)).alias("detail"), vector((F.col("i"), F.col("level"))).alias("act"))
+    a, b = m.crossJoin(F.broadcast(g)).toDF("i", "m", "x"), m.crossJoin(F.broadcast(g)).toDF("j", "n", "y")
+    # Both sides are constants: 11 muscles at 3 levels.
+    pair = a.join(F.broadcast(b), F.col("i") < F.col("j")).select(F.lit("pair").alias("section"), F.concat("m", F.lit("+"), "n").alias("detail"), vector((F.col("i"), F.col("x")), (F.col("j"), F.col("y"))).alias("act"))
     return rest.unionByName(single).unionByName(pair)

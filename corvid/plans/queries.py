@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..functions.geometry import features_of
-from ..functions.parsers import corrections_of, directions_of, muscle_mentions
 from ..functions.spans import Vocabulary, spans_of
 from ..operators import conversations, index, mesh, metrics, nearest, probe, ranking, statistics
 from ..streaming.resume import first_settled, windowed_counts
@@ -586,23 +585,6 @@ def q_rewritten_span_tags(spark, d):
     return tags.select("l_orderkey", "l_linenumber", "text", "s.*")
 
 
-_ANSWERS = [
-    "tip: advance, raise; body=retract; dorsum = stay",
-    "front region dx 0.8mm, dz -0.9mm and back (lower)",
-    "contract GGP and STY; relax VERT, hyoglossus",
-    "GGP↑, TRANS↓, and ↑ MH IL",
-    "이설근 후부, STY 더 수축하고, 수직근 이완",
-]
-
-
-@query()
-def q_answer_parsers(spark, d):
-    """Directions, corrections and muscles of answers in the forms that the parsers know, one for each order."""
-    answers = F.array(*map(F.lit, _ANSWERS))
-    rows = table(spark, d, "orders").select("o_orderkey", F.element_at(answers, (F.col("o_orderkey") % len(_ANSWERS)).cast("int") + 1).alias("text"))
-    return rows.select("o_orderkey", F.to_json(directions_of(F.col("text"))).alias("directions"), F.to_json(corrections_of(F.col("text"))).alias("corrections"), F.concat_ws(",", muscle_mentions(F.col("text"))).alias("muscles"))
-
-
 @query()
 def q_greedy_tolerance(spark, d):
     """Numbers of an order's lines against those of its predecessor, matched within the tolerance."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from ..functions.text import fixed
 
 
@@ -55,3 +57,50 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     v = vertices.select(F.lit(0).alias("k"), F.col("id").cast("long").alias("n"), F.lit(0).alias("p"), F.concat_ws(" ", F.lit("v"), *[F.col(a).cast("string") for a in "xyz"]).alias("value"))
     f = faces.select(F.lit(1).alias("k"), F.col("polygon").cast("long").alias("n"), F.col("part").alias("p"), F.concat_ws(" ", F.lit("f"), *[(F.col(a) + 1).cast("string") for a in "ijk"]).alias("value"))
     v.unionByName(f).coalesce(1).sortWithinPartitions("k", "n", "p").select("value").write.mode("overwrite").text(path)
+
+
+def write_shards(rows: DataFrame, meta: DataFrame, path: str, vertices: int, shard_size: int = 1000) -> None:
+    """Big-endian float32 shards verts/shard_NNNNN.bin of index and verts, and meta/shard_NNNNN.csv beside them.
+
+    A shard's rows must be all of it in order, without gaps. Metadata is written first, and a shard under a .part name that is
+    renamed when it is whole, so a shard that is there is complete and has its metadata. Shards that are there stay.
+    """
+    spark = rows.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    shard = F.expr(f"index div {shard_size}")
+
+    def pack(key, frame):
+        m = np.stack([np.asarray(v, dtype=np.float32).reshape(vertices, 3) for v in frame.sort_values("index")["verts"]])
+        import pandas as pd
+
+        return pd.DataFrame({"shard": [key[0]], "content": [m.astype(">f4").tobytes()]})
+
+    numbers = [r[0] for r in rows.select(shard.alias("s")).distinct().orderBy("s").collect()]
+    for n in numbers:
+        name = f"shard_{n:05d}"
+        if fs.exists(at(f"verts/{name}.bin")):
+            continue
+        own = meta.where(shard == n).orderBy("index").toPandas()
+        _bytes(fs, at(f"meta/{name}.csv"), own.to_csv(index=False, na_rep="NA").encode())
+        content = rows.where(shard == n).withColumn("shard", shard).groupBy("shard").applyInPandas(pack, "shard long, content binary").first()["content"]
+        _bytes(fs, at(f"verts/{name}.bin.part"), bytes(content))
+        if not fs.rename(at(f"verts/{name}.bin.part"), at(f"verts/{name}.bin")):
+            raise OSError(f"cannot rename {name}")
+
+
+def _bytes(fs, path, content: bytes) -> None:
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def cached_index(path: str, build, spark) -> DataFrame:
+    """The table at a path; built and written there first where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
