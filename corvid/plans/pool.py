@@ -38,6 +38,46 @@ def center_vector(rules: Mapping[str, tuple[float, float]]) -> list[float]:
     return [sum(rules[m]) / 2 if m in rules else 0.0 for m in MUSCLES]
 
 
+def interpolated_centers(centers: DataFrame, order: str, parts: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """phoneme, detail and act on the way between each pair of centres (phoneme, act), the first one by order; a small table."""
+    a, b = (centers.select(*[F.col(c).alias(f"{c}_{side}") for c in ("phoneme", "act", order)]) for side in ("a", "b"))
+    both = a.join(F.broadcast(b), F.col(f"{order}_a") < F.col(f"{order}_b")).withColumn("t", F.explode(F.array(*map(F.lit, parts))))
+    act = F.zip_with("act_a", "act_b", lambda x, y: (1 - F.col("t")) * x + F.col("t") * y)
+    name = F.concat_ws("~", "phoneme_a", "phoneme_b")
+    return both.select(name.alias("phoneme"), F.concat(F.lit("interp:"), name, F.lit("@"), fixed(F.col("t"), 2)).alias("detail"), act.alias("act"))
+
+
+def meets(act: Column, rule: Mapping[str, tuple[float, float]], slack: float = 1e-6) -> Column:
+    """Whether every muscle of a rule lies in its band."""
+    out = F.lit(True)
+    for m, (low, high) in rule.items():
+        out = out & F.get(act, MUSCLES.index(m)).between(low - slack, high + slack)
+    return out
+
+
+def consonant_draws(ids: DataFrame, rule: Mapping[str, tuple[float, float]], tries: int, seed: int = 0, budget: float = 1.6) -> DataFrame:
+    """id, draw and act: `tries` draws for each id.
+
+    The rule's muscles are drawn from their bands, MH is low in half of the draws, others are low in a third. Beyond
+    the budget the others give way, so that the rule's muscles stay where they are.
+    """
+    i = F.xxhash64("id", "draw")
+    d = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("draw"))
+    value = lambda m, k: F.lit(rule[m][0]) + uniform(seed, i, 500 + k) * (rule[m][1] - rule[m][0]) if m in rule else F.when(uniform(seed, i, 600 + k) < (0.5 if m == "MH" else 0.35), uniform(seed, i, 700 + k) * (0.25 if m == "MH" else 0.15)).otherwise(0.0)
+    d = d.withColumn("raw", F.array(*[F.least(value(m, k), F.lit(LARGEST)) for k, m in enumerate(MUSCLES)]))
+    free = [k for k, m in enumerate(MUSCLES) if m not in rule and m != "MH"]
+    total = lambda ks: sum((F.get("raw", k) for k in ks[1:]), F.get("raw", ks[0])) if ks else F.lit(0.0)
+    d = d.withColumns({"over": F.greatest(total(list(range(N))) - budget, F.lit(0.0)), "loose": total(free)})
+    left = F.when(F.col("loose") > 0, F.greatest(1 - F.col("over") / F.col("loose"), F.lit(0.0))).otherwise(1.0)
+    return d.select("id", "draw", F.array(*[F.bround(F.get("raw", k) * left if k in free else F.get("raw", k), 4) for k in range(N)]).alias("act"))
+
+
+def accepted_draws(draws: DataFrame, rule: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """id, draw and act of the first draw of each id that meets the rule."""
+    first = draws.where(meets(F.col("act"), rule)).groupBy("id").agg(F.min("draw").alias("draw"), F.min_by("act", "draw").alias("act"))
+    return first
+
+
 def _each(f) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(N - 1)), f)
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import value_text
 from ..functions.vocabulary import MUSCLES
@@ -27,6 +28,42 @@ def _items(d: DataFrame, family: str, question: Column, leadin: str, abstain: bo
     return d.select(uid.alias("uid"), F.lit(family).alias("family"), F.col("index").alias("mesh_index"), "n_act_bin", question.alias("question"), F.lit(leadin).alias("answer_leadin"), F.lit(abstain).alias("should_abstain"), *columns)
 
 
+def _hash_of(*parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+
+
+def _number_of(*parts: Column) -> Column:
+    """The first 32 bits of the hash."""
+    return F.conv(F.substring(_hash_of(*parts), 1, 8), 16, 10).cast("long")
+
+
+def trainlike_values(features: DataFrame, motion: DataFrame, share: float = 0.7) -> DataFrame:
+    """index, quantity, value: one of the candidates of each mesh, a feature for the share of those that have both kinds.
+
+    Both tables have index, quantity, value; the choices are hashes of the mesh and the quantity.
+    """
+    both = features.select("index", "quantity", "value", F.lit(True).alias("_f")).unionByName(motion.select("index", "quantity", "value", F.lit(False).alias("_f")))
+    best = both.groupBy("index", "_f").agg(F.min_by(F.struct("quantity", "value"), _hash_of(F.col("index"), F.col("quantity"))).alias("_v"))
+    kinds = best.groupBy("index").agg(F.max(F.when(F.col("_f"), F.col("_v"))).alias("_a"), F.max(F.when(~F.col("_f"), F.col("_v"))).alias("_b"))
+    feature = F.col("_a").isNotNull() & (F.col("_b").isNull() | (_number_of(F.col("index"), F.lit("kind")) < share * (1 << 32)))
+    return kinds.select("index", F.when(feature, F.col("_a")).otherwise(F.col("_b")).alias("_v")).select("index", "_v.quantity", "_v.value")
+
+
+def first_acceptable(candidates: DataFrame, key: str, candidate: str, ok: str, most: int = 40) -> DataFrame:
+    """Of each key's first `most` candidates in hash order the first that is acceptable; the limit is part of the search's definition."""
+    order = Window.partitionBy(key).orderBy(_hash_of(F.col(key), F.col(candidate)), candidate)
+    tried = candidates.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    return tried.where(F.col(ok)).groupBy(key).agg(F.min_by(candidate, "_r").alias(candidate))
+
+
+def drawn_targets(meshes: DataFrame, n: int, useful: DataFrame, again: int = 5) -> DataFrame:
+    """index and target: a number below n drawn by hash, and drawn again while (index, target) is not among the useful ones; the last draw stands."""
+    draws = meshes.select("index", F.explode(F.sequence(F.lit(0), F.lit(again))).alias("_n"))
+    draws = draws.withColumn("target", _number_of(F.col("index"), F.col("_n")) % n).join(useful.select("index", "target", F.lit(1).alias("_ok")).distinct(), ["index", "target"], "left")
+    best = draws.groupBy("index").agg(F.min_by(F.when(F.col("_ok") == 1, F.col("target")), F.when(F.col("_ok") == 1, F.col("_n"))).alias("_t"), F.max_by("target", "_n").alias("_last"))
+    return best.select("index", F.coalesce("_t", "_last").alias("target"))
+
+
 def sample_meshes(pool: DataFrame, ids: DataFrame, total: int, prefer: Column | None = None, mode: str = "balanced") -> DataFrame:
     """Meshes of a split by number of active muscles: balanced over the bins, only 3+, or as they come."""
     act = F.array(*[F.col(m).cast("double") for m in MUSCLES])

@@ -610,10 +610,10 @@ def q_region_motion(spark, d):
     return m.select("index", "region", (F.round("forward_mm", 1) + 0).alias("forward"), (F.round("up_mm", 1) + 0).alias("up"), F.col("mean_mag_mm").alias("size"))
 
 
-@query("""SELECT l_orderkey AS index, round(sum(round(l_discount - 0.02, 6) * l_quantity) / sum(l_quantity), 9) + 0 AS vol_ratio, min(round(l_discount - 0.02, 6)) + 0 AS min_elem_vol, CAST(count_if(round(l_discount - 0.02, 6) <= 0) AS BIGINT) AS n_inverted FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey AS index, round(sum(round(l_discount - 0.02, 6) * l_quantity) / sum(l_quantity), 12) + 0 AS vol_ratio, min(round(l_discount - 0.02, 6)) + 0 AS min_elem_vol, CAST(count_if(round(l_discount - 0.02, 6) <= 0) AS BIGINT) AS n_inverted FROM lineitem GROUP BY l_orderkey""")
 def q_element_quality(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("index"), F.round(F.col("l_discount") - 0.02, 6).alias("ratio"), F.col("l_quantity").alias("volume"))
-    return mesh.element_quality(e).withColumns({"vol_ratio": F.round("vol_ratio", 9) + 0, "min_elem_vol": F.col("min_elem_vol") + 0})
+    return mesh.element_quality(e).withColumns({"vol_ratio": F.round("vol_ratio", 12) + 0, "min_elem_vol": F.col("min_elem_vol") + 0})
 
 
 @query("""SELECT l_orderkey AS index, round(max(sqrt(l_quantity * l_quantity + l_tax * l_tax + 1)) FILTER (WHERE l_discount > 0.01), 6) AS max_vel, bool_or(l_discount <= 0.01) AS has_nan FROM lineitem GROUP BY l_orderkey""")
