@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, byte_slices, stored
 
 #: States of a worker's table, and words kept beside it in a generation.
-STATES, TABLE = 150_000, 150_000
+STATES, TABLE = 80_000, 50_000
 #: Bytes of text that go through the table at once; longer texts are cut into chunks of this size.
-SECTION = 1 << 21
+SECTION = 1 << 20
 #: Longer words are given to the library.
 LONGEST = 64
 MISSING, START = 0, 1
@@ -149,6 +149,12 @@ class Merges:
         return found
 
     def follows(self, a: int, b: int) -> bool:
+        """stands(), kept."""
+        if len(self.known) >= TABLE:
+            self.known.clear()
+        return self.known.setdefault((a, b), self.stands(a, b))
+
+    def stands(self, a: int, b: int) -> bool:
         """Whether no merge crosses the boundary when the parts of a and b are merged side by side.
 
         A pair that meets at the boundary merges if its rank comes before both are used up inside their tokens;
@@ -160,7 +166,6 @@ class Merges:
                 rank = self.pairs.get((x, y))
                 if rank is not None and rank < used_x and rank <= used_y and max(made_x, made_y) < min(used_x, used_y):
                     stands = False
-        self.known[a, b] = stands
         return stands
 
 
@@ -412,7 +417,7 @@ class Transducer:
         stands = self.pairs.get(key)
         if len(new := np.flatnonzero(stands < 0)):
             for k in np.unique(key[new]).tolist():
-                self.pairs.put(k, self.merges.follows(k >> 24, k & 0xFFFFFF))
+                self.pairs.put(k, self.merges.stands(k >> 24, k & 0xFFFFFF))
             stands = self.pairs.get(key)
         return stands == 1
 
@@ -517,7 +522,9 @@ class Counter:
     def __init__(self, name: str):
         self.library = Library(name)
         folds = self.library.folds_case()
-        self.transducer = None if folds is None else Transducer(Merges(self.library.spec["model"]), self.library, folds)
+        # The vocabulary is held by the library and the compilation, the file's own text of it by nobody.
+        model = self.library.spec.pop("model", None)
+        self.transducer = None if folds is None else Transducer(Merges(model), self.library, folds)
 
     def _sums(self, data: bytes, ends: np.ndarray) -> np.ndarray:
         """Tokens before each of the given places."""
