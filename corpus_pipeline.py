@@ -54,9 +54,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words, null ones too, link with nothing, so all of them stay.
     """
     keyed = _keyed(docs, "pipeline-linked")
-    labels = jaccard_join(keyed, id_col="_row")["components"].select(F.col("doc_id").alias("_row"), "component_id")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = keyed.select("doc_id", "_row").join(labels, "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
+    with scratch_scope(spark):
+        labels = jaccard_join(keyed, id_col="_row")["components"].select(F.col("doc_id").alias("_row"), "component_id")
+        kept = keyed.select("doc_id", "_row").join(labels, "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
+        kept = stored(kept, "pipeline-kept", outlives=True)
     return keyed.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
@@ -66,7 +68,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null source is a source of its own. Rows that repeat an id are taken each by its own number of copies.
     """
     keyed = _keyed(docs, "pipeline-mixed")
-    taken = keyed.join(mix_sources(keyed, extra=("_row",)).where("copies > 0").select("_row", "copies"), "_row")
+    with scratch_scope(spark):
+        copies = stored(mix_sources(keyed, extra=("_row",)).where("copies > 0").select("_row", "copies"), "pipeline-copies", outlives=True)
+    taken = keyed.join(copies, "_row")
     return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
