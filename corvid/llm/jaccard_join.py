@@ -111,23 +111,19 @@ def parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
-_MEMBER = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("slack_below", pa.int32()), ("copy", pa.int64()), ("parity", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64())), ("sigs_below", pa.list_(pa.int64()))])
-_MEMBER_SQL = "doc_id long, set_id long, check long, n long, slack int, slack_below int, copy long, parity array<long>, sigs array<long>, sigs_below array<long>"
+_MEMBER = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("slack_below", pa.int32()), ("copy", pa.int64()), ("parity", pa.list_(pa.int64()))])
+_MEMBER_SQL = "doc_id long, set_id long, check long, n long, slack int, slack_below int, copy long, parity array<long>"
 
 
 def members_of(k: int, num: int, den: int, renamed: dict[tuple[int, int], int], bits: int):
-    """A row for each (doc_id, text, copy). Signatures of a set stand only at its first row in an input partition.
-
-    sigs_below: of the bands below its own in which a set takes part.
-    """
+    """A row for each (doc_id, text, copy) with the set's name, size, slack and parities."""
 
     def run(batches):
-        seen = set()
         for batch in batches:
             out = [[] for _ in _MEMBER]
             for doc, text, copy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 h = shingle_set(text.as_py(), k)
-                row = [doc, None, None, len(h), None, None, copy, parities(h), None, None]
+                row = [doc, None, None, len(h), None, None, copy, parities(h)]
                 if len(h):
                     row[1:3] = set_name(h, bits)
                     row[1] = renamed.get((row[1], row[2]), row[1])
@@ -135,11 +131,6 @@ def members_of(k: int, num: int, den: int, renamed: dict[tuple[int, int], int],
                     row[4] = slack_of(h, own, True, num, den)
                     if below:
                         row[5] = min(slack_of(h, band, False, num, den) for band in below)
-                    if row[1] not in seen:
-                        seen.add(row[1])
-                        row[8] = signatures(h, own, True, num, den).view(np.int64)
-                        if below:
-                            row[9] = np.concatenate([signatures(h, band, False, num, den) for band in below]).view(np.int64)
                 for col, x in zip(out, row, strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _MEMBER, strict=True)], schema=_MEMBER)
@@ -147,8 +138,45 @@ def members_of(k: int, num: int, den: int, renamed: dict[tuple[int, int], int],
     return run
 
 
-def _members(d: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
-    """Stored members whose names tell all their different sets apart.
+def signatures_of(k: int, num: int, den: int, renamed: dict[tuple[int, int], int], bits: int, most: int = 1 << 18):
+    """(sig, member) of texts: member is the set's name, odd where it takes part in a band below its own.
+
+    Copies within an input partition give their rows once; the names seen are as many as its rows.
+    """
+    schema = pa.schema([("sig", pa.int64()), ("member", pa.int64())])
+
+    def batch_of(sigs, names):
+        member = np.repeat(np.array(names, dtype=np.int64), [len(x) for x in sigs])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(member)], schema=schema)
+
+    def run(batches):
+        seen, sigs, names, held = set(), [], [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                h = shingle_set(text.as_py(), k)
+                if not len(h):
+                    continue
+                name = set_name(h, bits)
+                name = renamed.get(name, name[0])
+                if name in seen:
+                    continue
+                seen.add(name)
+                for j, band in enumerate(bands_of(len(h), num, den)):
+                    x = signatures(h, band, j == 0, num, den)
+                    sigs.append(x)
+                    names.append(name | (j > 0))
+                    held += len(x)
+                if held >= most:
+                    yield batch_of(sigs, names)
+                    sigs, names, held = [], [], 0
+        if sigs:
+            yield batch_of(sigs, names)
+
+    return run
+
+
+def _members(d: DataFrame, k: int, num: int, den: int, bits: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Stored members whose names tell all their different sets apart, and the sets that were renamed for that.
 
     Two sets share a name with a chance of 2**-bits. Names that carry two second hashes are found and given up for
     new ones; at 1e10 different sets some five of them are expected, so their table is bounded by chance, not by rows.
@@ -160,7 +188,7 @@ def _members(d: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
         clashing = names.groupBy("set_id").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("set_id")
         found = names.join(F.broadcast(clashing), "set_id", "left_semi").distinct().collect()
         if not found:
-            return members
+            return members, renamed
         first = {r["set_id"]: r["check"] for r in sorted(found, reverse=True)}
         before = {new: old for old, new in renamed.items()}
         for r in found:
@@ -218,19 +246,20 @@ def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     return both.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _shared(members: DataFrame) -> DataFrame:
+def _shared(d: DataFrame, signed) -> DataFrame:
     """(sig, member, c): signatures that two or more sets have, and about how many. member is the set's name, odd below its own band.
 
-    A signature of very many sets is dealt over SALTS tasks. Such ones are found among every LOOK-th set; there
+    Texts are hashed a second time here: stored signatures would take more of the disk than that takes of the time.
+    A signature of very many sets is dealt over SALTS tasks. Such ones are found among every LOOK-th text; there
     are fewer than HOT_SHARE of them, and one that is missed is counted in one task with the same result.
     """
-    own = members.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("set_id").alias("member"))
-    below = members.where("sigs_below is not null").select(F.explode("sigs_below").alias("sig"), F.expr("set_id | 1L").alias("member"))
-    sigs = own.unionByName(below)
-    look = sigs.where(F.pmod(F.xxhash64(F.expr("member & -2L")), F.lit(LOOK)) == 0).distinct()
+    sigs = arrow_map(d.select("_text"), signed, "sig long, member long")
+    some = d.where(F.pmod(F.xxhash64("_text"), F.lit(LOOK)) == 0).select("_text")
+    look = stored(arrow_map(some, signed, "sig long, member long").distinct(), "jaccard-look")
     hot = look.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     line = max(LOOK_LEAST, look.count() // HOT_SHARE)
     hot = stored(hot.where(F.col("n") > line).select("sig", F.lit(True).alias("hot")), "jaccard-hot")
+    discard(look)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("member"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
     dealt = sigs.join(F.broadcast(hot), "sig", "left").select("sig", "member", salt.alias("salt"))
     group = Window.partitionBy("sig", "salt")
@@ -254,19 +283,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and lie in different components are verified. Nothing is capped.
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    members = _members(d, k, num, den, name_bits)
+    members, renamed = _members(d, k, num, den, name_bits)
     named = members.where("set_id is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy"))
     classes = stored(named.groupBy("set_id").agg(first.alias("first"), F.first("parity").alias("parity"), F.max("n").alias("n"), F.max("slack").alias("slack"), F.max("slack_below").alias("slack_below")).select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.copy").alias("copy"), "n", "slack", "slack_below", "parity"), "jaccard-classes")
 
     info = classes.select(F.explode(F.array(F.struct(F.col("set_id").alias("member"), "n", "slack"), F.struct(F.expr("set_id | 1L").alias("member"), "n", F.col("slack_below").alias("slack")))).alias("x")).select("x.*").where("slack is not null")
-    once = _shared(members).repartition("member").groupBy("member", "sig").agg(F.max("c").alias("c"))
+    once = _shared(d, signatures_of(k, num, den, renamed, name_bits)).repartition("member").groupBy("member", "sig").agg(F.max("c").alias("c"))
     dearest = Window.partitionBy("member").orderBy(F.desc("c"), "sig")
     probes = once.join(info, "member").withColumn("rank", F.row_number().over(dearest))
     entries = probes.select("sig", "member", F.expr("member & -2L").alias("set_id"), "n", "slack", (F.col("rank") > F.col("slack")).alias("probe"))
     entries = stored(entries, "jaccard-entries")
-    wide, members = members, stored(members.select("doc_id", "set_id", "n"), "jaccard-named")
-    discard(wide)
     listed = stored(entries.groupBy("member").agg(F.collect_list("sig").alias("sigs"), F.max("slack").alias("slack")), "jaccard-lists")
 
     # Stars: the sets of a signature that anyone probes, each with the smallest one.
