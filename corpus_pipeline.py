@@ -59,7 +59,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         labels = jaccard_join(keyed, id_col="_row")["components"].select(F.col("doc_id").alias("_row"), "component_id")
         kept = keyed.select("doc_id", "_row").join(labels, "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
         kept = stored(kept, "pipeline-kept", outlives=True)
-    return keyed.join(kept, "_row", "left_semi").select(*COLUMNS)
+    # The same join at every size: small lists of rows would be broadcast, large ones can't be.
+    return keyed.join(kept.hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     keyed = _keyed(docs, "pipeline-mixed")
     with scratch_scope(spark):
         copies = stored(mix_sources(keyed, extra=("_row",)).where("copies > 0").select("_row", "copies"), "pipeline-copies", outlives=True)
-    taken = keyed.join(copies, "_row")
+    taken = keyed.join(copies.hint("merge"), "_row")
     return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
