@@ -163,6 +163,11 @@ def weighted_mean(df: DataFrame, value: str, weight: str, groups: Sequence[str]
     return df.groupBy(*groups).agg((F.coalesce(F.sum(F.col(weight) * F.col(value)), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(weight), F.lit(0.0)), F.lit(1.0))).alias("mean"))
 
 
+def l2_norm(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Euclidean norm of a group's values, as of the gradients of a part of a model; nulls count as absent."""
+    return df.groupBy(*groups).agg(F.sqrt(F.coalesce(F.sum(F.col(value) * F.col(value)), F.lit(0.0))).alias("norm"))
+
+
 def running_best(df: DataFrame, group: str, step: str, metric: str) -> DataFrame:
     """The best metric up to each step, and whether the step is a strict improvement."""
     w = Window.partitionBy(group).orderBy(step)

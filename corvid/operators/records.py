@@ -167,6 +167,43 @@ def chat(turns: Column, before: str = "<|im_start|>{role}\n", after: str = "<|im
     return F.struct(F.concat_ws("", parts).alias("text"), spans.alias("spans"))
 
 
+def with_slot(turns: Column, token: str, n: int) -> Column:
+    """The (role, value) turns with n placeholder tokens before the last user's value; without a user as they are."""
+    last = F.aggregate(F.transform(turns, lambda t, i: F.when(t["role"] == "user", i).otherwise(-1)), F.lit(-1), lambda a, b: F.greatest(a, b))
+    return F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), F.when(i == last, F.concat(F.lit(token * n), t["value"])).otherwise(t["value"]).alias("value")))
+
+
+def located(text: Column, turns: Column) -> Column:
+    """array of (start, end): the assistants' values in a rendered chat, each looked for behind the turn before it.
+
+    A template may put text of its own anywhere; a value that it changed is not found and is left out.
+    """
+    kind = "array<struct<start: int, end: int>>"
+    begin = F.struct(F.lit(0).alias("cursor"), F.lit(None).cast(kind).alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        at = F.when(F.length(t["value"]) == 0, s["cursor"]).otherwise(F.position(t["value"], text, s["cursor"] + 1) - 1)
+        end = at + F.length(t["value"])
+        own = F.when((at >= 0) & (t["role"] == "assistant"), F.array(F.struct(at.alias("start"), end.alias("end")))).otherwise(F.array().cast(kind))
+        return F.struct(F.when(at < 0, s["cursor"]).otherwise(end).alias("cursor"), F.concat(F.coalesce(s["found"], F.array().cast(kind)), own).alias("found"))
+
+    return F.aggregate(turns, begin, step, lambda s: F.coalesce(s["found"], F.array().cast(kind)))
+
+
+def facts_in_chat(text: Column, places: Column, facts: Column, kinds: Sequence[str]) -> Column:
+    """For each assistant's place the (start, end) in the chat of its facts (type, value, start, end within the value).
+
+    Only facts of the given types count whose text stands where they say; places beyond the last list of facts have none.
+    """
+
+    def of(place: Column, i: Column) -> Column:
+        moved = F.transform(F.coalesce(F.get(facts, i), F.slice(F.get(facts, F.lit(0)), 1, 0)), lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value"), (place["start"] + f["start"]).alias("start"), (place["start"] + f["end"]).alias("end")))
+        good = F.filter(moved, lambda f: f["type"].isin(*kinds) & (f["end"] > f["start"]) & (f["end"] <= F.length(text)) & (F.substring(text, f["start"] + 1, f["end"] - f["start"]) == f["value"]))
+        return F.transform(good, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
+
+    return F.transform(places, of)
+
+
 def slot_start(tokens: Column, token: int, n: int) -> Column:
     """Where n equal tokens first stand one after the other, from 0; -1 if nowhere."""
     begin = F.struct(F.lit(0).alias("run"), F.lit(-1).alias("found"), F.lit(0).alias("at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import faithful, prf
 from ..operators.conversations import assistant_turns
 from ..operators.ranking import per_group_cap
+from ..sources.scratch import shared_folder
 
 # The threshold grid of the regression scores and the least gold activation that counts.
 SMALL_THRESHOLDS = (1e-4, 5e-4, 1e-3, 2e-3, 5e-3, 7.5e-3)
@@ -45,17 +46,40 @@ def parse_output(text: Column) -> Column:
 def accepted(jobs: DataFrame, outputs: DataFrame, names: dict[str, str], surfaces: dict[str, str]) -> DataFrame:
     """Jobs with their final texts: a faithful output, or the original where there is none; faithful says which.
 
+    Both the answer and the question of an output have to keep the numbers, names and concepts of the original.
+
     outputs: file, line, turn, variant, attempt, text. Of several faithful attempts the first one counts; jobs
     without one are those that a further attempt should take.
     """
     key = ["file", "line", "turn", "variant"]
     o = jobs.join(outputs.withColumn("o", parse_output(F.col("text"))), key).where("o is not null")
-    good = o.where(faithful(F.col("a"), F.col("o.a"), names, surfaces))
+    good = o.where(faithful(F.col("a"), F.col("o.a"), names, surfaces) & faithful(F.col("q"), F.col("o.q"), names, surfaces))
     best = good.groupBy(*key).agg(F.min_by("o", "attempt").alias("o"))
     out = jobs.join(best, key, "left")
     return out.select(*key, F.coalesce("o.q", "q").alias("q"), F.coalesce("o.a", "a").alias("a"), F.col("o").isNotNull().alias("faithful"))
 
 
+def rewritten(jobs: DataFrame, generate: Callable[[DataFrame], DataFrame], names: dict[str, str], surfaces: dict[str, str], retries: int = 2) -> DataFrame:
+    """Jobs with their final texts after up to 1 + retries rounds; each round takes the jobs that have no faithful output yet.
+
+    generate gets file, line, turn, variant, q, a, style, attempt, temperature and seed, and returns the key and text.
+    Temperatures rise from 0.7 by 0.15 a round, and seeds differ by job and round but not between runs. A
+    round's outputs are written to the shared folder, so a generator runs once for each job and round.
+    """
+    spark, key, outputs = jobs.sparkSession, ["file", "line", "turn", "variant"], None
+    for attempt in range(retries + 1):
+        done = accepted(jobs, outputs, names, surfaces).where("faithful").select(*key) if outputs is not None else None
+        pending = jobs if done is None else jobs.join(done, key, "left_anti")
+        if attempt and pending.isEmpty():
+            break
+        asked = pending.withColumns({"attempt": F.lit(attempt), "temperature": F.lit(round(0.7 + 0.15 * attempt, 2)), "seed": F.pmod(F.xxhash64(F.lit(attempt), *key), F.lit(1 << 31))})
+        path = shared_folder(spark, f"outputs-{attempt}")
+        generate(asked).select(*key, "text").withColumn("attempt", F.lit(attempt)).write.parquet(path)
+        got = spark.read.parquet(path)
+        outputs = got if outputs is None else outputs.unionByName(got)
+    return accepted(jobs, outputs, names, surfaces)
+
+
 def regrouped(turns: DataFrame) -> DataFrame:
     """Turns by record and variant, in order, and whether all of them are faithful."""
     g = turns.groupBy("file", "line", "variant").agg(F.array_sort(F.collect_list(F.struct("turn", "q", "a"))).alias("turns"), F.bool_and("faithful").alias("nat_all_faithful"))

@@ -15,6 +15,7 @@ from ..functions.spans import Vocabulary, spans_of
 from ..operators import conversations, index, mesh, metrics, nearest, probe, ranking, statistics
 from ..streaming.resume import first_settled, windowed_counts
 from . import evaluation, probe_items
+from .span_sql import greedy_sql, span_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -567,25 +568,36 @@ def q_windowed_counts(spark, d):
     return w.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+_CORPUS_WORDS = Vocabulary(muscles=["of the", "tion of"], movements=["the", "that"], regions=["and", "er"], roles=[("the", "after_the")], whole_movements=True, whole_regions=True)
+
+
+@query(span_sql("SELECT doc_id, text FROM documents", "doc_id", _CORPUS_WORDS))
 def q_span_tags(spark, d):
     """Words and numbers of documents tagged with a vocabulary of this corpus; offsets are code points."""
-    vocabulary = Vocabulary(muscles=["of the", "tion of"], movements=["the", "that"], regions=["and", "er"], roles=[("the", "after_the")], whole_movements=True, whole_regions=True)
-    tags = table(spark, d, "documents").select("doc_id", F.explode(spans_of(F.col("text"), vocabulary)).alias("s"))
-    return tags.select("doc_id", "s.*")
+    tags = table(spark, d, "documents").select("doc_id", F.explode(spans_of(F.col("text"), _CORPUS_WORDS)).alias("s"))
+    return tags.select("doc_id", "s.*").withColumnRenamed("end", "stop")
 
 
-@query()
+_NAME_LIST = ", ".join(f"'{n}'" for n in V.FULL_NAMES["en"].values())
+
+
+@query(f"""WITH lines AS (SELECT row_number() OVER () AS line, l_orderkey, l_linenumber, [{_NAME_LIST}][CAST(l_linenumber % 11 + 1 AS INT)] || ' contracts: front dx ' || printf('%.2f', l_discount * 10)
+  || 'mm, dz ' || printf('%.2f', l_tax * -10) || 'mm; the front region advance, vol_ratio=' || printf('%.3f', l_quantity / 50) AS text FROM lineitem),
+tags AS ({span_sql("SELECT line, text FROM lines", "line", Vocabulary.rewritten("en"))})
+SELECT l_orderkey, l_linenumber, text, type, value, start, stop, role FROM tags JOIN lines USING (line)""")
 def q_rewritten_span_tags(spark, d):
     """Template sentences rendered from lines, tagged again with the vocabulary for rewritten texts."""
     c = F.col
     text = T.render("{m} contracts: front dx {x}mm, dz {z}mm; the front region advance, vol_ratio={v}", {"m": F.element_at(F.array(*[F.lit(n) for n in V.FULL_NAMES["en"].values()]), (c("l_linenumber") % 11).cast("int") + 1), "x": T.fixed(c("l_discount") * 10, 2), "z": T.fixed(c("l_tax") * -10, 2), "v": T.fixed(c("l_quantity") / 50, 3)})
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"))
     tags = lines.select("l_orderkey", "l_linenumber", "text", F.explode(spans_of(c("text"), Vocabulary.rewritten("en"))).alias("s"))
-    return tags.select("l_orderkey", "l_linenumber", "text", "s.*")
+    return tags.select("l_orderkey", "l_linenumber", "text", "s.*").withColumnRenamed("end", "stop")
 
 
-@query()
+_ORDER_NUMBERS = "SELECT l_orderkey, list(l_quantity) AS gold FROM lineitem GROUP BY l_orderkey"
+
+
+@query(f"""SELECT key AS l_orderkey, tp, fp, fn FROM ({greedy_sql(f"SELECT o.l_orderkey AS key, o.gold, coalesce(p.gold, []) AS pred FROM ({_ORDER_NUMBERS}) o LEFT JOIN ({_ORDER_NUMBERS}) p ON p.l_orderkey + 1 = o.l_orderkey")})""")
 def q_greedy_tolerance(spark, d):
     """Numbers of an order's lines against those of its predecessor, matched within the tolerance."""
     own = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("gold"))

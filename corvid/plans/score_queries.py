@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..functions.parsers import corrections_of, directions_of, muscle_mentions
-from ..operators import facts, mesh, probe, records
+from ..operators import facts, mesh, metrics, probe, records
 from . import evaluation, qa, scoring
 from .queries import query, table
 
@@ -320,17 +320,39 @@ def q_parse_output(spark, d):
     return _orders(spark, d).select("k", evaluation.parse_output(text).alias("o")).select("k", "o.q", "o.a")
 
 
-@query("""SELECT o_orderkey AS line, CASE WHEN o_orderkey % 4 < 2 OR o_orderkey % 8 = 3 THEN 'it goes ' || o_orderkey % 90 || ' mm' ELSE 'moves ' || o_orderkey % 90 || ' mm' END AS a, o_orderkey % 4 < 2 OR o_orderkey % 8 = 3 AS faithful FROM orders""")
+#: Outputs whose question keeps its number, the last but one excepted, and whose answer keeps its own in the first two and the last but one.
+_REWRITES = ["<Q>new q{k}</Q>\n<A>it goes {x} mm</A>", 'Sure:\n{"q": "new q{k}", "a": "it goes {x} mm"}', "no tags at all", "<Q>new q</Q><A>it goes {x} mm</A>", "<Q>new q{k}</Q><A>it goes far</A>"]
+
+
+def _rewrite(texts, line: Column) -> Column:
+    return F.replace(F.replace(_pick(texts, line), F.lit("{k}"), line.cast("string")), F.lit("{x}"), (line % 90).cast("string"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS k, o_orderkey % 5 < 2 OR o_orderkey % 3 = 1 AS ok FROM orders)
+SELECT k AS line, CASE WHEN ok THEN 'it goes ' || k % 90 || ' mm' ELSE 'moves ' || k % 90 || ' mm' END AS a, ok AS faithful FROM f""")
 def q_accepted_paraphrases(spark, d):
-    """Outputs of two attempts; the first faithful one is taken, else the original stays."""
+    """Outputs of two attempts; the first one with a faithful question and answer is taken, else the original stays."""
     jobs = evaluation.paraphrase_jobs(_paraphrase_records(spark, d), ["plain"], 1).where("turn = 2")
-    text = F.replace(_pick(_OUTPUTS, F.col("line")), F.lit("{x}"), (F.col("line") % 90).cast("string"))
-    first = jobs.select("file", "line", "turn", "variant", F.lit(1).alias("attempt"), text.alias("text"))
-    again = jobs.where("line % 8 = 3").select("file", "line", "turn", "variant", F.lit(2).alias("attempt"), F.concat(F.lit("<Q>x</Q><A>it goes "), (F.col("line") % 90).cast("string"), F.lit(" mm</A>")).alias("text"))
+    keys = ["file", "line", "turn", "variant"]
+    first = jobs.select(*keys, F.lit(1).alias("attempt"), _rewrite(_REWRITES, F.col("line")).alias("text"))
+    again = jobs.where("line % 3 = 1").select(*keys, F.lit(2).alias("attempt"), _rewrite(_REWRITES[:1], F.col("line")).alias("text"))
     out = evaluation.accepted(jobs, first.unionByName(again), V.FULL_NAMES["en"], {})
     return out.select("line", "a", "faithful")
 
 
+@query("""WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 < 2 THEN 0 WHEN (o_orderkey + 1) % 5 < 2 THEN 1 WHEN (o_orderkey + 2) % 5 < 2 THEN 2 END AS round FROM orders)
+SELECT k AS line, CASE WHEN round IS NULL THEN 'q' || k ELSE 'new q' || k END AS q, CASE WHEN round IS NULL THEN 'moves ' || k % 90 || ' mm' ELSE 'it goes ' || k % 90 || ' mm' END AS a, round IS NOT NULL AS faithful FROM f""")
+def q_rewritten_rounds(spark, d):
+    """Three rounds of a generator whose outputs depend on the attempt; only jobs without a faithful output are asked again."""
+    jobs = evaluation.paraphrase_jobs(_paraphrase_records(spark, d), ["plain"], 1).where("turn = 2")
+
+    def generate(asked):
+        text = F.replace(F.replace(_pick(_REWRITES, F.col("line") + F.col("attempt")), F.lit("{k}"), F.col("line").cast("string")), F.lit("{x}"), (F.col("line") % 90).cast("string"))
+        return asked.withColumn("text", text)
+
+    return evaluation.rewritten(jobs, generate, V.FULL_NAMES["en"], {}).select("line", "q", "a", "faithful")
+
+
 @query("""WITH j AS (SELECT conv_id, turn FROM (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM conversations) WHERE role = 'assistant' AND u > 0)
 SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 2 = 0 THEN 'second ' || conv_id ELSE 'first ' || conv_id END AS pred FROM j""")
 def q_saved_predictions(spark, d):
@@ -573,6 +595,32 @@ def q_chat_spans(spark, d):
     return spans.groupBy("conv_id").agg(F.sum("s.start").cast("long").alias("starts"), F.sum("s.end").cast("long").alias("ends"), F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH t AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+u AS (SELECT conv_id, l, list_max([i for i in range(1, len(l) + 1) if l[i].r = 'user']) AS last FROM t),
+p AS (SELECT conv_id, l, last, unnest(range(1, len(l) + 1)) AS i FROM u),
+s AS (SELECT conv_id, l[i].r AS r, l[i].t AS t, coalesce(list_sum([length(l[j].t) + 14 + CASE WHEN j = last THEN 9 ELSE 0 END for j in range(1, i)]), 0) + 6 AS begin_ FROM p)
+SELECT conv_id, CAST(sum(begin_) AS BIGINT) AS starts, CAST(sum(begin_ + length(t)) AS BIGINT) AS ends, CAST(sum(CASE WHEN length(t) >= 3 THEN begin_ END) AS BIGINT) AS facts FROM s WHERE r = 'assistant' GROUP BY conv_id""")
+def q_chat_facts(spark, d):
+    """Texts behind numbered headers and a slot of three tokens, found again in the chat, with a right and two wrong facts each."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("value")))).alias("t"))
+    plain = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["value"].alias("value")))
+    slot = turns.select("conv_id", records.with_slot(plain, "<m>", 3).alias("t"))
+    text = F.concat_ws("", F.transform("t", lambda t: F.concat(F.lit("<turn>"), t["value"], F.lit("</turn>\n"))))
+    fact = lambda kind, value, a, b: F.struct(F.lit(kind).alias("type"), value.alias("value"), F.lit(a).alias("start"), F.lit(b).alias("end"))
+    said = F.transform(F.filter("t", lambda t: t["role"] == "assistant"), lambda t: F.array(fact("number", F.substring(t["value"], 1, 3), 0, 3), fact("other", F.substring(t["value"], 1, 3), 0, 3), fact("number", F.lit("\u0000"), 1, 2)))
+    placed = slot.select("conv_id", text.alias("chat"), "t", said.alias("said")).withColumn("places", records.located(F.col("chat"), F.col("t")))
+    kept = F.flatten(records.facts_in_chat(F.col("chat"), F.col("places"), F.col("said"), ["number"]))
+    add = lambda c, field: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x[field])
+    out = placed.where("size(places) > 0").select("conv_id", add(F.col("places"), "start").alias("starts"), add(F.col("places"), "end").alias("ends"), kept.alias("kept"))
+    return out.select("conv_id", "starts", "ends", F.when(F.size("kept") > 0, add(F.col("kept"), "start")).alias("facts"))
+
+
+@query("SELECT l_returnflag, sqrt(sum(CAST(l_quantity AS DOUBLE) * CAST(l_quantity AS DOUBLE))) AS norm FROM lineitem GROUP BY l_returnflag")
+def q_l2_norm(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("g"))
+    return metrics.l2_norm(rows, "g", ["l_returnflag"])
+
+
 @query("""WITH a AS (SELECT l_orderkey, list(l_linenumber % 2 ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS t FROM lineitem GROUP BY l_orderkey),
 b AS (SELECT l_orderkey, list_filter(range(0, len(t)), lambda i: i + 2 <= len(t) AND t[i + 1] = 1 AND t[i + 2] = 1) AS places FROM a) SELECT l_orderkey, CAST(coalesce(places[1], -1) AS INT) AS slot FROM b""")
 def q_slot_start(spark, d):

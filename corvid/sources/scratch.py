@@ -22,12 +22,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> str:
-    """A small text file."""
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> str:
+    """A small file, written by the driver."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(content))
     finally:
         out.close()
     return path
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small text file."""
+    return write_bytes(spark, path, text.encode("utf-8"))

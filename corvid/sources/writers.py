@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed
+from .images import npy_bytes, png_bytes
+from .scratch import write_bytes
 
 
 def write_pool(df: DataFrame, path: str, activations: Sequence[str]) -> None:
@@ -52,9 +54,21 @@ def write_judge_payloads(df: DataFrame, path: str, shown: Sequence[str], hidden:
     df.select(key, *hidden).write.mode("overwrite").json(f"{path}/references")
 
 
+def write_png(spark, path: str, image: np.ndarray) -> str:
+    """One image of bytes, (rows, columns) or with 1 to 4 channels."""
+    return write_bytes(spark, path, png_bytes(image))
+
+
+def write_npy(spark, path: str, array: np.ndarray) -> str:
+    return write_bytes(spark, path, npy_bytes(array))
+
+
 def write_obj(vertices: DataFrame, faces: DataFrame, path: str) -> None:
-    """A mesh as OBJ text in one file, vertices before faces, numbered from 1."""
-    v = vertices.select(F.lit(0).alias("k"), F.col("id").cast("long").alias("n"), F.lit(0).alias("p"), F.concat_ws(" ", F.lit("v"), *[F.col(a).cast("string") for a in "xyz"]).alias("value"))
+    """A mesh as OBJ text in one file, vertices before faces, numbered from 1; colours r, g, b of 0 to 255 follow the places as shares."""
+    own = [F.col(a).cast("string") for a in "xyz"]
+    if {"r", "g", "b"} <= set(vertices.columns):
+        own += [fixed(F.col(a) / 255, 6) for a in "rgb"]
+    v = vertices.select(F.lit(0).alias("k"), F.col("id").cast("long").alias("n"), F.lit(0).alias("p"), F.concat_ws(" ", F.lit("v"), *own).alias("value"))
     f = faces.select(F.lit(1).alias("k"), F.col("polygon").cast("long").alias("n"), F.col("part").alias("p"), F.concat_ws(" ", F.lit("f"), *[(F.col(a) + 1).cast("string") for a in "ijk"]).alias("value"))
     v.unionByName(f).coalesce(1).sortWithinPartitions("k", "n", "p").select("value").write.mode("overwrite").text(path)
 

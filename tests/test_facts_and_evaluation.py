@@ -59,10 +59,10 @@ def test_paraphrase_round(spark):
     records = spark.createDataFrame([("f", 1, conv)], "file string, line int, conversations array<struct<from: string, value: string>>")
     jobs = E.paraphrase_jobs(records, ["plain", "warm"], 3)
     assert sorted((r.turn, r.variant, r.style, r.q) for r in jobs.collect())[:3] == [(1, 0, "plain", "q1"), (1, 1, "warm", "q1"), (1, 2, "plain", "q1")]
-    outputs = spark.createDataFrame([("f", 1, 1, 0, 0, "<Q>lost</Q> <A>front 9</A>"), ("f", 1, 1, 0, 1, "<Q> w? </Q><A>the front, 1.5</A>"), ("f", 1, 4, 0, 0, 'text\n`{"q": "z", "a": "mid is 2"}`'), ("f", 1, 1, 1, 0, "junk")], "file string, line int, turn int, variant int, attempt int, text string")
+    outputs = spark.createDataFrame([("f", 1, 1, 0, 0, "<Q>lost</Q> <A>front 9</A>"), ("f", 1, 1, 0, 1, "<Q>w?</Q><A>the front, 1.5</A>"), ("f", 1, 1, 0, 2, "<Q> w 1? </Q><A>the front, 1.5</A>"), ("f", 1, 4, 0, 0, 'text\n`{"q": "z 2", "a": "mid is 2"}`'), ("f", 1, 1, 1, 0, "junk")], "file string, line int, turn int, variant int, attempt int, text string")
     done = E.accepted(jobs, outputs, V.FULL_NAMES["en"], {"front": "front", "mid": "mid"})
     got = {(r.turn, r.variant): (r.q, r.a, r.faithful) for r in done.collect()}
-    assert got[1, 0] == ("w?", "the front, 1.5", True) and got[4, 0] == ("z", "mid is 2", True) and got[1, 1] == ("q1", "front 1.5", False)
+    assert got[1, 0] == ("w 1?", "the front, 1.5", True) and got[4, 0] == ("z 2", "mid is 2", True) and got[1, 1] == ("q1", "front 1.5", False)
     whole = {r.variant: (r.nat_all_faithful, [t.turn for t in r.turns]) for r in E.regrouped(done).collect()}
     assert whole == {0: (True, [1, 4]), 1: (False, [1, 4]), 2: (False, [1, 4])}
 

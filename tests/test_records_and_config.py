@@ -1,5 +1,7 @@
 import json
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -7,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corvid.functions.vocabulary import MUSCLES
 from corvid.operators import metrics, ranking, records, statistics
-from corvid.plans import pool, scoring
-from corvid.sources import config, masks, readers, reports
+from corvid.plans import evaluation, pool, scoring
+from corvid.sources import config, images, masks, readers, reports, writers
 
 
 def test_config_paths_overlays_and_names(tmp_path, monkeypatch):
@@ -59,16 +61,104 @@ def test_obj_files_of_a_folder_are_numbered_apart(spark, tmp_path):
     assert sorted((r.file, r.polygon) for r in f.collect()) == [("a.obj", 0), ("b.obj", 0)]
 
 
-def test_masks_are_volumes_in_natural_order(spark, tmp_path):
+def mat_file(arrays, packed):
+    """A level 5 .mat file of byte arrays."""
+
+    def element(kind, body):
+        return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+    out = b"MATLAB 5.0".ljust(124, b" ") + b"\0\1IM"
+    for name, a in arrays.items():
+        short = struct.pack("<HH", 1, len(name)) + name.encode().ljust(4, b"\0") if len(name) <= 4 else element(1, name.encode())
+        m = element(14, element(6, struct.pack("<II", 9, 0)) + element(5, np.array(a.shape, "<i4").tobytes()) + short + element(2, a.astype(np.uint8).tobytes(order="F")))
+        z = zlib.compress(m)
+        out += struct.pack("<II", 15, len(z)) + z if packed else m
+    return out
+
+
+def test_masks_of_all_formats_in_natural_order(spark, tmp_path):
     for n in (2, 10, 1):
         np.save(tmp_path / f"f{n}.npy", np.full((2, 3), n))
-    np.savez(tmp_path / "g11.npz", x=np.eye(2)[np.array([[0, 1], [1, 1]])])
-    np.save(tmp_path / "h12.npy", np.arange(3 * 5 * 5).reshape(3, 5, 5))
+    a = np.arange(24).reshape(2, 4, 3)
+    np.savez(tmp_path / "g11.npz", other=np.zeros((1, 1)), mask_frame=a)
+    (tmp_path / "mask_12.mat").write_bytes(mat_file({"x": a[..., 0], "mask_frame": a}, True))
+    (tmp_path / "mask_13.mat").write_bytes(mat_file({"x": a[..., 1]}, False))
+    (tmp_path / "m14.png").write_bytes(images.png_bytes(a))
+    (tmp_path / "none.npy").write_bytes(images.npy_bytes(a[..., 2]))
+    (tmp_path / "m15.tif").write_bytes(b"not read")
     rows = {r.frame: r for r in masks.read_masks(spark, str(tmp_path)).collect()}
-    assert [rows[i].file for i in range(4)] == ["f1.npy", "f2.npy", "f10.npy", "g11.npz"] and [rows[i].labels[0] for i in (4, 5, 6)] == [0, 25, 50]
-    assert rows[3].labels == [0, 1, 1, 1] and rows[0].shape == [2, 3]
-    areas = {(r.frame, r.label): r.n for r in masks.label_areas(masks.read_masks(spark, str(tmp_path / "g11.npz"))).collect()}
-    assert areas == {(0, 0): 1, (0, 1): 3}
+    assert [rows[i].file for i in range(8)] == ["none.npy", "f1.npy", "f2.npy", "f10.npy", "g11.npz", "mask_12.mat", "mask_13.mat", "m14.png"]
+    assert rows[1].shape == [2, 3, 1] and rows[0].values == a[..., 2].ravel().tolist() and rows[6].values == a[..., 1].ravel().tolist()
+    assert all(rows[i].shape == [2, 4, 3] and rows[i].values == list(range(24)) for i in (4, 5, 7))
+    first = {r.frame: r for r in masks.labels(masks.read_masks(spark, str(tmp_path))).collect()}
+    assert first[5].labels == a[..., 0].ravel().tolist() and first[5].shape == [2, 4]
+    areas = {(r.frame, r.label): r.n for r in masks.label_areas(masks.read_masks(spark, str(tmp_path / "f2.npy"))).collect()}
+    assert areas == {(0, 2): 6}
+    for bad in (np.zeros(3), np.zeros((2, 2, 2, 2))):
+        with pytest.raises(ValueError, match="dimensions"):
+            masks.load_mask(images.npy_bytes(bad), "npy")
+    with pytest.raises(ValueError, match="format"):
+        masks.load_mask(b"", "tif")
+
+
+@pytest.mark.parametrize("depth,colour,channels", [(8, 0, 1), (8, 2, 3), (8, 6, 4), (16, 4, 2), (1, 0, 1), (4, 3, 1)])
+def test_png_filters_and_depths(depth, colour, channels):
+    rng = np.random.default_rng(depth + colour)
+    rows, columns = 10, 7
+    a = rng.integers(0, 1 << depth, (rows, columns, channels))
+    step = max(1, channels * depth // 8)
+    if depth < 8:
+        bits = (a[..., 0][..., None] >> np.arange(depth)[::-1]) & 1
+        raw = [np.packbits(r.ravel()).tolist() for r in bits.astype(np.uint8)]
+    else:
+        raw = [r.astype(">u2" if depth == 16 else "u1").tobytes() for r in a]
+    lines, up = b"", [0] * len(raw[0])
+    for y, r in enumerate(raw):
+        r, kind = list(r), y % 5
+        left = [0] * step + r[:-step]
+        corner = [0] * step + up[:-step]
+
+        def paeth(x, b, c):
+            p = x + b - c
+            pa, pb, pc = abs(p - x), abs(p - b), abs(p - c)
+            return x if pa <= pb and pa <= pc else b if pb <= pc else c
+
+        guess = [[0, x, b, (x + b) // 2, paeth(x, b, c)][kind] for x, b, c in zip(left, up, corner)]
+        lines += bytes([kind]) + bytes((v - g) % 256 for v, g in zip(r, guess))
+        up = r
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    z = zlib.compress(lines)
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", columns, rows, depth, colour, 0, 0, 0))
+    assert (images.read_png(images.PNG + head + chunk(b"IDAT", z[:5]) + chunk(b"IDAT", z[5:]) + chunk(b"IEND", b"")) == a).all()
+
+
+def test_exports(spark, tmp_path):
+    image = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    writers.write_png(spark, f"file://{tmp_path}/i.png", image)
+    writers.write_npy(spark, f"file://{tmp_path}/i.npy", image)
+    assert (images.read_png((tmp_path / "i.png").read_bytes()) == image).all() and (np.load(tmp_path / "i.npy") == image).all()
+    vertices = spark.createDataFrame([(i, float(i), 0.5, 0.0, 255, 0, 51) for i in range(3)], "id int, x double, y double, z double, r int, g int, b int")
+    faces = spark.createDataFrame([(0, 0, 0, 1, 2)], "polygon int, part int, i int, j int, k int")
+    writers.write_obj(vertices, faces, f"file://{tmp_path}/o")
+    text = [r.value for r in spark.read.text(str(tmp_path / "o")).collect()]
+    assert text[1] == "v 1.0 0.5 0.0 1.000000 0.000000 0.200000" and text[3] == "f 1 2 3"
+    v, f = readers.read_obj(spark, str(tmp_path / "o"))
+    assert [r.y for r in v.collect()] == [0.5] * 3 and f.count() == 1
+
+
+def test_rounds_ask_pending_jobs_again(spark):
+    jobs = spark.createDataFrame([("f", i, 1, 0, f"q{i}", "front 1", "plain") for i in range(3)], "file string, line int, turn int, variant int, q string, a string, style string")
+    asked = []
+
+    def generate(pending):
+        asked.append(sorted((r.line, r.temperature) for r in pending.collect()))
+        # Line n answers in round n.
+        return pending.where("line <= attempt").withColumn("text", F.expr("concat('<Q>say q', line, '</Q><A>front is 1</A>')"))
+
+    got = {r.line: (r.q, r.faithful) for r in evaluation.rewritten(jobs, generate, {}, {"front": "front"}).collect()}
+    assert got == {0: ("say q0", True), 1: ("say q1", True), 2: ("say q2", True)} and asked == [[(0, 0.7), (1, 0.7), (2, 0.7)], [(1, 0.85), (2, 0.85)], [(2, 1.0)]]
+    silent = evaluation.rewritten(jobs, lambda d: d.where("false").withColumn("text", F.lit("")), {}, {}).collect()
+    assert {(r.q, r.faithful) for r in silent} == {(f"q{i}", False) for i in range(3)}
 
 
 def test_reports(spark, tmp_path):
