@@ -80,5 +80,99 @@ FROM m GROUP BY doc_id
 """
 
 
+
+_FIELDS = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in [*_FIELDS, text]) + ")"
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """Tables name0, name1 ...: (g, i, h, n), the nodes of each level with their number; names ending in s hold siblings."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(levels):
+        out.append(
+            f"{name}{k}r AS (SELECT g, i // 16 AS run, sha256(string_agg(h, '' ORDER BY i)) AS up, "
+            f"list(h ORDER BY i) AS hs, any_value(n) AS n FROM {name}{k} WHERE n > 1 GROUP BY g, i // 16)"
+        )
+        out.append(
+            f"{name}{k + 1} AS (SELECT g, run AS i, up AS h, (n + 15) // 16 AS n FROM {name}{k}r "
+            f"UNION ALL SELECT g, i, h, n FROM {name}{k} WHERE n = 1)"
+        )
+    return ",\n".join(out)
+
+
+def _fold(name: str, levels: int, state: str, group: str, index: str) -> tuple[str, str]:
+    """CTEs that lift (node, proof) of each row through the levels, and the last one's name."""
+    out = []
+    for k in range(levels):
+        at = f"({index} // {16**k})"
+        left, right = f"array_to_string(hs[:CAST({at} % 16 AS BIGINT)], '')", f"array_to_string(hs[CAST({at} % 16 AS BIGINT) + 2:], '')"
+        out.append(
+            f"{name}f{k} AS (SELECT s.* EXCLUDE (node, proof), CASE WHEN hs IS NULL THEN node ELSE sha256({left} || node || {right}) END AS node, "
+            f"CASE WHEN hs IS NULL THEN proof ELSE proof || {left} || {right} END AS proof "
+            f"FROM {state} s LEFT JOIN {name}{k}r r ON r.g = s.{group} AND r.run = {at} // 16)"
+        )
+        state = f"{name}f{k}"
+    return ",\n".join(out), state
+
+
+def _op12(levels: int = 6) -> str:
+    """Trees of up to 16^levels leaves, level by level."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low, low_end = _fold("a", levels, "rows0", "t", "i")
+    high, high_end = _fold("b", levels, "mid", "zero", "t")
+    return f"""
+WITH d AS (
+  SELECT doc_id, {_leaf("text")} AS leaf, {_leaf(lower)} AS lowered, source,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {_leaf("text")}) - 1 AS i
+  FROM documents),
+c AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+         lambda p: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), p, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+{_tree("a", "SELECT t AS g, i, leaf AS h, count(*) OVER (PARTITION BY t) AS n FROM d", levels)},
+{_tree("b", f"SELECT 0 AS g, g AS i, h, count(*) OVER () AS n FROM a{levels}", levels)},
+rows0 AS (
+  SELECT d.doc_id, leaf, t, i, 0 AS zero, CASE WHEN crc % 5 = 0 THEN lowered ELSE leaf END AS node, '' AS proof
+  FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+{low},
+mid AS (SELECT m.*, s.h AS subroot FROM {low_end} m JOIN a{levels} s ON s.g = m.t),
+{high}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.h AS verified
+FROM {high_end}, (SELECT h FROM b{levels}) r
+"""
+
+
+OP13 = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, x FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x
+    FROM documents)),
+w AS (SELECT id, lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda y: y <> '') AS ws FROM p),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM s, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(ws)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS (SELECT lang, phrase, any_value(m) AS m, count(*) AS a FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+sub AS (
+  SELECT DISTINCT lang, array_to_string(string_split(phrase, ' ')[b:b + k - 1], ' ') AS phrase, a
+  FROM (SELECT lang, phrase, a, m, unnest(range(2, m)) AS k FROM f WHERE m > 2), (SELECT unnest(range(1, 6)) AS b) WHERE b + k - 1 <= m),
+c AS (SELECT * FROM f WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = f.lang AND sub.phrase = f.phrase AND 100 * sub.a >= 100 * f.a)),
+k AS (SELECT lang, phrase, a, m, unnest(range(1, m)) AS k FROM c),
+z AS (
+  SELECT k.lang, k.phrase, k.a, k, x.a AS l, y.a AS r, n.n,
+         (CAST(1000 AS HUGEINT) * k.a * n.n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(string_split(k.phrase, ' ')[:k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(string_split(k.phrase, ' ')[k + 1:], ' ')
+  JOIN n ON n.lang = k.lang),
+o AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM o QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_jaccard_join": OP2, "op8_quality_rules": OP8, "op9_line_dedup": OP9}
+    return {"op1_exact_dedup": OP1, "op2_jaccard_join": OP2, "op8_quality_rules": OP8, "op9_line_dedup": OP9, "op12_merkle_manifest": _op12(), "op13_collocations": OP13}

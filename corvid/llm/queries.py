@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, scratch_root
+from .collocations import collocations
+from .concat_packing import concat_pack
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
 from .jaccard_join import jaccard_join
 from .language_id import fit_languages, held_out, identify_languages
 from .line_dedup import line_dedup, line_digests, with_bitmaps
+from .merkle import merkle_proofs
 from .mixing import mix_sources
 from .packing import pack
 from .quality_rules import quality_rules
@@ -21,6 +24,7 @@ from .sharding import ShardStore
 from .tokens import token_counts
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 #: Parts in which the documents of op5 arrive.
 ARRIVALS = 4
 
@@ -88,5 +92,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(rows, filters, extra=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat_pack(_read(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_proofs(_read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_mix_sources, op4_main_text, op5_shard_compaction, op6_pack, op7_token_counts, op8_quality_rules, op9_line_dedup, op10_language_id)}
+    every = (op1_exact_dedup, op2_jaccard_join, op3_mix_sources, op4_main_text, op5_shard_compaction, op6_pack, op7_token_counts, op8_quality_rules, op9_line_dedup, op10_language_id, op11_concat_pack, op12_merkle_manifest, op13_collocations)
+    return {f.__name__: f for f in every}
