@@ -8,25 +8,27 @@ the shuffle and after it, and the task that has all fragments of a pivot counts
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_map, join_hot, stored
 
-#: Bytes of text that are taken up at once, entries that a task sums up, n-grams that it counts at once.
-SECTION, ENTRIES, GRAMS = 1 << 20, 200_000, 400_000
-#: Words whose order by frequency every task knows, and the bytes of the longest of them: at most LISTED * (LONGEST + 8) bytes are broadcast.
-LISTED, LONGEST = 300_000, 64
+#: Bytes of text that are taken up at once, words or fragments that a task sums up, and fragments that it mines at once.
+SECTION, ENTRIES, GRAMS = 1 << 20, 200_000, 300_000
+#: Words whose order by frequency every task knows, and the bytes of the longest of them: at most LISTED times LONGEST and a language's name are broadcast.
+LISTED, LONGEST, HOT_LONGEST = 300_000, 64, 4096
 #: An occurrence's share of the table and number beyond which a pivot's fragments are dealt over several tasks.
 HOT_PART, HOT_ROWS = 512, 1 << 24
-#: The order of a place that no n-gram contains.
-BREAK = np.iinfo(np.int64).max
+#: The order of a place that no n-gram contains, and the smallest of a word that is not listed.
+BREAK, UNLISTED = np.iinfo(np.int64).max, 1 << 32
+#: Bits of a pivot's home that say which of its tasks it is.
+SALT_BITS = 20
 #: Spaces and tabs part words; a piece ends at the others, with A-Z in lower case.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 _EDGE = re.compile(rb"[ \n]")
@@ -81,25 +83,29 @@ def _word_counts(section: int):
 
 
 class Order:
-    """The order of words by rarity: listed ones by frequency, the others beyond them by a hash, or breaks where all frequent ones are listed."""
+    """The order of a language's words by rarity.
 
-    def __init__(self, listed: dict[str, list[bytes]], complete: bool):
-        self.rank = {lang: {w: i for i, w in enumerate(words)} for lang, words in listed.items()}
+    Listed words have numbers, the most frequent the smallest one, that no two languages share. Where they are all words
+    that are frequent enough, the others are breaks; else these come after them in the order of a hash.
+    """
+
+    def __init__(self, listed: list[tuple[str, bytes]], complete: bool):
+        self.numbers: dict[str, dict[bytes, int]] = defaultdict(dict)
+        for i, (lang, word) in enumerate(listed):
+            self.numbers[lang][word] = i
         self.complete = complete
 
     def of(self, lang: str, words: list[bytes]) -> np.ndarray:
         """The order of words; -1 for empty ones, BREAK for ends of pieces and words that no frequent n-gram contains."""
-        rank = self.rank.get(lang, {})
-        get = rank.get
+        get = self.numbers.get(lang, {}).get
         if self.complete:
             return np.fromiter((get(w, BREAK) if w else -1 for w in words), np.int64, len(words))
-        return np.fromiter(((r if (r := get(w)) is not None else BREAK if w == b"\n" else self.beyond(w)) if w else -1 for w in words), np.int64, len(words))
+        return np.fromiter(((r if (r := get(w)) is not None else BREAK if w == b"\n" else beyond(w)) if w else -1 for w in words), np.int64, len(words))
 
-    @staticmethod
-    def beyond(word: bytes) -> int:
-        import xxhash
 
-        return 1 << 32 | xxhash.xxh3_64_intdigest(word) >> 2
+def beyond(word: bytes) -> int:
+    """The order of a word that is not listed."""
+    return UNLISTED + (xxhash.xxh3_64_intdigest(word) >> 2)
 
 
 def extents(order: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,97 +123,235 @@ def extents(order: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-_FRAGMENT = pa.schema([("lang", pa.string()), ("pivot", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("at", pa.int8()), ("words", pa.binary()), ("n", pa.int64())])
+def grouped(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal rows of a matrix of unsigned numbers: the index of one of each, the sums of n, and each row's group."""
+    name = np.zeros(len(rows), dtype=np.uint64)
+    for c in range(rows.shape[1]):
+        name = (name + rows[:, c] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        name ^= name >> np.uint64(29)
+    order = np.argsort(name)
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    if (new[1:] & (name[order[1:]] == name[order[:-1]])).any():
+        # Two different rows have one name, and may lie mixed.
+        order = np.lexsort(rows.T)
+        new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    begins = np.flatnonzero(new)
+    group = np.empty(len(rows), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[begins], np.add.reduceat(n[order], begins) if len(begins) else n[:0], group
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    """A binary array of a matrix's rows."""
+    rows = np.ascontiguousarray(rows, dtype="<u4")
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (4 * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
 
+_FRAGMENT = pa.schema([("home", pa.int64()), ("words", pa.binary()), ("n", pa.int64())])
 
-def _fragments(listed, complete: bool, deal: dict[tuple[str, int], int], reach: int, section: int):
-    """Batches (lang, text) to sums of fragments: the pivot's order, its place in the fragment, and the words, parted by spaces."""
 
-    def rows(order, counts):
-        out = [[] for _ in _FRAGMENT]
+def _spelled(lang: str, at: int, words: bytes) -> bytes:
+    """A fragment around an unlisted pivot: its place, its language and the words themselves."""
+    own = lang.encode("utf-8", "surrogatepass")
+    return bytes([at]) + len(own).to_bytes(4, "little") + own + words
+
+
+def _fragments(listed, complete: bool, deal: dict[int, int], reach: int, section: int):
+    """Batches (lang, text) to sums of fragments.
+
+    Around a listed pivot all words are listed: a fragment is the pivot's place in it and the words' numbers. Around
+    others it is spelled. home is the pivot, and for pivots that are dealt over tasks which of these it goes to.
+    """
+
+    def numbered(found):
+        for matrices in found.values():
+            rows = np.concatenate(matrices)
+            first, n, _ = grouped(rows, np.ones(len(rows), dtype=np.int64))
+            rows = rows[first]
+            pivot = rows[np.arange(len(rows)), 1 + rows[0, 0]].astype(np.int64)
+            home = pivot << SALT_BITS
+            for p, tasks in deal.items():
+                own = np.flatnonzero(pivot == p)
+                if len(own):
+                    mixed = (rows[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, rows.shape[1] + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+                    home[own] += ((mixed >> np.uint64(33)) % np.uint64(tasks)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(home), packed(rows), pa.array(n)], schema=_FRAGMENT)
+
+    def spelled(counts):
+        cols = [[], [], []]
         for (lang, at), of in counts.items():
-            words = list(of)
-            pivots = order.of(lang, [w.split(b" ")[at] for w in words]).tolist()
-            salts = [deal.get((lang, p), 1) for p in pivots]
-            dealt = [zlib.crc32(w) % k if k > 1 else 0 for w, k in zip(words, salts, strict=True)]
-            for col, x in zip(out, ([lang] * len(of), pivots, dealt, [k > 1 for k in salts], [at] * len(of), words, of.values()), strict=True):
-                col.extend(x)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FRAGMENT, strict=True)], schema=_FRAGMENT)
+            for words, n in of.items():
+                home = -1 - (xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\n" + words.split(b" ")[at]) >> 2)
+                for col, x in zip(cols, (home, _spelled(lang, at, words), n), strict=True):
+                    col.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FRAGMENT, strict=True)], schema=_FRAGMENT)
 
     def run(batches):
         order = Order(listed.value, complete)
+        found: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
         counts: dict[tuple[str, int], Counter] = defaultdict(Counter)
         kept: list[bytes] = []
-        done = 0
+        done = held = 0
         for lang, data, begins, ends in _sections(batches, section):
             words = data.replace(b"\n", b" \n ").split(b" ")
             if not begins:
                 words = kept + words
             ranks = order.of(lang, words)
             there = np.flatnonzero(ranks >= 0)
-            if len(there) < len(words):
-                words, ranks = [words[i] for i in there.tolist()], ranks[there]
+            ranks = ranks[there]
             left, right = extents(ranks, reach)
             # Places whose words to the right are in the next section wait for it, with the words to their left.
             first = 0 if begins else done
-            last = len(words) if ends else max(first, len(words) - reach)
+            last = len(ranks) if ends else max(first, len(ranks) - reach)
             on = np.flatnonzero(left + right)
             on = on[(on >= first) & (on < last)]
-            for at in range(reach + 1):
-                here = on[left[on] == at]
-                if len(here):
-                    spans = zip((here - at).tolist(), (here + right[here] + 1).tolist(), strict=True)
-                    counts[lang, at].update([b" ".join(words[i:j]) for i, j in spans])
+            of_list = on[ranks[on] < UNLISTED]
+            shape = left[of_list] * (reach + 1) + right[of_list]
+            by_shape = of_list[np.argsort(shape, kind="stable")]
+            sizes = np.bincount(shape, minlength=(reach + 1) ** 2)
+            for k, end in zip(np.flatnonzero(sizes).tolist(), np.cumsum(sizes)[sizes > 0].tolist(), strict=True):
+                at, after = divmod(k, reach + 1)
+                here = by_shape[end - sizes[k] : end]
+                rows = np.empty((len(here), at + after + 2), dtype=np.uint32)
+                rows[:, 0] = at
+                for c in range(at + after + 1):
+                    rows[:, 1 + c] = ranks[here + (c - at)]
+                found[at, after].append(rows)
+                held += len(rows)
+            for i in on[ranks[on] >= UNLISTED].tolist():
+                at = int(left[i])
+                counts[lang, at][b" ".join([words[there[j]] for j in range(i - at, i + int(right[i]) + 1)])] += 1
+                held += 1
             done = min(reach, last)
-            kept = words[last - done :]
-            if sum(map(len, counts.values())) > ENTRIES:
-                yield rows(order, counts)
+            kept = [words[j] for j in there[last - done :].tolist()]
+            if held > ENTRIES:
+                yield from numbered(found)
+                yield from spelled(counts)
+                found.clear()
                 counts.clear()
-        yield rows(order, counts)
+                held = 0
+        yield from numbered(found)
+        yield from spelled(counts)
 
     return run
 
 
-_GRAM = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n_words", pa.int32()), ("n", pa.int64())])
+_GRAM = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
+
+
+def _grams(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.string()), packed(rows), pa.array(n)], schema=_GRAM)
 
 
-def _mine(least: int, longest: int, most: int):
-    """Fragments sorted by pivot to the n-grams around their pivots.
+def _mine_numbered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, n: np.ndarray, whole: np.ndarray, least: int, longest: int):
+    """The n-grams around the pivots of fragments (place, numbers ...) that begin at `begins` in flat.
 
-    Sums of a pivot that this task has whole are final, so only frequent ones leave; those of pivots that are dealt
-    over tasks, or have more n-grams than are held at once, are parts and leave all.
+    Where a task has all fragments of the pivots (whole), only n-grams leave that occur `least` times, and what is longer
+    than a rare one is not looked at. Parts of pivots leave all.
     """
+    at = flat[begins].astype(np.int64)
+    pivot, left, right = begins + 1 + at, at.copy(), sizes - 2 - at
+
+    def count(i, j):
+        on = np.flatnonzero((left >= i) & (right >= j))
+        if not len(on):
+            return None
+        rows = np.empty((len(on), i + j + 1), dtype=np.uint32)
+        for c in range(-i, j + 1):
+            rows[:, i + c] = flat[pivot[on] + c]
+        first, sums, group = grouped(rows, n[on])
+        leaves = (sums >= least) | ~whole[on[first]]
+        rare = on[~leaves[group]]
+        if not i:
+            right[rare] = j - 1
+        elif not j:
+            left[rare] = i - 1
+        return _grams(rows[first[leaves]], sums[leaves]) if leaves.any() else None
+
+    shapes = [(0, j) for j in range(1, longest)] + [(i, 0) for i in range(1, longest)]
+    shapes += [(i, j) for i in range(1, longest - 1) for j in range(1, longest - i)]
+    for i, j in shapes:
+        if (batch := count(i, j)) is not None:
+            yield batch
+
+
+def _mine_spelled(rows, least: int, longest: int, whole: bool):
+    """The n-grams around the pivots of spelled fragments: batches of one language each."""
+    counts: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+    for fragment, n in rows:
+        size = int.from_bytes(fragment[1:5], "little")
+        at, lang, words = fragment[0], fragment[5 : 5 + size].decode("utf-8", "surrogatepass"), fragment[5 + size :].split(b" ")
+        for i in range(at + 1):
+            for j in range(max(at + 1, i + 2), min(len(words), i + longest) + 1):
+                counts[lang][b" ".join(words[i:j])] += n
+    for lang, of in counts.items():
+        kept = [(w, n) for w, n in of.items() if n >= least or not whole]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], schema=_GRAM)
+
+
+def _mine(deal: dict[int, int], least: int, longest: int, most: int):
+    """Fragments sorted by home to n-grams: whole pivots together, `most` fragments at once, larger pivots in parts."""
+
+    def solve(table: pa.Table, parts: set[int]):
+        if not table.num_rows:
+            return
+        chunk = table.combine_chunks().to_batches()[0]
+        homes, n = chunk.column(0).to_numpy(), chunk.column(2).to_numpy()
+        numbered = int(np.searchsorted(homes, 0))
+        if numbered:
+            split = np.isin(homes[:numbered], list(parts))
+            for on in (np.flatnonzero(split), np.flatnonzero(~split)):
+                rows = ((chunk.column(1)[i].as_py(), int(n[i])) for i in on.tolist())
+                yield from _mine_spelled(rows, least, longest, not split[on].any())
+        if numbered < len(homes):
+            words = chunk.column(1).slice(numbered)
+            offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+            flat = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view("<u4")
+            begins = (offsets[:-1] - offsets[0]) // 4
+            own = homes[numbered:]
+            whole = ~np.isin(own >> SALT_BITS, list(deal)) & ~np.isin(own, list(parts))
+            yield from _mine_numbered(flat, begins, np.diff(offsets) // 4, n[numbered:], whole, least, longest)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows, parts = 0, set()
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows <= most:
+                continue
+            table = pa.Table.from_batches(held)
+            homes = table.column(0).to_numpy()
+            last = int(np.searchsorted(homes, homes[-1]))
+            if not last:
+                # One pivot alone is more than is held at once.
+                parts = {int(homes[-1])}
+                last = rows
+            yield from solve(table.slice(0, last), parts)
+            held, rows = table.slice(last).to_batches(), rows - last
+        if held:
+            yield from solve(pa.Table.from_batches(held), parts)
+
+    return run
+
 
-    def batch_of(lang, counts, floor):
-        kept = [(w, n) for w, n in counts.items() if n >= floor]
-        cols = ([lang] * len(kept), [w for w, _ in kept], [w.count(b" ") + 1 for w, _ in kept], [n for _, n in kept])
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _GRAM, strict=True)], schema=_GRAM)
+def _decode(listed):
+    """N-grams of listed words back to their language and words."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n_words", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        counts: dict[bytes, int] = defaultdict(int)
-        here, parts = None, False
+        names = listed.value
         for batch in batches:
-            for lang, pivot, salt, hot, at, words, n in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (lang, pivot, salt) != here or len(counts) > most:
-                    if counts:
-                        same = (lang, pivot, salt) == here
-                        parts = parts or same
-                        yield batch_of(here[0], counts, 1 if parts else least)
-                        counts.clear()
-                        parts = hot or parts and same
-                    else:
-                        parts = hot
-                    here = (lang, pivot, salt)
-                ends, place = [], -1
-                while (place := words.find(b" ", place + 1)) >= 0:
-                    ends.append(place)
-                ends.append(len(words))
-                for i in range(at + 1):
-                    begin = ends[i - 1] + 1 if i else 0
-                    for j in range(max(at, i + 1), min(len(ends), i + longest)):
-                        counts[words[begin : ends[j]]] += n
-        if counts:
-            yield batch_of(here[0], counts, 1 if parts else least)
+            out = [[], [], []]
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if lang is None:
+                    found = [names[i] for i in np.frombuffer(phrase, dtype="<u4").tolist()]
+                    lang, phrase = found[0][0], b" ".join([w for _, w in found])
+                for col, x in zip(out, (lang, phrase.decode("utf-8", "replace"), phrase.count(b" ") + 1), strict=True):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(out, schema, strict=False)), batch.column(2)], schema=schema)
 
     return run
 
@@ -220,25 +364,20 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
     words = stored(counted, "phrase-words")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     frequent = words.where(F.col("n") >= least)
-    # At most `listed` words of at most LONGEST bytes each reach the driver and the tasks.
-    short = frequent.where(F.octet_length("word") <= LONGEST)
+    every = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    line = min(HOT_ROWS, max(least, every // hot_part))
+    # At most `listed` words reach the driver and the tasks, of at most LONGEST bytes each but for the few hot ones.
+    short = frequent.where(F.octet_length("word") <= F.when(F.col("n") > line, HOT_LONGEST).otherwise(LONGEST))
     top = short.orderBy(F.col("n").desc(), "lang", "word").limit(listed).collect()
     complete = len(top) == frequent.count()
-    by_lang: dict[str, list[bytes]] = defaultdict(list)
-    line = min(HOT_ROWS, max(least, (totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // hot_part))
-    deal = {}
-    for r in top:
-        if r["n"] > line:
-            deal[r["lang"], len(by_lang[r["lang"]])] = -(-r["n"] // line)
-        by_lang[r["lang"]].append(r["word"].encode("utf-8"))
-    shared = spark.sparkContext.broadcast(dict(by_lang))
-    found = arrow_map(d, _fragments(shared, complete, deal, longest - 1, section), "lang string, pivot long, salt int, hot boolean, at byte, words binary, n long")
+    deal = {i: min(-(-r["n"] // line), 1 << SALT_BITS) for i, r in enumerate(top) if r["n"] > line}
+    shared = spark.sparkContext.broadcast([(r["lang"], r["word"].encode("utf-8")) for r in top])
+    found = arrow_map(d, _fragments(shared, complete, deal, longest - 1, section), "home long, words binary, n long")
     # The sums of equal fragments need no further shuffle: they lie where their pivot's share does.
-    home = ["lang", "pivot", "salt"]
-    summed = found.repartition(*home).groupBy(*home, "hot", "at", "words").agg(F.sum("n").alias("n")).sortWithinPartitions(*home)
-    mined = summed.mapInArrow(_mine(least, longest, grams), "lang string, phrase binary, n_words int, n long")
-    phrases = mined.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("n_words").alias("n_words")).where(F.col("n") >= least)
-    phrases = phrases.select("lang", F.col("phrase").cast("string").alias("phrase"), "n_words", "n")
+    summed = found.repartition("home").groupBy("home", "words").agg(F.sum("n").alias("n")).sortWithinPartitions("home")
+    mined = summed.mapInArrow(_mine(deal, least, longest, grams), "lang string, phrase binary, n long")
+    phrases = mined.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    phrases = phrases.mapInArrow(_decode(shared), "lang string, phrase string, n_words int, n long")
     alone = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "n")
     return stored(phrases.unionByName(alone), "phrase-counts"), totals
 

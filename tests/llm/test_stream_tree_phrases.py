@@ -259,7 +259,7 @@ def phrase_rows():
     return rows + rows[:3] + [(None, "w" * 90 + " long " + "w" * 90 + " long", "de", "s", 1, "", "", "")] * 30
 
 
-@pytest.mark.parametrize("how", [{}, {"section": 40}, {"listed": 3}, {"listed": 0, "section": 64}, {"hot_part": 10**6}, {"grams": 5}, {"hot_part": 300, "grams": 20, "section": 50, "listed": 6}], ids=str)
+@pytest.mark.parametrize("how", [{}, {"section": 40}, {"listed": 3}, {"listed": 0, "section": 64}, {"hot_part": 10**6}, {"grams": 5}, {"grams": 1, "listed": 2}, {"hot_part": 300, "grams": 20, "section": 50, "listed": 6}], ids=str)
 def test_collocations_equal_brute_force(spark, how):
     rows = phrase_rows()
     got = collocations(frame(spark, rows), least=20, **how).collect()
