@@ -89,8 +89,8 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
-_STREAM = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-STREAM = "part int, at long, doc_id long, start long, doc_tokens long, ids binary"
+_STREAM = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
+STREAM = "part int, at long, doc_id long, start long, doc_tokens long, n int, ids binary"
 
 
 def _streamed(tokenizer: str, end_id: int):
@@ -103,7 +103,7 @@ def _streamed(tokenizer: str, end_id: int):
                 ids = np.append(own.ids(text.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
                 for begin in range(0, len(ids), ROW_IDS):
                     data = ids[begin : begin + ROW_IDS].tobytes()
-                    for col, x in zip(out, (part, at, doc, begin, len(ids), data), strict=True):
+                    for col, x in zip(out, (part, at, doc, begin, len(ids), len(data) // 4, data), strict=True):
                         col.append(x)
                     at += len(data) // 4
                     held += len(data)
@@ -149,7 +149,7 @@ class TokenStream:
     def __init__(self, docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text"):
         d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
         self.rows = stored(arrow_map(d, _streamed(tokenizer, end_id), STREAM), "token-stream")
-        totals = {r["part"]: r["n"] for r in self.rows.groupBy("part").agg(F.sum(F.octet_length("ids").cast("long") / 4).cast("long").alias("n")).collect()}
+        totals = {r["part"]: r["n"] for r in self.rows.groupBy("part").agg(F.sum("n").alias("n")).collect()}
         sizes = np.zeros(max(totals, default=-1) + 1, dtype=np.int64)
         for part, n in totals.items():
             sizes[part] = n
@@ -165,7 +165,7 @@ class TokenStream:
         def run(batches):
             for batch in batches:
                 out = [[] for _ in schema]
-                for part, at, doc, start, n, ids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                for part, at, doc, start, n, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "doc_id", "start", "doc_tokens", "ids")), strict=True):
                     here = int(base[part]) + at
                     for no, offset, begin, end in windows.cut(here, here + len(ids) // 4):
                         piece = ids[4 * (begin - here) : 4 * (end - here)]
