@@ -68,11 +68,11 @@ _TRAILING = {m: (re.compile(rf"\b{m}\s*↑", re.I), re.compile(rf"\b{m}\s*↓",
 _LEADING = [(re.compile(rf"(?<![A-Za-z]){a}\s*([^↑↓⬆⬇\n;]+)"), tag) for a, tag in (("↑", _UP), ("↓", _DOWN), ("⬆", _UP), ("⬇", _DOWN))]
 _OWN_ARROW = re.compile(rf"(?:{'|'.join(V.MUSCLES)})\s*[↑↓⬆⬇]")
 _LISTS = [
-    (re.compile(rf"(?:{own})\b(.{{0,120}}?)(?=(?:{other})\b|[.;\n]|$)", re.I | re.S), tag)
+    (re.compile(rf"(?:{own})\b(.{{0,{V.LIST_REACH}}}?)(?=(?:{other})\b|[.;\n]|$)", re.I | re.S), tag)
     for own, other, tag in ((V.MORE_VERBS, V.LESS_VERBS, _UP), (V.LESS_VERBS, V.MORE_VERBS, _DOWN))
 ]
 _KO_ORDER = [
-    (re.compile(rf"(.{{0,160}}?)(?:{own})", re.I | re.S), re.compile(rf"(?:{other})"), tag)
+    (re.compile(rf"(.{{0,{V.KO_REACH}}}?)(?:{own})", re.I | re.S), re.compile(rf"(?:{other})"), tag)
     for own, other, tag in ((V.KO_MORE_VERBS, V.KO_LESS_VERBS, _UP), (V.KO_LESS_VERBS, V.KO_MORE_VERBS, _DOWN))
 ]
 _CLAUSE_END = re.compile(r"[.。\n;；]")
@@ -80,7 +80,6 @@ _HANGUL = re.compile("[가-힣]")
 _NEAR_VERBS = ((re.compile(f"(?:{V.MORE_VERBS})"), _UP), (re.compile(rf"(?:{V.LESS_VERBS}\b)"), _DOWN))
 _NAMES_EN = {m: name for name, m in V.MUSCLE_SURFACES.items() if name.isascii()}
 _MENTIONS = {m: [_ABBR[m], re.compile(_NAMES_EN[m], re.I)] for m in V.MUSCLES}
-REACH = 45
 
 
 def arrow_corrections(text: str) -> Iterator[tuple[str, str]]:
@@ -105,22 +104,23 @@ def list_corrections(text: str) -> Iterator[tuple[str, str]]:
 
 
 def korean_corrections(text: str) -> Iterator[tuple[str, str]]:
-    """Muscles before the verb, within its clause and after any opposite verb."""
+    """The verb comes last: what it asks for stands between it and the nearest clause end or opposite verb before it."""
     if not _HANGUL.search(text):
         return
-    for pattern, other, tag in _KO_ORDER:
-        for hit in pattern.finditer(text):
-            clause = other.split(_CLAUSE_END.split(hit[1])[-1])[-1]
-            yield from ((m, tag) for m in muscles_in(clause[-160:]))
+    for asked, opposite, tag in _KO_ORDER:
+        for hit in asked.finditer(text):
+            before = hit[1]
+            start = max((stop.end() for ends in (_CLAUSE_END, opposite) for stop in ends.finditer(before)), default=0)
+            yield from ((m, tag) for m in muscles_in(before[start:]))
 
 
 def nearest_corrections(text: str) -> Iterator[tuple[str, str]]:
-    """The verb that begins nearest to a mention, in REACH characters around it; muscles with a tie between tags are left out."""
+    """The verb that begins nearest to a mention, in NEAR_REACH characters around it; muscles with a tie between tags are left out."""
     for m, patterns in _MENTIONS.items():
         reached: dict[int, list[str]] = defaultdict(list)
         for hit in (h for p in patterns for h in p.finditer(text)):
-            left = max(0, hit.start() - REACH)
-            window, anchor = text[left : hit.end() + REACH].lower(), hit.start() - left
+            left = max(0, hit.start() - V.NEAR_REACH)
+            window, anchor = text[left : hit.end() + V.NEAR_REACH].lower(), hit.start() - left
             options = [(abs(v.start() - anchor), order, tag) for order, (p, tag) in enumerate(_NEAR_VERBS) for v in p.finditer(window)]
             if options:
                 distance, _, tag = min(options)
@@ -168,6 +168,16 @@ def corrections_of(text: Column) -> Column:
     return run(text)
 
 
+def nearest_corrections_of(text: Column) -> Column:
+    """Muscle to tag by the nearest verb alone."""
+
+    @F.pandas_udf("map<string, string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return _each_once(texts, lambda t: dict(nearest_corrections(t or "")))
+
+    return run(text)
+
+
 def muscle_mentions(text: Column) -> Column:
     """Muscles named in the text, in the fixed order, without Python: whole abbreviations, or names of 3 letters or more."""
     low = F.lower(text)

@@ -87,6 +87,10 @@ MOVEMENT_CONCEPTS = {
         "narrow": ["narrow"],
     },
 }
+# Concepts that contradict each other in a statement of direction.
+OPPOSITE_CONCEPTS = {"advance": "retract", "retract": "advance", "elevate": "descend", "descend": "elevate", "inc": "dec", "dec": "inc", "flat": "arch", "arch": "flat"}
+# How far from a verb a muscle may stand, in characters: after it in a list, before it in Korean, on either side by nearness.
+LIST_REACH, KO_REACH, NEAR_REACH = 120, 160, 45
 REGION_CONCEPTS = {"en": {"front": "front", "mid": "mid", "back": "back"}, "ko": {"front": "front", "전방": "front", "mid": "mid", "중간": "mid", "back": "back", "후방": "back"}}
 
 ABSTENTIONS = {

@@ -118,9 +118,8 @@ def trend_confusion(items: DataFrame, lang: str) -> DataFrame:
 
 def direction_accuracy(items: DataFrame, lang: str) -> DataFrame:
     """One row: items with a gold direction, right ones (all named, no opposite), contradictions, and items without one."""
-    opposites = {"advance": "retract", "retract": "advance", "elevate": "descend", "descend": "elevate"}
-    table = F.create_map(*[F.lit(x) for kv in opposites.items() for x in kv])
-    gold = F.array_intersect(gold_facts(F.col("gold_spans"), lang)["movement"], F.array(*map(F.lit, opposites)))
+    table = F.create_map(*[F.lit(x) for kv in V.OPPOSITE_CONCEPTS.items() for x in kv])
+    gold = F.array_intersect(gold_facts(F.col("gold_spans"), lang)["movement"], F.array(*map(F.lit, V.OPPOSITE_CONCEPTS)))
     d = items.select(gold.alias("g"), said_facts(F.coalesce("pred", F.lit("")), lang)["movement"].alias("p"))
     against = F.arrays_overlap(F.transform("g", lambda x: F.element_at(table, x)), "p")
     some = F.size("g") > 0

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsers import corrections_of, direction_concepts, directions_of, muscle_mentions
+from ..functions.parsers import corrections_of, direction_concepts, directions_of, muscle_mentions, nearest_corrections_of
 from ..functions.text import first_number, prf
 from ..functions.vocabulary import MOVE_EPS_MM, MUSCLES, REGIONS
 from .metrics import abstention, set_scores
@@ -67,6 +67,11 @@ def score_values(items: DataFrame, tol: Column) -> DataFrame:
     return items.withColumns({"pred_value": v, "correct": F.coalesce(F.abs(v - F.col("gold_value")) <= tol, F.lit(False))})
 
 
+def direction_part(kind: Column) -> Column:
+    """What scores a direction item: corrections for prescriptions, regions for descriptions of a rest shape, axes for all others."""
+    return F.when(kind.isin("prescriptive", "correction"), "prescriptive").when(kind == "rest_desc", "rest_desc").otherwise("b2")
+
+
 def score_muscles(items: DataFrame) -> DataFrame:
     """Micro P, R, F1 of the muscles named, by n_act_bin."""
     return set_scores(items, F.col("gold_muscles"), muscle_mentions(F.coalesce("pred", F.lit(""))), ["n_act_bin"])
@@ -99,16 +104,21 @@ def correction_pairs(inc: Column, dec: Column) -> Column:
     return F.array_sort(F.concat(tag(inc, "inc"), tag(dec, "dec")))
 
 
-def with_corrections(items: DataFrame) -> DataFrame:
-    """gold_pairs and pred_pairs as sorted arrays of muscle:tag."""
-    said = F.map_entries(corrections_of(F.coalesce("pred", F.lit(""))))
+def with_corrections(items: DataFrame, parser=corrections_of) -> DataFrame:
+    """gold_pairs and pred_pairs as sorted arrays of muscle:tag; parser maps an answer to muscles and tags."""
+    said = F.map_entries(parser(F.coalesce("pred", F.lit(""))))
     pred = F.array_sort(F.transform(said, lambda e: F.concat(e["key"], F.lit(":"), e["value"])))
     return items.withColumns({"gold_pairs": correction_pairs(F.col("gold_inc"), F.col("gold_dec")), "pred_pairs": pred})
 
 
-def score_corrections(items: DataFrame) -> DataFrame:
+def score_nearest_corrections(items: DataFrame) -> DataFrame:
+    """Micro P, R, F1 of the pairs that the nearest verb alone gives."""
+    return score_corrections(items, nearest_corrections_of)
+
+
+def score_corrections(items: DataFrame, parser=corrections_of) -> DataFrame:
     """Micro P, R, F1 of the pairs and the share of items with exactly the gold pairs (none without gold)."""
-    d = with_corrections(items)
+    d = with_corrections(items, parser)
     exact = (F.size("gold_pairs") > 0) & (F.col("gold_pairs") == F.col("pred_pairs"))
     return set_scores(d, F.col("gold_pairs"), F.col("pred_pairs")).crossJoin(d.agg(F.count(F.lit(1)).alias("n"), F.count_if(exact).alias("n_exact")))
 
@@ -156,16 +166,26 @@ def control_delta(real: DataFrame, control: DataFrame, metric: str, names: tuple
 
 
 def headline(corrections: DataFrame | None, axes: DataFrame | None, regions: DataFrame | None) -> DataFrame:
-    """Direction's headline: the F1 of corrections if there are any, else the mean of the other parts' accuracies."""
-    if corrections is not None:
-        p = prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]
-        return corrections.select(F.lit("corrections").alias("part"), p.alias("direction"))
+    """Direction's headline: the F1 of corrections where there are such items, else the mean of the parts that have items, else 0.
+
+    corrections is a row of score_corrections, axes and regions a row an item. Axes that were skipped don't count, but
+    a part all of whose items were skipped has the accuracy 0.
+    """
+    if corrections is None and axes is None and regions is None:
+        raise ValueError("no direction items")
     parts = []
+    if corrections is not None:
+        f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]
+        parts.append(corrections.select(F.lit("corrections").alias("part"), F.when(F.col("n") > 0, f1).alias("x")))
     if axes is not None:
-        parts.append(axes.agg(F.coalesce(F.avg(F.when(F.col("skipped").isNull(), F.col("correct").cast("int"))), F.lit(0.0)).alias("x")))
+        own = F.coalesce(F.avg(F.when(F.col("skipped").isNull(), F.col("correct").cast("int"))), F.lit(0.0))
+        parts.append(axes.agg(F.lit("parts").alias("part"), F.when(F.count(F.lit(1)) > 0, own).alias("x")))
     if regions is not None:
-        parts.append(regions.agg(F.coalesce(F.try_divide(F.sum("n_right"), F.sum("n_regions")), F.lit(0.0)).alias("x")))
-    if not parts:
-        raise ValueError("no direction items")
-    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return every.agg(F.lit("parts").alias("part"), F.avg("x").alias("direction"))
+        own = F.coalesce(F.try_divide(F.sum("n_right"), F.sum("n_regions")), F.lit(0.0))
+        parts.append(regions.agg(F.lit("parts").alias("part"), F.when(F.count(F.lit(1)) > 0, own).alias("x")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    means = every.where("x is not null").groupBy("part").agg(F.avg("x").alias("x"))
+    first = means.agg(F.max(F.when(F.col("part") == "corrections", F.col("x"))).alias("c"), F.max(F.when(F.col("part") == "parts", F.col("x"))).alias("p"))
+    return first.select(F.when(F.col("c").isNotNull(), "corrections").otherwise("parts").alias("part"), F.coalesce("c", "p", F.lit(0.0)).alias("direction"))

@@ -105,10 +105,16 @@ def with_predictions(jobs: DataFrame, preds: DataFrame, keys: Sequence[str], ord
 
 
 def overlap_by_type(jobs: DataFrame, train: DataFrame) -> DataFrame:
-    """For each turn type the share of jobs with a mesh in train."""
-    ids = jobs.withColumn("_j", F.monotonically_increasing_id()).select("turn_type", "_j", F.explode_outer("mesh_indices").alias("index"))
-    seen = ids.join(train.select("index").distinct().withColumn("hit", F.lit(1)), "index", "left")
-    return seen.groupBy("turn_type", "_j").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit")).groupBy("turn_type").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("rate"))
+    """For each turn type the meshes of its jobs, those of them in train, and their rate; every mention of a mesh counts.
+
+    Jobs without meshes add nothing; a type without any mesh has the rate 0.
+    """
+    ids = jobs.select("turn_type", F.explode_outer("mesh_indices").alias("index"))
+    # Mentions of a mesh combine first, so a mesh that very many jobs name is one row of the join.
+    counts = ids.groupBy("turn_type", "index").agg(F.count("index").alias("c"))
+    seen = counts.join(train.select("index").distinct().withColumn("hit", F.lit(1)), "index", "left")
+    sums = seen.groupBy("turn_type").agg(F.coalesce(F.sum(F.col("c") * F.col("hit")), F.lit(0)).alias("in_train"), F.sum("c").alias("total"))
+    return sums.withColumn("rate", F.coalesce(F.try_divide("in_train", "total"), F.lit(0.0)))
 
 
 # Regression scores; long form: row_id, index, muscle, pred, gold

@@ -155,12 +155,19 @@ def q_split_policy(spark, d):
     return index.membership_policies(lines, "l_orderkey", "l_suppkey", F.col("l_suppkey") % 2 == 0, "place")
 
 
-@query("""SELECT l_returnflag, count(*) AS n, round(avg((p_partkey IS NOT NULL)::INT), 6) AS overlap
-FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON l_partkey = p_partkey GROUP BY l_returnflag""")
+@query("""WITH ids AS (SELECT o_orderstatus AS turn_type, l_partkey AS index FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 5 <> 0 AND o_orderpriority <> '5-LOW'),
+types AS (SELECT DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN 'empty' ELSE o_orderstatus END AS turn_type FROM orders)
+SELECT t.turn_type, count(p_partkey) AS in_train, count(index) AS total, round(coalesce(count(p_partkey) / nullif(count(index), 0), 0), 6) AS rate
+FROM types t LEFT JOIN ids ON ids.turn_type = t.turn_type LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON index = p_partkey GROUP BY t.turn_type""")
 def q_train_overlap(spark, d):
+    """Jobs that name several meshes, some twice, and jobs that name none."""
     train = table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("index"))
-    jobs = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("turn_type"), F.array("l_partkey").alias("mesh_indices"))
-    return evaluation.overlap_by_type(jobs, train).select(F.col("turn_type").alias("l_returnflag"), "n", F.round("rate", 6).alias("overlap"))
+    named = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_partkey").alias("named"))
+    jobs = table(spark, d, "orders").join(named, "o_orderkey", "left")
+    low = (F.col("o_orderpriority") == "5-LOW") | (F.col("o_orderkey") % 5 == 0)
+    ids = F.when(low | F.col("named").isNull(), F.expr("cast(array() as array<bigint>)")).otherwise(F.col("named").cast("array<bigint>"))
+    kind = F.when(F.col("o_orderkey") % 5 == 0, "empty").otherwise(F.col("o_orderstatus"))
+    return evaluation.overlap_by_type(jobs.select(kind.alias("turn_type"), ids.alias("mesh_indices")), train).select("turn_type", "in_train", "total", F.round("rate", 6).alias("rate"))
 
 
 @query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, role FROM conversations)
@@ -622,7 +629,7 @@ def q_contour_features(spark, d):
 
 def _more() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from . import format_queries, score_queries  # noqa: F401
+    from . import answer_queries, format_queries, score_queries  # noqa: F401
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,7 +17,7 @@ from . import evaluation, qa, scoring
 from .queries import query, table
 
 _NAMES = list(V.FULL_NAMES["en"].values())
-_VERBS = ["advance", "retract", "raise", "lower", "preserved", "flattened"]
+_VERBS = ["advance", "retract", "raise", "lower", "increases", "flattened", "domed", "preserved", "negligible"]
 _REGIONS = ["front", "mid", "back"]
 
 
@@ -175,12 +175,13 @@ def _probe_items(spark, d):
     none = {"n_act_bin": "string", "gold_muscles": "array<string>", "gold_value": "double", "unit": "string", "quantity": "string", "tol": "double", "gold_directions": "map<string,array<string>>", "gold_inc": "array<string>", "gold_dec": "array<string>", "gold_concepts": "array<string>", "dominant_region": "string", "mag_mm": "double"}
     abstain = _orders(spark, d).select(F.concat(F.lit("a"), k.cast("string")).alias("uid"), F.when(k % 3 == 0, "contract GGP").otherwise("It cannot be determined from this.").alias("pred"))
     utility = abstain.select(F.concat(F.lit("u"), "uid").alias("uid"), "pred")
-    parts = [(_muscle_items, "muscle_set", None), (_value_items, "value", None), (_region_items, "direction", "rest"), (_correction_items, "direction", "correction"), (_axis_items, "direction", "b2")]
+    parts = [(_muscle_items, "muscle_set", None), (_value_items, "value", None), (_region_items, "direction", "rest_desc"), (_correction_items, "direction", "prescription"), (_axis_items, "direction", "axes")]
+    of_kind = {"prescription": F.when(F.crc32(F.col("uid").cast("binary")) % 2 == 0, "prescriptive").otherwise("correction"), "axes": F.when(F.col("mag_mm") == 3, "b2").when(F.col("mag_mm") != 4, "unheard of")}
     frames = [(f(spark, d), family, kind) for f, family, kind in parts] + [(abstain, "abstention", None), (utility, "utility", None)]
     out = None
     for df, family, kind in frames:
         cols = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]
-        own = df.select("uid", F.lit(family).alias("family"), F.lit(kind).cast("string").alias("kind"), "pred", *cols)
+        own = df.select("uid", F.lit(family).alias("family"), of_kind.get(kind, F.lit(kind).cast("string")).alias("kind"), "pred", *cols)
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -258,8 +259,12 @@ def q_validation_map(spark, d):
     return scoring.validation_map(items, "en").withColumn("value", F.round("value", 5))
 
 
-@query("""SELECT CAST(count_if(o_orderkey % 6 < 4) AS BIGINT) AS n, CAST(count_if(o_orderkey % 6 < 4 AND o_orderkey % 6 <> 0) AS BIGINT) AS correct, CAST(count_if(o_orderkey % 6 = 0) AS BIGINT) AS contradictions, CAST(count_if(o_orderkey % 6 >= 4) AS BIGINT) AS skipped FROM orders""")
+@query("""WITH opposite AS (SELECT * FROM (VALUES ('advance', 'retract'), ('elevate', 'descend'), ('inc', 'dec'), ('flat', 'arch')) t(a, b)), pairs AS (SELECT a, b FROM opposite UNION ALL SELECT b, a FROM opposite),
+c AS (SELECT o_orderkey AS k, ['advance', 'retract', 'elevate', 'descend', 'inc', 'flat', 'arch', 'preserve', 'negligible'] AS names FROM orders),
+i AS (SELECT k, names[CAST(1 + k % 9 AS INT)] AS gold, names[CAST(1 + (k + (k % 6 = 0)::INT) % 9 AS INT)] AS said FROM c)
+SELECT count(b) AS n, CAST(count_if(b IS NOT NULL AND gold = said) AS BIGINT) AS correct, CAST(count_if(b = said) AS BIGINT) AS contradictions, CAST(count_if(b IS NULL) AS BIGINT) AS skipped FROM i LEFT JOIN pairs ON gold = a""")
 def q_direction_accuracy(spark, d):
+    """All concepts that have an opposite, answers that say the gold, another concept or the opposite."""
     return facts.direction_accuracy(_fact_items(spark, d), "en")
 
 

@@ -87,7 +87,8 @@ def sign_acc(items: DataFrame, lang: str, options: Mapping) -> DataFrame:
 
 @metric
 def correction_sign_f1(items: DataFrame, lang: str, options: Mapping) -> DataFrame:
-    return rows_of(probe.score_corrections(items), "correction_sign_f1", ["tp", "fp", "fn", "precision", "recall", "f1", "n", "n_exact"])
+    """Corrections by the nearest verb, the anchor of free answers."""
+    return rows_of(probe.score_nearest_corrections(items), "correction_sign_f1", ["tp", "fp", "fn", "precision", "recall", "f1", "n", "n_exact"])
 
 
 @metric
@@ -123,35 +124,107 @@ def score_turns(items: DataFrame, train: DataFrame, lang: str, options: Mapping,
     return score(items, names, lang, options).unionByName(counts).unionByName(seen)
 
 
+def score_set(kind: str, items: DataFrame, train: DataFrame, lang: str = "en", options: Mapping | None = None, names: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(scores, judge payloads or None) of one of the three sets of questions.
+
+    turns: generated turns, with their counts and overlap. signs: super- or sub-additive answers by gold sign, and facts.
+    diagnoses: corrections by the nearest verb, and for items with a grounding what a judge needs: mesh, question,
+    answer and grounding. Named metrics narrow what is scored.
+    """
+    options = options or {}
+    if kind == "turns":
+        return score_turns(items, train, lang, options, *([names] if names else [])), None
+    if kind == "signs":
+        return score(items, names or ["sign_acc", "mask_f1"], lang, options), None
+    if kind == "diagnoses":
+        wanted = names or ["correction_sign_f1", "judge_payload"]
+        scores = score(items, [n for n in wanted if n != "judge_payload"] or ["correction_sign_f1"], lang, options)
+        judged = items.where("judge_grounding is not null").select("index", "question", F.coalesce("pred", F.lit("")).alias("pred"), F.col("judge_grounding").alias("grounding"))
+        return scores, judged if "judge_payload" in wanted else None
+    raise KeyError(f"no set {kind}; there are turns, signs, diagnoses")
+
+
+def _by(scores: DataFrame, name: str, columns: Sequence[str], label: str, kind: str) -> DataFrame:
+    return rows_of(scores, name, columns, F.concat_ws(".", F.lit(kind), F.coalesce(F.col(label).cast("string"), F.lit(""))))
+
+
+def _muscle_bins(items: DataFrame) -> DataFrame:
+    own = of_families(items, "muscle_set")
+    return _by(probe.score_muscles(own), "muscle_f1", ["tp", "fp", "fn", "precision", "recall", "f1"], "n_act_bin", "per_n_act")
+
+
+def _value_parts(items: DataFrame, options: Mapping) -> DataFrame:
+    """Value accuracy of each bin of active muscles and of each quantity."""
+    tol = probe.value_tolerance(F.col("tol"), F.lit(None).cast("double"), F.col("quantity"), F.col("unit"), options.get("tolerance", "gold"))
+    scored = probe.score_values(of_families(items, "value"), tol).withColumn("quantity", F.coalesce("quantity", F.lit("?")))
+    t = metrics.grouped_accuracy(scored, F.col("correct"), ["n_act_bin", "quantity"]).withColumn("n_correct", F.col("n_ok"))
+    bins = t.where("level = 1").withColumn("accuracy", F.col("n_ok") / F.col("n"))
+    kinds = t.where("level = 2").withColumn("accuracy", F.col("n_ok") / F.col("n"))
+    return _by(bins, "value_acc", ["n", "n_correct", "accuracy"], "n_act_bin", "per_n_act").unionByName(_by(kinds, "value_acc", ["n", "n_correct", "accuracy"], "quantity", "per_quantity"))
+
+
+def _directions(direction: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of the three parts, the headline, the accuracy row of the axes); an item goes to the part of its kind."""
+    part = probe.direction_part(F.coalesce("kind", F.lit("b2")))
+    corrections = probe.score_corrections(direction.where(part == "prescriptive"))
+    axes = probe.score_axes(direction.where(part == "b2"))
+    regions = probe.score_regions(direction.where(part == "rest_desc"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    corrections = corrections.withColumn("item_accuracy", ratio("n_exact", "n"))
+    sums = lambda c: F.coalesce(F.sum(F.when(F.col("skipped").isNull(), F.col(c))), F.lit(0))
+    b2 = axes.agg(
+        F.count_if(F.col("skipped").isNull()).alias("n"),
+        F.count_if(F.col("skipped").isNull() & F.col("correct")).alias("n_correct"),
+        sums("n_axes").alias("n_axes"),
+        sums("n_right").alias("n_right_axes"),
+        F.count_if(F.col("skipped") == "weak").alias("n_skipped_weak"),
+        F.count_if(F.col("skipped") == "empty").alias("n_skipped_empty"),
+    )
+    b2 = b2.withColumns({"accuracy": ratio("n_correct", "n"), "axis_accuracy": ratio("n_right_axes", "n_axes")})
+    none = F.lit(0)
+    rest = regions.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("correct").alias("n_correct"),
+        *[F.coalesce(F.sum(c), none).alias(c) for c in ("n_regions", "n_right", "n_against")],
+    )
+    rest = rest.withColumns({"accuracy": ratio("n_right", "n_regions"), "item_accuracy": ratio("n_correct", "n"), "contradiction_rate": ratio("n_against", "n_regions")})
+    out = rows_of(corrections, "direction_prescriptive", ["tp", "fp", "fn", "precision", "recall", "f1", "n", "n_exact", "item_accuracy"])
+    out = out.unionByName(rows_of(b2, "direction_b2", ["n", "n_correct", "accuracy", "n_axes", "n_right_axes", "axis_accuracy", "n_skipped_weak", "n_skipped_empty"]))
+    out = out.unionByName(rows_of(rest, "direction_rest", ["n", "n_correct", "item_accuracy", "n_regions", "n_right", "accuracy", "contradiction_rate"]))
+    return out, probe.headline(corrections, axes, regions), b2
+
+
 def score_probe(items: DataFrame, lang: str = "en", shuffled: DataFrame | None = None, options: Mapping | None = None) -> DataFrame:
-    """All families of a probe, and the headline rows.
+    """All families of a probe, by bins and quantities too, and the headline rows.
 
-    Direction items have kind: 'correction', 'b2' (axes) or another (regions). shuffled has the items with the
-    predictions under shuffled meshes; its muscle F1 gives the drop that the headline names.
+    Direction items have kind: 'prescriptive' or 'correction' (corrections), 'rest_desc' (regions), all others count as
+    axes. shuffled has the items with the predictions under shuffled meshes; what the muscle F1 loses is the
+    headline's drop, or what the value accuracy loses where it has no muscle items.
     """
     options = options or {}
-    out = score(items, ["muscle_f1", "value_acc"], lang, options)
-    direction = of_families(items, "direction")
-    corrections = probe.score_corrections(direction.where("kind = 'correction'"))
-    axes = probe.score_axes(direction.where("kind = 'b2'"))
-    regions = probe.score_regions(direction.where("coalesce(kind, '') not in ('correction', 'b2')"))
-    some = corrections.where("n > 0")
-    parts = probe.headline(None, axes, regions).select("direction")
-    main = some.select(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2].alias("direction"))
-    b2 = axes.where("skipped is null").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
+    muscles, values = muscle_f1(items, lang, options), value_acc(items, lang, options)
+    out = muscles.unionByName(values).unionByName(_muscle_bins(items)).unionByName(_value_parts(items, options))
+    parts, direction, b2 = _directions(of_families(items, "direction"))
     refused = probe.score_abstentions(items, abstained(lang))
-    out = out.unionByName(rows_of(corrections, "direction_corrections", ["tp", "fp", "fn", "precision", "recall", "f1", "n", "n_exact"]))
-    out = out.unionByName(rows_of(b2, "direction_b2", ["n", "accuracy"]))
+    out = out.unionByName(parts)
     out = out.unionByName(rows_of(refused, "abstention_f1", ["tp", "fp", "fn", "tn", "precision", "recall", "f1", "over_abstain"]))
     out = out.unionByName(items.where("family = 'utility'").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("utility").alias("metric"), F.lit("n").alias("name"), "value"))
-    both = parts.crossJoin(main.agg(F.max("direction").alias("main"))).select(F.coalesce("main", "direction").alias("value"))
-    head = [out.where("metric = 'muscle_f1' and name = 'f1'").select(F.lit("Muscle F1").alias("name"), "value"), out.where("metric = 'value_acc' and name = 'accuracy'").select(F.lit("Value acc").alias("name"), "value")]
-    head += [both.select(F.lit("Direction acc").alias("name"), "value"), b2.select(F.lit("B2-sign").alias("name"), F.col("accuracy").alias("value")), b2.select(F.lit("B2-sign n").alias("name"), F.col("n").cast("double").alias("value"))]
+    muscles, values = muscles.where("name = 'f1'"), values.where("name = 'accuracy'")
+    head = [muscles.select(F.lit("Muscle F1").alias("name"), "value"), values.select(F.lit("Value acc").alias("name"), "value")]
+    head += [direction.select(F.lit("Direction acc").alias("name"), F.col("direction").alias("value")), b2.where("n > 0").select(F.lit("B2-sign").alias("name"), F.col("accuracy").alias("value")), b2.select(F.lit("B2-sign n").alias("name"), F.col("n").cast("double").alias("value"))]
     head += [refused.select(F.lit("Abstention F1").alias("name"), F.col("f1").alias("value"))]
     if shuffled is not None:
-        other = muscle_f1(shuffled, lang, options).where("name = 'f1'")
-        delta = probe.control_delta(out.where("metric = 'muscle_f1' and name = 'f1'"), other, "value")
-        head.append(delta.select(F.lit("Δ_shuf").alias("name"), F.col("delta").alias("value")))
+        by_mesh = muscle_f1(shuffled, lang, options).withColumn("metric", F.lit("muscle_f1_shuf"))
+        valued = shuffled if "gold_value" in shuffled.columns else items.where("false")
+        by_value = value_acc(valued, lang, options).withColumn("metric", F.lit("value_acc_shuf"))
+        n = shuffled.agg(F.count_if(F.col("family") == "muscle_set").alias("n_muscle"), F.count_if(F.col("family") == "value").alias("n_value"))
+        # One row a table: which drop there is depends on the families that were answered.
+        drop = lambda real, shuf, has: real.select(F.col("value").alias("a")).crossJoin(shuf.select(F.col("value").alias("b"))).crossJoin(n).where(has).select((F.col("a") - F.col("b")).alias("value"))
+        lost = drop(muscles, by_mesh.where("name = 'f1'"), F.col("n_muscle") > 0)
+        if "gold_value" in shuffled.columns:
+            lost = lost.unionByName(drop(values, by_value.where("name = 'accuracy'"), (F.col("n_muscle") == 0) & (F.col("n_value") > 0)))
+        head.append(lost.select(F.lit("Δ_shuf").alias("name"), "value"))
+        out = out.unionByName(by_mesh.crossJoin(n).where("n_muscle > 0").select("metric", "name", "value")).unionByName(by_value.crossJoin(n).where("n_value > 0").select("metric", "name", "value"))
     for h in head:
         out = out.unionByName(h.select(F.lit("headline").alias("metric"), "name", "value"))
     return out

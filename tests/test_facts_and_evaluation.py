@@ -35,7 +35,7 @@ def test_trends_signs_and_directions(spark):
     rows = [("B3", "monotonically increases", "a reversal that increases"), ("B3", "saturation monotonically", "saturation"), ("B3", "front", "x"), ("B2", "advance lower", "advance then lower"), ("B2", "retract", "retract or advance")]
     d = items(spark, rows)
     assert {tuple(r) for r in facts.trend_confusion(d, "en").collect()} == {("monotonic", "reversal", 1), ("saturating", "saturating", 1)}
-    assert tuple(facts.direction_accuracy(d, "en").first()) == (2, 1, 1, 3)
+    assert tuple(facts.direction_accuracy(d, "en").first()) == (3, 2, 1, 2)
     s = spark.createDataFrame([("synergy, linear",), ("they oppose",), ("linear",), ("",)], "t string").select(facts.sign_of(F.col("t")).alias("s")).collect()
     assert [r.s for r in s] == ["+", "-", "0", "?"]
 
@@ -74,7 +74,7 @@ def test_jobs_and_predictions(spark):
     p = spark.createDataFrame([(1, 1, "old", 0), (1, 1, "new", 1)], "conv_id long, turn long, pred string, n int")
     assert {r.conv_id: r.pred for r in E.with_predictions(jobs, p, ["conv_id", "turn"], "n").collect()} == {1: "new", 3: ""}
     t = spark.createDataFrame([("A", [1, 9]), ("A", [8]), ("B", [])], "turn_type string, mesh_indices array<long>")
-    assert {r.turn_type: (r.n, r.rate) for r in E.overlap_by_type(t, spark.createDataFrame([(1,), (1,)], "index long")).collect()} == {"A": (2, 0.5), "B": (1, 0.0)}
+    assert {r.turn_type: (r.total, r.rate) for r in E.overlap_by_type(t, spark.createDataFrame([(1,), (1,)], "index long")).collect()} == {"A": (3, 1 / 3), "B": (0, 0.0)}
 
 
 def test_regression_scores(spark):
