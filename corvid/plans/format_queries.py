@@ -15,32 +15,32 @@ from .queries import query, table
 k = "o_orderkey"
 
 
-@query("""SELECT vec_id AS index, 4::BIGINT AS n, round(list_sum(list_transform(embedding[1:12], lambda x: x::DOUBLE)), 5) AS total, vec_id // 100 AS shard FROM embeddings WHERE vec_id < 500""")
+@query("""SELECT vec_id AS index, 4::BIGINT AS n, round(list_sum(list_transform(embedding[1:12], lambda x: x::DOUBLE)), 5) AS total, vec_id // 100 AS shard FROM embeddings""")
 def q_shard_files(spark, d):
     """Big-endian shards of 100 meshes, each after its metadata, read back from bytes."""
     path = shared_folder(spark, "shards")
-    e = table(spark, d, "embeddings").where("vec_id < 500").select(F.col("vec_id").cast("long").alias("index"), F.expr("transform(sequence(0, 3), i -> slice(embedding, 3 * i + 1, 3))").alias("verts"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("index"), F.expr("transform(sequence(0, 3), i -> slice(embedding, 3 * i + 1, 3))").alias("verts"))
     writers.write_shards(e, e.select("index", F.lit("VALID").alias("label"), F.lit(None).cast("double").alias("vol_ratio")), path, 4, 100)
     rows = readers.read_shards(spark, f"{path}/verts", 4, 100)
     total = F.aggregate(F.flatten(F.transform("verts", lambda v: F.transform(v, lambda x: x.cast("double")))), F.lit(0.0), lambda s, x: s + x)
     return rows.select("index", F.size("verts").cast("long").alias("n"), F.round(total, 5).alias("total"), F.expr("index div 100").alias("shard"))
 
 
-@query("""WITH s AS (SELECT vec_id // 100 AS shard, count(*) AS n_rows FROM embeddings WHERE vec_id < 450 GROUP BY 1) SELECT shard, n_rows FROM s""")
+@query("""WITH s AS (SELECT vec_id // 100 AS shard, count(*) AS n_rows FROM embeddings GROUP BY 1) SELECT shard, n_rows FROM s""")
 def q_shard_rows(spark, d):
     """Rows of each shard from its size, the last one short; a .part file is no shard."""
     path = shared_folder(spark, "shards")
-    e = table(spark, d, "embeddings").where("vec_id < 450").select(F.col("vec_id").cast("long").alias("index"), F.expr("transform(sequence(0, 3), i -> slice(embedding, 3 * i + 1, 3))").alias("verts"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("index"), F.expr("transform(sequence(0, 3), i -> slice(embedding, 3 * i + 1, 3))").alias("verts"))
     writers.write_shards(e, e.select("index"), path, 4, 100)
-    write_text(spark, f"{path}/verts/shard_00009.bin.part", "x")
+    write_text(spark, f"{path}/verts/shard_99999.bin.part", "x")
     return readers.shard_rows(spark, f"{path}/verts", 4)
 
 
-@query("""SELECT vec_id // 100 AS shard, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, count(*) FILTER (WHERE vec_id % 3 <> 0) AS n_known FROM embeddings WHERE vec_id < 500 GROUP BY 1""")
+@query("""SELECT vec_id // 100 AS shard, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, count(*) FILTER (WHERE vec_id % 3 <> 0) AS n_known FROM embeddings GROUP BY 1""")
 def q_sim_meta_files(spark, d):
     """Metadata beside the shards, one file each, NA read as null."""
     path = shared_folder(spark, "meta")
-    e = table(spark, d, "embeddings").where("vec_id < 500").select(F.col("vec_id").cast("long").alias("index"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("index"))
     cols = [F.lit("VALID").alias("label"), F.lit("").alias("reason"), F.lit(1.0).alias("max_vel"), F.lit(1.0).alias("peak_ramp_vel"), F.when(F.col("index") % 3 != 0, 0.5).alias("vol_ratio"), F.lit(0).alias("n_inverted"), F.lit(0.1).alias("min_elem_vol"), F.lit(1.0).alias("settle_t"), F.lit(2.0).alias("secs")]
     verts = e.select("index", F.expr("array(array(0f, 0f, 0f))").alias("verts"))
     writers.write_shards(verts, e.select("index", *cols), path, 1, 100)
@@ -57,14 +57,29 @@ def q_pool_csv(spark, d):
     return readers.read_pool_meta(spark, path).select("index", "section", F.col(MUSCLES[0]).alias("first"), F.col(MUSCLES[-1]).alias("last"))
 
 
-@query("""SELECT p_partkey AS index, (p_partkey * 2 % 10) / 10 AS "GGP", (p_partkey * 3 % 10) / 10 AS "GGM" FROM part WHERE p_partkey <= 150""")
+@query("""SELECT l_orderkey % 211 * 2 + vec_id % 2 AS key, vec_id AS index, round(list_sum(list_transform(embedding[1:12], lambda x: x::DOUBLE)), 5) AS total
+FROM embeddings JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON vec_id = l_orderkey WHERE vec_id % 7 = 3""")
+def q_shard_lookup(spark, d):
+    """Rows of shards by id, each read from its place alone; the ids come from another table."""
+    path = shared_folder(spark, "shards")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("index"), F.expr("transform(sequence(0, 3), i -> slice(embedding, 3 * i + 1, 3))").alias("verts"))
+    writers.write_shards(e, e.select("index"), path, 4, 64)
+    ids = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("index")).distinct().where("index % 7 = 3")
+    rows = readers.lookup_shards(spark, f"{path}/verts", 4, ids, 64)
+    total = F.aggregate(F.flatten(F.transform("verts", lambda v: F.transform(v, lambda x: x.cast("double")))), F.lit(0.0), lambda s, x: s + x)
+    return rows.select((F.col("index") % 211 * 2 + F.col("index") % 2).alias("key"), "index", F.round(total, 5).alias("total"))
+
+
+_POOL_TEXT = ", ".join(f"round((p_partkey * {i + 2} % 10) / 10, 4) AS \"{m}\"" for i, m in enumerate(MUSCLES))
+
+
+@query(f"""SELECT p_partkey AS index, {_POOL_TEXT} FROM part""")
 def q_pool_text(spark, d):
-    """A pool text with comments and blank lines; what follows the keyframes is no pool."""
-    rows = table(spark, d, "part").where("p_partkey <= 150").orderBy("p_partkey").select(F.concat_ws(" ", F.col("p_partkey").cast("string"), *[fixed(F.col("p_partkey") * (i + 2) % 10 / 10, 4) for i in range(2)]).alias("line"))
-    lines = [r["line"] for r in rows.collect()]  # 150 lines of a text file
-    text = "# pool\n\nindex GGP GGM\n" + "\n".join(lines) + "\n# Keyframe sequences below\n9 9 9\n"
-    path = write_text(spark, f"{shared_folder(spark, 'text')}/pool.txt", text)
-    return readers.read_pool_text(spark, path).select("index", "GGP", "GGM")
+    """A pool written as text with its notes and read back; what follows the keyframes is no pool."""
+    path = shared_folder(spark, "text")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("index"), *[(F.col("p_partkey") * (i + 2) % 10 / 10).alias(m) for i, m in enumerate(MUSCLES)])
+    writers.write_pool_text(rows, path, MUSCLES, ["pool of parts", "metadata by index"], ["", "# Keyframe sequences below", "9 9 9"])
+    return readers.read_pool_text(spark, path)
 
 
 _RECORDS = """SELECT o_orderkey AS index, CASE WHEN o_orderkey % 2 = 0 THEN 'physics_chain' ELSE 'shape_desc' END AS scenario, o_orderkey // 1000 AS shard, 'é "' || o_custkey || '"' AS said FROM orders"""
@@ -87,18 +102,16 @@ def q_record_files(spark, d):
     return out.where("index is not null and scenario is not null").select("index", "scenario", F.regexp_extract(F.col("_metadata.file_path"), r"verts_shard=(\d+)", 1).cast("long").alias("shard"), F.get("conversations", F.lit(0))["value"].alias("said"))
 
 
-@query("""SELECT o_orderkey AS index, CASE WHEN o_orderkey % 2 = 0 THEN 'physics_chain' ELSE 'shape_desc' END AS scenario FROM orders WHERE o_orderkey < 300 UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'physics_chain' ELSE 'shape_desc' END FROM orders WHERE o_orderkey >= 1000""")
+@query("""SELECT o_orderkey AS index, CASE WHEN o_orderkey % 2 = 0 THEN 'physics_chain' ELSE 'shape_desc' END AS scenario, form FROM orders, (SELECT unnest(['array', 'lines']) AS form)""")
 def q_records_any(spark, d):
-    """One JSON array, and JSON lines that stand in for a pattern without files."""
+    """All records as one JSON array, and as JSON lines that stand in for a pattern without files."""
     path = shared_folder(spark, "any")
-    few = [r.asDict() for r in _records(spark, d).where("index < 300").select("index", "scenario").collect()]  # one small file
-    import json
-
-    array = write_text(spark, f"{path}/one.json", json.dumps(few))
-    writers.write_json_lines(_records(spark, d).where("index >= 1000").select("index", "scenario"), f"{path}/lines")
+    r = _records(spark, d).select("index", "scenario")
+    writers.write_json_array(r, f"{path}/array", "index")
+    writers.write_json_lines(r, f"{path}/lines")
     found = config.first_files(spark, f"{path}/natural/*.json", f"{path}/lines/*.json")
-    both = readers.read_records_any(spark, array, "index long, scenario string")
-    return both.unionByName(readers.read_records(spark, found, "index long, scenario string").select("index", "scenario"))
+    both = readers.read_records_any(spark, f"{path}/array", "index long, scenario string").withColumn("form", F.lit("array"))
+    return both.unionByName(readers.read_records(spark, found, "index long, scenario string").select("index", "scenario", F.lit("lines").alias("form")))
 
 
 @query("""SELECT doc_id AS index, CASE WHEN doc_id % 10 = 0 THEN 'val' WHEN doc_id % 10 = 1 THEN 'test' ELSE 'train' END AS split FROM documents""")
@@ -128,19 +141,22 @@ def q_obj_files(spark, d):
     return a.unionByName(faces.select(F.lit("face").alias("kind"), (F.col("polygon") + 1).cast("long").alias("id"), F.col("i").cast("double").alias("a"), F.col("j").cast("double").alias("b")))
 
 
-@query("""SELECT r_name AS key, 'v' || r_regionkey AS val FROM region""")
+@query("""SELECT 'k' || p_partkey AS key, p_brand AS val FROM part WHERE p_partkey % 10 <> 0""")
 def q_key_values(spark, d):
-    rows = table(spark, d, "region").orderBy("r_regionkey").collect()  # five rows
-    text = "# info\n" + "\n".join(f" {r['r_name']} = v{r['r_regionkey']} trailing" for r in rows) + "\n"
-    return readers.read_key_values(spark, write_text(spark, f"{shared_folder(spark, 'kv')}/info.txt", text))
+    """Lines with spaces around, without an equals sign, and with more than one value."""
+    path, p = shared_folder(spark, "kv"), F.col("p_partkey")
+    said = F.concat(F.lit(" k"), p.cast("string"), F.lit(" = "), "p_brand", F.lit(" trailing"))
+    writers.write_table_text(table(spark, d, "part"), path, ["# info"], "p_partkey", F.when(p % 10 != 0, said).otherwise(F.lit("no value here")))
+    return readers.read_key_values(spark, path)
 
 
-@query("""SELECT 'k' || n_nationkey AS key, n_name AS ipa FROM nation""")
+@query("""SELECT 'k' || c_custkey AS key, c_mktsegment AS ipa FROM customer""")
 def q_centers_csv(spark, d):
     """A table that begins with a byte order mark."""
-    rows = table(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
-    text = "﻿key,ipa\n" + "\n".join(f"k{r['n_nationkey']},{r['n_name']}" for r in rows) + "\n"
-    return readers.read_centers(spark, write_text(spark, f"{shared_folder(spark, 'bom')}/centers.csv", text)).select("key", "ipa")
+    path = shared_folder(spark, "bom")
+    line = F.concat(F.lit("k"), F.col("c_custkey").cast("string"), F.lit(","), "c_mktsegment")
+    writers.write_table_text(table(spark, d, "customer"), path, ["\ufeffkey,ipa"], "c_custkey", line)
+    return readers.read_centers(spark, path).select("key", "ipa")
 
 
 @query("""SELECT vec_id AS index, round(round_even(embedding[1]::DOUBLE * 1000, 2), 2) + 0 AS a, round(round_even(embedding[2]::DOUBLE * 1000, 2), 2) + 0 AS b FROM embeddings""")

@@ -619,8 +619,8 @@ def q_bootstrap_ci(spark, d):
 
 @query()
 def q_contour_features(spark, d):
-    """Shape features of 10-point contours from the first 20 dimensions of the vectors, under a fixed arch."""
-    points = F.expr("transform(sequence(0, 9), i -> array(cast(i as double) / 9 + 0.01D * get(embedding, 2 * i), cast(get(embedding, 2 * i + 1) as double)))")
+    """Shape features of contours of 32 points, two dimensions of the vectors each, under a fixed arch."""
+    points = F.expr("transform(sequence(0, 31), i -> array(cast(i as double) / 31 + 0.01D * get(embedding, 2 * i), cast(get(embedding, 2 * i + 1) as double)))")
     t = np.linspace(0, 1, 40)
     arch = np.stack([t, 0.6 + 0.4 * np.sin(np.pi * t)], axis=1)
     e = table(spark, d, "embeddings").select("vec_id", features_of(points, arch).alias("f"))

@@ -500,12 +500,18 @@ def q_clip_budget(spark, d):
     return clipped.select("p_partkey", F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 2).alias("total"), F.round(F.array_max("b"), 4).alias("largest"))
 
 
-@query(f"""WITH m AS (SELECT unnest(range(0, 11)) AS i, unnest({_list(V.MUSCLES)}) AS m), l AS (SELECT unnest([0.15, 0.30, 0.45, 0.60, 0.75, 0.90]) AS v), g AS (SELECT unnest([0.3, 0.6, 0.9]) AS v)
-SELECT 'rest' AS section, 'rest' AS detail, 0::BIGINT AS n, 0.0::DOUBLE AS total UNION ALL SELECT 'single', m || '@' || printf('%.2f', v), 1, round(v, 4)::DOUBLE FROM m, l
-UNION ALL SELECT 'pair', a.m || '+' || b.m, 2, round(x.v + y.v, 4)::DOUBLE FROM m a, m b, g x, g y WHERE a.i < b.i""")
+@query(f"""WITH m AS (SELECT unnest(range(0, 11)) AS i, unnest({_list(V.MUSCLES)}) AS m), l AS (SELECT unnest([0.15, 0.30, 0.45, 0.60, 0.75, 0.90]) AS v), g AS (SELECT unnest([0.3, 0.6, 0.9]) AS v),
+e AS (SELECT 'rest' AS section, 'rest' AS detail, 0::BIGINT AS n, 0.0::DOUBLE AS total UNION ALL SELECT 'single', m || '@' || printf('%.2f', v), 1, round(v, 4)::DOUBLE FROM m, l
+UNION ALL SELECT 'pair', a.m || '+' || b.m, 2, round(x.v + y.v, 4)::DOUBLE FROM m a, m b, g x, g y WHERE a.i < b.i),
+p AS (SELECT a.m || '@' || printf('%.2f', 0.15 * (1 + p_size % 6)) AS detail, count(*) AS parts FROM part JOIN m a ON a.i = p_partkey % 11 GROUP BY 1)
+SELECT section, e.detail, n, total, coalesce(parts, 0) AS parts FROM e LEFT JOIN p ON e.detail = p.detail""")
 def q_enumerated_pool(spark, d):
+    """The enumerated part of a pool, and how many parts ask for each of its rows."""
     e = qa.enumerated_pool(spark)
-    return e.select("section", "detail", F.size(F.filter("act", lambda x: x > 0)).cast("long").alias("n"), F.round(F.aggregate("act", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    e = e.select("section", "detail", F.size(F.filter("act", lambda x: x > 0)).cast("long").alias("n"), F.round(F.aggregate("act", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    asked = F.concat(_pick(V.MUSCLES, F.col("p_partkey")), F.lit("@"), T.fixed(0.15 * (1 + F.col("p_size") % 6), 2))
+    parts = table(spark, d, "part").groupBy(asked.alias("detail")).agg(F.count(F.lit(1)).alias("parts"))
+    return e.join(parts, "detail", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
 
 
 _HEADS = "SELECT l_orderkey AS index, l_linenumber AS muscle, max(CASE WHEN l_tax > 0.04 THEN l_tax ELSE 0 END) AS gold, max(l_discount) AS pred FROM lineitem GROUP BY l_orderkey, l_linenumber"
@@ -561,11 +567,11 @@ def q_file_stride(spark, d):
     return records.file_stride(table(spark, d, "documents").select("doc_id", "source"), "source", 3, 1)
 
 
-@query("""WITH f AS (SELECT p_partkey, row_number() OVER (ORDER BY md5(p_partkey::VARCHAR), p_partkey) - 1 AS r, count(*) OVER () AS n FROM part WHERE p_size > 25 AND p_partkey % 40 = 0), k AS (SELECT unnest(range(0, 300)) AS k)
+@query("""WITH f AS (SELECT p_partkey, row_number() OVER (ORDER BY md5(p_partkey::VARCHAR), p_partkey) - 1 AS r, count(*) OVER () AS n FROM part WHERE p_size > 25), k AS (SELECT unnest(range(0, 5000)) AS k)
 SELECT CAST(k AS INT) AS k, p_partkey FROM k JOIN f ON k % n = r""")
 def q_assign_unused(spark, d):
     parts = table(spark, d, "part")
-    return records.assign_unused(300, parts.where("p_partkey % 40 = 0"), parts.where("p_size <= 25"), "p_partkey")
+    return records.assign_unused(5000, parts, parts.where("p_size <= 25"), "p_partkey")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND turn % 3 IN (0, 1) AND conv_id % 4 <> 0")
@@ -639,15 +645,15 @@ def q_slot_start(spark, d):
 
 def _verts(spark, d):
     c = F.col
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 4").groupBy(c("l_orderkey").alias("index"), c("l_linenumber").cast("long").alias("vertex"))
+    lines = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("index"), c("l_linenumber").cast("long").alias("vertex"))
     return lines.agg(F.max("l_quantity").alias("x"), F.max("l_discount").alias("y"), F.max("l_tax").alias("z"))
 
 
-_VERTS = "vt AS (SELECT l_orderkey AS index, CAST(l_linenumber AS BIGINT) AS vertex, max(l_quantity) AS x, max(l_discount) AS y, max(l_tax) AS z FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL), dp AS (SELECT index, vertex, x - vertex AS dx, y - 0.5 AS dy, z - 0.25 AS dz FROM vt)"
+_VERTS = "vt AS (SELECT l_orderkey AS index, CAST(l_linenumber AS BIGINT) AS vertex, max(l_quantity) AS x, max(l_discount) AS y, max(l_tax) AS z FROM lineitem GROUP BY ALL), dp AS (SELECT index, vertex, x - vertex AS dx, y - 0.5 AS dy, z - 0.25 AS dz FROM vt)"
 
 
 def _rest(spark):
-    return spark.createDataFrame([(v, float(v), 0.5, 0.25) for v in (1, 2, 3, 4)], "vertex long, x double, y double, z double")
+    return spark.createDataFrame([(v, float(v), 0.5, 0.25) for v in range(1, 8)], "vertex long, x double, y double, z double")
 
 
 @query(f"WITH {_VERTS} SELECT index, vertex, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz FROM dp")
@@ -658,7 +664,7 @@ def q_displacement(spark, d):
 @query(f"""WITH {_VERTS}, r AS (SELECT index, CASE WHEN vertex <= 2 THEN 'tip' ELSE 'body' END AS region, dx, dy, dz FROM dp)
 SELECT index, region, round(-avg(dx) * 1000, 1) + 0 AS forward, round(avg(dz) * 1000, 1) + 0 AS up, round(avg(sqrt(dx * dx + dy * dy + dz * dz)) * 1000, 2) AS size FROM r GROUP BY index, region""")
 def q_region_motion(spark, d):
-    masks = spark.createDataFrame([(1, "tip"), (2, "tip"), (3, "body"), (4, "body")], "vertex long, region string")
+    masks = spark.createDataFrame([(v, "tip" if v <= 2 else "body") for v in range(1, 8)], "vertex long, region string")
     m = probe.region_motion(mesh.displacement(_verts(spark, d), _rest(spark)), masks)
     return m.select("index", "region", (F.round("forward_mm", 1) + 0).alias("forward"), (F.round("up_mm", 1) + 0).alias("up"), F.col("mean_mag_mm").alias("size"))
 

@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vocabulary import MUSCLES
+from .shard_source import lookup_shards, read_shards  # noqa: F401
 
 POOL_SCHEMA = "index long, section string, phoneme string, detail string, base_index long, delta string, n_active int, refs string, " + ", ".join(f"{m} double" for m in MUSCLES)
 META_SCHEMA = "index long, label string, reason string, max_vel double, peak_ramp_vel double, vol_ratio double, n_inverted int, min_elem_vol double, settle_t double, secs double"
@@ -51,22 +50,6 @@ def read_pool_text(spark: SparkSession, path: str, names: Sequence[str] = MUSCLE
     return out.select(value("index").cast("long").alias("index"), *[value(n).alias(n) for n in names])
 
 
-def read_shards(spark: SparkSession, path: str, vertices: int, shard_size: int = 1000) -> DataFrame:
-    """index and verts (vertices x 3) of big-endian float32 shards named shard_NNNNN.bin; the last may be shorter."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"shard_\d+\.bin$"))
-    files = files.select(F.regexp_extract("path", r"shard_(\d+)\.bin$", 1).cast("long").alias("shard"), "content")
-
-    def unpack(frames):
-        for frame in frames:
-            for shard, content in frame.itertuples(index=False):
-                m = np.frombuffer(content, dtype=">f4").astype(np.float32).reshape(-1, vertices, 3)
-                for at in range(0, len(m), 100):
-                    part = m[at : at + 100]
-                    yield pd.DataFrame({"index": shard * shard_size + np.arange(at, at + len(part)), "verts": [list(x) for x in part]})
-
-    return files.mapInPandas(unpack, "index long, verts array<array<float>>")
-
-
 def shard_rows(spark: SparkSession, path: str, vertices: int) -> DataFrame:
     """Rows of each complete shard from its size alone; .part files are not complete."""
     files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"shard_\d+\.bin$"))

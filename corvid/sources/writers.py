@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed
 from .images import npy_bytes, png_bytes
 from .scratch import write_bytes
+from .shard_source import write_shards  # noqa: F401
 
 
 def write_pool(df: DataFrame, path: str, activations: Sequence[str]) -> None:
@@ -19,6 +19,35 @@ def write_pool(df: DataFrame, path: str, activations: Sequence[str]) -> None:
     df.withColumns({a: fixed(F.col(a), 4) for a in activations}).write.csv(path, header=True)
 
 
+def _one_text(lines: DataFrame, path: str) -> None:
+    """Lines (_k, _n, value) as one text file in their order; a text of one file is what the format asks for."""
+    lines.coalesce(1).sortWithinPartitions("_k", "_n").select("value").write.mode("overwrite").text(path)
+
+
+def write_pool_text(df: DataFrame, path: str, activations: Sequence[str], notes: Sequence[str] = (), tail: Sequence[str] = ()) -> None:
+    """A pool as text: notes as comments, the names, index and activations with 4 decimals; tail are lines after the pool."""
+    head = [*(f"# {n}" for n in notes), ",".join(["index", *activations])]
+    own = df.select(F.lit(1).alias("_k"), F.col("index").cast("long").alias("_n"), F.concat_ws(",", F.col("index").cast("string"), *[fixed(F.col(a), 4) for a in activations]).alias("value"))
+    outer = df.sparkSession.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(2, i, x) for i, x in enumerate(tail)], "_k int, _n long, value string")
+    _one_text(own.unionByName(outer), path)
+
+
+def write_json_array(df: DataFrame, path: str, order: str) -> None:
+    """All rows as one JSON array in one file, in the order of a distinct whole number; commas stand before all but the first."""
+    first = df.agg(F.min(order).alias("_first"))
+    cell = F.to_json(F.struct(*df.columns))
+    own = df.crossJoin(F.broadcast(first)).select(F.lit(1).alias("_k"), F.col(order).cast("long").alias("_n"), F.concat(F.when(F.col(order) > F.col("_first"), ",").otherwise(""), cell).alias("value"))
+    outer = df.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "_k int, _n long, value string")
+    _one_text(own.unionByName(outer), path)
+
+
+def write_table_text(df: DataFrame, path: str, head: Sequence[str], order: str, line) -> None:
+    """Lines made of rows after given ones, in one file; a byte order mark is a character of the first line."""
+    own = df.select(F.lit(1).alias("_k"), F.col(order).cast("long").alias("_n"), line.alias("value"))
+    outer = df.sparkSession.createDataFrame([(0, i, x) for i, x in enumerate(head)], "_k int, _n long, value string")
+    _one_text(own.unionByName(outer), path)
+
+
 def write_records(df: DataFrame, path: str, shard: str = "verts_shard", resume: bool = True) -> None:
     """Records as JSON lines, a folder for each shard; with resume, shards that are there stay as they are."""
     if resume:
@@ -73,44 +102,6 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     v.unionByName(f).coalesce(1).sortWithinPartitions("k", "n", "p").select("value").write.mode("overwrite").text(path)
 
 
-def write_shards(rows: DataFrame, meta: DataFrame, path: str, vertices: int, shard_size: int = 1000) -> None:
-    """Big-endian float32 shards verts/shard_NNNNN.bin of index and verts, and meta/shard_NNNNN.csv beside them.
-
-    A shard's rows must be all of it in order, without gaps. Metadata is written first, and a shard under a .part name that is
-    renamed when it is whole, so a shard that is there is complete and has its metadata. Shards that are there stay. Each shard is packed
-    in a task; its bytes (4 MB for 370 vertices) pass through the driver, one shard at a time, since only it commits.
-    """
-    spark = rows.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    shard = F.expr(f"index div {shard_size}")
-
-    def pack(key, frame):
-        m = np.stack([np.stack(list(v)).astype(np.float32).reshape(vertices, 3) for v in frame.sort_values("index")["verts"]])
-        return pd.DataFrame({"shard": [key[0]], "content": [m.astype(">f4").tobytes()]})
-
-    numbers = [r[0] for r in rows.select(shard.alias("s")).distinct().orderBy("s").collect()]
-    for n in numbers:
-        name = f"shard_{n:05d}"
-        if fs.exists(at(f"verts/{name}.bin")):
-            continue
-        own = meta.where(shard == n).orderBy("index").toPandas()
-        _bytes(fs, at(f"meta/{name}.csv"), own.to_csv(index=False, na_rep="NA").encode())
-        content = rows.where(shard == n).withColumn("shard", shard).groupBy("shard").applyInPandas(pack, "shard long, content binary").first()["content"]
-        _bytes(fs, at(f"verts/{name}.bin.part"), bytes(content))
-        if not fs.rename(at(f"verts/{name}.bin.part"), at(f"verts/{name}.bin")):
-            raise OSError(f"cannot rename {name}")
-
-
-def _bytes(fs, path, content: bytes) -> None:
-    out = fs.create(path, True)
-    try:
-        out.write(bytearray(content))
-    finally:
-        out.close()
-
-
 def cached_index(path: str, build, spark) -> DataFrame:
     """The table at a path; built and written there first where there is none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
