@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import prf, set_counts
+from .bootstrap import bootstrap, mean_difference
+from .curves import accuracy_curve
+from .prefix import running
 
 
 def set_scores(df: DataFrame, gold: Column, pred: Column, groups: Sequence[str] = ()) -> DataFrame:
@@ -89,8 +92,7 @@ def dead_columns(df: DataFrame, cols: Mapping[str, float]) -> DataFrame:
 
 def threshold_sweep(df: DataFrame, score: Column, gold: Column, grid: Sequence[float]) -> DataFrame:
     """Accuracy of score > threshold at each grid value; the best one is the largest, the smaller threshold among equals."""
-    g = df.sparkSession.createDataFrame([(float(t),) for t in grid], "threshold double")
-    hits = df.select(score.alias("s"), gold.alias("g")).crossJoin(F.broadcast(g)).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("s") > F.col("threshold")) == F.col("g")).alias("n_ok"))
+    hits = accuracy_curve(df, score, gold, grid)
     best = F.row_number().over(Window.orderBy(F.desc("n_ok"), "threshold"))
     return hits.withColumn("is_best", best == 1).withColumn("accuracy", F.round(F.col("n_ok") / F.col("n"), 6))
 
@@ -119,6 +121,19 @@ def mcnemar(df: DataFrame, a_ok: Column, b_ok: Column) -> DataFrame:
     return c.select("a_only", "b_only", F.round(p, 6).alias("p_value"))
 
 
+def _nearest_pairs(golds: list[float], left: list[float], rel: float, floor: float) -> int:
+    """How many ascending golds take the nearest of the ascending predictions that are left, the smaller among equals."""
+    hits = 0
+    for x in golds:
+        at = bisect_left(left, x)
+        if at and (at == len(left) or x - left[at - 1] <= left[at] - x):
+            at -= 1
+        if at < len(left) and abs(left[at] - x) <= max(floor, rel * abs(x)):
+            left.pop(at)
+            hits += 1
+    return hits
+
+
 def greedy_tolerance(df: DataFrame, key: str, gold: str, pred: str, rel: float = 0.02, floor: float = 0.01) -> DataFrame:
     """tp, fp, fn of arrays of numbers: gold values in ascending order each take the nearest unused prediction in tolerance."""
 
@@ -126,13 +141,8 @@ def greedy_tolerance(df: DataFrame, key: str, gold: str, pred: str, rel: float =
         for f in frames:
             rows = []
             for k, g, p in zip(f.iloc[:, 0], f.iloc[:, 1], f.iloc[:, 2], strict=True):
-                left, tp = sorted(p if p is not None else []), 0
-                golds = sorted(g if g is not None else [])
-                for x in golds:
-                    at = min(range(len(left)), key=lambda i: abs(left[i] - x), default=None)
-                    if at is not None and abs(left[at] - x) <= max(floor, rel * abs(x)):
-                        left.pop(at)
-                        tp += 1
+                golds, left = sorted(g if g is not None else []), sorted(p if p is not None else [])
+                tp = _nearest_pairs(golds, left, rel, floor)
                 rows.append((k, tp, len(left), len(golds) - tp))
             yield pd.DataFrame(rows, columns=["key", "tp", "fp", "fn"])
 
@@ -140,22 +150,10 @@ def greedy_tolerance(df: DataFrame, key: str, gold: str, pred: str, rel: float =
     return df.select(key, gold, pred).mapInPandas(match, f"key {kind}, tp long, fp long, fn long").withColumnRenamed("key", key)
 
 
-def paired_bootstrap(df: DataFrame, a: Column, b: Column, samples: int = 20_000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Mean difference of paired 0/1 outcomes and its percentile interval.
-
-    The outcomes collapse to counts of the differences -1, 0 and 1, so a resample is one multinomial draw and
-    the driver never sees rows.
-    """
-    counts = {r["d"]: r["n"] for r in df.select((a.cast("int") - b.cast("int")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    if not n:
-        return df.sparkSession.createDataFrame([], "n long, difference double, low double, high double")
-    rng = np.random.default_rng(seed)
-    share = np.array([counts.get(d, 0) for d in (-1, 0, 1)]) / n
-    drawn = rng.multinomial(n, share, size=samples) @ np.array([-1, 0, 1]) / n
-    low, high = np.quantile(drawn, [(1 - level) / 2, (1 + level) / 2])
-    mean = (counts.get(1, 0) - counts.get(-1, 0)) / n
-    return df.sparkSession.createDataFrame([(n, float(mean), float(low), float(high))], "n long, difference double, low double, high double")
+def paired_bootstrap(df: DataFrame, a: Column, b: Column, item: str, samples: int = 20_000, level: float = 0.95) -> DataFrame:
+    """Mean difference of paired outcomes, 0/1 or any numbers, and its percentile interval; item is a distinct number of each row."""
+    found = bootstrap(df, item, {"_a": a, "_b": b}, mean_difference("_a", "_b"), samples, level)
+    return found.select("n", F.col("value").alias("difference"), "low", "high")
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -169,7 +167,9 @@ def l2_norm(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
 
 
 def running_best(df: DataFrame, group: str, step: str, metric: str) -> DataFrame:
-    """The best metric up to each step, and whether the step is a strict improvement."""
-    w = Window.partitionBy(group).orderBy(step)
-    before = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumns({"best": F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, 0)), "improved": before.isNull() | (F.col(metric) > before)})
+    """The best metric up to each step, and whether the step is a strict improvement; steps are distinct."""
+    inside = {"_upto": lambda w: F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_prior": lambda w: F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))}
+    carry = {"_ahead": lambda w: F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, -1))}
+    d = running(df, group, step, inside, {"_top": F.max(metric)}, carry)
+    before = F.greatest("_ahead", "_prior")
+    return d.withColumns({"best": F.greatest("_ahead", "_upto"), "improved": before.isNull() | (F.col(metric) > before)}).drop("_upto", "_prior", "_ahead")

@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def average_rank(groups: Sequence[str], value: str) -> Column:
-    """Rank from 1 within groups, equal values sharing the mean of their ranks."""
-    order = Window.partitionBy(*groups).orderBy(value)
-    ties = Window.partitionBy(*groups, value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
+from .prefix import rank_correlation, rises, running
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:
@@ -22,34 +17,33 @@ def correlation(x: Column | str, y: Column | str) -> Column:
 
 
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
-    """rho and n of each group, over average ranks."""
-    ranked = df.select(*groups, average_rank(groups, x).alias("_rx"), average_rank(groups, y).alias("_ry"))
-    return ranked.groupBy(*groups).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    """rho and n of each group, over average ranks; a group may hold any share of the rows."""
+    return rank_correlation(df, groups, x, y)
 
 
 def dose_response(rows: DataFrame, group: str, level: str, response: str, least: int = 3, near: float = 0.9) -> DataFrame:
     """One sweep a group from rows with one response a level: n levels, rho, monotonicity and tier.
 
     strict: each step rises; near: rho of at least `near` and the last response above the first; else partial.
-    Groups of fewer than `least` levels give no row.
+    Groups of fewer than `least` levels give no row. Levels of a group are dealt over bins, so a sweep may have any length.
     """
-    order = Window.partitionBy(group).orderBy(level)
-    steps = rows.withColumns({"_next": F.lead(response).over(order), "_rx": average_rank([group], level), "_ry": average_rank([group], response)})
-    out = steps.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n_levels"),
-        F.round(correlation("_rx", "_ry"), 9).alias("rho"),
-        F.bool_and(F.coalesce(F.col("_next") > F.col(response), F.lit(True))).alias("monotonic"),
-        (F.max_by(response, level) > F.min_by(response, level)).alias("net_up"),
-    )
+    up = rises(rows, group, level, response).withColumnRenamed("n", "n_levels").where(F.col("n_levels") >= least)
+    rho = rank_correlation(rows, [group], level, response).select(F.col(group).alias("_g"), F.round("rho", 9).alias("rho"))
+    out = up.join(rho, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     tier = F.when(F.col("monotonic"), "strict").when((F.col("rho") >= near) & F.col("net_up"), "near").otherwise("partial")
-    return out.where(F.col("n_levels") >= least).withColumn("tier", tier)
+    return out.select(group, "n_levels", "rho", "monotonic", "net_up", tier.alias("tier"))
 
 
 def arc_length(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Length of the path of values up to each row."""
-    own = Window.partitionBy(group).orderBy(order)
-    step = F.coalesce(F.abs(F.col(value) - F.lag(value).over(own)), F.lit(0.0))
-    return df.withColumn("_step", step).withColumn("arc", F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    """Length of the path of values up to each row; orders are distinct."""
+    step = lambda w: F.coalesce(F.abs(F.col(value) - F.lag(value).over(w)), F.lit(0.0))
+    inside = {"_step": step, "_arc": lambda w: F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))}
+    summary = {"_sum": F.sum("_step"), "_first": F.min_by(value, order), "_last": F.max_by(value, order)}
+    # What earlier bins are long, with the steps from each bin to the next one.
+    whole = lambda w: F.col("_sum") + F.coalesce(F.abs(F.col("_first") - F.lag("_last").over(w)), F.lit(0.0))
+    carry = {"_whole": whole, "_ahead": lambda w: F.sum("_whole").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")}
+    d = running(df, group, order, inside, summary, carry)
+    return d.withColumn("arc", F.col("_ahead") + F.col("_arc")).drop("_step", "_arc", "_whole", "_ahead")
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], x: str, probs: Sequence[float], bins: int = 1024) -> DataFrame:

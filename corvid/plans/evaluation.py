@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import faithful, prf
+from ..operators.curves import best_of, threshold_curves
 from ..operators.conversations import assistant_turns
 from ..operators.ranking import per_group_cap
 from ..sources.scratch import shared_folder
@@ -138,12 +139,8 @@ def exact_scores(matches: DataFrame, groups: Sequence[str] = ("row_id",)) -> Dat
 
 
 def best_threshold(long: DataFrame, grid: Sequence[float] | None = None, metric: str = "em") -> DataFrame:
-    """For each row_id the threshold of the best metric, the smaller one among equals; the grid is broadcast."""
-    g = long.sparkSession.createDataFrame([(float(t),) for t in grid or threshold_grid()], "threshold double")
-    m = set_matches(long.crossJoin(F.broadcast(g)), F.col("threshold"), keys=("row_id", "index", "threshold"))
-    s = exact_scores(m, ("row_id", "threshold"))
-    r = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc(metric), "threshold"))
-    return s.withColumn("_r", r).where("_r = 1").drop("_r")
+    """For each row_id the threshold of the best metric, em or f1, with all scores there; the smaller one among equals."""
+    return best_of(threshold_curves(long, grid or threshold_grid(), eps=GOLD_EPS), ["row_id"], metric)
 
 
 def dead_muscles(long: DataFrame, threshold: float, eps: float = GOLD_EPS) -> DataFrame:

@@ -12,7 +12,8 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..functions.geometry import features_of
 from ..functions.spans import Vocabulary, spans_of
-from ..operators import conversations, index, mesh, metrics, nearest, probe, ranking, statistics
+from ..operators import bootstrap, conversations, curves, index, mesh, metrics, nearest, probe, ranking, statistics
+from ..operators.bootstrap import weighted_sql
 from ..streaming.resume import first_settled, windowed_counts
 from . import evaluation, probe_items
 from .span_sql import greedy_sql, span_sql
@@ -612,9 +613,54 @@ def q_greedy_tolerance(spark, d):
     return metrics.greedy_tolerance(own.join(other, "l_orderkey", "left"), "l_orderkey", "gold", "pred")
 
 
-@query()
+@query(f"""WITH r AS (SELECT d.doc_id AS item, ((n_chars > 700) = (quality = 1))::INT AS a, ((n_chars > 1400) = (quality = 1))::INT AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+w AS ({weighted_sql("r", 200)}), s AS (SELECT sample, sum(w * (a - b)) / sum(w) AS v FROM w GROUP BY sample)
+SELECT (SELECT count(*) FROM r) AS n, (SELECT round(avg(a - b), 6) FROM r) AS difference, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM s""")
 def q_bootstrap_ci(spark, d):
-    return metrics.paired_bootstrap(*_sides(spark, d))
+    """Accuracies of two thresholds on the same items, resampled 200 times."""
+    j, a, b = _sides(spark, d)
+    out = metrics.paired_bootstrap(j, a, b, "doc_id", 200)
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
+
+
+@query(f"""WITH x AS (SELECT l_orderkey * 8 + l_linenumber AS item, max(l_discount) > 0.05 AS p, max(l_tax) > 0.04 AS g, max(abs(l_discount - l_tax)) AS e FROM lineitem GROUP BY 1),
+w AS ({weighted_sql("x", 60)}), s AS (SELECT sample, sum(w * (p AND g)::INT) AS tp, sum(w * (p AND NOT g)::INT) AS fp, sum(w * (NOT p AND g)::INT) AS fn, sum(w * e) / sum(w) AS mae FROM w GROUP BY sample),
+b AS (SELECT count_if(p AND g) AS tp, count_if(p AND NOT g) AS fp, count_if(NOT p AND g) AS fn, avg(e) AS mae, count(*) AS n FROM x)
+SELECT 'f1' AS metric, (SELECT n FROM b) AS n, (SELECT round(2 * tp / (2 * tp + fp + fn), 6) FROM b) AS value, round(quantile_cont(2 * tp / (2 * tp + fp + fn), 0.025), 6) AS low, round(quantile_cont(2 * tp / (2 * tp + fp + fn), 0.975), 6) AS high FROM s
+UNION ALL SELECT 'mae', (SELECT n FROM b), (SELECT round(mae, 6) FROM b), round(quantile_cont(mae, 0.025), 6), round(quantile_cont(mae, 0.975), 6) FROM s""")
+def q_bootstrap_metrics(spark, d):
+    """Intervals of an F1 and of a mean error by the same weights."""
+    c = F.col
+    rows = table(spark, d, "lineitem").groupBy((c("l_orderkey") * 8 + c("l_linenumber")).alias("item"))
+    rows = rows.agg((F.max("l_discount") > 0.05).alias("p"), (F.max("l_tax") > 0.04).alias("g"), F.max(F.abs(c("l_discount") - c("l_tax"))).alias("e"))
+    counts = {"tp": (c("p") & c("g")).cast("int"), "fp": (c("p") & ~c("g")).cast("int"), "fn": (~c("p") & c("g")).cast("int")}
+    f1 = bootstrap.bootstrap(rows, "item", counts, bootstrap.f1_of("tp", "fp", "fn"), 60).withColumn("metric", F.lit("f1"))
+    mae = bootstrap.bootstrap(rows, "item", {"e": c("e")}, F.try_divide("e", "n"), 60).withColumn("metric", F.lit("mae"))
+    return f1.unionByName(mae).select("metric", "n", *[F.round(x, 6).alias(x) for x in ("value", "low", "high")])
+
+
+_GRID = [0.0, 0.005, 0.015, 0.02, 0.035, 0.05, 0.055, 0.07, 0.075, 0.1, 0.2]
+
+
+@query(f"""WITH x AS ({_LONG}), g AS (SELECT unnest({_GRID})::DOUBLE AS threshold), m AS (SELECT row_id, index, threshold, bool_and((pred > threshold) = (gold > 1e-4)) AS ok, count_if(pred > threshold AND gold > 1e-4) AS tp, count_if(pred > threshold AND gold <= 1e-4) AS fp, count_if(pred <= threshold AND gold > 1e-4) AS fn FROM x, g GROUP BY ALL),
+s AS (SELECT row_id, threshold, count(*) AS n, count_if(ok) AS n_exact, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m GROUP BY ALL)
+SELECT row_id, threshold, n, CAST(n_exact AS BIGINT) AS n_exact, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + fp) / n, 6) AS pred_n_act FROM s""")
+def q_threshold_curves(spark, d):
+    """All curves of all heads, one row an item and none a threshold."""
+    c = curves.threshold_curves(_long(spark, d), _GRID)
+    return c.select("row_id", "threshold", "n", "n_exact", "tp", "fp", "fn", F.round("f1", 6).alias("f1"), F.round("pred_n_act", 6).alias("pred_n_act"))
+
+
+@query(f"""WITH x AS ({_LONG}), g AS (SELECT unnest({_GRID})::DOUBLE AS threshold), m AS (SELECT row_id, index, threshold, bool_and((pred > threshold) = (gold > 1e-4)) AS ok FROM x, g GROUP BY ALL),
+k AS (SELECT unnest([0, 1, 42, NULL]) AS seed), o AS (SELECT row_id, index, seed, row_number() OVER (PARTITION BY row_id, seed ORDER BY md5(seed || ':' || index), index) AS r FROM (SELECT DISTINCT row_id, index FROM m WHERE index % 10 < 5), k),
+s AS (SELECT m.row_id, seed, threshold, avg(ok::INT) AS em FROM m JOIN o ON o.row_id = m.row_id AND o.index = m.index WHERE seed IS NULL OR r <= 300 GROUP BY ALL),
+b AS (SELECT row_id, seed, arg_max(threshold, em * 1e6 - threshold) AS threshold, max(em) AS val_em FROM s GROUP BY ALL), t AS (SELECT row_id, threshold, avg(ok::INT) AS em FROM m WHERE index % 10 >= 5 GROUP BY ALL)
+SELECT b.row_id, CAST(seed AS BIGINT) AS seed, b.threshold, round(val_em, 6) AS val_em, round(t.em, 6) AS test_em FROM b JOIN t ON t.row_id = b.row_id AND t.threshold = b.threshold""")
+def q_seed_sweep(spark, d):
+    """Thresholds that samples of the validation items choose, and what they give on the others."""
+    long = _long(spark, d)
+    s = curves.seed_sweep(long.where("index % 10 < 5"), {"test": long.where("index % 10 >= 5")}, _GRID, [0, 1, 42], 300)
+    return s.select("row_id", "seed", "threshold", F.round("val_em", 6).alias("val_em"), F.round("test_em", 6).alias("test_em"))
 
 
 @query()

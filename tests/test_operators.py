@@ -91,13 +91,13 @@ def test_greedy_tolerance_takes_the_nearest_once(spark):
 
 def test_paired_tests(spark):
     rows = [(True, False)] * 8 + [(False, True)] * 2 + [(True, True)] * 5
-    d = spark.createDataFrame(rows, "a boolean, b boolean")
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, a boolean, b boolean")
     r = metrics.mcnemar(d, F.col("a"), F.col("b")).first()
     assert (r.a_only, r.b_only, r.p_value) == (8, 2, 0.109375)
-    b = metrics.paired_bootstrap(d, F.col("a"), F.col("b")).first()
+    b = metrics.paired_bootstrap(d, F.col("a").cast("int"), F.col("b").cast("int"), "i", 2000).first()
     assert b.difference == pytest.approx(0.4) and b.low < 0.4 < b.high
     assert metrics.mcnemar(d.limit(0), F.col("a"), F.col("b")).first().p_value == 1.0
-    assert metrics.paired_bootstrap(d.limit(0), F.col("a"), F.col("b")).count() == 0
+    assert metrics.paired_bootstrap(d.limit(0), F.col("a").cast("int"), F.col("b").cast("int"), "i", 50).count() == 0
 
 
 def test_weighted_mean_and_best(spark):
