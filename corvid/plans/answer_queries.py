@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.parsers import corrections_of
 from ..operators import probe
-from . import scoring
+from . import probe_items, scoring
 from .queries import query, table
-from .score_queries import _m, _orders, _pick, _probe_items, _sm, _sql_pick, k
+from .score_queries import _list, _m, _orders, _pick, _probe_items, _sm, _sql_pick, k
 
 _UP, _DOWN = ["raise", "activate", "tighten"], ["lower", "release", "relax"]
 _KO = [n.partition("(")[0] for n in V.FULL_NAMES["ko"].values()]
@@ -91,3 +91,28 @@ def q_score_sets(spark, d):
     n = judged.agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_distinct("grounding").cast("double").alias("grounded"))
     out = out.unionByName(n.select(F.lit("payload").alias("kind"), F.lit("n").alias("name"), F.col("n").alias("value"))).unionByName(n.select(F.lit("payload").alias("kind"), F.lit("grounded").alias("name"), F.col("grounded").alias("value")))
     return out.unionByName(signs.where("name = 'accuracy'").select(F.lit("signs").alias("kind"), "name", F.round("value", 6).alias("value")))
+
+
+# Interventions: all numbers are multiples of 1/8, so distances are exact in any order of summing.
+_EDITS = (0.25, -0.25, 0.125, -0.125)
+_ACT = "list_transform(range(0, 11), lambda m: ((s_suppkey * (m + 3) + s_nationkey * m) % 9) / 8)"
+_FMB_SQL = ", ".join(f"{{'dx': ((s_suppkey * {a} + s_nationkey) % 13 - 6) / 4, 'dz': ((s_suppkey * {b} + s_nationkey) % 11 - 5) / 4}}" for a, b in ((3, 5), (7, 2), (4, 9)))
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS i, {_ACT} AS act, [{_FMB_SQL}] AS mm FROM supplier),
+e AS (SELECT i, act, mm, m, d, act[m + 1] + d AS too, {_list(V.MUSCLES)}[m + 1] AS muscle FROM p, (SELECT unnest(range(0, 11)) AS m), (SELECT unnest([0.25, -0.25, 0.125, -0.125])::DOUBLE AS d)),
+t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY md5(i || ':' || muscle || ':' || d), muscle, d) AS r, list_transform(range(0, 11), lambda x: CASE WHEN x = m THEN too ELSE act[x + 1] END) AS goal FROM e WHERE too BETWEEN 0 AND 1),
+n AS (SELECT t.i, r, arg_min(p.i, list_sum(list_transform(range(1, 12), lambda x: (goal[x] - p.act[x]) * (goal[x] - p.act[x]))) * 1e6 + p.i) AS j FROM t JOIN p ON p.i <> t.i WHERE r <= 40 GROUP BY t.i, r),
+g AS (SELECT t.i, t.r, muscle, d, j, list_transform(range(1, 4), lambda x: {{'dx': q.mm[x].dx - t.mm[x].dx, 'dz': q.mm[x].dz - t.mm[x].dz}}) AS v FROM t JOIN n ON n.i = t.i AND n.r = t.r JOIN p q ON q.i = j),
+b AS (SELECT *, list_position(list_transform(v, lambda x: x.dx * x.dx + x.dz * x.dz), list_max(list_transform(v, lambda x: x.dx * x.dx + x.dz * x.dz))) AS top FROM g),
+k AS (SELECT *, v[top].dx AS dx, v[top].dz AS dz FROM b WHERE abs(v[top].dx) >= 0.5 OR abs(v[top].dz) >= 0.5)
+SELECT i AS index, arg_min(muscle, r) AS muscle, arg_min(d, r) AS delta, arg_min(j, r) AS base_mesh, arg_min(['front', 'mid', 'back'][top], r) AS region,
+arg_min(concat_ws('+', CASE WHEN dx >= 0.5 THEN 'advance' WHEN dx <= -0.5 THEN 'retract' END, CASE WHEN dz >= 0.5 THEN 'elevate' WHEN dz <= -0.5 THEN 'descend' END), r) AS directions, round(arg_min(dx, r) + arg_min(dz, r), 2) AS moved FROM k GROUP BY i""")
+def q_interventions(spark, d):
+    """The first edit of one muscle whose nearest mesh moves a region, of up to 40 edits a mesh."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    act = F.array(*[((s * (m + 3) + n * m) % 9) / 8 for m in range(11)])
+    mm = lambda a, b: F.struct((((s * a + n) % 13 - 6) / 4).alias("dx"), (((s * b + n) % 11 - 5) / 4).alias("dz"))
+    rows = table(spark, d, "supplier").select(s.alias("index"), act.alias("act"), F.struct(mm(3, 5).alias("front"), mm(7, 2).alias("mid"), mm(4, 9).alias("back")).alias("region_mm"))
+    out = probe_items.interventions(rows, rows, rows, _EDITS)
+    return out.select("index", "muscle", "delta", "base_mesh", "region", F.array_join("directions", "+").alias("directions"), F.round(F.col("dx") + F.col("dz"), 2).alias("moved"))

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import value_text
-from ..functions.vocabulary import MUSCLES
-from ..operators.probe import corrections_between, value_tolerance
+from ..functions.vocabulary import MOVE_EPS_MM, MUSCLES
+from ..operators.nearest import PivotIndex, nearest_join
+from ..operators.probe import corrections_between, direction_labels, value_tolerance
 from ..operators.ranking import balanced_sample, hash_order, quotas
 from .evaluation import GOLD_EPS
 
+#: The regions of a contour by thirds, in the order in which equal ones count.
+FMB = ("front", "mid", "back")
 NO_STRINGS = "cast(null as array<string>)"
 GOLD = {"gold_muscles": NO_STRINGS, "gold_value": "cast(null as double)", "gold_text": "cast(null as string)", "unit": "cast(null as string)", "quantity": "cast(null as string)", "tol": "cast(null as double)", "gold_inc": NO_STRINGS, "gold_dec": NO_STRINGS}
 
@@ -102,3 +105,45 @@ def build_items(meshes: DataFrame, values: DataFrame, targets: DataFrame, questi
     q = F.element_at(F.array(*map(F.lit, abstentions)), (pick(2) % len(abstentions)).cast("int") + 1)
     out = out.unionByName(_items(meshes, "abstention", q, "", True))
     return out.unionByName(_items(meshes, "utility", F.lit(questions["utility"]), ""))
+
+
+#: The changes of one muscle that are tried, and how many of them at most.
+EDITS, TRIES = (0.15, -0.15, 0.10, -0.10), 40
+
+
+def motion_between(base: Column, other: Column, eps: float = MOVE_EPS_MM) -> Column:
+    """The region that moves most from one struct of front, mid and back (dx, dz in mm) to another, its directions and motion.
+
+    struct(region, directions, dx, dz); null where either is unknown. Of equal motions the first region counts.
+    """
+    moves = []
+    for r in FMB:
+        dx, dz = other[r]["dx"] - base[r]["dx"], other[r]["dz"] - base[r]["dz"]
+        moves.append(F.struct(F.sqrt(dx * dx + dz * dz).alias("mag"), F.lit(-len(moves)).alias("place"), F.lit(r).alias("region"), direction_labels(dx, dz, eps).alias("directions"), F.bround(dx, 2).alias("dx"), F.bround(dz, 2).alias("dz")))
+    top = F.array_max(F.array(*[F.struct(m["mag"].alias("mag"), m["place"].alias("place"), m["region"].alias("region"), m["directions"].alias("directions"), m["dx"].alias("dx"), m["dz"].alias("dz")) for m in moves]))
+    known = base.isNotNull() & other.isNotNull()
+    return F.when(known, F.struct(top["region"].alias("region"), top["directions"].alias("directions"), top["dx"].alias("dx"), top["dz"].alias("dz")))
+
+
+def interventions(meshes: DataFrame, pool: DataFrame, motion: DataFrame, edits: Sequence[float] = EDITS, most: int = TRIES) -> DataFrame:
+    """index, muscle, delta, base_mesh, region, directions, dx, dz: for each mesh the first edit of one muscle that moves a region.
+
+    meshes and pool have index and act (activations); motion has index and region_mm, a struct of front, mid and back with
+    dx and dz. Edits stay within 0 and 1, come in hash order, and only the first `most` are tried. The mesh nearest to
+    an edit, but for the edited one itself, stands for it; an edit is taken if that mesh's dominant region moves.
+    """
+    size = len(MUSCLES)
+    steps = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(float(d)).alias("delta")) for m in range(size) for d in edits])
+    tried = meshes.select("index", "act", F.explode(steps).alias("e")).withColumn("to", F.get("act", F.col("e.m")) + F.col("e.delta"))
+    tried = tried.where("to >= -1e-6 and to <= 1 + 1e-6")
+    names = F.array(*map(F.lit, MUSCLES))
+    tried = tried.select("index", F.get(names, F.col("e.m")).alias("muscle"), F.col("e.delta").alias("delta"), F.transform("act", lambda a, i: F.when(i == F.col("e.m"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("to")))).otherwise(a)).alias("target"))
+    order = Window.partitionBy("index").orderBy(_hash_of(F.col("index"), F.col("muscle"), F.col("delta")), "muscle", "delta")
+    tried = tried.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).withColumn("query", F.col("index") * (size * len(edits) + 1) + F.col("_r"))
+    found = nearest_join(tried, PivotIndex(pool, "index", "act"), "query", "index", "target").select("query", F.col("nn_id").alias("base_mesh"))
+    own = motion.select("index", F.col("region_mm").alias("_own"))
+    other = motion.select(F.col("index").alias("base_mesh"), F.col("region_mm").alias("_other"))
+    d = tried.drop("target").join(found, "query").join(own, "index").join(other, "base_mesh").withColumn("m", motion_between(F.col("_own"), F.col("_other")))
+    good = d.where(F.col("m").isNotNull() & ~F.array_contains("m.directions", "preserve"))
+    best = good.groupBy("index").agg(F.min_by(F.struct("muscle", "delta", "base_mesh", "m.region", "m.directions", "m.dx", "m.dz"), "_r").alias("b"))
+    return best.select("index", "b.*")
