@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.parsers import corrections_of
-from ..operators import probe
+from ..operators import probe, records
+from ..operators.token_spans import Collation, collate, pattern_tokens
+from ..sources import line_index
+from ..sources.scratch import shared_folder
 from . import probe_items, scoring
 from .queries import query, table
 from .score_queries import _list, _m, _orders, _pick, _probe_items, _sm, _sql_pick, k
@@ -116,3 +119,56 @@ def q_interventions(spark, d):
     rows = table(spark, d, "supplier").select(s.alias("index"), act.alias("act"), F.struct(mm(3, 5).alias("front"), mm(7, 2).alias("mid"), mm(4, 9).alias("back")).alias("region_mm"))
     out = probe_items.interventions(rows, rows, rows, _EDITS)
     return out.select("index", "muscle", "delta", "base_mesh", "region", F.array_join("directions", "+").alias("directions"), F.round(F.col("dx") + F.col("dz"), 2).alias("moved"))
+
+
+# Training rows
+
+_CHAT = """t AS (SELECT conv_id, turn, role, coalesce(text, '') AS v, length('<|im_start|>') + length(role) + 1 AS head FROM conversations),
+p AS (SELECT *, CAST(coalesce(sum(head + length(v) + 11) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + head AS s, '<|im_start|>' || role || chr(10) || v || '<|im_end|>' || chr(10) AS piece,
+row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS back FROM t),
+c AS (SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS text FROM p GROUP BY conv_id)"""
+
+
+@query(f"""WITH {_CHAT}, k AS (SELECT conv_id, unnest(regexp_extract_all(text, '[\\s]+|[^\\s]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[\\s]+|[^\\s]+'), 1) AS i FROM c),
+o AS (SELECT conv_id, i, CAST(sum(length(tok)) OVER (PARTITION BY conv_id ORDER BY i) AS BIGINT) AS e, length(tok) AS n FROM k),
+a AS (SELECT conv_id, s, s + length(v) + 10 AS e, s + length(regexp_extract(v, '^[^\\s]+')) AS fact FROM p WHERE role = 'assistant' AND back = 1),
+x AS (SELECT o.conv_id, count(*) AS n_tokens, coalesce(count_if(o.e > a.s AND o.e - n < a.e), 0) AS n_on, coalesce(count_if(a.fact > a.s AND o.e > a.s AND o.e - n < a.fact), 0) AS n_fact FROM o LEFT JOIN a ON a.conv_id = o.conv_id GROUP BY o.conv_id)
+SELECT conv_id, n_tokens, CAST(n_on AS BIGINT) AS n_on, CAST(n_fact AS BIGINT) AS n_fact, round(n_on - n_fact + n_fact * CASE WHEN n_fact > 0 AND n_on > n_fact THEN least(20, greatest(1, (1 - n_fact / n_on) / (n_fact / n_on) * 0.3 / 0.7)) ELSE 1 END, 5) AS weight FROM x""")
+def q_token_spans(spark, d):
+    """Chats in the space of tokens: the last answer is supervised, its first word is a fact that gets 30 % of the loss."""
+    c = F.col
+    turn = F.struct(c("turn"), c("role"), F.coalesce("text", F.lit("")).alias("value"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("all"))
+    talks = talks.select("conv_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["value"].alias("value"))).alias("turns"))
+    talks = talks.withColumn("chat", records.chat(F.col("turns"))).withColumn("text", F.col("chat.text")).withColumn("answers", records.located(F.col("text"), F.col("turns")))
+    said = F.filter("turns", lambda t: t["role"] == "assistant")
+    word = F.transform(said, lambda t: F.regexp_extract(t["value"], r"^[^\s]+", 0))
+    facts = F.transform(word, lambda w: F.filter(F.array(F.struct(F.lit("word").alias("type"), w.alias("value"), F.lit(0).alias("start"), F.length(w).alias("end"))), lambda f: f["end"] > 0))
+    rows = talks.withColumn("word_facts", facts).withColumn("facts", records.facts_in_chat(F.col("text"), F.col("answers"), F.col("word_facts"), ["word"]))
+    how = Collation(end_mark=10, last_only=True, share=1.0, target=0.3, max_len=1 << 40)
+    made = collate(rows, "conv_id", "text", "answers", "facts", lambda: pattern_tokens(r"[\t\n\f\r ]+|[^\t\n\f\r ]+"), how)
+    on = F.filter("labels", lambda x: x != -100)
+    n_fact = F.size(F.filter(F.arrays_zip("labels", "weights"), lambda z: (z["labels"] != -100) & (z["weights"] != 1.0)))
+    return made.select("conv_id", F.size("ids").cast("long").alias("n_tokens"), F.size(on).cast("long").alias("n_on"), n_fact.cast("long").alias("n_fact"), F.round(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x), 5).alias("weight"))
+
+
+_LINE = "'{\"index\": ' || o_orderkey || ', \"scenario\": \"' || CASE WHEN o_orderkey % 7 = 0 THEN 'skip' ELSE 'chain' END || '\", \"conversations\": [{\"from\": \"gpt\", \"value\": \"é' || o_custkey || '\"}' || CASE WHEN o_orderkey % 3 = 0 THEN ', {\"from\": \"gpt\", \"value\": \"more\"}' ELSE '' END || ']}'"
+
+
+@query(f"""WITH l AS (SELECT o_orderkey AS k, o_orderkey % 4 AS file, o_custkey, {_LINE} AS line FROM orders),
+o AS (SELECT *, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM l),
+e AS (SELECT file, place, k, o_custkey, unnest(range(0, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END)) AS turn FROM o WHERE k % 7 <> 0 AND k % 5 <> 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY place, turn) AS r FROM e)
+SELECT CAST(file AS INT) AS file, place, CAST(turn AS INT) AS turn, row_number() OVER (ORDER BY r, file) - 1 AS position, 'é' || o_custkey AS said FROM n""")
+def q_qa_index(spark, d):
+    """Entries of four files of JSON lines in turns, filtered by scenario and split, and the lines read again by their offsets."""
+    path = shared_folder(spark, "lines")
+    key = F.col("o_orderkey")
+    more = F.when(key % 3 == 0, ', {"from": "gpt", "value": "more"}').otherwise("")
+    parts = [F.lit('{"index": '), key.cast("string"), F.lit(', "scenario": "'), F.when(key % 7 == 0, "skip").otherwise("chain"), F.lit('", "conversations": [{"from": "gpt", "value": "é'), F.col("o_custkey").cast("string"), F.lit('"}'), more, F.lit("]}")]
+    lines = table(spark, d, "orders").select((key % 4).cast("int").alias("file"), key.alias("k"), F.concat(*parts).alias("value"))
+    lines.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(path)
+    allowed = table(spark, d, "orders").where(key % 5 != 1).select(key.alias("index"))
+    found, files = line_index.qa_index(spark, f"{path}/file=*/part-*", allowed, exclude=["skip"], span=100_000)
+    rows = line_index.read_entries(found, files, f"{path}/file=*/part-*")
+    return rows.select("file", F.col("offset").alias("place"), "turn", "position", F.get("r.conversations", F.lit(0))["value"].alias("said"))
