@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math select".split())
@@ -35,7 +35,7 @@ _ENDS_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tf
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form alert toolbar".split())
-#: Words of class and id names that mark furniture.
+#: Words of class and id names that say what is furniture, and those among them that no article text hides behind.
 _WORDS = frozenset(
     """ad ads advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion promoted
     cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall
@@ -43,20 +43,30 @@ _WORDS = frozenset(
     comment comments commentlist discussion disqus respond replies reply reviews related recommended recommendations teaser teasers
     share sharing social login search searchbox pagination pager skip copyright disclaimer tags trending popular alert toc""".split()
 )
+_PLAIN = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe subscription signup paywall login nav navbar navigation menu menus submenu breadcrumb breadcrumbs footer pagination pager".split())
+#: Words that only say where an element stands; a name that has any other word beside the ones above is a hint and no more.
+_PLACES = frozenset(
+    """main content page post posts entry entries site blog box wrapper wrap container inner outer list item items block area section sections top bottom left right
+    body text global primary secondary tertiary bar links link button buttons icon icons module panel slot unit row col column card cards user users reader readers
+    thread form field group region zone mobile desktop small large new sticky fixed first last my the article articles news story js ui x""".split()
+)
 #: Those that mark single paragraphs, headings and other text elements too.
 _STRONG = frozenset("ad ads advert advertisement advertising sponsored promo cookie cookies newsletter subscribe share sharing social breadcrumb breadcrumbs copyright comment comments navigation menu".split())
-_TALK = frozenset("comment comments commentlist discussion disqus respond replies reply reviews".split())
+_TALK = frozenset("comment comments commentlist discussion disqus respond replies reply".split())
 #: A name with one of these says how a page is laid out, not what the element is.
 _LAYOUT = frozenset("has no with without open closed enabled disabled hide toggle layout".split())
 #: Ends of names written in one word.
 _ENDINGS = re.compile(r"(?:navbar|nav|menu|footer|sidebar|comments|commentlist|banner|breadcrumbs?|advert)$")
 _TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption span a b i em strong u s q cite code small sub sup mark time td th tr tbody".split())
-_ARTICLE_NAME = re.compile(r"(?:user-?|reader-?)?(?:comment|reply|response|review|teaser|related|promo|ad|advert|sponsored)(?:[-_]?(?:body|item|content|text|entry|card|post|inner|\d+))*")
-_TALK_HEADING = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|responses?|replies|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?", re.I)
+_ARTICLE_NAME = re.compile(r"(?:user-?|reader-?)?(?:comment|reply|response|user-review|teaser|related|promo|ad|advert|sponsored)(?:[-_]?(?:body|item|content|text|entry|card|post|inner|\d+))*")
+_TALK_HEADING = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?|\d+ (?:responses?|replies)|(?:responses?|replies) \(\d+\)", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-KEEP, SOFT, TALK, HARD = 0, 1, 2, 3
+#: Why an element may be furniture: a hint in its name, its name or kind, a plain name, a discussion, its element.
+KEEP, HINT, SOFT, PLAIN, TALK, HARD = range(6)
+#: Characters of a paragraph that count as prose, and links' largest share of it.
+PROSE, LINKED = 80, 0.2
 
 
 class Node:
@@ -75,16 +85,20 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _named(names: str, words: frozenset[str]) -> int:
-    """SOFT or TALK if a class or id name holds one of the words."""
+    """What class and id names say of an element: HINT if one of the words stands beside words of another matter."""
     found = KEEP
     for name in names.split():
-        parts = {w.lower() for w in _CAMEL.findall(name)} | set(re.split(r"[-_\d]+", name.lower()))
+        low = name.lower()
+        parts = ({w.lower() for w in _CAMEL.findall(name)} if name != low else set()) or set(re.split(r"[-_\d]+", low))
+        parts = {w for p in parts for w in re.split(r"[-_\d]+", p) if w}
         if parts & _LAYOUT:
             continue
         hits = parts & words
-        if words is _WORDS and not hits and (m := _ENDINGS.search(name.lower())):
-            hits = {m[0]}
-        found = max(found, TALK if hits & _TALK else SOFT if hits else KEEP)
+        if words is _WORDS and not hits and len(parts) == 1 and (m := _ENDINGS.search(low)):
+            hits = parts = {m[0]}
+        if hits:
+            other = {w for w in parts - _WORDS - _PLACES if len(w) > 1}
+            found = max(found, HINT if other else TALK if hits & _TALK else PLAIN if hits & _PLAIN else SOFT)
     return found
 
 
@@ -198,28 +212,67 @@ def _ink(text: str) -> int:
 def settle(root: Node) -> None:
     """Decide what is dropped.
 
-    An element that is furniture by its name alone, or a form, stays if it holds the page's article: an article
-    or main element, or, on a page without one, paragraphs and more than half of the text. Discussions never stay,
-    and a container that begins with a heading like "Comments" is one.
+    Names are evidence, not a verdict. An element that is furniture by its name or kind stays if it holds the page's
+    article: an article or main element, or, on a page without one, paragraphs and more than half of the text. A
+    name that only hints at furniture needs one paragraph of prose to be overruled, one that says so two, inside an
+    article, unless it is a plain one (adverts, menus). Discussions never stay, and a container that begins with a
+    heading like "Comments" is one. An article that would lose all its paragraphs keeps them.
     """
     nodes = _order(root, True)
-    ink: dict[int, int] = {}
-    holds: dict[int, bool] = {}
-    paragraphs: dict[int, bool] = {}
     for n in nodes:
         if n.tag in ("section", "div", "ol", "ul") and n.own == KEEP:
             first = next((c for c in n.children if isinstance(c, Node) or c.strip()), None)
             if isinstance(first, Node) and first.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and _TALK_HEADING.fullmatch(" ".join(_blocks(first, True))):
                 n.own = TALK
+    # Bottom up: text outside of hard furniture, links in it, paragraphs of prose, whether an article or a paragraph lies below.
+    ink: dict[int, int] = {}
+    links: dict[int, int] = {}
+    prose: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    paragraphs: dict[int, bool] = {}
     for n in reversed(nodes):
-        real = n.own in (KEEP, SOFT)
-        ink[id(n)] = sum(_ink(c) if isinstance(c, str) else ink[id(c)] for c in n.children) if real else 0
-        paragraphs[id(n)] = real and (n.tag == "p" and ink[id(n)] > 0 or any(paragraphs[id(c)] for c in n.children if isinstance(c, Node)))
-        holds[id(n)] = real and (n.tag in ("article", "main") and n.own == KEEP and ink[id(n)] > 0 or any(holds[id(c)] for c in n.children if isinstance(c, Node)))
+        below = [c for c in n.children if isinstance(c, Node)]
+        real, k = n.own < TALK, id(n)
+        ink[k] = sum(_ink(c) if isinstance(c, str) else ink[id(c)] for c in n.children) if real else 0
+        links[k] = ink[k] if n.tag == "a" else sum(links[id(c)] for c in below) if real else 0
+        good = n.tag == "p" and ink[k] >= PROSE and links[k] <= LINKED * ink[k]
+        prose[k] = (int(good) or sum(prose[id(c)] for c in below)) if real else 0
+        paragraphs[k] = real and (n.tag == "p" and ink[k] > 0 or any(paragraphs[id(c)] for c in below))
+        holds[k] = real and (n.tag in ("article", "main") and n.own == KEEP and ink[k] > 0 or any(holds[id(c)] for c in below))
     any_article, half = holds[id(root)], ink[id(root)] / 2
-    for n in nodes:
-        stays = n.own == KEEP or n.own == SOFT and (holds[id(n)] or not any_article and paragraphs[id(n)] and ink[id(n)] > half)
-        n.dropped = not stays or n.parent is not None and n.parent.dropped
+
+    def decide() -> None:
+        inside: dict[int, bool] = {}
+        for n in nodes:
+            k = id(n)
+            inside[k] = n.parent is not None and (inside[id(n.parent)] or n.parent.tag == "article" and n.parent.own == KEEP)
+            few = links[k] <= LINKED * ink[k]
+            stays = n.own == KEEP or n.own < TALK and (holds[k] or not any_article and paragraphs[k] and ink[k] > half)
+            stays = stays or n.own == HINT and few and (prose[k] > 0 or n.tag in _TEXT_TAGS) or n.own == SOFT and few and prose[k] > 1 and inside[k]
+            n.dropped = not stays or n.parent is not None and n.parent.dropped
+
+    decide()
+    # An article without a paragraph left keeps what its names alone took away, discussions only if there is nothing else.
+    whole: dict[int, int] = {}
+    for n in reversed(nodes):
+        whole[id(n)] = 0 if n.tag in RAW else sum(_ink(c) if isinstance(c, str) else whole[id(c)] for c in n.children)
+    for level in (PLAIN, TALK):
+        some, kept = {}, {}
+        for n in reversed(nodes):
+            below = [c for c in n.children if isinstance(c, Node)]
+            own = n.tag == "p" and whole[id(n)] > 0
+            some[id(n)] = own or any(some[id(c)] for c in below)
+            kept[id(n)] = own and not n.dropped or any(kept[id(c)] for c in below)
+        lost: dict[int, bool] = {}
+        again = False
+        for n in nodes:
+            empty = n.tag in ("article", "main") and not n.dropped and some[id(n)] and not kept[id(n)]
+            lost[id(n)] = empty or n.parent is not None and lost[id(n.parent)]
+            if lost[id(n)] and HINT <= n.own <= level and some[id(n)]:
+                n.own, again = KEEP, True
+        if not again:
+            continue
+        decide()
 
 
 def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
@@ -312,12 +365,16 @@ def main_text(page: str | None) -> str:
     body = next((n for n in kept if n.tag == "body"), root)
     # Paragraphs, headings and inline elements belong to the container that holds them.
     best = max([n for n in kept if n.tag in CONTAINERS] or [root], key=lambda n: n.total)
-    # The innermost article around the centre is the article, with its headings and short paragraphs.
-    article = next((n for n in _path(best) if n.tag == "article"), None)
-    if article is not None:
-        return " ".join(_blocks(article))
     path = list(_path(best))
     threshold = min((n.density for n in path[: path.index(body) + 1 if body in path else None] if n.density > 0), default=0.0)
+    # The innermost article around the centre is the article, with its headings and short paragraphs, but without blocks of links.
+    article = next((n for n in path if n.tag == "article"), None)
+    if article is not None:
+        around = {id(n) for n in path}
+        for n in _order(article):
+            if n.tag in ("div", "section") and id(n) not in around and n.link_tags > 2 and 5 * n.link_chars >= 4 * n.chars and n.density < threshold:
+                n.dropped = True
+        return " ".join(_blocks(article))
     # Climb to the innermost main, or to the body, as long as each level has dense blocks beside the centre or nothing else.
     top, whole = best, {id(best)}
     limit = next((n for n in path if n.tag == "main"), body)

@@ -250,6 +250,113 @@ def test_pages_without_article_or_main():
     assert main_text("<p>a&<b>amp;</b>&nbsp;&lt;x&gt;</p>") == "a&amp; <x>"
 
 
+NAMES = "social-science share-price related-work promotion-of-science comment-on-law ad-hoc side-effects search-for-life tags-and-trees notice-period banner-year legal-notice-text reviews-body".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_are_evidence_and_no_verdict(name):
+    assert main_text(f"<article><div class='{name}'><p>{BODY}</p><p>{BODY}</p></div></article>") == f"{BODY} {BODY}"
+    assert main_text(f"<article><p>One.</p><div class='{name}'><p>{BODY}</p><p>{BODY}</p></div></article>") == f"One. {BODY} {BODY}"
+    assert main_text(f"<body><article><p id='{name}'>{BODY}</p><p>Two.</p></article></body>") == f"{BODY} Two."
+
+
+def test_articles_do_not_become_empty():
+    for name in ("ad", "comments", "newsletter", "sidebar", "promo-box"):
+        assert main_text(f"<body><nav>x</nav><article><div class='{name}'><p>{BODY}</p></div></article></body>") == BODY
+        assert main_text(f"<article><p>Kept.</p><div class='{name}'><p>{SHORT}</p></div></article>") == "Kept."
+    assert main_text("<article><div class=ad>No paragraph here</div></article>") == ""
+
+
+def test_headings_of_discussions():
+    talk = f"<p>{BODY}</p><p>{BODY}</p>"
+    assert main_text(f"<article><p>One.</p><section><h2>Responses</h2>{talk}</section></article>") == f"One. Responses {BODY} {BODY}"
+    for heading in ("3 Responses", "Replies (4)", "Comments", "Leave a comment:"):
+        assert main_text(f"<article><p>One.</p><section><h2>{heading}</h2>{talk}</section></article>") == "One."
+
+
+def test_blocks_of_links_in_articles_go():
+    links = "".join(f"<a href=/{i}>{SHORT}</a> " for i in range(5))
+    assert main_text(f"<article><h1>T</h1><p>{BODY}</p><div>{links}</div><ul><li><a href=x>A source</a></li></ul></article>") == f"T {BODY} A source"
+
+
+def test_quotes_are_read_as_browsers_do():
+    assert main_text(f"""<p class="a"">Hello {BODY} <a href="x">link</a> end one.""") == f"Hello {BODY} link end one."
+    assert main_text(f"""<img alt="5" TV"><p>First {BODY}</p><p>Second <b title="q">bold</b></p>""") == f"First {BODY} Second bold"
+    assert main_text(f"""<p data-x='a>b' title = "c>d">{BODY}</p><p it's>Two</p>""") == f"{BODY} Two"
+    assert main_text(f"""<p title="open>{BODY}</p><p>Two</p>""") == f"{BODY} Two"
+
+
+def naive_text(node):
+    """The selection of a page without names, by plain recursion; the tree is trusted."""
+
+    def kids(n):
+        return [c for c in n.children if isinstance(c, Node)]
+
+    def every(n):
+        return [n, *(x for c in kids(n) for x in every(c))]
+
+    def ink(n, links=False):
+        if links and n.tag == "a":
+            return ink(n)
+        return sum(ink(c, links) if isinstance(c, Node) else 0 if links else sum(map(len, c.split())) for c in n.children)
+
+    nodes = every(node)
+    total = lambda n: sum(c.density for c in kids(n)) + (0 if n.tag == "a" else sum(len("".join(c.split())) for c in n.children if isinstance(c, str)))
+    best = None
+    for n in nodes:
+        if n.tag in ("body", "div", "section", "article", "main", "td", "center") and ink(n) and (best is None or total(n) > total(best)):
+            best = n
+    if best is None:
+        return None, None
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    body = next(n for n in nodes if n.tag == "body")
+    least = min((n.density for n in path[: path.index(body) + 1] if n.density > 0), default=0.0)
+
+    def belongs(n):
+        if not ink(n) or 2 * ink(n, True) >= ink(n):
+            return False
+        return n.tag[0] == "h" and n.tag[1:].isdigit() or n.density >= least and (n.tag in ("p", "ul", "ol", "dl", "pre", "blockquote", "figure", "table") or any(x.tag == "p" and ink(x) for x in every(n)))
+
+    top, chosen = best, {id(x) for x in every(best)}
+    while top is not body:
+        beside = [c for c in kids(top.parent) if c is not top and ink(c)]
+        more = [c for c in beside if belongs(c)]
+        if beside and not more:
+            break
+        chosen |= {id(x) for c in more for x in every(c)}
+        chosen |= {id(top.parent)}
+        top = top.parent
+    return top, chosen
+
+
+def test_selection_equals_plain_recursion():
+    rng = random.Random(12)
+
+    def page(depth):
+        kind = rng.random()
+        if depth and kind < 0.5:
+            return f"<div>{''.join(page(depth - 1) for _ in range(rng.randint(1, 4)))}</div>"
+        if kind < 0.75:
+            return f"<p>{' '.join(rng.choice(['some', 'words', 'of', 'text']) for _ in range(rng.randint(1, 60)))}</p>"
+        if kind < 0.85:
+            return f"<h2>Head {rng.randint(0, 9)}</h2>"
+        return "".join(f"<a href=/>link {rng.randint(0, 99)}</a> " for _ in range(rng.randint(1, 6)))
+
+    for _ in range(150):
+        text = "<html><body>" + "".join(page(4) for _ in range(rng.randint(1, 5))) + "</body></html>"
+        root = parse(text)
+        settle(root)
+        densities(root)
+        top, chosen = naive_text(root)
+
+        def words(n):
+            return [w for c in n.children for w in (c.split() if isinstance(c, str) else words(c) if id(c) in chosen else [])]
+
+        assert main_text(text).split() == (words(top) if top is not None else []), text
+
+
 def test_densities_equal_a_direct_count():
     """Every count of the tree and the composite formula, by walking each node's whole subtree anew."""
     import math
