@@ -70,14 +70,15 @@ PROSE, LINKED = 80, 0.2
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "own", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "parent", "own", "dropped", "text", "ink", "links", "prose", "holds", "some", "whole", "inside", "kept", "lost", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, own: int = KEEP):
         #: own: why the element itself is furniture; dropped: whether it or what is around it is.
         self.tag, self.parent, self.own, self.dropped = tag, parent, own, False
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.text = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.inside = self.lost = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -224,55 +225,61 @@ def settle(root: Node) -> None:
             first = next((c for c in n.children if isinstance(c, Node) or c.strip()), None)
             if isinstance(first, Node) and first.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and _TALK_HEADING.fullmatch(" ".join(_blocks(first, True))):
                 n.own = TALK
-    # Bottom up: text outside of hard furniture, links in it, paragraphs of prose, whether an article or a paragraph lies below.
-    ink: dict[int, int] = {}
-    links: dict[int, int] = {}
-    prose: dict[int, int] = {}
-    holds: dict[int, bool] = {}
-    paragraphs: dict[int, bool] = {}
+    # Bottom up: text outside of furniture, links in it, paragraphs of prose; whether an article or a paragraph lies below.
     for n in reversed(nodes):
-        below = [c for c in n.children if isinstance(c, Node)]
-        real, k = n.own < TALK, id(n)
-        ink[k] = sum(_ink(c) if isinstance(c, str) else ink[id(c)] for c in n.children) if real else 0
-        links[k] = ink[k] if n.tag == "a" else sum(links[id(c)] for c in below) if real else 0
-        good = n.tag == "p" and ink[k] >= PROSE and links[k] <= LINKED * ink[k]
-        prose[k] = (int(good) or sum(prose[id(c)] for c in below)) if real else 0
-        paragraphs[k] = real and (n.tag == "p" and ink[k] > 0 or any(paragraphs[id(c)] for c in below))
-        holds[k] = real and (n.tag in ("article", "main") and n.own == KEEP and ink[k] > 0 or any(holds[id(c)] for c in below))
-    any_article, half = holds[id(root)], ink[id(root)] / 2
-
-    def decide() -> None:
-        inside: dict[int, bool] = {}
-        for n in nodes:
-            k = id(n)
-            inside[k] = n.parent is not None and (inside[id(n.parent)] or n.parent.tag == "article" and n.parent.own == KEEP)
-            few = links[k] <= LINKED * ink[k]
-            stays = n.own == KEEP or n.own < TALK and (holds[k] or not any_article and paragraphs[k] and ink[k] > half)
-            stays = stays or n.own == HINT and few and (prose[k] > 0 or n.tag in _TEXT_TAGS) or n.own == SOFT and few and prose[k] > 1 and inside[k]
-            n.dropped = not stays or n.parent is not None and n.parent.dropped
-
-    decide()
-    # An article without a paragraph left keeps what its names alone took away, discussions only if there is nothing else.
-    whole: dict[int, int] = {}
-    for n in reversed(nodes):
-        whole[id(n)] = 0 if n.tag in RAW else sum(_ink(c) if isinstance(c, str) else whole[id(c)] for c in n.children)
+        text = whole = ink = links = prose = 0
+        holds = some = paragraph = False
+        for c in n.children:
+            if isinstance(c, str):
+                text += _ink(c)
+            else:
+                whole += c.whole
+                ink += c.ink
+                links += c.links
+                prose += c.prose
+                holds = holds or c.holds
+                some = some or c.some
+                paragraph = paragraph or c.kept
+        n.text = text
+        n.whole = 0 if n.tag in RAW else whole + text
+        n.some = some or n.tag == "p" and n.whole > 0
+        if n.own < TALK:
+            n.ink = ink + text
+            n.links = n.ink if n.tag == "a" else links
+            good = n.tag == "p" and n.ink >= PROSE and n.links <= LINKED * n.ink
+            n.prose = 1 if good else prose
+            n.holds = holds or n.tag in ("article", "main") and n.own == KEEP and n.ink > 0
+            n.kept = paragraph or n.tag == "p" and n.ink > 0
+        else:
+            n.ink = n.links = n.prose = 0
+            n.holds = n.kept = False
+    any_article, half = root.holds, root.ink / 2
+    for n in nodes:
+        n.inside = n.parent is not None and (n.parent.inside or n.parent.tag == "article" and n.parent.own == KEEP)
+        if n.own == KEEP:
+            stays = True
+        elif n.own >= TALK:
+            stays = False
+        else:
+            stays = n.holds or not any_article and n.kept and n.ink > half
+            if not stays and n.links <= LINKED * n.ink:
+                stays = n.own == HINT and (n.prose > 0 or n.tag in _TEXT_TAGS) or n.own == SOFT and n.prose > 1 and n.inside
+        n.dropped = not stays or n.parent is not None and n.parent.dropped
+    if any(n.tag in ("article", "main") for n in nodes) and any(HINT <= n.own <= TALK for n in nodes):
+        _refill(nodes)
+
+
+def _refill(nodes: list[Node]) -> None:
+    """An article without a paragraph left keeps what its names alone took away, discussions only if there is nothing else."""
     for level in (PLAIN, TALK):
-        some, kept = {}, {}
         for n in reversed(nodes):
-            below = [c for c in n.children if isinstance(c, Node)]
-            own = n.tag == "p" and whole[id(n)] > 0
-            some[id(n)] = own or any(some[id(c)] for c in below)
-            kept[id(n)] = own and not n.dropped or any(kept[id(c)] for c in below)
-        lost: dict[int, bool] = {}
-        again = False
+            n.kept = n.tag == "p" and n.whole > 0 and not n.dropped or any(c.kept for c in n.children if isinstance(c, Node))
         for n in nodes:
-            empty = n.tag in ("article", "main") and not n.dropped and some[id(n)] and not kept[id(n)]
-            lost[id(n)] = empty or n.parent is not None and lost[id(n.parent)]
-            if lost[id(n)] and HINT <= n.own <= level and some[id(n)]:
-                n.own, again = KEEP, True
-        if not again:
-            continue
-        decide()
+            n.lost = n.tag in ("article", "main") and not n.dropped and n.some and not n.kept or n.parent is not None and n.parent.lost
+            if n.lost:
+                if HINT <= n.own <= level and n.some:
+                    n.own = KEEP
+                n.dropped = n.own != KEEP or n.parent.dropped
 
 
 def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
@@ -294,10 +301,9 @@ def densities(root: Node) -> list[Node]:
     """
     nodes = _order(root)
     for n in reversed(nodes):
+        n.chars = n.text
         for c in n.children:
-            if isinstance(c, str):
-                n.chars += _ink(c)
-            elif not c.dropped:
+            if not isinstance(c, str) and not c.dropped:
                 n.chars += c.chars
                 n.tags += 1 + c.tags
                 n.link_chars += c.link_chars
@@ -311,7 +317,7 @@ def densities(root: Node) -> list[Node]:
     for n in nodes:
         n.total = sum(c.density for c in n.children if isinstance(c, Node) and not c.dropped)
         if n.tag != "a":
-            n.total += sum(_ink(c) for c in n.children if isinstance(c, str))
+            n.total += n.text
     return nodes
 
 
