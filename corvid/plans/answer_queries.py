@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.parsers import corrections_of
-from ..operators import probe, records
+from ..operators import probe, records, surface
 from ..operators.token_spans import Collation, collate, pattern_tokens
 from ..sources import line_index
 from ..sources.scratch import shared_folder
@@ -172,3 +172,25 @@ def q_qa_index(spark, d):
     found, files = line_index.qa_index(spark, f"{path}/file=*/part-*", allowed, exclude=["skip"], span=100_000)
     rows = line_index.read_entries(found, files, f"{path}/file=*/part-*")
     return rows.select("file", F.col("offset").alias("place"), "turn", "position", F.get("r.conversations", F.lit(0))["value"].alias("said"))
+
+
+# Surfaces: sheets of 4 x 4 squares, two triangles each, so that the nearest face follows from a point's square.
+
+
+@query("""WITH p AS (SELECT c_custkey AS point, c_nationkey AS mesh, 1 + c_nationkey % 3 AS s, 4 * (1 + c_custkey % 96) / 97 AS x, 4 * (1 + c_custkey * 7 % 88) / 89 AS y, round(c_acctbal / 100) / 8 AS z FROM customer),
+q AS (SELECT *, CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy, x - floor(x) AS fx, y - floor(y) AS fy FROM p)
+SELECT mesh, point, 2 * (cy * 4 + cx) + (fx + fy > 1)::INT AS face, round(abs(z), 6) AS distance, round(CASE WHEN fx + fy > 1 THEN 1 - fy ELSE 1 - fx - fy END, 6) AS wi FROM q""")
+def q_nearest_surface(spark, d):
+    """Customers as points above the sheet of their nation: the nearest face, its distance and the weight of its first corner."""
+    c = table(spark, d, "customer")
+    scale = 1 + F.col("mesh") % 3
+    meshes = c.select(F.col("c_nationkey").alias("mesh")).distinct()
+    grid = meshes.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    vertices = grid.select("mesh", "id", (F.col("id") % 5 * scale).cast("double").alias("x"), (F.floor(F.col("id") / 5) * scale).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    cells = meshes.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("a", (F.floor(F.col("cell") / 4) * 5 + F.col("cell") % 4).cast("int"))
+    faces = cells.select("mesh", F.explode(F.array(F.struct((2 * F.col("cell")).alias("face"), F.col("a").alias("i"), (F.col("a") + 1).alias("j"), (F.col("a") + 5).alias("k")), F.struct((2 * F.col("cell") + 1).alias("face"), (F.col("a") + 1).alias("i"), (F.col("a") + 6).alias("j"), (F.col("a") + 5).alias("k")))).alias("f")).select("mesh", "f.*")
+    key = F.col("c_custkey")
+    points = c.select(F.col("c_nationkey").alias("mesh"), key.alias("point"), (4 * (1 + key % 96) / 97).alias("x"), (4 * (1 + key * 7 % 88) / 89).alias("y"), (F.round(F.col("c_acctbal") / 100) / 8).alias("z"))
+    points = points.withColumns({"x": F.col("x") * scale, "y": F.col("y") * scale})
+    found = surface.nearest_on_surface(points, vertices, faces)
+    return found.select("mesh", "point", "face", F.round("distance", 6).alias("distance"), F.round("wi", 6).alias("wi"))

@@ -143,3 +143,20 @@ def test_vocabulary_keeps_long_forms_first():
         for i, w in enumerate(words):
             assert not any(w.startswith(x) and w != x for x in words[:i]), (lang, w)
     assert all(re.compile(p) for p, _ in V.SIGNS)
+
+
+def test_one_automaton_equals_a_pattern_a_word():
+    import random
+    import re
+
+    from corvid.functions.spans import Surfaces
+
+    rng = random.Random(6)
+    for _ in range(300):
+        words = [("".join(rng.choice("ab é_") for _ in range(rng.randint(1, 3))), rng.randint(0, 2), "k", rng.random() < 0.5) for _ in range(rng.randint(0, 5))]
+        text = "".join(rng.choice("aab é_.") for _ in range(rng.randint(0, 25)))
+        want = []
+        for i, (w, rank, kind, whole) in enumerate(words):
+            edge = r"\b" if whole else ""
+            want += [(m.start(), rank, i, m.end(), kind) for m in re.finditer(edge + re.escape(w) + edge, text)]
+        assert sorted(Surfaces(words).find(text)) == sorted(want), (words, text)

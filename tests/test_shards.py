@@ -99,3 +99,19 @@ def test_abort_removes_what_tasks_have_reported(tmp_path):
     w.abort([Written([(f"{tmp_path}/verts/a.part", f"{tmp_path}/verts/a")]), None])
     assert not list((tmp_path / "verts").iterdir())
     assert Stretch(0, "f", 0, 1).places is None
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from corvid.sources.scratch import shared_root
+
+    def session(master, conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    warehouse = "spark.sql.warehouse.dir"
+    assert shared_root(session("local[4]", {warehouse: "file:/w/"})) == "file:/w" == shared_root(session("spark://h:1", {"spark.checkpoint.dir": "file:/w", warehouse: "x"}))
+    assert shared_root(session("yarn", {warehouse: "hdfs://n/w"})) == "hdfs://n/w"
+    for master, root in (("spark://h:1", "file:/w"), ("local-cluster[2,1,512]", "/w"), ("yarn", None), ("local[2]", None)):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_root(session(master, {warehouse: root}))

@@ -58,3 +58,76 @@ def test_spirals_grow_by_rings():
     assert M.spirals(v, f, 4, dilation=2).shape == (49, 4)
     assert M.spirals(v[:3], np.array([[0, 1, 2]]), 3).tolist() == [[0, 1, 2], [1, 2, 0], [2, 0, 1]]
     assert len(M.edge_list(f)) == 3 * 36 + 12
+
+
+def plain_decimation(v, f, keep):
+    """Collapses with a list searched at each step: the smallest (price, a, b) whose price is up to date."""
+    q, faces = M.quadrics(v, f), [list(t) for t in f.tolist()]
+    h = np.concatenate([v, np.ones((len(v), 1))], axis=1)
+
+    def prices(a, b):
+        both = q[a] + q[b]
+        return float(h[a] @ both @ h[a]), float(h[b] @ both @ h[b])
+
+    queue = [[min(prices(a, b)), a, b] for a, b in M.edge_list(f).tolist()]
+    while len({x for t in faces for x in t}) > keep and queue:
+        e = min(queue)
+        queue.remove(e)
+        if e[1] == e[2]:
+            continue
+        a, b = e[1:]
+        pa_, pb = prices(a, b)
+        if min(pa_, pb) > e[0]:
+            queue.append([min(pa_, pb), a, b])
+            continue
+        stay, gone = (a, b) if pa_ < pb else (b, a)
+        faces = [t for t in ([stay if x == gone else x for x in t] for t in faces) if len(set(t)) == 3]
+        for x in queue:
+            x[1:] = [stay if y == gone else y for y in x[1:]]
+        q[a] = q[b] = q[a] + q[b]
+    return faces
+
+
+@pytest.mark.parametrize("keep", [3, 9, 20, 33])
+def test_decimation_equals_a_plain_list(keep):
+    rng = np.random.default_rng(keep)
+    v, f = sheet(6)
+    v = v + rng.normal(size=v.shape) * 0.2  # no two edges cost the same
+    g, kept = M.decimate(v, f, keep)
+    assert kept[g].tolist() == plain_decimation(v, f, keep)
+    c = M.Collapses(v, f)
+    while c.step():
+        assert c.alive == len({x for t in c.faces.values() for x in t}) and all(i in c.at[x] for i, t in c.faces.items() for x in t)
+
+
+def test_blocks_find_the_nearest_triangle_of_all():
+    rng = np.random.default_rng(3)
+    v, f = sheet(14, 1.5)
+    blocks, looked = M.TriangleBlocks(v[f], 8), 0
+    for p in rng.uniform(-2, 15, size=(60, 3)):
+        best, weights, far, n = blocks.nearest(p)
+        w, d = M.barycentric(p, v[f])
+        assert far == d.min() and best == int(d.argmin()) and (weights == w[best]).all()
+        looked += n
+    assert looked < 0.4 * 60 * len(f)
+
+
+def test_many_meshes_at_once(spark):
+    from corvid.operators import surface
+
+    rng = np.random.default_rng(1)
+    v, f = sheet(5, 0.4)
+    verts = [(m, i, *map(float, x * (m + 1))) for m in range(3) for i, x in enumerate(v)]
+    faces = [(m, i, *map(int, t)) for m in range(3) for i, t in enumerate(f)]
+    points = [(m, k, *map(float, rng.uniform(0, 5, 3))) for m in (0, 1, 2, 9) for k in range(6)]
+    V = spark.createDataFrame(verts, "mesh long, id long, x double, y double, z double").repartition(4)
+    T = spark.createDataFrame(faces, "mesh long, face long, i long, j long, k long").repartition(3)
+    got = surface.nearest_on_surface(spark.createDataFrame(points, "mesh long, point long, x double, y double, z double"), V, T).collect()
+    assert len(got) == 18
+    at = {(m, k): np.array(p) for m, k, *p in points}
+    for r in got:
+        d = M.barycentric(at[r.mesh, r.point], (v * (r.mesh + 1))[f])[1]
+        assert r.face == int(d.argmin()) and r.distance == pytest.approx(d.min() ** 0.5) and r.wi + r.wj + r.wk == pytest.approx(1)
+    small = surface.decimated(V, T, 9).collect()
+    g, kept = M.decimate(v, f, 9)
+    assert sorted((r.i, r.j, r.k) for r in small if r.mesh == 0) == sorted(map(tuple, kept[g].tolist()))
