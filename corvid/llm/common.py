@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import shared_root
+
 #: The words of a text are maximal runs of other bytes than these.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -27,12 +29,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder below one that all executors share; the file system deletes it when the driver ends.
 
-    The shared folder is spark.checkpoint.dir, else the context's checkpoint folder, else the warehouse.
+    The shared folder is spark.checkpoint.dir, else the context's checkpoint folder, else the warehouse unless that
+    lies on the machines' own disks.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"{root.rstrip('/')}/corvid/{spark.sparkContext.applicationId}"
+    own = f"{shared_root(spark)}/corvid/{spark.sparkContext.applicationId}"
     if own not in _marked:
         path = spark._jvm.org.apache.hadoop.fs.Path(own)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

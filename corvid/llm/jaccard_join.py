@@ -229,19 +229,39 @@ def _texts(names: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(found.dropDuplicates(["set_id"]), "jaccard-texts")
 
 
+#: Pairs of one set that a task verifies; those of a crowd's pivot are dealt over more tasks.
+DEAL = 1000
+
+
+def _pairs_of(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, _n): in how many pairs each set is."""
+    return stored(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "jaccard-counts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set names that link, by their whole sets."""
+    """The pairs (a, b) of set names that link, by their whole sets.
+
+    A crowd's pivot meets its members in several tasks: its text is sent to each of them, one for DEAL pairs.
+    """
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), docs, classes)
-    with_b = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    counts = _pairs_of(pairs, "a")
+    dealt = join_hot(pairs, counts, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), _n div {DEAL} + 1)").alias("salt"))
+    with_b = dealt.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
+    first = texts.join(counts.withColumnRenamed("a", "set_id"), "set_id").select(F.col("set_id").alias("a"), F.col("text").alias("text_a"), F.explode(F.expr(f"sequence(0L, _n div {DEAL})")).alias("salt"))
+    with_both = with_b.join(first, ["a", "salt"]).select("a", "b", "text_a", "text_b")
     return arrow_map(with_both, _verifier(k, num, den), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Pairs of members that share more signatures than either's slack: at most H segments of linked sets differ."""
+    """Pairs of members that share more signatures than either's slack: at most H segments of linked sets differ.
+
+    The lists of members with very many pairs, a bounded number, are broadcast.
+    """
+    pairs = stored(pairs, "jaccard-pairs")
     one = listed.select(F.col("member").alias("ma"), F.col("sigs").alias("sigs_a"), F.col("slack").alias("slack_a"))
     two = listed.select(F.col("member").alias("mb"), F.col("sigs").alias("sigs_b"), F.col("slack").alias("slack_b"))
-    both = pairs.join(one, "ma").join(two, "mb").where("size(array_intersect(sigs_a, sigs_b)) > greatest(slack_a, slack_b)")
+    one = stored(one.join(_pairs_of(pairs, "ma"), "ma"), "jaccard-one")
+    both = join_hot(pairs, one, "ma").join(two, "mb").where("size(array_intersect(sigs_a, sigs_b)) > greatest(slack_a, slack_b)")
     x, y = F.expr("ma & -2L"), F.expr("mb & -2L")
     return both.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 

@@ -52,8 +52,8 @@ def _rate(x: Column, lam: Column, cap: int) -> Column:
 def solve_rates(hist: DataFrame, targets: DataFrame, cap: int, steps: int = 60, tolerance: float = 1e-7, accepted: float = 1e-3) -> DataFrame:
     """targets with lambda: Newton steps on the dual, each inside a bracket that shrinks, until every source is within tolerance.
 
-    Raises if after these steps, or with brackets as narrow as numbers allow, a source misses its target by more than
-    the accepted share of it.
+    off_target marks sources that after these steps, or with brackets as narrow as numbers allow, miss their target by more
+    than the accepted share of it; they get the rates reached, and the others theirs.
     """
     full = F.col("target") >= F.col("source_size") * F.lit(cap * (1 - 1e-9))
     state = targets.withColumns({"lam": F.when(full, FULL).otherwise(0.0), "lo": F.lit(-FULL), "hi": F.lit(FULL), "gap": F.lit(1.0)})
@@ -77,10 +77,7 @@ def solve_rates(hist: DataFrame, targets: DataFrame, cap: int, steps: int = 60,
         discard(before)
         if state.where(F.col("gap") > tolerance).where("hi - lo > 1e-12 * greatest(1, abs(lo), abs(hi))").isEmpty():
             break
-    missed = state.where(F.col("gap") > accepted).select("source", "gap").head(3)
-    if missed:
-        raise RuntimeError(f"no rates found for sources and gaps {[tuple(r) for r in missed]}")
-    return state.select("source", "source_size", "target", "mean", "lam")
+    return state.select("source", "source_size", "target", "mean", "lam", (F.col("gap") > accepted).alias("off_target"))
 
 
 def _bucket(size: Column) -> Column:
@@ -123,7 +120,10 @@ def _copies(cells: DataFrame, cap: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, salts: int = 256, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (and extra columns) for every row.
+    """doc_id, source, size, source_size, target, copies, taken, off_target (and extra columns) for every row.
+
+    off_target: the solver's rates for the row's source miss its target by more than a thousandth, which happens if it
+    was stopped early. Sources without words are never off theirs.
 
     Size is the number of words (runs of other characters than \\x20 and \\x09-\\x0D); a null text has none. A
     null source is a source of its own, after all others. Rows without words are taken 0 times. Copies are
@@ -159,5 +159,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = dealt.withColumn("copies", F.coalesce(F.col("base"), F.lit(0)) + F.when(rank <= F.col("more"), 1).otherwise(0)).select("doc_id", "source", "size", "copies", *extra)
     every = taken.unionByName(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies"), *extra))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
+    t = t.join(solved.select(F.col("source").alias("_r"), "off_target"), F.col("_s").eqNullSafe(F.col("_r")), "left").drop("_r")
     out = every.join(t, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), *extra)
+    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.coalesce("off_target", F.lit(False)).alias("off_target"), *extra)

@@ -90,7 +90,11 @@ def stored_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
-    """base_failed, the verdict kept, and the policy's version, from the stored bits alone."""
+    """base_failed, the verdict kept, and the policy's version, from the stored bits alone.
+
+    Every row of the ledger gets its verdict, repeated ones and those of null ids too; null bits give null verdicts. An empty
+    ledger gives an empty result.
+    """
     failed = F.col("rule_bits").bitwiseAND(F.lit(policy.mask | BASE_MASK)) != 0
     base = F.col("rule_bits").bitwiseAND(F.lit(BASE_MASK)) != 0
     return ledger.withColumns({"base_failed": base, "kept": ~failed, "policy_version": F.lit(policy.version)})
@@ -99,7 +103,8 @@ def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
 def ablations(ledger: DataFrame, policy: Policy) -> DataFrame:
     """For each rule: documents that fail it, and those that would be kept without it under the policy.
 
-    The ledger collapses to at most 2**len(RULES) distinct bit sets before anything else happens.
+    The ledger collapses to at most 2**len(RULES) distinct bit sets before anything else happens. Repeated rows count
+    each; rows with null bits count in neither column; an empty ledger gives an empty result.
     """
     sets = ledger.groupBy("rule_bits").agg(F.count(F.lit(1)).alias("n"))
     rules = F.explode(F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(name).alias("rule")) for b, name, _ in RULES]))
@@ -110,4 +115,9 @@ def ablations(ledger: DataFrame, policy: Policy) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, policy: Policy = POLICIES["v1"], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger of all rows with a policy's verdict: base_failed, kept and policy_version beside the measurements.
+
+    Null and empty texts fail few_words; repeated rows are judged each; a null id stays null; an empty table gives an
+    empty result. Only the two named columns are read.
+    """
     return apply_policy(quality_ledger(docs, id_col, text_col), policy)

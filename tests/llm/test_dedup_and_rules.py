@@ -156,3 +156,11 @@ def test_line_dedup_keeps_text_and_nulls(spark):
     got = with_bitmaps(d, line_dedup(d)).mapInArrow(kept_texts, "doc_id long, text string").collect()
     assert sum(r.text is None for r in got) == 1 and len(got) == len(documents())
     assert digests(empty(spark)) == []
+
+
+def test_empty_ledgers_and_null_bits(spark):
+    ledger = quality_ledger(empty(spark))
+    assert apply_policy(ledger, POLICIES["v1"]).collect() == [] and ablations(ledger, POLICIES["v1"]).collect() == []
+    nulls = spark.createDataFrame([(1, None), (2, 0)], "doc_id long, rule_bits int")
+    assert {r.doc_id: r.kept for r in apply_policy(nulls, POLICIES["v1"]).collect()} == {1: None, 2: True}
+    assert all((r.n_failed, r.n_kept_without) == (0, 0) for r in ablations(nulls, POLICIES["v1"]).collect())

@@ -93,13 +93,13 @@ def test_rates_equal_an_independent_solver(spark):
         assert abs(sum(z * taken[s, z] for x, z, _ in rows if x == s) - target) <= 4
 
 
-def test_mix_that_finds_no_rates_raises(spark):
+def test_sources_that_stay_off_their_targets_are_marked(spark):
     from corvid.llm.mixing import solve_rates
 
-    hist = spark.createDataFrame([("a", 5, 10), ("a", 50, 10)], "source string, size long, n long")
-    targets = spark.createDataFrame([("a", 550, 20, 700.0)], "source string, source_size long, n_docs long, target double")
-    with pytest.raises(RuntimeError):
-        solve_rates(hist, targets, 3, steps=1)
+    hist = spark.createDataFrame([("a", 5, 10), ("a", 50, 10), ("b", 7, 9), (None, 3, 2)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 550, 20, 700.0), ("b", 63, 9, 63.0), (None, 6, 2, 18.0)], "source string, source_size long, n_docs long, target double")
+    assert {r.source: r.off_target for r in solve_rates(hist, targets, 3, steps=1).collect()} == {"a": True, "b": False, None: False}
+    assert not any(r.off_target for r in solve_rates(hist, targets, 3).collect())
 
 
 def test_shards_are_tiered_versioned_and_whole(spark):
