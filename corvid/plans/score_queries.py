@@ -372,8 +372,8 @@ def q_saved_predictions(spark, d):
 UNION ALL SELECT 'r' || o_orderkey, 'body=' || CASE WHEN o_orderkey % 2 = 0 THEN 'preserve' ELSE 'retract' END || '; dorsum=elevate; root=descend; tip=advance' FROM orders
 UNION ALL SELECT 'a' || o_orderkey, 'ABSTAIN' FROM orders UNION ALL SELECT 'ua' || o_orderkey, 'given' FROM orders""")
 def q_reference_answers(spark, d):
-    i = _probe_items(spark, d).where("family <> 'value' and coalesce(kind, '') <> 'b2'")
-    i = i.withColumns({"reference_answer": F.when(F.col("family") == "utility", "given"), "gold_text": F.lit(" "), "gold_kind": F.when(F.col("kind") == "correction", "correction"), "should_abstain": F.col("family") == "abstention"})
+    i = _probe_items(spark, d).where("family <> 'value' and not startswith(uid, 'b')")
+    i = i.withColumns({"reference_answer": F.when(F.col("family") == "utility", "given"), "gold_text": F.lit(" "), "gold_kind": F.when(F.col("kind").isin("prescriptive", "correction"), "correction"), "should_abstain": F.col("family") == "abstention"})
     return i.select("uid", records.reference_answer(i).alias("reference"))
 
 
