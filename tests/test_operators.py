@@ -67,7 +67,7 @@ def test_nearest_over_many_blocks(spark):
     m = rng.normal(size=(60, 5))
     m[7] = m[3]
     d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(99, None)], "id long, v array<double>").repartition(4)
-    got = {r.id: r.nn_id for r in nearest.nearest(d, d, "id", "v", block=8).collect()}
+    got = {r.id: r.nn_id for r in nearest.nearest(d, d, "id", "v", pivots=3, ring=4).collect()}
     far = ((m[:, None] - m[None]) ** 2).sum(axis=2)
     np.fill_diagonal(far, np.inf)
     assert got == {i: int(far[i].argmin()) for i in range(60)}
