@@ -175,4 +175,4 @@ def test_operators_run_on_a_plain_session(tmp_path):
 
 def test_every_operator_has_one_query():
     names = [int(n[2:].split("_")[0]) for n in queries()]
-    assert sorted(names) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(names) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
