@@ -435,7 +435,8 @@ def q_running_best(spark, d):
 
 @query("""SELECT vec_id, label, list_filter(range(0, 64), lambda i: embedding[i + 1] > 0.15) AS active, CAST(len(list_filter(range(0, 64), lambda i: embedding[i + 1] > 0.15)) AS INT) AS n_active FROM embeddings""")
 def q_active_sets(spark, d):
-    act = F.expr("filter(sequence(0L, 63L), i -> get(embedding, cast(i as int)) > 0.15D)")
+    # The elements are floats, and so is the bound: as a double it lies below the float next to it.
+    act = F.expr("filter(sequence(0L, 63L), i -> get(embedding, cast(i as int)) > 0.15F)")
     return table(spark, d, "embeddings").select("vec_id", "label", act.alias("active"), F.size(act).alias("n_active"))
 
 

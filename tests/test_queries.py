@@ -39,6 +39,14 @@ def test_query(spark, duck, name):
     assert comparable(rows) == comparable(want)
 
 
+def test_active_sets_at_the_bound(spark, duck, tmp_path):
+    """The float next to 0.15 is not above 0.15."""
+    spark.sql("select 1L as vec_id, array_repeat(0.15F, 64) as embedding, 3 as label union all select 2L, array_repeat(0.15000002F, 64), 3").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = oracles()["q_active_sets"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [tuple(r) for r in registry()["q_active_sets"](spark, str(tmp_path)).collect()]
+    assert comparable(got) == comparable(duck.execute(sql).fetchall()) and sorted(r[3] for r in got) == [0, 64]
+
+
 def test_contract(spark):
     assert set(registry()) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() > 0
