@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, FractionalType, NumericType, StructType
 from pyspark.sql.window import Window
 
 from .ranking import _same
@@ -41,12 +42,21 @@ def binned(df: DataFrame, groups: Sequence[str], by: str, bins: int = BINS, at_o
     """df with _bin: bins of each group by approximate quantiles of a number, in its order, null and NaN last.
 
     Equal values share a bin. Where the edges lie changes nothing but how even the bins are. If no group has more than
-    at_once rows, each is one bin.
+    at_once rows, each is one bin. A struct is ordered by its fields, as Spark orders it: bins are cut by the first
+    one, and where a frequent value fills a bin, that is cut by the next one.
     """
     total, most = largest(df, groups)
     if most <= at_once:
         return df.withColumn("_bin", F.lit(0))
+    kind = df.schema[by].dataType
+    if isinstance(kind, StructType):
+        return _binned_struct(df, groups, by, kind, bins, at_once)
     value = F.col(by).cast("double")
+    return _cut(df, groups, value, bins, total, most).withColumn("_bin", F.when(value.isNull() | F.isnan(value), F.lit(bins)).otherwise(F.col("_low"))).drop("_low", "_edge")
+
+
+def _cut(df: DataFrame, groups: Sequence[str], value: Column, bins: int, total: int, most: int) -> DataFrame:
+    """df with _low, how many of its group's edges lie below a double, and _edge, whether it is an edge."""
     known = F.when(~F.isnan(value), value)
     shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     edges = df.groupBy(*groups).agg(F.percentile_approx(known, shares, 10 * bins).alias("_edges"), F.count(F.lit(1)).alias("_m"))
@@ -55,7 +65,26 @@ def binned(df: DataFrame, groups: Sequence[str], by: str, bins: int = BINS, at_o
     n = F.size("_edges")
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(bins.bit_length()))])
     search = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= n) & (F.get("_edges", F.least(lo + s, n) - 1) < value), lo + s).otherwise(lo))
-    return joined.withColumn("_bin", F.when(value.isNull() | F.isnan(value), F.lit(bins)).otherwise(search)).drop("_edges", "_m")
+    return joined.withColumn("_low", search).withColumn("_edge", F.coalesce(F.get("_edges", F.col("_low")) == value, F.lit(False))).drop("_edges", "_m")
+
+
+def _binned_struct(df: DataFrame, groups: Sequence[str], by: str, kind: StructType, bins: int, at_once: int) -> DataFrame:
+    """_bin by a struct's leading numbers. A bin is cut further only if it holds a single value, so the order stays."""
+    width, keys, d = 2 * bins + 4, list(groups), df.withColumns({"_bin": F.lit(0).cast("long"), "_single": F.lit(True)})
+    for field in kind.fields:
+        total, most = largest(d.where("_single"), keys)
+        if most <= at_once or not isinstance(field.dataType, NumericType):
+            break
+        raw = F.col(by)[field.name]
+        # Whole numbers from 2**53 on share doubles, and decimals may; bins of these are not cut by further fields.
+        exact = F.lit(True) if isinstance(field.dataType, FractionalType) else F.abs(raw.cast("double")) < 1 << 53
+        exact = F.lit(False) if isinstance(field.dataType, DecimalType) else exact
+        value = F.when(F.col("_single"), raw.cast("double"))
+        low = F.when(value.isNull(), 0).when(F.isnan(value), width - 2).otherwise(2 * F.col("_low") + 1 + F.col("_edge").cast("int"))
+        single = F.col("_single") & (value.isNull() | F.isnan(value) | F.col("_edge")) & F.coalesce(exact, F.lit(True))
+        d = _cut(d, keys, value, bins, *largest(d, keys)).withColumns({"_bin": F.col("_bin") * width + low, "_single": single}).drop("_low", "_edge")
+        keys = [*groups, "_bin"]
+    return d.withColumn("_bin", F.when(F.col(by).isNull(), F.lit((1 << 63) - 1)).otherwise(F.col("_bin"))).drop("_single")
 
 
 def _offsets(df: DataFrame, groups: Sequence[str], weight: Column) -> DataFrame:

@@ -12,11 +12,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import Vocabulary, spans_of
+from ..functions.spans import SPAN, Vocabulary, spans_of
 from ..functions.text import fixed, render
 from ..functions.vocabulary import MUSCLES
 from ..operators.index import shard_address
 from ..operators.statistics import dose_response, first_argmax
+from ..sources.scratch import shared_folder
 
 REGION_NAMES = ("front", "mid", "back")
 # Fixed values of the generators: targets in turn, and the limits of the texts' branches.
@@ -63,11 +64,15 @@ def _where(holds: Sequence[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in holds]), lambda x: x.isNotNull())
 
 
+def _pair(q: str, a: str, spans: Column) -> Column:
+    """A question and its answer with spans, as a conversation has them."""
+    return F.array(F.struct(F.lit("human").alias("from"), F.col(q).alias("value"), F.lit(None).cast(SPAN).alias("mask_spans")), F.struct(F.lit("gpt").alias("from"), F.col(a).alias("value"), spans.alias("mask_spans")))
+
+
 def _records(rows: DataFrame, scenario: str, lang: str, words: Vocabulary, extra: Sequence[str] = ()) -> DataFrame:
     """Rows with an array of turns as records; the answers of all turns are tagged in one Arrow pass."""
     turn = rows.select("index", *extra, F.posexplode("turns").alias("k", "t")).select("index", *extra, "k", "t.type", "t.q", "t.a", spans_of(F.col("t.a"), words).alias("spans"))
-    none = F.lit(None).cast("array<struct<type: string, value: string, start: int, end: int, role: string>>")
-    said = F.struct("k", "type", F.array(F.struct(F.lit("human").alias("from"), F.col("q").alias("value"), none.alias("mask_spans")), F.struct(F.lit("gpt").alias("from"), F.col("a").alias("value"), F.col("spans").alias("mask_spans"))).alias("pair"))
+    said = F.struct("k", "type", _pair("q", "a", F.col("spans")).alias("pair"))
     g = turn.groupBy("index", *extra).agg(F.array_sort(F.collect_list(said)).alias("all"))
     return g.select("index", *extra, F.lit(scenario).alias("scenario"), F.lit(lang).alias("lang"), F.flatten(F.col("all.pair")).alias("conversations"), F.col("all.type").alias("turn_types"), F.lit(True).alias("verified"))
 
@@ -172,8 +177,14 @@ def sweeps(pool: DataFrame, valid: DataFrame, displacement: DataFrame) -> DataFr
 
 
 def dose_response_records(levels: DataFrame, templates: Mapping) -> DataFrame:
-    """One record a sweep of at least 3 levels: a question over its range and an answer by its tier."""
+    """One record a sweep of at least 3 levels: a question over its range and an answer by its tier.
+
+    The levels are written to the shared folder, since ranks and bins read them several times.
+    """
     t, names = templates["b3"], _map(templates["muscle_names"])
+    path = shared_folder(levels.sparkSession, "levels")
+    levels.write.parquet(path)
+    levels = levels.sparkSession.read.schema(levels.schema).parquet(path)
     d = levels.withColumns({"sweep_id": F.concat_ws("|", "kind", "lead"), "place": F.struct("level", "index")})
     tiers = dose_response(d.withColumnRenamed("resp", "_resp"), "sweep_id", "place", "_resp")
     lists = d.groupBy("sweep_id", "kind", "lead").agg(F.array_sort(F.collect_list(F.struct("level", "index", "resp"))).alias("steps"))
@@ -186,8 +197,10 @@ def dose_response_records(levels: DataFrame, templates: Mapping) -> DataFrame:
     for tier in ("strict", "near", "partial"):
         a = F.when(F.col("tier") == tier, render(t[f"a_{tier}"], {"lead": full, "seq": seq, "rho": fixed(F.col("rho"), 2)})).otherwise(a)
     sweep = F.struct(F.transform("steps", lambda s: s["level"]).alias("levels"), F.transform("steps", lambda s: F.bround(s["resp"], 3)).alias("resp_mm"), F.bround("rho", 3).alias("rho"), "monotonic", "tier")
-    rows = j.select(F.lit(None).cast("long").alias("index"), "sweep_id", sweep.alias("sweep"), F.transform("steps", lambda s: s["index"]).alias("ids"), F.array(_turn("B3", q, a)).alias("turns"))
-    out = _records(rows, "dose_response", templates["lang"], vocabulary(templates, "feature"), ["sweep_id", "sweep", "ids"])
+    # A sweep has one turn, and its lists may be long: no key of a group holds them, and what is not asked for is not rendered.
+    rows = j.select("sweep_id", sweep.alias("sweep"), F.transform("steps", lambda s: s["index"]).alias("ids"), q.alias("q"), a.alias("a"))
+    said = _pair("q", "a", spans_of(F.col("a"), vocabulary(templates, "feature")))
+    out = rows.select(F.lit(None).cast("long").alias("index"), "sweep_id", "sweep", "ids", F.lit("dose_response").alias("scenario"), F.lit(templates["lang"]).alias("lang"), said.alias("conversations"), F.array(F.lit("B3")).alias("turn_types"), F.lit(True).alias("verified"))
     ref = F.struct(F.lit(None).cast("int").alias("verts_shard"), F.lit(None).cast("int").alias("row_in_shard"), F.col("ids").alias("indices"))
     return out.withColumn("mesh_ref", ref).drop("ids")
 

@@ -109,6 +109,23 @@ def test_rank_correlation_of_any_group(spark, how, monkeypatch):
     assert statistics.spearman(spark.createDataFrame([], "g string, x double, y double"), ["g"], "x", "y").collect() == []
 
 
+def test_groups_in_the_order_of_structs(spark):
+    """Few values of the first field, the second one tells rows apart; bins keep the order of both."""
+    rng = random.Random(4)
+    rows = [(g, rng.choice([0.1, 0.2, None, math.nan, 2.0]), i, rng.random()) for g in "ab" for i in range(300)] + [("a", rng.random(), 1000 + i, 0.5) for i in range(90)]
+    d = spark.createDataFrame(rows, "g string, level double, i long, v double").withColumn("place", F.struct("level", "i")).repartition(4)
+    b = P.binned(d, ["g"], "place", 5, 20)
+    w = Window.partitionBy("g").orderBy("place")
+    assert b.withColumn("before", F.lag("_bin").over(w)).where("before > _bin").isEmpty() and b.count() == len(rows)
+    assert b.groupBy("g", "_bin").count().agg(F.max("count")).first()[0] < 60
+    got = {r.g: (r.n, r.monotonic, r.net_up) for r in P.rises(d, "g", "place", "i", 5, 20).collect()}
+    assert got["b"][:2] == (300, False) and got == {r.g: (r.n, r.monotonic, r.net_up) for r in P.rises(d, "g", "place", "i").collect()}
+    rho = [{r.g: pytest.approx(r.rho) for r in P.rank_correlation(d, ["g"], "place", "v", 5, n).collect()} for n in (20, 10**6)]
+    assert {g: x.expected for g, x in rho[0].items()} == rho[1]
+    big = spark.createDataFrame([("a", (2**53 + i % 2, -i)) for i in range(100)], "g string, place struct<x: long, y: long>")
+    assert P.binned(big, ["g"], "place", 5, 20).withColumn("before", F.lag("_bin").over(w)).where("before > _bin").isEmpty()
+
+
 @pytest.mark.parametrize("at_once", [0, 10**6])
 def test_rises_arcs_and_bests(spark, at_once, monkeypatch):
     real = P.binned
