@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,10 +54,17 @@ def facts_from_spans(spans: Column, kind: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda s: s["type"] == kind), lambda s: s["value"])))
 
 
+def bound(columns: Sequence[Column], use: Callable[..., Column]) -> Column:
+    """use(*columns) with each column computed once for a row, however often it is used."""
+    names = [f"c{i}" for i in range(len(columns))]
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for c, n in zip(columns, names, strict=True)])), lambda s: use(*[s[n] for n in names])), 0)
+
+
 def multiset_missing(original: Column, new: Column) -> Column:
     """Values of `original` that `new` holds less often, with how often they are missing."""
     count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    return F.filter(F.transform(F.array_distinct(original), lambda x: F.struct(x.alias("value"), (count(original, x) - count(new, x)).alias("missing"))), lambda s: s["missing"] > 0)
+    missing = lambda o, n: F.filter(F.transform(F.array_distinct(o), lambda x: F.struct(x.alias("value"), (count(o, x) - count(n, x)).alias("missing"))), lambda s: s["missing"] > 0)
+    return bound([original, new], missing)
 
 
 def faithful(original: Column, new: Column, names: Mapping[str, str], surfaces: Mapping[str, str]) -> Column:
