@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from ..functions.vocabulary import MUSCLES
@@ -91,10 +92,24 @@ def read_records(spark: SparkSession, path: str | list[str], schema: str = RECOR
 
 
 def read_records_any(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    """Records of JSON lines or of one JSON array, told apart by the first character."""
+    """Records of JSON lines or of one JSON array, told apart by the first character.
+
+    An array whose lines hold whole elements, as write_json_array writes it, is read line by line in many tasks.
+    One whose elements run over lines is read by Spark as one document, in one task that holds all its rows.
+    """
     head = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").limit(1).collect()
-    many = bool(head) and head[0]["v"].startswith("[")
-    return spark.read.schema(schema).option("multiLine", many).json(path)
+    if not head or not head[0]["v"].startswith("["):
+        return spark.read.schema(schema).json(path)
+    # The brackets and commas around a line's elements are replaced by a pair of brackets.
+    inner = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\s*\[?\s*,?\s*", ""), r"\s*,?\s*\]?\s*$", "")
+    lines = spark.read.text(path).select(inner.alias("inner")).where("inner <> ''")
+    cells = F.from_json(F.concat(F.lit("["), "inner", F.lit("]")), "array<string>")
+    whole = F.col("inner").startswith("{") & F.col("inner").endswith("}") & F.forall(cells, lambda x: x.startswith("{"))
+    if not lines.where(~F.coalesce(whole, F.lit(False))).isEmpty():
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    wanted = spark.createDataFrame([], schema).schema
+    rows = lines.select(F.explode(F.from_json(F.concat(F.lit("["), "inner", F.lit("]")), ArrayType(wanted))).alias("r"))
+    return rows.select("r.*")
 
 
 def read_centers(spark: SparkSession, path: str) -> DataFrame:

@@ -98,3 +98,15 @@ def test_settling_and_windows(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     w = windowed_counts(e, "ts", "event_type", "value", "1 day")
     assert w.agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_json_arrays_by_lines(spark, tmp_path):
+    """Arrays by lines, with several elements in a line or over several lines give the same rows; no task holds a whole array written by lines."""
+    forms = ['[\n{"a": 1, "s": "x}, {y"}\n,{"a": 2, "s": "[,]"}\n, {"a": 3, "s": null}\n]\n', '[{"a": 1, "s": "x}, {y"}, {"a": 2, "s": "[,]"},\n  {"a": 3}]', '[\n {\n  "a": 1,\n  "s": "x}, {y"\n },\n {"a": 2, "s": "[,]"},\n {"a": 3}\n]']
+    for i, text in enumerate(forms):
+        (tmp_path / f"{i}.json").write_text(text)
+        got = readers.read_records_any(spark, str(tmp_path / f"{i}.json"), "a long, s string")
+        assert sorted(map(tuple, got.collect()), key=str) == [(1, "x}, {y"), (2, "[,]"), (3, None)]
+        assert ("FileScan text" in got._jdf.queryExecution().executedPlan().toString()) == (i < 2)
+    (tmp_path / "none.json").write_text("[\n]\n")
+    assert readers.read_records_any(spark, str(tmp_path / "none.json"), "a long").collect() == []
