@@ -33,6 +33,8 @@ PARITY = 16
 SALTS, HOT_SHARE, BLOCK = 256, 10_000, 2_000
 #: One set in so many is looked at to find such signatures; a signature that is missed is only not dealt.
 LOOK, LOOK_LEAST = 32, 100
+#: Sets of a signature that make it a crowd, and the parts of a crowd that give it a central pivot each.
+CROWD, PARTS = 256, 4
 
 
 def band_edges(limit: int = 1 << 40) -> list[int]:
@@ -266,6 +268,21 @@ def _plausible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     return both.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _central(entries: DataFrame, pivots: DataFrame) -> DataFrame:
+    """PARTS more pivots of each crowd: of each part, by a hash, the member with the most signatures in crowds.
+
+    The smallest member of a crowd of near copies may be one at its edge, with which few others link; most of them
+    link with those that have kept what the crowd has in common. Pairs grow with a crowd, not with its square.
+    """
+    crowds = pivots.where(F.col("_n") > CROWD).select("sig", "p", "_n")
+    inside = stored(join_hot(entries.select("sig", "member", "n"), crowds, "sig"), "jaccard-crowds")
+    held = inside.groupBy("member").agg(F.count(F.lit(1)).alias("held"))
+    by_hash = F.xxhash64("member")
+    parts = inside.join(held, "member").groupBy("sig", F.pmod(by_hash, F.lit(PARTS)))
+    most = parts.agg(F.max_by(F.struct("member", "n"), F.struct("held", by_hash)).alias("x"), F.first("p").alias("p"), F.first("_n").alias("_n"))
+    return stored(most.select("sig", F.col("x.member").alias("pivot"), F.col("x.n").alias("pivot_n"), "p", "_n"), "jaccard-central")
+
+
 def _shared(d: DataFrame, signed) -> DataFrame:
     """(sig, member, c): signatures that two or more sets have, and about how many. member is the set's name, odd below its own band.
 
@@ -298,9 +315,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no other id is in the component. Other columns are not read, and an empty table gives empty ones. Shingles are
     compared by 64-bit hashes; sets are told apart by their name and a second hash of 64 bits.
 
-    Rounds: equal sets collapse first. Then each signature links its sets to its smallest set (a star, never
-    all pairs), verified links merge into components, and at the end only pairs that share a probed signature
-    and lie in different components are verified. Nothing is capped.
+    Rounds: equal sets collapse first. Then each signature links its sets to its smallest set and, if it has very
+    many, to a few central ones (stars, never all pairs), verified links merge into components, and at the end only
+    pairs that share a probed signature and lie in different components are verified. Nothing is capped: stars only
+    save pairs of the last round, which looks at all that are left.
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     members, renamed = _members(d, k, num, den, name_bits)
@@ -316,9 +334,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = stored(entries, "jaccard-entries")
     listed = stored(entries.groupBy("member").agg(F.collect_list("sig").alias("sigs"), F.max("slack").alias("slack")), "jaccard-lists")
 
-    # Stars: the sets of a signature that anyone probes, each with the smallest one.
+    # Stars: the sets of a signature that anyone probes, each with the smallest one, in crowds also with central ones.
     pivots = entries.groupBy("sig").agg(F.min("member").alias("pivot"), F.min_by("n", "member").alias("pivot_n"), F.max("probe").alias("p"), F.count(F.lit(1)).alias("_n")).where("p")
     pivots = stored(pivots, "jaccard-pivots")
+    pivots = pivots.unionByName(_central(entries, pivots))
     fits = f"{num} * greatest(n, pivot_n) <= {den} * least(n, pivot_n)"
     star = join_hot(entries, pivots, "sig").where("member <> pivot and (member & pivot & 1L) = 0").where(fits).select(F.col("pivot").alias("ma"), F.col("member").alias("mb")).distinct()
     tried = stored(_plausible(star, listed), "jaccard-star")
