@@ -34,7 +34,7 @@ SALTS, HOT_SHARE, BLOCK = 256, 10_000, 2_000
 #: One set in so many is looked at to find such signatures; a signature that is missed is only not dealt.
 LOOK, LOOK_LEAST = 32, 100
 #: Sets of a signature that make it a crowd, and the parts of a crowd that give it a central pivot each.
-CROWD, PARTS = 256, 4
+CROWD, PARTS = 256, 1
 
 
 def band_edges(limit: int = 1 << 40) -> list[int]:
